@@ -96,3 +96,49 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(words(text))
+
+
+def exact_scaled(x: Column, digits: int) -> Column:
+    """x * 10^digits rounded half-even on the exact binary value, as a long.
+
+    Splitting x in two halves makes both products exact, so the side of a tie is
+    decided without error. Valid while |x| * 10^digits stays below 2^52.
+    """
+    p = F.lit(float(10 ** digits))
+    c = x * F.lit(134217729.0)
+    hi = c - (c - x)
+    lo = x - hi
+    q = F.rint(x * p)
+    over = (hi * p - q - 0.5) + lo * p
+    under = (hi * p - q + 0.5) + lo * p
+    odd = F.pmod(q, F.lit(2.0)) == 1.0
+    step = (F.when((over > 0) | ((over == 0) & odd), F.lit(1.0))
+            .when((under < 0) | ((under == 0) & odd), F.lit(-1.0)).otherwise(F.lit(0.0)))
+    return (q + step).cast("bigint")
+
+
+def fixed_text(x: Column, digits: int) -> Column:
+    """Fixed-decimal text of the exact binary value."""
+    q = exact_scaled(x, digits)
+    a = F.abs(q)
+    p = 10 ** digits
+    whole = F.floor(a / F.lit(p)).cast("bigint") if digits <= 2 else ((a - a % p) / F.lit(p)).cast("bigint")
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), whole.cast("string"), F.lit("."),
+                    F.lpad((a % p).cast("string"), digits, "0"))
+
+
+def short_text(x: Column) -> Column:
+    """Six significant digits with trailing zeros dropped, scientific outside 1e-4 to 1e6."""
+    e = F.floor(F.log10(F.abs(x)))
+    mant = F.regexp_replace(F.format_string("%.5e", x), r"\.?0+e", "e")
+    plain = F.lit(None).cast("string")
+    for k in range(-4, 6):
+        d = 5 - k
+        body = F.format_string(f"%.{d}f", x)
+        plain = F.when(e == k, F.regexp_replace(body, r"\.?0+$", "") if d else body).otherwise(plain)
+    return F.when(x == 0, "0").otherwise(F.coalesce(plain, mant))
+
+
+def half_up_text(x: Column, digits: int = 2) -> Column:
+    """Round the shortest decimal form half-up and keep trailing zeros."""
+    return F.round(x.cast("string").cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})").cast("string")

@@ -87,14 +87,13 @@ def paired_delta(candidate: DataFrame, reference: DataFrame, fold: str = "fold",
     A fold present on one side only makes the comparison invalid: statistics are missing
     and `matched` is false. Equal vectors give a zero difference, which is not defensible.
     """
-    a = candidate.select(*by, F.col(fold), F.col(score).alias("_a"))
     b = reference.select(F.col(fold), F.col(score).alias("_b"))
-    if by:
-        b = candidate.select(*by).distinct().join(b, b["_b"].isNull() | b["_b"].isNotNull())
-    j = a.join(b, [*by, fold], "full")
+    j = candidate.select(*by, F.col(fold), F.col(score).alias("_a")).join(b, fold, "left")
     d = F.col("_a") - F.col("_b")
-    s = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n_folds"), (F.count(d) == F.count(F.lit(1))).alias("matched"),
+    n_ref = reference.agg(F.count(F.lit(1))).scalar()
+    s = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n_folds"), F.count(d).alias("_nd"),
                            F.avg(d).alias("m"), (F.stddev_samp(d) / F.sqrt(F.count(d))).alias("se"))
+    s = s.withColumn("matched", (F.col("_nd") == F.col("n_folds")) & (F.col("n_folds") == n_ref))
     ok = F.col("matched")
     return s.select(*by, "n_folds", "matched", r6(F.when(ok, F.col("m"))).alias("diff_mean"), r6(F.when(ok, F.col("se"))).alias("diff_sem"),
                     F.coalesce(ok & (F.col("m") > SIGMAS * F.col("se")), F.lit(False)).alias("defensible"))
