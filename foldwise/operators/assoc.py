@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.num import nln, r6
 from foldwise.operators.lookup import attach
-from foldwise.operators.ranks import cut_points, cuts_by_name, long_form, quantile_cells, value_ranks
+from foldwise.operators.ranks import cut_points, cuts_by_name, long_form, quantile_table, value_ranks
 
 
 def _pearson(x: str, y: str) -> Column:
@@ -132,11 +132,15 @@ def equal_width_bin(df: DataFrame, value: str, bins: int, out: str = "bin") -> D
     return df.withColumn(out, F.least(F.greatest(pos, F.lit(1)), F.lit(bins)).cast("int") - 1)
 
 
-def quantile_bin(df: DataFrame, value: str, bins: int, out: str) -> DataFrame:
-    """Bins cut at exact quantiles: the number of edges below the value."""
-    edges = sorted(set(quantile_cells(df, value, [i / bins for i in range(1, bins)])))
-    arr = F.array(*[F.lit(float(e)) for e in edges])
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), F.size(F.filter(arr, lambda e: e < F.col(value).cast("double")))))
+def quantile_bins(df: DataFrame, cols: Sequence[str], bins: int, suffix: str = "__bin") -> DataFrame:
+    """Bins cut at exact quantiles: the number of edges below the value. Edges of all columns come from one pass."""
+    edges = quantile_table(df, cols, [i / bins for i in range(1, bins)])
+
+    def below(c: str) -> Column:
+        arr = F.array(*[F.lit(float(e)) for e in sorted(set(edges[c]))])
+        return F.when(F.col(c).isNotNull(), F.size(F.filter(arr, lambda e: e < F.col(c).cast("double"))))
+
+    return df.withColumns({f"{c}{suffix}": below(c) for c in cols})
 
 
 def leakage_audit(df: DataFrame, target: str, categorical: Sequence[str] = (), numeric: Sequence[str] = (),
@@ -144,8 +148,8 @@ def leakage_audit(df: DataFrame, target: str, categorical: Sequence[str] = (), n
                   review_at: float = 0.95) -> DataFrame:
     """One row per feature: MI, MI / H(target), Cramer's V with its band, and a verdict."""
     work, cols = df, list(categorical)
-    for c in numeric:
-        work = quantile_bin(work, c, numeric_bins, f"{c}__bin")
+    if numeric:
+        work = quantile_bins(work, numeric, numeric_bins)
     if id_col:
         work = equal_width_bin(work, id_col, id_bins, f"{id_col}__bin")
     binned = {f"{c}__bin": c for c in [*numeric, *([id_col] if id_col else [])]}

@@ -75,28 +75,27 @@ def target_encode_oof(df: DataFrame, keys: Sequence[str], targets: dict[str, Col
                       smoothing: float = 10.0) -> DataFrame:
     """Out-of-fold smoothed mean of each target per category, without the row's own fold.
 
-    One aggregation by (category, fold) gives every sum. Each category then holds a
-    map with at most k folds, from which the held-out part is subtracted.
+    One aggregation by (category, fold) gives every sum; each category keeps a map with
+    at most k folds, and the held-out part is subtracted from its totals.
     `targets` maps output names to numeric columns; several keys form a combined category.
     """
     keys = list(keys)
     work = df.withColumns({f"_t_{n}": c.cast("double") for n, c in targets.items()})
     cells = work.groupBy(*keys, fold).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"_t_{n}").alias(f"s_{n}") for n in targets])
     names = ["n", *[f"s_{n}" for n in targets]]
-    folds = cells.groupBy(fold).agg(*[F.sum(c).alias(c) for c in names])
-    # One row with k entries: the per-fold totals that give the priors.
-    prior = folds.agg(F.map_from_entries(F.collect_list(F.struct(F.col(fold), F.struct(*names)))).alias("m")).scalar()
-    cats = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(fold), F.struct(*names)))).alias("_m"))
-    table = cats.select(*keys, "_m", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(fold))
-
-    def others(m: Column, field: str) -> Column:
-        held = F.col(fold)
-        return F.aggregate(F.map_entries(m), F.lit(0.0),
-                           lambda acc, e: acc + F.when(e["key"] == held, F.lit(0.0)).otherwise(e["value"][field].cast("double")))
-
+    # k rows: sums outside each fold, which give its priors.
+    everything = Window.partitionBy(F.lit(0))
+    outside = cells.groupBy(fold).agg(*[F.sum(c).alias(c) for c in names]).select(
+        fold, *[(F.sum(c).over(everything) - F.col(c)).alias(f"out_{c}") for c in names])
+    cats = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(fold), F.struct(*names)))).alias("_m"),
+                                    *[F.sum(c).alias(f"all_{c}") for c in names])
+    table = cats.select(*keys, "_m", *[f"all_{c}" for c in names], F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(fold))
+    table = table.join(F.broadcast(outside), fold)
+    own = F.try_element_at("_m", F.col(fold))
+    others = lambda c: F.col(f"all_{c}") - F.coalesce(own[c], F.lit(0))
     enc = table.select(*keys, fold, *[
-        F.coalesce(F.try_divide(others(F.col("_m"), f"s_{n}") + smoothing * F.try_divide(others(prior, f"s_{n}"), others(prior, "n")),
-                                others(F.col("_m"), "n") + smoothing), F.lit(0.0)).alias(n) for n in targets])
+        F.coalesce(F.try_divide(others(f"s_{n}") + smoothing * F.try_divide(F.col(f"out_s_{n}"), F.col("out_n")), others("n") + smoothing),
+                   F.lit(0.0)).alias(n) for n in targets])
     return attach(df, enc, [*keys, fold])
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -43,3 +43,9 @@ def left_chain(base: DataFrame, *sides: DataFrame, on: Sequence[str], check: boo
     for side in sides:
         base = base.join(require_unique(side, on) if check else side, list(on), "left")
     return base
+
+
+def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, out: str = "rank") -> DataFrame:
+    """First k rows per group. Spark keeps k rows per group before the shuffle, so a hot group stays small."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)

@@ -249,13 +249,18 @@ def roman(n: Column) -> Column:
 
 def roman_steps(n: Column) -> Column:
     """Array of (before, value, symbol, after) for each subtraction."""
+    nothing = F.array().cast("array<struct<before:bigint,value:int,symbol:string,after:bigint>>")
+
+    def run(left: Column, value: int, symbol: str) -> Column:
+        times = F.floor(left / F.lit(value)).cast("bigint")
+        count = F.sequence(F.lit(1).cast("bigint"), F.greatest(times, F.lit(1)))
+        steps = F.transform(count, lambda j: F.struct((left - (j - 1) * value).alias("before"), F.lit(value).alias("value"),
+                                                      F.lit(symbol).alias("symbol"), (left - j * value).alias("after")))
+        return F.when(times > 0, steps).otherwise(nothing)
+
     left, parts = n, []
     for value, symbol in ROMAN:
-        times = F.floor(left / F.lit(value)).cast("bigint")
-        here = left
-        parts.append(F.when(times > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(times, F.lit(1))), lambda j, here=here, value=value, symbol=symbol: F.struct(
-            (here - (j - 1) * value).alias("before"), F.lit(value).alias("value"), F.lit(symbol).alias("symbol"), (here - j * value).alias("after")))
-        ).otherwise(F.array().cast("array<struct<before:bigint,value:int,symbol:string,after:bigint>>")))
+        parts.append(run(left, value, symbol))
         left = left % value
     return F.concat(*parts)
 

@@ -129,6 +129,29 @@ def quantile_cells(df: DataFrame, value: str, probs: Sequence[float]) -> list[fl
     return [row[k] for k in names] if row else []
 
 
+def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
+    """Exact quantiles of several columns at many probabilities, in one pass over an unpivoted frame.
+
+    Each distinct value emits only the requested positions that fall on it; the
+    result has columns x probabilities cells.
+    """
+    lf = long_form(df, cols)
+    ranked = value_ranks(lf, "value", ["feature"], cuts=cuts_by_name(lf, "feature", "value"))
+    last = F.col("n_total") - 1
+    spots = F.flatten(F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.array(
+        F.struct(p.alias("p"), F.floor(last * p).alias("k"), F.lit(0).alias("side"), (last * p - F.floor(last * p)).alias("w")),
+        F.struct(p.alias("p"), F.ceil(last * p).alias("k"), F.lit(1).alias("side"), F.lit(0.0).alias("w")))))
+    here = F.filter(spots, lambda s: (s["k"] >= F.col("n_before")) & (s["k"] < F.col("n_before") + F.col("n")))
+    hit = ranked.select("feature", "value", F.explode(here).alias("s"))
+    cells = hit.groupBy("feature", "s.p").agg(
+        F.max(F.when(F.col("s.side") == 0, F.col("value"))).alias("lo"), F.max(F.when(F.col("s.side") == 1, F.col("value"))).alias("hi"),
+        F.max("s.w").alias("w")).select("feature", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("q"))
+    out: dict[str, dict[float, float]] = {}
+    for r in cells.collect():
+        out.setdefault(r["feature"], {})[r["p"]] = r["q"]
+    return {c: [out[c][float(p)] for p in probs] if c in out else [] for c in cols}
+
+
 def hash_rank(df: DataFrame, md5_col: str, by: Sequence[str] = (), digits: int = 3,
               out: str = "rank") -> DataFrame:
     """Zero-based position of each row in md5 order inside its group.

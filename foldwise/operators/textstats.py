@@ -39,12 +39,12 @@ def padding_plan(df: DataFrame, key: Sequence[str], length: str, batch: int, mul
 def grams(text: Column, low: int = 1, high: int = 2) -> Column:
     """Lower-case word tokens of two or more characters, and their n-grams."""
     toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit("unknown"))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    parts = []
-    for n in range(low, high + 1):
+    def of(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(toks) - (n - 1), F.lit(1)))
-        parts.append(toks if n == 1 else F.when(F.size(toks) >= n, F.transform(starts, lambda i, n=n: F.array_join(F.slice(toks, i, n), " ")))
-                     .otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+        return F.when(F.size(toks) >= n, F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))).otherwise(
+            F.array().cast("array<string>"))
+
+    return F.concat(*[toks if n == 1 else of(n) for n in range(low, high + 1)])
 
 
 def gram_counts(df: DataFrame, key: str, text: str) -> DataFrame:

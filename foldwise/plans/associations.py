@@ -21,7 +21,7 @@ def orders_customers(spark, sf):
 
 def corr_cells(cols, src) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{a}' AS x, '{b}' AS y, " + ("1.0::DOUBLE" if a == b else f"round(corr({a}, {b}), 6) + 0.0") + f" AS r FROM {src}" + (" LIMIT 1" if False else "")
+        f"SELECT '{a}' AS x, '{b}' AS y, " + ("1.0::DOUBLE" if a == b else f"round(corr({a}, {b}), 6) + 0.0") + f" AS r FROM {src}"
         for a in cols for b in cols if a != b) + "".join(f" UNION ALL SELECT '{a}', '{a}', 1.0::DOUBLE" for a in cols)
 
 
@@ -100,10 +100,6 @@ def id_mi(spark, sf):
     return A.association(A.joint_counts(d, ["bin"], "o_orderpriority")).select("n", F.col("n_values").alias("n_bins"), F.round("mi", 6).alias("mi_nats"))
 
 
-def quantile_bin_sql(c, bins, src) -> str:
-    return f"(SELECT len(list_filter(list_distinct(e), lambda x: x < {c})) FROM (SELECT quantile_cont({c}, [{', '.join(f'{i / bins}' for i in range(1, bins))}]) AS e FROM {src}))"
-
-
 def qbin(c, bins) -> str:
     return f"CASE WHEN {c} IS NOT NULL THEN len(list_filter(list_distinct({c}_e), lambda x: x < {c})) END"
 
@@ -117,9 +113,7 @@ def edges_sql(cols, bins, src) -> str:
 WITH e AS ({edges_sql(NUM, 32, 'lineitem')}), b AS (SELECT l_returnflag, {', '.join(f'{qbin(c, 32)} AS {c}_b' for c in NUM)} FROM lineitem, e),
 {joint_sql([f'{c}_b' for c in NUM], 'l_returnflag', 'b')} SELECT feature, tot::BIGINT AS n, r::BIGINT AS n_bins, round(mi, 6) AS mi_nats FROM jv""")
 def numeric_mi_binned(spark, sf):
-    d = table(spark, sf, "lineitem")
-    for c in NUM:
-        d = A.quantile_bin(d, c, 32, f"{c}_b")
+    d = A.quantile_bins(table(spark, sf, "lineitem"), NUM, 32, "_b")
     return A.association(A.joint_counts(d, [f"{c}_b" for c in NUM], "l_returnflag")).select(
         "feature", "n", F.col("n_values").alias("n_bins"), F.round("mi", 6).alias("mi_nats"))
 

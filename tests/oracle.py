@@ -41,13 +41,7 @@ def plain(v):
     return str(v)
 
 
-def family(t: str) -> str:
-    t = t.lower()
-    for names, out in ((("bigint", "int", "hugeint", "smallint", "tinyint", "integer", "long"), "int"), (("double", "float"), "float"),
-                       (("decimal",), "decimal"), (("varchar", "string"), "text"), (("boolean",), "bool")):
-        if t in names or (out == "decimal" and t.startswith("decimal")):
-            return out
-    return "other"
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def compare(df, con, sql: str):
@@ -59,10 +53,10 @@ def compare(df, con, sql: str):
     raw = cur.fetchall()
     if sorted(names) != cols:
         return f"columns {cols} vs {sorted(names)}"
-    types = {d[0]: family(str(d[1])) for d in cur.description}
+    types = {d[0]: str(d[1]) for d in cur.description}
     for n, t in df.dtypes:
-        if family(t) != types[n]:
-            return f"type of {n}: {t} vs {dict((d[0], str(d[1])) for d in cur.description)[n]}"
+        if t in TYPES and TYPES[t] != types[n]:
+            return f"type of {n}: {t} vs {types[n]}"
     idx = [names.index(c) for c in cols]
     want = sorted([tuple(str(plain(r[i])) for i in idx) for r in raw])
     if len(got) != len(want):
