@@ -61,12 +61,12 @@ def argmax_array(p: Column) -> Column:
 
 
 def argmax_columns(cols: Sequence[Column]) -> Column:
-    """Index of the first maximum among columns, zero-based, as one CASE expression."""
-    best = F.greatest(*cols) if len(cols) > 1 else cols[0]
-    out = F.when(cols[0] == best, F.lit(0))
-    for i, c in enumerate(cols[1:], start=1):
-        out = out.when(c == best, F.lit(i))
-    return out
+    """Index of the first maximum among columns, zero-based.
+
+    Each column is named only twice, so the expression stays small when it is
+    inlined into filters.
+    """
+    return argmax_array(F.array(*cols))
 
 
 def skew_corrected(g1: Column, n: Column) -> Column:
@@ -89,15 +89,24 @@ def hash_bucket(md5_hex: Column, digits: int = 3) -> Column:
     return F.conv(F.substring(md5_hex, 1, digits), 16, 10).cast("int")
 
 
+# Unicode white space, the separators and the control characters Python splits on.
+SPACE = r"[\p{Z}\s\x0b\x1c-\x1f\x{85}]+"
+
+
 def words(text: Column) -> Column:
     """Whitespace tokens; a missing or blank text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once and use it many times in `body`, so that the expression tree stays small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def exact_scaled(x: Column, digits: int) -> Column:
     """x * 10^digits rounded half-even on the exact binary value, as a long.
 
@@ -105,40 +114,48 @@ def exact_scaled(x: Column, digits: int) -> Column:
     decided without error. Valid while |x| * 10^digits stays below 2^52.
     """
     p = F.lit(float(10 ** digits))
-    c = x * F.lit(134217729.0)
-    hi = c - (c - x)
-    lo = x - hi
-    q = F.rint(x * p)
-    over = (hi * p - q - 0.5) + lo * p
-    under = (hi * p - q + 0.5) + lo * p
-    odd = F.pmod(q, F.lit(2.0)) == 1.0
-    step = (F.when((over > 0) | ((over == 0) & odd), F.lit(1.0))
-            .when((under < 0) | ((under == 0) & odd), F.lit(-1.0)).otherwise(F.lit(0.0)))
-    return (q + step).cast("bigint")
+
+    def halves(v):
+        c = v * F.lit(134217729.0)
+        hi = c - (c - v)
+        return F.struct(hi.alias("hi"), (v - hi).alias("lo"), F.rint(v * p).alias("q"))
+
+    def settle(s):
+        over = (s["hi"] * p - s["q"] - 0.5) + s["lo"] * p
+        under = (s["hi"] * p - s["q"] + 0.5) + s["lo"] * p
+        odd = F.pmod(s["q"], F.lit(2.0)) == 1.0
+        step = (F.when((over > 0) | ((over == 0) & odd), F.lit(1.0))
+                .when((under < 0) | ((under == 0) & odd), F.lit(-1.0)).otherwise(F.lit(0.0)))
+        return (s["q"] + step).cast("bigint")
+
+    return let(x, lambda v: let(halves(v), settle))
 
 
 def fixed_text(x: Column, digits: int) -> Column:
     """Fixed-decimal text of the exact binary value."""
-    q = exact_scaled(x, digits)
-    a = F.abs(q)
     p = 10 ** digits
-    whole = F.floor(a / F.lit(p)).cast("bigint") if digits <= 2 else ((a - a % p) / F.lit(p)).cast("bigint")
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), whole.cast("string"), F.lit("."),
-                    F.lpad((a % p).cast("string"), digits, "0"))
 
+    def text(q):
+        a = F.abs(q)
+        return F.concat(F.when(q < 0, F.lit("-")).otherwise(F.lit("")), F.floor((a - a % p) / F.lit(p)).cast("string"), F.lit("."),
+                        F.lpad((a % p).cast("string"), digits, "0"))
 
-def short_text(x: Column) -> Column:
-    """Six significant digits with trailing zeros dropped, scientific outside 1e-4 to 1e6."""
-    e = F.floor(F.log10(F.abs(x)))
-    mant = F.regexp_replace(F.format_string("%.5e", x), r"\.?0+e", "e")
-    plain = F.lit(None).cast("string")
-    for k in range(-4, 6):
-        d = 5 - k
-        body = F.format_string(f"%.{d}f", x)
-        plain = F.when(e == k, F.regexp_replace(body, r"\.?0+$", "") if d else body).otherwise(plain)
-    return F.when(x == 0, "0").otherwise(F.coalesce(plain, mant))
+    return let(exact_scaled(x, digits), text)
 
 
 def half_up_text(x: Column, digits: int = 2) -> Column:
     """Round the shortest decimal form half-up and keep trailing zeros."""
     return F.round(x.cast("string").cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})").cast("string")
+
+
+def short_text(x: Column) -> Column:
+    """Six significant digits with trailing zeros dropped, scientific outside 1e-4 to 1e6."""
+    def text(v):
+        e = F.floor(F.log10(F.abs(v)))
+        places = (F.lit(5) - e).cast("string")
+        plain = F.call_function("format_string", F.concat(F.lit("%."), places, F.lit("f")), v)
+        trimmed = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+        mant = F.regexp_replace(F.format_string("%.5e", v), r"\.?0+e", "e")
+        return F.when(v == 0, "0").when((e >= -4) & (e < 6), trimmed).otherwise(mant)
+
+    return let(x, text)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.num import argmax_columns, r6, total
 from foldwise.operators.lookup import attach
-from foldwise.operators.ranks import value_ranks
+from foldwise.operators.ranks import cuts_by_name, long_form, value_ranks
 
 GRID_STEPS = 12  # Fixed value: simplex resolution; a multiple of the number of models keeps equal weights on the grid.
 
@@ -228,9 +228,11 @@ def multiplier_counts(df: DataFrame, probs: Sequence[str], y: str, values: Seque
 
 def rank_average(df: DataFrame, scores: Sequence[str], out: str = "rank_score") -> DataFrame:
     """Mean over models of average rank / n."""
+    lf = long_form(df, scores)
+    ranks = value_ranks(lf, "value", ["feature"], cuts=cuts_by_name(lf, "feature", "value")).persist()
     parts = []
     for i, s in enumerate(scores):
-        r = value_ranks(df.select(F.col(s)), s).select(F.col(s), (F.col("avg_rank") / F.col("n_total")).alias(f"_r{i}"))
+        r = ranks.where(F.col("feature") == s).select(F.col("value").alias(s), (F.col("avg_rank") / F.col("n_total")).alias(f"_r{i}"))
         df = attach(df, r, [s])
         parts.append(F.col(f"_r{i}"))
     return df.withColumn(out, total(parts) / len(parts)).drop(*[f"_r{i}" for i in range(len(parts))])

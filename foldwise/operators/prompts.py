@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.functions.num import exact_scaled, fixed_text, half_up_text, short_text, words
+from foldwise.functions.num import exact_scaled, fixed_text, half_up_text, let, short_text, words
 from foldwise.sources.tables import cut_lineage
 
 # One discriminating phrase per category.
@@ -249,20 +249,18 @@ def roman(n: Column) -> Column:
 
 def roman_steps(n: Column) -> Column:
     """Array of (before, value, symbol, after) for each subtraction."""
-    nothing = F.array().cast("array<struct<before:bigint,value:int,symbol:string,after:bigint>>")
-
-    def run(left: Column, value: int, symbol: str) -> Column:
-        times = F.floor(left / F.lit(value)).cast("bigint")
-        count = F.sequence(F.lit(1).cast("bigint"), F.greatest(times, F.lit(1)))
-        steps = F.transform(count, lambda j: F.struct((left - (j - 1) * value).alias("before"), F.lit(value).alias("value"),
-                                                      F.lit(symbol).alias("symbol"), (left - j * value).alias("after")))
-        return F.when(times > 0, steps).otherwise(nothing)
-
-    left, parts = n, []
-    for value, symbol in ROMAN:
-        parts.append(run(left, value, symbol))
-        left = left % value
-    return F.concat(*parts)
+    kind = "array<struct<before:bigint,value:bigint,symbol:string,after:bigint>>"
+    symbols = F.array(*[F.struct(F.lit(v).cast("bigint").alias("v"), F.lit(s).alias("s")) for v, s in ROMAN])
+    start = F.struct(n.cast("bigint").alias("left"), F.array().cast(kind).alias("steps"))
+
+    def run(acc, t):
+        times = F.floor(acc["left"] / t["v"])
+        steps = F.transform(F.sequence(F.lit(1).cast("bigint"), times), lambda j: F.struct(
+            (acc["left"] - (j - 1) * t["v"]).alias("before"), t["v"].alias("value"), t["s"].alias("symbol"),
+            (acc["left"] - j * t["v"]).alias("after")))
+        return F.when(times > 0, F.struct((acc["left"] - times * t["v"]).alias("left"), F.concat(acc["steps"], steps).alias("steps"))).otherwise(acc)
+
+    return F.aggregate(symbols, start, run, lambda acc: acc["steps"])
 
 
 def solve_numeral(df: DataFrame, prompt: str = "prompt") -> DataFrame:
@@ -273,12 +271,14 @@ def solve_numeral(df: DataFrame, prompt: str = "prompt") -> DataFrame:
 def numeral_trace() -> Column:
     """Reasoning text for a row of `solve_numeral`."""
     n, r = F.col("query"), F.col("derived")
-    steps = roman_steps(n)
-    symbols = F.transform(steps, lambda s: s["symbol"])
-    body = F.transform(steps, lambda s, i: F.concat(
-        F.lit("  "), s["before"].cast("string"), F.lit(" >= "), s["value"].cast("string"), F.lit(" ("), s["symbol"], F.lit("): append '"), s["symbol"],
-        F.lit("' -> \""), F.array_join(F.slice(symbols, F.lit(1), i + 1), ""), F.lit("\", remaining = "), s["after"].cast("string"), F.lit(".")))
-    return text_lines(NUMERAL_OPENING, fill(NUMERAL_GOAL, n=n), NUMERAL_METHOD, [body], fill(NUMERAL_CLOSE, n=n, r=r), boxed(r))
+
+    def body(steps):
+        symbols = F.transform(steps, lambda s: s["symbol"])
+        return F.transform(steps, lambda s, i: F.concat(
+            F.lit("  "), s["before"].cast("string"), F.lit(" >= "), s["value"].cast("string"), F.lit(" ("), s["symbol"], F.lit("): append '"), s["symbol"],
+            F.lit("' -> \""), F.array_join(F.slice(symbols, F.lit(1), i + 1), ""), F.lit("\", remaining = "), s["after"].cast("string"), F.lit(".")))
+
+    return text_lines(NUMERAL_OPENING, fill(NUMERAL_GOAL, n=n), NUMERAL_METHOD, [let(roman_steps(n), body)], fill(NUMERAL_CLOSE, n=n, r=r), boxed(r))
 
 
 # ---- substitution cipher ---------------------------------------------------------

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.functions.num import word_count
+from foldwise.functions.num import let, word_count
 from foldwise.operators import prompts as P
 
 # The answer suffix of every prompt, the closing tag and the answer patterns.
 PROMPT_SUFFIX = "\nPlease put your final answer inside `\\boxed{}`. For example: `\\boxed{your answer}`"
 CLOSING_TAG = "</think>"
 BOX_OPEN = "\\boxed{"
+MESSAGES = "array<struct<role:string,content:string>>"
 BOXED = r"(?s)\\boxed\{(.*?)\}"
 BOXED_OPEN = r"\\boxed\{([^}]*)(?:\}|$)"
 
@@ -46,10 +47,13 @@ def answers_match(derived: Column, answer: Column, category: Column | None = Non
 
 def assemble_completion(trace: Column, answer: Column) -> Column:
     """Reasoning up to the last box, the closing tag and the canonical box; missing without a box or a body."""
-    cut = F.length(F.substring_index(trace, BOX_OPEN, -1)) + len(BOX_OPEN)
-    body = F.regexp_replace(F.substring(trace, F.lit(1), F.length(trace) - cut), r"\s+$", "")
-    done = F.concat(body, F.lit(f"\n{CLOSING_TAG}\n{BOX_OPEN}"), answer, F.lit("}"))
-    return F.when(trace.rlike(BOXED) & (body != ""), done)
+    def build(t):
+        tail = F.length(F.substring_index(t, BOX_OPEN, -1)) + len(BOX_OPEN)
+        body = F.regexp_replace(F.substring(t, F.lit(1), F.length(t) - tail), r"\s+$", "")
+        return F.when(t.rlike(BOXED), body)
+
+    return let(let(trace, build), lambda body: F.when(
+        body != "", F.concat(body, F.lit(f"\n{CLOSING_TAG}\n{BOX_OPEN}"), answer, F.lit("}"))))
 
 
 def chat_messages(prompt: Column, completion: Column) -> Column:
@@ -66,29 +70,40 @@ def build_records(df: DataFrame, vocab: DataFrame | None = None, key: str = "id"
     vocabulary is given.
     """
     src = df.select(key, "prompt", "answer").withColumn("category", P.classify(F.col("prompt")))
+    answer = F.col("answer")
+
+    def outcome(trace: Column) -> Column:
+        """Status and messages from the trace, which is missing for an unsolved prompt."""
+        def check(c):
+            good = F.coalesce(last_boxed(c) == F.trim(answer), F.lit(False))
+            status = F.when(c.isNull(), "bad_assembly").when(good, "written").otherwise("bad_box")
+            return F.struct(status.alias("status"), F.when(good, chat_messages(F.col("prompt"), c)).alias("messages"))
+
+        none = F.struct(F.lit("unsolved").alias("status"), F.lit(None).cast(MESSAGES).alias("messages"))
+        return let(trace, lambda t: F.when(t.isNull(), none).otherwise(let(assemble_completion(t, answer), check)))
+
+    def close(d: DataFrame, trace: Column) -> DataFrame:
+        # The generator keeps later filters on the status from re-evaluating the whole trace.
+        return d.select(key, "category", F.explode(F.array(outcome(trace))).alias("o")).select(key, "category", "o.status", "o.messages")
+
     parts = []
     for name, (solve, trace) in SOLVERS.items():
         s = solve(src.where(F.col("category") == name))
-        ok = F.col("derived").isNotNull() & answers_match(F.col("derived"), F.col("answer"), F.lit(name))
-        parts.append(s.select(key, "prompt", "answer", "category", F.when(ok, trace()).alias("trace")))
+        ok = F.col("derived").isNotNull() & answers_match(F.col("derived"), answer, F.lit(name))
+        parts.append(close(s, F.when(ok, trace())))
     mine = src.where(F.col("category") == "cipher")
     if vocab is not None:
-        solved = P.solve_cipher(mine, vocab, key, first_pass=True).select(key, "derived", P.cipher_trace().alias("t"))
+        solved = P.solve_cipher(mine, vocab, key, first_pass=True)
         j = mine.join(solved, key, "left")
-        ok = answers_match(F.trim("derived"), F.col("answer"))
-        parts.append(j.select(key, "prompt", "answer", "category", F.when(ok, F.col("t")).alias("trace")))
+        parts.append(close(j, F.when(answers_match(F.trim("derived"), answer), P.cipher_trace())))
     else:
-        parts.append(mine.select(key, "prompt", "answer", "category", F.lit(None).cast("string").alias("trace")))
-    parts.append(src.where(F.col("category").isNull()).select(key, "prompt", "answer", "category", F.lit(None).cast("string").alias("trace")))
+        parts.append(mine.select(key, "category", F.lit("unsolved").alias("status"), F.lit(None).cast(MESSAGES).alias("messages")))
+    parts.append(src.where(F.col("category").isNull()).select(
+        key, "category", F.lit("unclassified").alias("status"), F.lit(None).cast(MESSAGES).alias("messages")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.withColumn("completion", assemble_completion(F.col("trace"), F.col("answer")))
-    status = (F.when(F.col("category").isNull(), "unclassified").when(F.col("trace").isNull(), "unsolved")
-              .when(F.col("completion").isNull(), "bad_assembly")
-              .when(F.coalesce(last_boxed(F.col("completion")) == F.trim("answer"), F.lit(False)), "written").otherwise("bad_box"))
-    return out.withColumn("status", status).select(
-        key, "category", "status", F.when(status == "written", chat_messages(F.col("prompt"), F.col("completion"))).alias("messages"))
+    return out
 
 
 def written(records: DataFrame) -> DataFrame:

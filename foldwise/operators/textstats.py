@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.functions.num import order_key, r6, words
+from foldwise.functions.num import let, order_key, r6, words
 from foldwise.operators.lookup import attach, sized
 from foldwise.operators.ranks import hash_rank, value_ranks
 
 
+TOKEN = r"[\p{L}\p{N}_]{2,}"  # Fixed value: words of two or more characters.
+
+
 def word_frequency(df: DataFrame, text: str, key: str = "word") -> DataFrame:
     """Occurrences of each whitespace word."""
     return df.select(F.explode(words(F.col(text))).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -38,13 +41,19 @@ def padding_plan(df: DataFrame, key: Sequence[str], length: str, batch: int, mul
 
 def grams(text: Column, low: int = 1, high: int = 2) -> Column:
     """Lower-case word tokens of two or more characters, and their n-grams."""
-    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit("unknown"))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(toks) - (n - 1), F.lit(1)))
-        return F.when(F.size(toks) >= n, F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))).otherwise(
-            F.array().cast("array<string>"))
-
-    return F.concat(*[toks if n == 1 else of(n) for n in range(low, high + 1)])
+    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit("unknown"))), F.lit(TOKEN), F.lit(0))
+
+    def upto(t):
+        parts, run = [t] if low == 1 else [], t
+        for n in range(2, high + 1):
+            # Each n-gram extends the (n-1)-gram at the same start by one word.
+            run = F.zip_with(F.slice(run, F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0))),
+                             F.slice(t, F.lit(n), F.greatest(F.size(t) - (n - 1), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+            if n >= low:
+                parts.append(run)
+        return F.concat(*parts)
+
+    return let(toks, upto)
 
 
 def gram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
