@@ -133,19 +133,19 @@ def extract_pairs(spark, sf):
 @query("interval_factor", """
 WITH j AS (SELECT l_partkey, l_quantity AS a, floor(l_quantity * p_retailprice / 97 * 100 + 0.5) / 100 AS b FROM lineitem JOIN part ON l_partkey = p_partkey),
 g AS (SELECT l_partkey, count(*) AS n_pairs, max((b - 0.005) / a) AS lo, min((b + 0.005) / a) AS hi, sum(a * b) AS ab, sum(a * a) AS aa FROM j GROUP BY 1)
-SELECT l_partkey, n_pairs, round(lo, 6) AS lo, round(hi, 6) AS hi, lo <= hi AS consistent, round(CASE WHEN lo <= hi THEN (lo + hi) / 2 ELSE ab / aa END, 6) AS factor FROM g""")
+SELECT l_partkey, n_pairs, round(lo, 9) AS lo, round(hi, 9) AS hi, lo <= hi AS consistent, round(CASE WHEN lo <= hi THEN (lo + hi) / 2 ELSE ab / aa END, 9) AS factor FROM g""")
 def interval_factor(spark, sf):
     j = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     d = j.select("l_partkey", "l_quantity", (F.floor(F.col("l_quantity") * F.col("p_retailprice") / 97 * 100 + 0.5) / 100.0).alias("b"))
-    return P.interval_factor(d, "l_partkey", "l_quantity", "b").select("l_partkey", "n_pairs", *[r6(F.col(c)).alias(c) for c in ("lo", "hi")], "consistent", r6(F.col("factor")).alias("factor"))
+    return P.interval_factor(d, "l_partkey", "l_quantity", "b").select("l_partkey", "n_pairs", *[r6(F.col(c), 9).alias(c) for c in ("lo", "hi")], "consistent", r6(F.col("factor"), 9).alias("factor"))
 
 
 @query("interval_factor_fallback", """
 WITH g AS (SELECT l_partkey, count(*) AS n_pairs, max((l_extendedprice - 0.005) / l_quantity) AS lo, min((l_extendedprice + 0.005) / l_quantity) AS hi, sum(l_quantity * l_extendedprice) AS ab, sum(l_quantity * l_quantity) AS aa FROM lineitem GROUP BY 1)
-SELECT l_partkey, n_pairs, round(lo, 6) AS lo, round(hi, 6) AS hi, lo <= hi AS consistent, round(CASE WHEN lo <= hi THEN (lo + hi) / 2 ELSE ab / aa END, 6) AS factor FROM g""")
+SELECT l_partkey, n_pairs, round(lo, 9) AS lo, round(hi, 9) AS hi, lo <= hi AS consistent, round(CASE WHEN lo <= hi THEN (lo + hi) / 2 ELSE ab / aa END, 9) AS factor FROM g""")
 def interval_factor_fallback(spark, sf):
     return P.interval_factor(table(spark, sf, "lineitem"), "l_partkey", "l_quantity", "l_extendedprice").select(
-        "l_partkey", "n_pairs", *[r6(F.col(c)).alias(c) for c in ("lo", "hi")], "consistent", r6(F.col("factor")).alias("factor"))
+        "l_partkey", "n_pairs", *[r6(F.col(c), 9).alias(c) for c in ("lo", "hi")], "consistent", r6(F.col("factor"), 9).alias("factor"))
 
 
 @query("unit_answers", f"WITH {PM}, {US} SELECT p_partkey * 10 + 1 AS id, round(f, 6) AS factor, derived, derived = answer AS correct FROM ud")
