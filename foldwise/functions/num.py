@@ -95,7 +95,7 @@ SPACE = r"[\p{Z}\s\x0b\x1c-\x1f\x{85}]+"
 
 def words(text: Column) -> Column:
     """Whitespace tokens; a missing or blank text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def word_count(text: Column) -> Column:

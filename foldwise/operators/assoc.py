@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.num import nln, r6
-from foldwise.operators.lookup import attach
-from foldwise.operators.ranks import cut_points, cuts_by_name, long_form, quantile_table, value_ranks
+from foldwise.operators.lookup import attach, keep
+from foldwise.operators.ranks import bucket_of, long_form, quantile_table, value_ranks
 
 
 def _pearson(x: str, y: str) -> Column:
@@ -37,7 +37,7 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def ranked_columns(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> DataFrame:
     """Replace each column by its average rank, one (key, feature, rank) row per cell."""
     lf = long_form(df, cols, key)
-    ranks = value_ranks(lf, "value", ["feature"], cuts=cuts_by_name(lf, "feature", "value"))
+    ranks = value_ranks(lf, "value", ["feature"], per="feature")
     return lf.join(ranks.select("feature", "value", "avg_rank"), ["feature", "value"])
 
 
@@ -49,8 +49,7 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> D
     execution splits, or the rank table is broadcast after its size is checked.
     """
     out = df.select(*key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=list(cols))
-    lf = long_form(out, cols)
-    ranks = value_ranks(lf, "value", ["feature"], cuts=cuts_by_name(lf, "feature", "value")).persist()
+    ranks = keep(value_ranks(long_form(out, cols), "value", ["feature"], per="feature"))
     for c in cols:
         one = ranks.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("avg_rank").alias(f"{c}__r"))
         out = attach(out, one, [c])
@@ -88,6 +87,7 @@ def association(joint: DataFrame, yates: bool = False) -> DataFrame:
     The window over (feature, value) holds at most one row per class. With `yates`
     the continuity correction is applied to 2 x 2 tables.
     """
+    joint = keep(joint)
     w = Window.partitionBy("feature", "value")
     cells = joint.withColumns({"nx": F.sum("n").over(w), "first_x": F.row_number().over(w.orderBy("_y")) == 1})
     per_y = joint.groupBy("feature", "_y").agg(F.sum("n").alias("ny"))
@@ -135,11 +135,7 @@ def equal_width_bin(df: DataFrame, value: str, bins: int, out: str = "bin") -> D
 def quantile_bins(df: DataFrame, cols: Sequence[str], bins: int, suffix: str = "__bin") -> DataFrame:
     """Bins cut at exact quantiles: the number of edges below the value. Edges of all columns come from one pass."""
     edges = quantile_table(df, cols, [i / bins for i in range(1, bins)])
-
-    def below(c: str) -> Column:
-        arr = F.array(*[F.lit(float(e)) for e in sorted(set(edges[c]))])
-        return F.when(F.col(c).isNotNull(), F.size(F.filter(arr, lambda e: e < F.col(c).cast("double"))))
-
+    below = lambda c: F.when(F.col(c).isNotNull(), bucket_of(F.col(c).cast("double"), sorted(set(edges[c])), strict=True))
     return df.withColumns({f"{c}{suffix}": below(c) for c in cols})
 
 
@@ -179,9 +175,8 @@ def deterministic_values(df: DataFrame, features: Sequence[str], target: str, fl
 def ks_drift(train: DataFrame, test: DataFrame, cols: Sequence[str], limit: float = 0.05, terms: int = 20) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per column with the asymptotic p-value, largest first."""
     both = train.select(*cols, F.lit(0).alias("_s")).unionByName(test.select(*cols, F.lit(1).alias("_s")))
-    lf = long_form(both, cols, ["_s"])
-    t = value_ranks(lf, "value", ["feature"], {"a": F.count_if(F.col("_s") == 0), "b": F.count_if(F.col("_s") == 1)},
-                    cuts=cuts_by_name(lf, "feature", "value"))
+    t = value_ranks(long_form(both, cols, ["_s"]), "value", ["feature"],
+                    {"a": F.count_if(F.col("_s") == 0), "b": F.count_if(F.col("_s") == 1)}, per="feature")
     fa = F.try_divide(F.col("a_before") + F.col("a"), F.col("a_total"))
     fb = F.try_divide(F.col("b_before") + F.col("b"), F.col("b_total"))
     d = t.groupBy("feature").agg(F.max(F.abs(fa - fb)).alias("d"), F.max("a_total").alias("n1"), F.max("b_total").alias("n2"))
@@ -199,12 +194,11 @@ def ks_drift(train: DataFrame, test: DataFrame, cols: Sequence[str], limit: floa
 def kruskal_wallis(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """Tie-corrected H per column over the classes, with epsilon squared."""
     lf = long_form(df.where(F.col(label).isNotNull()), cols, [label]).where("value is not null")
-    cuts = cuts_by_name(lf, "feature", "value")
-    ranks = value_ranks(lf, "value", ["feature"], cuts=cuts)
+    per = keep(lf.groupBy("feature", "value", label).agg(F.count(F.lit(1)).alias("m")))
+    ranks = value_ranks(per, "value", ["feature"], {"n": F.sum("m")}, per="feature")
     ties = ranks.groupBy("feature").agg(
         F.max("n_total").cast("double").alias("n"),
         F.sum(F.pow(F.col("n").cast("double"), F.lit(3.0)) - F.col("n")).alias("t"))
-    per = lf.groupBy("feature", "value", label).agg(F.count(F.lit(1)).alias("m"))
     sums = (per.join(ranks.select("feature", "value", "avg_rank"), ["feature", "value"])
             .groupBy("feature", label).agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("avg_rank")).alias("rs")))
     q = sums.groupBy("feature").agg(F.sum(F.col("rs") * F.col("rs") / F.col("m")).alias("q"), F.count(F.lit(1)).alias("k"))
@@ -217,8 +211,7 @@ def kruskal_wallis(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve with ties counted half (Mann-Whitney)."""
-    t = value_ranks(df, score, by, {"pos": F.count_if(positive), "neg": F.count_if(~positive)},
-                    cuts=cut_points(df, score))
+    t = value_ranks(df, score, by, {"pos": F.count_if(positive), "neg": F.count_if(~positive)})
     u = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
     a = t.groupBy(*by).agg(u.alias("u"), F.max("pos_total").alias("n_pos"), F.max("neg_total").alias("n_neg"))
     return a.select(*by, "n_pos", "n_neg", r6(F.try_divide(F.col("u"), F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auc"))

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.num import argmax_columns, r6, total
-from foldwise.operators.lookup import attach
-from foldwise.operators.ranks import cuts_by_name, long_form, value_ranks
+from foldwise.operators.lookup import attach, keep
+from foldwise.operators.ranks import long_form, value_ranks
 
 GRID_STEPS = 12  # Fixed value: simplex resolution; a multiple of the number of models keeps equal weights on the grid.
 
@@ -228,8 +228,7 @@ def multiplier_counts(df: DataFrame, probs: Sequence[str], y: str, values: Seque
 
 def rank_average(df: DataFrame, scores: Sequence[str], out: str = "rank_score") -> DataFrame:
     """Mean over models of average rank / n."""
-    lf = long_form(df, scores)
-    ranks = value_ranks(lf, "value", ["feature"], cuts=cuts_by_name(lf, "feature", "value")).persist()
+    ranks = keep(value_ranks(long_form(df, scores), "value", ["feature"], per="feature"))
     parts = []
     for i, s in enumerate(scores):
         r = ranks.where(F.col("feature") == s).select(F.col("value").alias(s), (F.col("avg_rank") / F.col("n_total")).alias(f"_r{i}"))

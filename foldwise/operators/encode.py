@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.num import total
 from foldwise.operators.lookup import attach, sized
-from foldwise.operators.ranks import bucket_of, cut_points, quantile_cells, quantiles, running_totals, value_ranks
+from foldwise.operators.ranks import quantile_cells, quantiles, running_totals, value_ranks
 
 
 def group_medians(fit: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:

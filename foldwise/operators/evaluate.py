@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
@@ -44,13 +44,12 @@ def _stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
 
 def logistic(numeric: Sequence[str], label: str, categorical: Sequence[str] = (), max_iter: int = 10, reg: float = 1e-3,
              weight: str | None = "weight") -> Model:
-    """Standardised logistic regression; the scaler and indexers are fitted on the training side only."""
+    """Logistic regression, which standardises inside the fit; every stage is fitted on the training side only."""
     def fit(train: DataFrame) -> Score:
-        lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter, regParam=reg)
+        lr = LogisticRegression(featuresCol="raw_features", labelCol=label, maxIter=max_iter, regParam=reg)
         if weight:
             lr = lr.setWeightCol(weight)
-        m = Pipeline(stages=[*_stages(numeric, categorical),
-                             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True), lr]).fit(train)
+        m = Pipeline(stages=[*_stages(numeric, categorical), lr]).fit(train)
         return lambda d: m.transform(d).withColumn("probability", vector_to_array("probability"))
     return fit
 
@@ -112,8 +111,8 @@ def grid_search(df: DataFrame, numeric: Sequence[str], label: str, fold: str, k:
                 max_iter: int = 5, parallelism: int = 2) -> DataFrame:
     """Balanced accuracy of each parameter draw on the same frozen folds, best first."""
     w = with_weights(df, class_weights(df, label), label).persist()
-    lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter)
-    pipe = Pipeline(stages=[*_stages(numeric, ()), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True), lr])
+    lr = LogisticRegression(featuresCol="raw_features", labelCol=label, weightCol="weight", maxIter=max_iter)
+    pipe = Pipeline(stages=[*_stages(numeric, ()), lr])
     maps = [{getattr(lr, p): v for p, v in d.items()} for d in draws]
     # Accuracy under balanced weights is balanced accuracy.
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy", weightCol="weight")

@@ -15,9 +15,25 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist an intermediate that several steps read. Lost blocks are recomputed from the lineage."""
+    df = df.persist()
+    _KEPT.append(df)
+    return df
+
+
+def release() -> None:
+    """Drop every kept intermediate; call it once the results that used them are written."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Materialise a fitted table once and mark it for broadcast if it is small."""
-    df = df.persist()
+    df = keep(df)
     n = df.limit(limit + 1).count()
     return F.broadcast(df) if n <= limit else df
 

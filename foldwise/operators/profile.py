@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.num import clip_high, kurt_corrected, missing, r6, skew_corrected, total
 from foldwise.operators.lookup import sized
-from foldwise.operators.ranks import cuts_by_name, long_form, quantile_cells, quantiles
+from foldwise.operators.ranks import long_form, quantile_cells, quantiles
 
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ def numeric_by_class(df: DataFrame, value: str, label: str) -> DataFrame:
 def feature_quantiles(df: DataFrame, cols: Sequence[str], probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles of many columns in one pass over an unpivoted frame."""
     lf = long_form(df, cols, by)
-    return quantiles(lf, "value", probs, ["feature", *by], cuts=cuts_by_name(lf, "feature", "value"))
+    return quantiles(lf, "value", probs, ["feature", *by], per="feature")
 
 
 def median_matrix(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
@@ -126,7 +126,7 @@ def univariate_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     n = F.col("n").cast("double")
     m = m.select("feature", "n", "mean", "std", skew_corrected(F.col("_g1"), n).alias("skew"),
                  kurt_corrected(F.col("_g2"), n).alias("kurtosis"), ((F.col("_rows") - n) / F.col("_rows")).alias("null_share"))
-    q = quantiles(lf, "value", {"median": 0.5}, ["feature"], cuts=cuts_by_name(lf, "feature", "value"))
+    q = quantiles(lf, "value", {"median": 0.5}, ["feature"], per="feature")
     return m.join(q.select("feature", "median"), "feature", "left").select(
         "feature", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "median", "std", "skew", "kurtosis", "null_share")])
 

@@ -1,8 +1,7 @@
 """Ranks, running totals and exact quantiles without a single-task global sort.
 
 Values are first collapsed to (group, value, weights). The value axis is cut at
-approximate quantiles, which are read once as a short list of literals, so that
-every bucket is an independent window partition. Per-bucket totals, at most
+approximate quantiles of the distinct values, read once as a short list of literals, so that every bucket is an independent window partition. Per-bucket totals, at most
 groups x buckets rows, supply the offsets. Results are exact whatever the cuts
 are; the cuts only decide how evenly the work is spread.
 """
@@ -15,38 +14,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.num import hash_bucket
+from foldwise.operators.lookup import keep
 
 
 def bucket_count(df: DataFrame) -> int:
     return max(8, min(2048, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def cut_points(df: DataFrame, value: str, n: int | None = None) -> list[float]:
-    """Increasing cut points for a numeric column, one short list on the driver."""
-    n = n or bucket_count(df)
-    probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 1000).alias("q")).first()
-    return sorted(set(row["q"] or []))
+def cut_points(table: DataFrame, value: str, per: str | None = None) -> dict[str | None, list[float]]:
+    """Increasing approximate quantiles of a numeric column, one short list per name on the driver.
 
+    `per` is a column with few distinct values, such as the name of an unpivoted column.
+    """
+    n = bucket_count(table)
+    q = F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], 1000).alias("q")
+    rows = table.groupBy(per).agg(q).collect() if per else table.agg(q).collect()
+    return {(r[per] if per else None): sorted(set(r["q"] or [])) for r in rows}
 
-def cuts_by_name(df: DataFrame, name: str, value: str, n: int | None = None) -> dict[str, list[float]]:
-    """Cut points for each column of an unpivoted frame; one row per column name."""
-    n = n or bucket_count(df)
-    probs = [i / n for i in range(1, n)]
-    rows = df.groupBy(name).agg(F.percentile_approx(value, probs, 1000).alias("q")).collect()
-    return {r[0]: sorted(set(r["q"] or [])) for r in rows}
 
+def bucket_of(x: Column, cuts: Sequence[float], strict: bool = False) -> Column:
+    """Number of cuts not above x, or below x when strict.
 
-def bucket_of(x: Column, cuts: Sequence[float]) -> Column:
-    """Number of cuts not above x. Two levels, so the cost grows with the root of the number of cuts."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    coarse = F.array(*[F.lit(float(c)) for c in cuts[::step]])
-    every = F.array(*[F.lit(float(c)) for c in cuts])
-    ci = F.size(F.filter(coarse, lambda c: c <= x))
+    Up to 128 cuts become a binary tree of comparisons inside generated code; more
+    are searched in two levels, so the cost grows with the root of their number.
+    """
+    cuts = [float(c) for c in cuts]
+    if len(cuts) <= 128:
+        def tree(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            left = (x <= cuts[mid]) if strict else (x < cuts[mid])
+            return F.when(left, tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return tree(0, len(cuts))
+    passed = (lambda c: c < x) if strict else (lambda c: c <= x)
+    step = int(len(cuts) ** 0.5)
+    coarse, every = F.array(*[F.lit(c) for c in cuts[::step]]), F.array(*[F.lit(c) for c in cuts])
+    ci = F.size(F.filter(coarse, passed))
     inner = F.slice(every, (ci - 1) * step + 1, step)
-    return F.when(ci == 0, F.lit(0)).otherwise((ci - 1) * step + F.size(F.filter(inner, lambda c: c <= x)))
+    return F.when(ci == 0, F.lit(0)).otherwise((ci - 1) * step + F.size(F.filter(inner, passed)))
 
 
 def running_totals(table: DataFrame, order: str, by: Sequence[str], weights: Sequence[str],
@@ -75,24 +81,21 @@ def running_totals(table: DataFrame, order: str, by: Sequence[str], weights: Seq
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weights: dict[str, Column] | None = None,
-                cuts: Sequence[float] | dict[str, list[float]] | None = None) -> DataFrame:
+                per: str | None = None) -> DataFrame:
     """One row per (group, value): `n`, further weights, and their running totals.
 
     Groups and values that are missing are left out. `avg_rank` is the rank with
-    ties averaged. With `cuts` as a dict the first group column names the entry.
+    ties averaged. The rows are read once: the (group, value) table is kept, and cut
+    points, offsets and windows all come from it. `per` names a group column that
+    gets its own cut points.
     """
     by = list(by)
     weights = {"n": F.count(F.lit(1)), **(weights or {})}
-    src = df.dropna(subset=[*by, value])
-    if cuts is None:
-        cuts = cut_points(src, value)
-    if isinstance(cuts, dict):
-        bucket = F.lit(0)
-        for name, c in cuts.items():
-            bucket = F.when(F.col(by[0]) == name, bucket_of(F.col(value), c)).otherwise(bucket)
-    else:
-        bucket = bucket_of(F.col(value), cuts)
-    table = src.groupBy(*by, value).agg(*[e.alias(k) for k, e in weights.items()])
+    table = keep(df.dropna(subset=[*by, value]).groupBy(*by, value).agg(*[e.alias(k) for k, e in weights.items()]))
+    bucket = F.lit(0)
+    for name, cuts in cut_points(table, value, per).items():
+        mine = bucket_of(F.col(value), cuts)
+        bucket = mine if per is None else F.when(F.col(per) == name, mine).otherwise(bucket)
     out = running_totals(table, value, by, list(weights), bucket)
     return out.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2.0)
 
@@ -105,10 +108,10 @@ def long_form(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), name
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
-              cuts=None) -> DataFrame:
+              per: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group, one column per entry of `probs`."""
     by = list(by)
-    ranked = value_ranks(df, value, by, cuts=cuts)
+    ranked = value_ranks(df, value, by, per=per)
     v, before, after = F.col(value), F.col("n_before"), F.col("n_before") + F.col("n")
     aggs = []
     for name, p in probs.items():
@@ -135,17 +138,14 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -
     Each distinct value emits only the requested positions that fall on it; the
     result has columns x probabilities cells.
     """
-    lf = long_form(df, cols)
-    ranked = value_ranks(lf, "value", ["feature"], cuts=cuts_by_name(lf, "feature", "value"))
-    last = F.col("n_total") - 1
-    spots = F.flatten(F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.array(
-        F.struct(p.alias("p"), F.floor(last * p).alias("k"), F.lit(0).alias("side"), (last * p - F.floor(last * p)).alias("w")),
-        F.struct(p.alias("p"), F.ceil(last * p).alias("k"), F.lit(1).alias("side"), F.lit(0.0).alias("w")))))
-    here = F.filter(spots, lambda s: (s["k"] >= F.col("n_before")) & (s["k"] < F.col("n_before") + F.col("n")))
-    hit = ranked.select("feature", "value", F.explode(here).alias("s"))
-    cells = hit.groupBy("feature", "s.p").agg(
-        F.max(F.when(F.col("s.side") == 0, F.col("value"))).alias("lo"), F.max(F.when(F.col("s.side") == 1, F.col("value"))).alias("hi"),
-        F.max("s.w").alias("w")).select("feature", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("q"))
+    ranked = value_ranks(long_form(df, cols), "value", ["feature"], per="feature")
+    before, after, last = F.col("n_before"), F.col("n_before") + F.col("n"), F.col("n_total") - 1
+    near = F.filter(F.array(*[F.lit(float(p)) for p in probs]), lambda p: (last * p > before - 1) & (last * p < after))
+    hit = ranked.select("feature", "value", before.alias("b"), after.alias("a"), last.alias("last"), F.explode(near).alias("p"))
+    h = F.col("last") * F.col("p")
+    at = lambda k: F.max(F.when((F.col("b") <= k) & (k < F.col("a")), F.col("value")))
+    cells = hit.groupBy("feature", "p").agg(at(F.floor(h)).alias("lo"), at(F.ceil(h)).alias("hi"), F.max(h - F.floor(h)).alias("w")).select(
+        "feature", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("q"))
     out: dict[str, dict[float, float]] = {}
     for r in cells.collect():
         out.setdefault(r["feature"], {})[r["p"]] = r["q"]

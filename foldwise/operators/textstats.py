@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.num import let, order_key, r6, words
-from foldwise.operators.lookup import attach, sized
+from foldwise.operators.lookup import attach
 from foldwise.operators.ranks import hash_rank, value_ranks
 
 
@@ -56,15 +56,16 @@ def grams(text: Column, low: int = 1, high: int = 2) -> Column:
     return let(toks, upto)
 
 
-def gram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, c): term counts per document."""
-    return df.select(key, F.explode(grams(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("c"))
-
-
 def fit_tfidf(fit: DataFrame, key: str, text: str, max_features: int = 200, min_df: int = 5) -> DataFrame:
-    """Vocabulary of the most frequent terms with enough documents, with smoothed idf."""
-    stats = gram_counts(fit, key, text).groupBy("term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
-    top = stats.where(F.col("df") >= min_df).orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
+    """Vocabulary of the most frequent terms with enough documents, with smoothed idf.
+
+    A document is one row, so its distinct terms are found in place and only
+    per-term sums are shuffled.
+    """
+    g = fit.select(grams(F.col(text)).alias("g"))
+    each = g.select(F.explode("g").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    docs = g.select(F.explode(F.array_distinct("g")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    top = each.join(docs.where(F.col("df") >= min_df), "term").orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
     n = fit.agg(F.count(F.lit(1))).scalar()
     return top.select("term", "tf", "df", (F.ln((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 

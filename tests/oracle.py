@@ -91,6 +91,7 @@ def main(sf: str, names: list[str]) -> int:
         except Exception as x:  # noqa: BLE001
             res = "ERROR " + str(x)[:1500]
         spark.catalog.clearCache()
+        from foldwise.operators.lookup import release; release()
         bad += res.startswith(("DIFF", "ERROR"))
         print(f"{time.time() - t0:6.1f}s {n}: {res}", flush=True)
     print("bad:", bad)
