@@ -107,13 +107,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def exact_scaled(x: Column, digits: int) -> Column:
+def exact_scaled(x: Column, digits: int | Column) -> Column:
     """x * 10^digits rounded half-even on the exact binary value, as a long.
 
     Splitting x in two halves makes both products exact, so the side of a tie is
     decided without error. Valid while |x| * 10^digits stays below 2^52.
     """
-    p = F.lit(float(10 ** digits))
+    p = F.pow(F.lit(10.0), digits) if isinstance(digits, Column) else F.lit(float(10 ** digits))
 
     def halves(v):
         c = v * F.lit(134217729.0)
@@ -151,11 +151,16 @@ def half_up_text(x: Column, digits: int = 2) -> Column:
 def short_text(x: Column) -> Column:
     """Six significant digits with trailing zeros dropped, scientific outside 1e-4 to 1e6."""
     def text(v):
-        e = F.floor(F.log10(F.abs(v)))
-        places = (F.lit(5) - e).cast("string")
-        plain = F.call_function("format_string", F.concat(F.lit("%."), places, F.lit("f")), v)
-        trimmed = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
         mant = F.regexp_replace(F.format_string("%.5e", v), r"\.?0+e", "e")
-        return F.when(v == 0, "0").when((e >= -4) & (e < 6), trimmed).otherwise(mant)
+        plain = let(F.floor(F.log10(F.abs(v))).cast("int"), lambda e: F.when((e >= -4) & (e < 6), let(exact_scaled(v, 5 - e), lambda q: render(v, q, 5 - e))))
+        return F.when(v == 0, "0").otherwise(F.coalesce(plain, mant))
+
+    def render(v, q, d):
+        p = F.pow(F.lit(10.0), d).cast("bigint")
+        a = F.abs(q)
+        part = F.when(d > 0, F.rtrim(F.lpad((a % p).cast("string"), d, F.lit("0")), F.lit("0"))).otherwise("")
+        whole = F.floor((a - a % p) / p).cast("string")
+        # A carry to seven digits leaves the plain range.
+        return F.when((d > 0) | (a < 1000000), F.concat(F.when(v < 0, "-").otherwise(""), whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise("")))
 
     return let(x, text)
