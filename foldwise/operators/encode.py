@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.num import total
-from foldwise.operators.lookup import attach, sized
-from foldwise.operators.ranks import quantile_cells, quantiles, running_totals, value_ranks
+from foldwise.operators.lookup import attach, keep, sized
+from foldwise.operators.ranks import bucket_of, quantile_cells, quantiles, running_totals, text_cuts, value_ranks
 
 
 def group_medians(fit: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
@@ -38,19 +38,10 @@ def impute_group_median(df: DataFrame, value: str, keys: Sequence[str], fit: Dat
 
 
 def category_codes(fit: DataFrame, column: str, out: str = "code") -> DataFrame:
-    """Dense zero-based codes of the sorted distinct values.
-
-    Distinct values are cut into ordered buckets by their first characters, so a
-    high-cardinality column is not sorted in one task.
-    """
-    v = fit.where(F.col(column).isNotNull()).groupBy(column).agg(F.lit(1).cast("bigint").alias("one"))
-    return running_totals(v, column, [], ["one"], _text_bucket(F.col(column))).select(column, F.col("one_before").cast("int").alias(out))
-
-
-def _text_bucket(c: Column) -> Column:
-    """First two UTF-8 bytes as an integer; grows with the byte order of the text."""
-    head = F.hex(F.substring(F.encode(c.cast("string"), "UTF-8"), 1, 2))
-    return F.coalesce(F.conv(F.rpad(head, 4, "0"), 16, 10).cast("int"), F.lit(0))
+    """Dense zero-based codes of the sorted distinct values, numbered range by range."""
+    v = keep(fit.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias(column)).agg(F.lit(1).cast("bigint").alias("one")))
+    bucket = bucket_of(F.col(column), text_cuts(v, column))
+    return running_totals(v, column, [], ["one"], bucket).select(column, F.col("one_before").cast("int").alias(out))
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, column: str, out: str) -> DataFrame:

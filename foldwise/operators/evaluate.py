@@ -69,7 +69,7 @@ def forest(numeric: Sequence[str], label: str, categorical: Sequence[str] = (),
 
 
 def out_of_fold(df: DataFrame, key: Sequence[str], label: str, k: int, model: Model, fold: str = "fold",
-                test: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+                test: DataFrame | None = None, n_classes: int = 2) -> tuple[DataFrame, DataFrame | None]:
     """Each row scored once by the model that did not see it; and test probabilities averaged over the folds."""
     parts, tests = [], []
     for i in range(k):
@@ -78,15 +78,14 @@ def out_of_fold(df: DataFrame, key: Sequence[str], label: str, k: int, model: Mo
         parts.append(score(df.where(F.col(fold) == i)).select(*key, fold, label, "probability"))
         if test is not None:
             tests.append(score(test).select(*key, "probability"))
-    return union_all(parts), average_probabilities(tests, key) if tests else None
+    return union_all(parts), average_probabilities(tests, key, n_classes) if tests else None
 
 
-def average_probabilities(parts: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
-    """Mean class probabilities per id over models, folds or seeds, class by class."""
+def average_probabilities(parts: Sequence[DataFrame], key: Sequence[str], n_classes: int) -> DataFrame:
+    """Mean class probabilities per id over models, folds or seeds, in one shuffle on the id."""
     n = len(parts)
-    both = union_all([p.select(*key, F.posexplode("probability").alias("c", "p")) for p in parts])
-    per = both.groupBy(*key, "c").agg((F.sum("p") / n).alias("p"))
-    return per.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "p"))), lambda x: x["p"]).alias("probability"))
+    both = union_all([p.select(*key, *[F.get("probability", F.lit(c)).alias(f"_p{c}") for c in range(n_classes)]) for p in parts])
+    return both.groupBy(*key).agg(F.array(*[F.sum(f"_p{c}") / n for c in range(n_classes)]).alias("probability"))
 
 
 def oof_scores(oof: DataFrame, label: str, fold: str = "fold") -> DataFrame:
@@ -181,9 +180,10 @@ def stack(parts: dict[str, DataFrame], key: Sequence[str], label: str, n_classes
     return out_of_fold(base, key, label, k, logistic(cols, label), fold)[0]
 
 
-def seed_average(df: DataFrame, key: Sequence[str], label: str, k: int, models: Sequence[Model], fold: str = "fold") -> DataFrame:
+def seed_average(df: DataFrame, key: Sequence[str], label: str, k: int, models: Sequence[Model], n_classes: int,
+                 fold: str = "fold") -> DataFrame:
     """Mean out-of-fold probabilities over several seeds."""
-    avg = average_probabilities([out_of_fold(df, key, label, k, m, fold)[0] for m in models], key)
+    avg = average_probabilities([out_of_fold(df, key, label, k, m, fold)[0] for m in models], key, n_classes)
     return df.select(*key, fold, label).join(avg, list(key))
 
 

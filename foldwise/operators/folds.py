@@ -65,14 +65,13 @@ def require_folds(df: DataFrame, key: Sequence[str], label: str, fold: str = "fo
 
 def stratified_sample(df: DataFrame, key: Sequence[str | Column], label: str, fraction: float, seed: int = 42) -> DataFrame:
     """Exactly round(fraction * class size) rows per class."""
-    t = hash_rank(df.withColumn("_h", order_key(key, seed)), "_h", [label], out="_r")
-    return t.where(F.col("_r") < F.bround(F.col("_r_total") * F.lit(fraction))).drop("_h", "_r", "_r_total")
+    return hash_rank(df.withColumn("_h", order_key(key, seed)), "_h", [label], out="_r",
+                     limit=F.bround(F.col("_r_total") * F.lit(fraction))).drop("_h", "_r", "_r_total")
 
 
 def seeded_sample(df: DataFrame, key: Sequence[str | Column], n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement, chosen by md5 position."""
-    t = hash_rank(df.withColumn("_h", order_key(key, seed)), "_h", [], out="_r")
-    return t.where(F.col("_r") < n).drop("_h", "_r", "_r_total")
+    return hash_rank(df.withColumn("_h", order_key(key, seed)), "_h", [], out="_r", limit=F.lit(n)).drop("_h", "_r", "_r_total")
 
 
 def shuffle_position(df: DataFrame, key: Sequence[str | Column], seed: int = 42, out: str = "position") -> DataFrame:

@@ -16,9 +16,9 @@ def confusion(df: DataFrame, y: str, yhat: str, labels: Sequence, by: Sequence[s
     """Counts and row percent for every label pair in a fixed order, absent cells as zero."""
     by = list(by)
     c = df.groupBy(*by, y, yhat).agg(F.count(F.lit(1)).alias("n"))
-    # At most labels^2 entries per group.
-    m = c.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat_ws("|", F.col(y).cast("string"), F.col(yhat).cast("string")), F.col("n")))).alias("m"))
+    # At most labels^2 entries per group; values outside the label set have no cell.
+    m = c.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(F.col(y).isin(*labels) & F.col(yhat).isin(*labels), F.struct(
+        F.concat_ws("|", F.col(y).cast("string"), F.col(yhat).cast("string")), F.col("n"))))).alias("m"))
     grid = F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("p")) for a in labels for b in labels])
     cell = lambda a, b: F.coalesce(F.try_element_at("m", F.concat_ws("|", a.cast("string"), b.cast("string"))), F.lit(0))
     cells = m.select(*by, "m", F.explode(grid).alias("g"))
@@ -167,7 +167,7 @@ def label_shift(train: DataFrame, pred: DataFrame, y: str, yhat: str, labels: Se
         pred.select(F.col(yhat).alias("label"), F.lit(0).alias("_t"), F.lit(1).alias("_p")))
     c = both.groupBy("label").agg(F.sum("_t").alias("t"), F.sum("_p").alias("p"))
     sums = c.agg(F.struct(F.sum("t").alias("t"), F.sum("p").alias("p"),
-                          F.map_from_entries(F.collect_list(F.struct("label", F.struct("t", "p")))).alias("m")).alias("s"))
+                          F.map_from_entries(F.collect_list(F.when(F.col("label").isin(*labels), F.struct("label", F.struct("t", "p"))))).alias("m")).alias("s"))
     row = sums.select("s.*", F.explode(F.array(*[F.lit(v) for v in labels])).alias("label"))
     e = F.try_element_at("m", F.col("label"))
     n_t, n_p = F.coalesce(e["t"], F.lit(0)), F.coalesce(e["p"], F.lit(0))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.num import hash_bucket
-from foldwise.operators.lookup import keep
+from foldwise.operators.lookup import keep, sized
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -32,13 +32,12 @@ def cut_points(table: DataFrame, value: str, per: str | None = None) -> dict[str
     return {(r[per] if per else None): sorted(set(r["q"] or [])) for r in rows}
 
 
-def bucket_of(x: Column, cuts: Sequence[float], strict: bool = False) -> Column:
+def bucket_of(x: Column, cuts: Sequence, strict: bool = False) -> Column:
     """Number of cuts not above x, or below x when strict.
 
     Up to 128 cuts become a binary tree of comparisons inside generated code; more
     are searched in two levels, so the cost grows with the root of their number.
     """
-    cuts = [float(c) for c in cuts]
     if len(cuts) <= 128:
         def tree(lo: int, hi: int) -> Column:
             if lo == hi:
@@ -152,24 +151,38 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -
     return {c: [out[c][float(p)] for p in probs] if c in out else [] for c in cols}
 
 
-def hash_rank(df: DataFrame, md5_col: str, by: Sequence[str] = (), digits: int = 3,
-              out: str = "rank") -> DataFrame:
+def hash_rank(df: DataFrame, md5_col: str, by: Sequence[str] = (), digits: int = 3, out: str = "rank",
+              limit: Column | None = None) -> DataFrame:
     """Zero-based position of each row in md5 order inside its group.
 
     An md5 is uniform, so its leading digits cut even one huge group into equal
     buckets; the window runs inside a bucket and bucket counts give the offsets.
-    Adds `<out>` and `<out>_total`.
+    Adds `<out>` and `<out>_total`. With `limit`, an expression over `<out>_total`,
+    only positions below it are returned, and buckets that start beyond it are
+    dropped before any row is shuffled.
     """
     by = list(by)
     t = df.withColumn("_b", hash_bucket(F.col(md5_col), digits))
-    inside = Window.partitionBy(*by, "_b").orderBy(md5_col)
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     counts = t.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    off = counts.select(
-        *by, "_b",
+    # At most groups x 16^digits rows.
+    off = sized(counts.select(
+        *[F.col(c).alias(f"_k_{c}") for c in by], F.col("_b").alias("_k_b"),
         F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_n").over(whole).alias(f"{out}_total"))
-    ranked = t.withColumn("_in", F.row_number().over(inside) - 1)
-    cond = [ranked[c].eqNullSafe(off[c]) for c in [*by, "_b"]]
-    joined = ranked.join(off, cond)
-    return joined.select(*[ranked[c] for c in df.columns], (F.col("_in") + F.col("_off")).alias(out), f"{out}_total")
+        F.sum("_n").over(whole).alias(f"{out}_total")))
+    cond = F.col("_b") == F.col("_k_b")
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    j = t.join(off, cond)
+    if limit is not None:
+        j = j.where(F.col("_off") < limit)
+    pos = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(md5_col)) - 1 + F.col("_off")
+    ranked = j.select(*df.columns, pos.alias(out), f"{out}_total")
+    return ranked if limit is None else ranked.where(F.col(out) < limit)
+
+
+def text_cuts(table: DataFrame, column: str, per_cut: int = 32) -> list[str]:
+    """Cut points of a text column from a fixed-size md5-ordered sample of its distinct values."""
+    n = bucket_count(table)
+    rows = table.select(column).orderBy(F.md5(column)).limit(n * per_cut).collect()
+    return sorted((r[0] for r in rows), key=lambda v: v.encode())[per_cut::per_cut]

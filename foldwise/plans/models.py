@@ -31,7 +31,7 @@ def fold_average_test(spark, sf):
     d = frame(spark, sf)
     test = d.where(F.substring(F.md5(F.concat_ws("|", *LINE_KEY)), 1, 1) < "4")
     train = d.where(F.substring(F.md5(F.concat_ws("|", *LINE_KEY)), 1, 1) >= "4")
-    _, avg = E.out_of_fold(train, LINE_KEY, "label", FOLDS, E.logistic(FEATURES, "label", max_iter=5), test=test)
+    _, avg = E.out_of_fold(train, LINE_KEY, "label", FOLDS, E.logistic(FEATURES, "label", max_iter=5), test=test, n_classes=3)
     return avg.groupBy(argmax_array(F.col("probability")).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -91,7 +91,7 @@ def stacking(spark, sf):
 def seed_average(spark, sf):
     d = frame(spark, sf)
     models = [E.forest(FEATURES, "label", trees=3, depth=4, seed=s) for s in (1, 2)]
-    return E.oof_scores(E.seed_average(d, LINE_KEY, "label", FOLDS, models), "label").select("fold", r6(F.col("score")).alias("score"), "n")
+    return E.oof_scores(E.seed_average(d, LINE_KEY, "label", FOLDS, models, 3), "label").select("fold", r6(F.col("score")).alias("score"), "n")
 
 
 @query("shift_decision")
