@@ -183,11 +183,11 @@ def prediction_contract(pred: DataFrame, truth: DataFrame, key: str, label: str,
                         allowed: Sequence[str]) -> DataFrame:
     """The output contract for a prediction file: exact columns, id set, labels, nulls."""
     ids = id_set_report(pred, truth, [key])
-    lab = pred.agg(F.count_if(F.col(label).isNull()).alias("null_labels"),
-                   F.count_if(F.col(key).isNull()).alias("null_ids"),
-                   F.count_if(~F.col(label).isin(*allowed)).alias("bad_labels"))
+    lab = pred.agg(F.struct(F.count_if(F.col(label).isNull()).alias("null_labels"),
+                            F.count_if(F.col(key).isNull()).alias("null_ids"),
+                            F.count_if(~F.col(label).isin(*allowed)).alias("bad_labels")).alias("s")).scalar()
     shape_ok = pred.columns == [key, label]
-    one = ids.select("*", F.lit(1).alias("_j")).join(lab.select("*", F.lit(1).alias("_j")), "_j").drop("_j")
+    one = ids.select("*", *[lab[c].alias(c) for c in ("null_labels", "null_ids", "bad_labels")])
     bad = (F.col("not_predicted") + F.col("not_in_truth") + F.col("predicted_twice") + F.col("null_labels")
            + F.col("null_ids") + F.col("bad_labels"))
     return one.select("*", F.lit(shape_ok).alias("columns_ok"), ((bad == 0) & F.lit(shape_ok)).alias("passed"))
