@@ -166,19 +166,20 @@ def hash_rank(df: DataFrame, md5_col: str, by: Sequence[str] = (), digits: int =
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     counts = t.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     # At most groups x 16^digits rows.
-    off = sized(counts.select(
+    off = counts.select(
         *[F.col(c).alias(f"_k_{c}") for c in by], F.col("_b").alias("_k_b"),
         F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_n").over(whole).alias(f"{out}_total")))
+        F.sum("_n").over(whole).alias(f"{out}_total"))
     cond = F.col("_b") == F.col("_k_b")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    j = t.join(off, cond)
-    if limit is not None:
-        j = j.where(F.col("_off") < limit)
-    pos = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(md5_col)) - 1 + F.col("_off")
-    ranked = j.select(*df.columns, pos.alias(out), f"{out}_total")
-    return ranked if limit is None else ranked.where(F.col(out) < limit)
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(md5_col)) - 1
+    if limit is None:
+        # The window has already placed the rows by group and bucket, so the join moves only the counts.
+        j = t.withColumn("_in", inside).join(off, cond)
+        return j.select(*df.columns, (F.col("_in") + F.col("_off")).alias(out), f"{out}_total")
+    j = t.join(sized(off), cond).where(F.col("_off") < limit)
+    return j.select(*df.columns, (inside + F.col("_off")).alias(out), f"{out}_total").where(F.col(out) < limit)
 
 
 def text_cuts(table: DataFrame, column: str, per_cut: int = 32) -> list[str]:
