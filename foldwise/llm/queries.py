@@ -21,16 +21,16 @@ def _weak_rules_sql() -> str:
     odds = "ln(pi / (1 - pi)) + " + " + ".join(
         f"CASE {k} WHEN 1 THEN ln(a_{k} / (1 - b_{k})) WHEN -1 THEN ln((1 - a_{k}) / b_{k}) ELSE 0 END" for k in names)
     w = weak_rules
-    clip = lambda x: f"least({w.MOST}, greatest({w.LEAST}, {x}))"
-    share = lambda k, side, hit, miss: clip(
-        f"({w.PRIOR * w.START} + coalesce(sum({side}) FILTER ({k} = {hit}), 0)) / ({w.PRIOR} + coalesce(sum({side}) FILTER ({k} = {hit}), 0)"
-        f" + coalesce(sum({side}) FILTER ({k} = {miss}), 0))")
+    share = lambda start, least, hit, miss: (
+        f"least({w.MOST}, greatest({least}, ({w.PRIOR * start} + coalesce({hit}, 0)) / ({w.PRIOR} + coalesce({hit}, 0) + coalesce({miss}, 0))))")
+    of = lambda k, side, vote: f"sum({side}) FILTER ({k} = {vote})"
     steps = ["p0 AS MATERIALIZED (SELECT " + f"CAST({w.GOOD} AS DOUBLE) AS pi, "
-             + ", ".join(f"CAST({w.START} AS DOUBLE) AS a_{k}, CAST({w.START} AS DOUBLE) AS b_{k}" for k in names) + ")"]
+             + ", ".join(f"CAST({w.RIGHT_GOOD} AS DOUBLE) AS a_{k}, CAST({w.RIGHT_POOR} AS DOUBLE) AS b_{k}" for k in names) + ")"]
     for i in range(w.ROUNDS):
         steps.append(f"e{i} AS MATERIALIZED (SELECT patterns.*, n / (1 + exp(-({odds}))) AS g FROM patterns, p{i})")
-        steps.append(f"p{i + 1} AS MATERIALIZED (SELECT {clip(f'({w.PRIOR * w.GOOD} + coalesce(sum(g), 0)) / ({w.PRIOR} + coalesce(sum(n), 0))')} AS pi, "
-                     + ", ".join(f"{share(k, 'g', 1, -1)} AS a_{k}, {share(k, 'n - g', -1, 1)} AS b_{k}" for k in names) + f" FROM e{i})")
+        rates = [f"{share(w.RIGHT_GOOD, w.LEAST_GOOD, of(k, 'g', 1), of(k, 'g', -1))} AS a_{k}, "
+                 f"{share(w.RIGHT_POOR, w.LEAST_POOR, of(k, 'n - g', -1), of(k, 'n - g', 1))} AS b_{k}" for k in names]
+        steps.append(f"p{i + 1} AS MATERIALIZED (SELECT {share(w.GOOD, w.LEAST_POOR, 'sum(g)', 'sum(n - g)')} AS pi, {', '.join(rates)} FROM e{i})")
     gone = lambda chars: f"CAST(length(t) - length(regexp_replace(t, '{chars}', '', 'g')) AS BIGINT)"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -42,7 +42,7 @@ y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM x),
 z AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM y, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id),
 m AS (SELECT g.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {gone('[#*$%&|<>]')} AS n_symbols,
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(z.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines,
-             {gone('[A-Z]')} AS n_capitals, {gone('!')} AS n_bangs, len(list_filter(w, lambda x: length(x) <= 3)) AS n_short_words
+             {gone('[A-Z]')} AS n_capitals, {gone('!')} AS n_bangs, {gone('[\\p{L}\\p{N}]')} AS n_plain, len(list_filter(w, lambda x: length(x) <= 3)) AS n_short_words
       FROM g LEFT JOIN z ON g.doc_id = z.doc_id),
 v AS MATERIALIZED (SELECT *, {v}, ({w.BASE_FAILED}) AS base_failed FROM m),
 patterns AS MATERIALIZED (SELECT {', '.join(names)}, count(*) AS n FROM v GROUP BY ALL),

@@ -35,20 +35,23 @@ RULES = (
     Rule("length", "n_words >= 80", "n_words < 50"),
     Rule("word_length", "word_chars BETWEEN 3.5 * n_words AND 10 * n_words", "word_chars < 3 * n_words OR word_chars > 14 * n_words"),
     Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    Rule("line_copies", "20 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("line_copies", "20 * n_dup_lines <= n_lines", "2 * n_dup_lines > n_lines"),
     Rule("word_copies", "5 * n_repeat_words <= n_words", "5 * n_repeat_words > 2 * n_words"),
     Rule("capitals", "10 * n_capitals <= word_chars", "4 * n_capitals > word_chars"),
     Rule("shouting", "50 * n_bangs <= n_words", "10 * n_bangs > n_words"),
+    Rule("plain_text", "100 * n_plain >= 93 * word_chars", "100 * n_plain < 89 * word_chars"),
     Rule("short_words", "10 * n_short_words >= n_words", "50 * n_short_words < n_words"),
 )
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_bangs", "n_short_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_bangs", "n_plain", "n_short_words")
 
 ROUNDS = 25
-#: The accuracies that the rounds start from, and how far from 1/2 and from 1 each of them stays.
-START, LEAST, MOST = 0.8, 0.55, 0.995
-#: Documents' worth of prior belief in START, and the first share of good documents.
-PRIOR, GOOD = 10.0, 0.8
+#: Accuracies that the rounds start from. A rule is mostly right about good documents, but about poor ones only where their fault is its own.
+RIGHT_GOOD, RIGHT_POOR = 0.995, 0.15
+#: Bounds: a rule is right about good documents more often than not, which keeps the two sides from changing places.
+LEAST_GOOD, LEAST_POOR, MOST = 0.55, 0.02, 0.9995
+#: Documents' worth of prior belief in the starting values, and the first share of good documents.
+PRIOR, GOOD = 10.0, 0.9
 
 
 def measured(docs: DataFrame, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
@@ -76,6 +79,7 @@ def measured(docs: DataFrame, text: str = "text", carry: Sequence[str] | None =
         "n_words": n.cast("long"), "word_chars": F.length(F.array_join("w", "")).cast("long"), "n_symbols": gone("[#*$%&|<>]"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"), "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         "n_lines": F.size("lines").cast("long"), "n_capitals": gone("[A-Z]"), "n_bangs": gone("!"),
+        "n_plain": gone("[\\p{L}\\p{N}]"),
         "n_short_words": F.size(F.filter("w", lambda x: F.length(x) <= 3)).cast("long"),
     }
     return d.select("row", F.struct(*[m[k].alias(k) for k in MEASURES]).alias("m"))
@@ -117,15 +121,15 @@ def fit(patterns: DataFrame, rules: Sequence[Rule] = RULES, rounds: int = ROUNDS
     Each round is one aggregate of that small table. Without documents the starting values stay.
     """
     names = [r.name for r in rules]
-    now = Fit(GOOD, dict.fromkeys(names, START), dict.fromkeys(names, START))
-    clip = lambda x: min(MOST, max(LEAST, x))
+    now = Fit(GOOD, dict.fromkeys(names, RIGHT_GOOD), dict.fromkeys(names, RIGHT_POOR))
     for _ in range(rounds):
         p = patterns.withColumn("g", now.posterior() * F.col("n")).withColumn("b", F.col("n") - F.col("g"))
         sums = [F.sum(F.when(F.col(f"v.{k}") == s, F.col(side))).alias(f"{k}_{side}_{s}") for k in names for side in "gb" for s in (1, -1)]
         got = {k: x or 0.0 for k, x in p.agg(F.sum("g").alias("g"), F.sum("n").alias("n"), *sums).first().asDict().items()}
-        share = lambda hit, miss: clip((PRIOR * START + hit) / (PRIOR + hit + miss))
-        now = Fit(clip((PRIOR * GOOD + got["g"]) / (PRIOR + got["n"])),
-                  {k: share(got[f"{k}_g_1"], got[f"{k}_g_-1"]) for k in names}, {k: share(got[f"{k}_b_-1"], got[f"{k}_b_1"]) for k in names})
+        share = lambda start, least, hit, miss: min(MOST, max(least, (PRIOR * start + hit) / (PRIOR + hit + miss)))
+        now = Fit(share(GOOD, LEAST_POOR, got["g"], got["n"] - got["g"]),
+                  {k: share(RIGHT_GOOD, LEAST_GOOD, got[f"{k}_g_1"], got[f"{k}_g_-1"]) for k in names},
+                  {k: share(RIGHT_POOR, LEAST_POOR, got[f"{k}_b_-1"], got[f"{k}_b_1"]) for k in names})
     return now
 
 
