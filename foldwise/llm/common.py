@@ -119,3 +119,25 @@ def hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     """Hash and row of every word, A-Z taken as a-z."""
     start, end, row = word_spans(data, bounds)
     return span_hashes(LOWER[data], start, end), row
+
+
+# ---- files in the shared folder ------------------------------------------------------
+
+def file_system(uri: str):
+    """The file system of a URI or absolute path, and the path in it. Any scheme that pyarrow knows."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(uri)
+
+
+def one_file_each(manifest: DataFrame, n: int) -> DataFrame:
+    """Deal out a table of n files so that each is read by a task of its own."""
+    return manifest.repartition(max(1, n))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def with_columns(df: DataFrame, keep: list[str], more: str) -> str:
+    """Schema of the columns `keep` of df and some more."""
+    return ", ".join([*(f"{quoted(c)} {df.schema[c].dataType.simpleString()}" for c in keep), more])

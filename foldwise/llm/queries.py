@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import weak_rules
+from foldwise.llm import bitplanes, bpe_stream, weak_rules
 from foldwise.llm.registry import ORACLES, QUERIES, query
 from foldwise.sources.tables import table
 
@@ -56,3 +56,22 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     measured = weak_rules.judge(docs, carry=["doc_id"])
     return measured.select("row.doc_id", *[F.col(f"m.{c}") for c in weak_rules.MEASURES[:5]], "base_failed", "kept")
+
+
+# ---- 9: BPE encoding and decoding ---------------------------------------------------
+
+def vocabulary() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op9_bpe_stream")
+def op9_bpe_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe_stream.digests(table(spark, sf, "documents"), vocabulary())
+
+
+# ---- 5: token ids in files of planes ------------------------------------------------
+
+@query("op5_bit_planes")
+def op5_bit_planes(spark: SparkSession, sf: str) -> DataFrame:
+    return bitplanes.shuffled_ids(table(spark, sf, "documents"), vocabulary(), end_id=1)
