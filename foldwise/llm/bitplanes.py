@@ -213,7 +213,7 @@ def write_planes(docs: DataFrame, vocabulary: str, end_id: int, folder: str, bit
                     if out is None:
                         name = f"ids-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.bpln"
                         fs.create_dir(root, recursive=True)
-                        out = PlaneWriter(fs.open_output_stream(f"{root}/{name}"), bits, block_ids)
+                        out = PlaneWriter(fs.open_output_stream(f"{root}/{name}", compression=None), bits, block_ids)
                     out.add(doc, ids + end)
                     if out.n_ids >= file_ids:
                         close()

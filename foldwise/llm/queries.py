@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bitplanes, bpe_stream, weak_rules
+from foldwise.llm import bitplanes, bpe_stream, warc, weak_rules
 from foldwise.llm.registry import ORACLES, QUERIES, query
 from foldwise.sources.tables import table
 
@@ -75,3 +75,15 @@ def op9_bpe_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_bit_planes")
 def op5_bit_planes(spark: SparkSession, sf: str) -> DataFrame:
     return bitplanes.shuffled_ids(table(spark, sf, "documents"), vocabulary(), end_id=1)
+
+
+# ---- 6: web archives ----------------------------------------------------------------
+
+@query("op6_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS top FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top <> page_id THEN top END AS refers_to FROM g""")
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived(table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
