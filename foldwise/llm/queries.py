@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bitplanes, bpe_stream, warc, weak_rules
+from foldwise.llm import bitplanes, bpe_stream, partenum, warc, weak_rules
 from foldwise.llm.registry import ORACLES, QUERIES, query
 from foldwise.sources.tables import table
 
@@ -87,3 +87,11 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN top <> page_id THEN top END AS refers_to FROM g""")
 def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archived(table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# ---- 10: similarity join of shingle sets --------------------------------------------
+
+@query("op10_partenum")
+def op10_partenum(spark: SparkSession, sf: str) -> DataFrame:
+    groups = partenum.similar_groups(table(spark, sf, "documents").select("doc_id", "text"))
+    return groups.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
