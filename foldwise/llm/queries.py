@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bitplanes, bpe_stream, partenum, warc, weak_rules
+from foldwise.llm import bitplanes, bpe_stream, bwt_merge, partenum, warc, weak_rules
 from foldwise.llm.registry import ORACLES, QUERIES, query
 from foldwise.sources.tables import table
 
@@ -95,3 +95,10 @@ def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
 def op10_partenum(spark: SparkSession, sf: str) -> DataFrame:
     groups = partenum.similar_groups(table(spark, sf, "documents").select("doc_id", "text"))
     return groups.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+
+
+# ---- 2: repeated substrings ---------------------------------------------------------
+
+@query("op2_bwt_merge")
+def op2_bwt_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return bwt_merge.digests(table(spark, sf, "documents"))
