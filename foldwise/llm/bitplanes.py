@@ -28,11 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.llm.bpe_stream import PLAIN, splits_plainly
 from foldwise.llm.common import file_system, one_file_each, remember, text_blocks, written
 from foldwise.sources.tables import shared_path
 
 MAGIC, HEAD, TAIL = b"BPLN", struct.Struct("<4sBBHI"), struct.Struct("<QQQQ4s")
-BLOCK_IDS, FILE_IDS, LEVEL, REMEMBERED = 1 << 16, 1 << 25, 3, 400_000
+BLOCK_IDS, FILE_IDS, LEVEL, REMEMBERED = 1 << 16, 1 << 25, 3, 500_000
 WHITE = re.compile("[^ \t\n\x0b\f\r]+")
 
 
@@ -147,8 +148,8 @@ class PlaneReader:
 class LibraryEncoder:
     """Texts to packed ids with the tokenizers library.
 
-    White space parts a text into pieces that are encoded alone; the ids of short pieces are remembered. Only for vocabularies whose
-    splitter drops white space.
+    White space parts a text into pieces that are encoded alone, plain ones run by run; the ids of short pieces and runs are remembered, and what
+    was not used for long is forgotten. Only for vocabularies whose splitter drops white space.
     """
 
     def __init__(self, path: str):
@@ -159,23 +160,39 @@ class LibraryEncoder:
         self.library.no_padding()
         if self.pack(" a b\t\n\x0bab  ") != self.pack("a") + self.pack("b") + self.pack("ab"):
             raise ValueError("this vocabulary keeps white space")
-        self.known: dict[str, bytes] = {}
+        self.plain = PLAIN if splits_plainly(self.library) else None
+        self.known, self.older, self.runs = {}, {}, {}
 
     def pack(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, new: set[str]) -> None:
+        """Remember the ids of short pieces."""
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, self.older = {}, self.known
+            if len(self.runs) > REMEMBERED:
+                self.runs = {}
+        split = {}
+        for w in new:
+            if (ids := self.older.get(w)) is not None:
+                self.known[w] = ids
+            else:
+                split[w] = self.plain.findall(w.lower()) if self.plain and w.isascii() and w.isprintable() and "<" not in w else [w]
+        units = list({u for runs in split.values() for u in runs if u not in self.runs})
+        for k in range(0, len(units), 10_000):
+            for u, e in zip(units[k:k + 10_000], self.library.encode_batch_fast(units[k:k + 10_000], add_special_tokens=False)):
+                self.runs[u] = np.array(e.ids, "<u4").tobytes()
+        for w, runs in split.items():
+            self.known[w] = b"".join([self.runs[u] for u in runs])
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
         pieces = [WHITE.findall(t) for t in texts]
-        new = [w for w in {w for p in pieces for w in p} if w not in known and len(w) <= 64]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = [w for w in {w for p in pieces for w in p} if len(w) <= 64]
-        for k in range(0, len(new), 10_000):
-            for w, e in zip(new[k:k + 10_000], self.library.encode_batch_fast(new[k:k + 10_000], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        found = {w for p in pieces for w in p if len(w) <= 64}
+        self.learn({w for w in found if w not in self.known})
+        if any(w not in self.known for w in found):  # some were forgotten just now
+            self.learn({w for w in found if w not in self.known})
         for p in pieces:
-            yield b"".join([known[w] if len(w) <= 64 else self.pack(w) for w in p])
+            yield b"".join([self.known[w] if len(w) <= 64 else self.pack(w) for w in p])
 
 
 @cache

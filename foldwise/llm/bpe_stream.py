@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 from foldwise.llm.common import quoted, text_blocks, with_columns
 
 #: Characters of a text that are normalised and split at once, and pieces whose ids are remembered in a Python worker.
-CHUNK, REMEMBERED = 1 << 14, 400_000
-WHITE = re.compile("[^ \t\n\x0b\f\r]+")
+CHUNK, REMEMBERED = 1 << 14, 500_000
+WHITE, BLANK = re.compile("[^ \t\n\x0b\f\r]+"), re.compile("[ \t\n\x0b\f\r]")
 
 
 def byte_letters() -> list[str]:
@@ -40,6 +41,25 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+#: How vocabularies of this kind split printable ASCII, once it is lowered.
+PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def splits_plainly(library) -> bool:
+    """Whether the library splits printable ASCII as PLAIN does; held against every pair of characters and the contractions."""
+    if not library.normalizer or not library.pre_tokenizer:
+        return False
+    chars = [chr(c) for c in range(33, 127)]
+    probes = [a + b for a in chars for b in chars] + [f"{a}'{c}{b}" for a in "a1!'" for b in "a1!'" for c in ("s", "t", "re", "ve", "m", "ll", "d", "RE", "x")]
+    split, normalise = library.pre_tokenizer.pre_tokenize_str, library.normalizer.normalize_str
+    return all([w for w, _ in split(normalise(p))] == PLAIN.findall(p.lower()) for p in probes)
+
+
 class Merges:
     """The merge list with its sufficient lookahead in letters. Each letter stands for one byte."""
 
@@ -70,16 +90,17 @@ class Merges:
     def apply(self, ids: list[int]) -> list[int]:
         """Merge in rank order, leftmost first."""
         rank = self.rank
-        if len(ids) <= 24:
-            while len(ids) > 1:
-                best, at = None, -1
-                for k in range(len(ids) - 1):
-                    r = rank.get((ids[k], ids[k + 1]))
-                    if r is not None and (best is None or r < best):
-                        best, at = r, k
-                if best is None:
-                    break
-                ids[at:at + 2] = [best[1]]
+        if len(ids) <= 48:
+            get, none = rank.get, (self.n_letters, 0)
+            pairs = [get(p, none) for p in zip(ids, ids[1:])]
+            while pairs and (best := min(pairs)) is not none:
+                k = pairs.index(best)
+                ids[k:k + 2] = [best[1]]
+                del pairs[k]
+                if k:
+                    pairs[k - 1] = get((ids[k - 1], ids[k]), none)
+                if k < len(pairs):
+                    pairs[k] = get((ids[k], ids[k + 1]), none)
             return ids
         right, left, heap = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), []
         for k in range(len(ids) - 1):
@@ -169,17 +190,28 @@ class Tokenizer:
                 raise ValueError(f"added token {t['content']!r} is not supported")
         self.find_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.token = self.merges.token | {i: t for t, i in self.added.items()}
+        self.tokens = [self.token[i] for i in range(len(self.token))]
         self.joined = spec.get("decoder") is None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known, self.older, self.words = {}, {}, {}
+        # A short run of plain characters is lowered and split here; the library does it for all others.
+        self.plain = PLAIN if splits_plainly(library) else None
 
     # -- encoding
 
-    def word(self, letters: str) -> list[int]:
-        m = self.merges
-        return m.apply([m.letter[c] for c in letters[:-1]] + [m.last[letters[-1]]])
-
-    def stream(self, text: str, chunk: int = CHUNK) -> Iterator[list[int]]:
-        """Ids of a text that holds no added token, a part at a time."""
+    def word(self, letters: str) -> bytes:
+        """Packed ids of a whole run of letters; those of short runs are remembered."""
+        packed = self.words.get(letters)
+        if packed is None:
+            m = self.merges
+            packed = pack(m.apply([m.letter[c] for c in letters[:-1]] + [m.last[letters[-1]]]))
+            if len(letters) <= 64:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[letters] = packed
+        return packed
+
+    def stream(self, text: str, chunk: int = CHUNK) -> Iterator[bytes]:
+        """Packed ids of a text that holds no added token, a part at a time."""
         at, open_run, last = 0, None, ""
         while at < len(text):
             end = min(len(text), at + chunk)
@@ -190,47 +222,62 @@ class Tokenizer:
             for k, (letters, (first, stop)) in enumerate(runs):
                 goes_on = open_run is not None and k == 0 and first == 0 and len(self.split(last + part[0])) == 1
                 if open_run is not None and not goes_on:
-                    yield open_run.close()
+                    yield pack(open_run.close())
                     open_run = None
                 if k == len(runs) - 1 and stop == len(part) and at < len(text):
                     open_run = open_run or Transducer(self.merges)
-                    yield open_run.push(letters)
+                    yield pack(open_run.push(letters))
                 elif open_run is not None:
-                    yield open_run.push(letters) + open_run.close()
+                    yield pack(open_run.push(letters) + open_run.close())
                     open_run = None
                 else:
                     yield self.word(letters)
             if open_run is not None and not runs and part:
-                yield open_run.close()
+                yield pack(open_run.close())
                 open_run = None
             last = part[-1:] or last
         if open_run is not None:
-            yield open_run.close()
+            yield pack(open_run.close())
 
-    def piece(self, text: str) -> Iterator[list[int]]:
-        """Ids of a piece between white space, which may hold added tokens."""
+    def piece(self, text: str) -> Iterator[bytes]:
+        """Packed ids of a piece between white space, which may hold added tokens."""
         at = 0
         for m in self.find_added.finditer(text) if self.find_added else ():
             yield from self.stream(text[at:m.start()])
-            yield [self.added[m[0]]]
+            yield pack([self.added[m[0]]])
             at = m.end()
         yield from self.stream(text[at:])
 
-    def encode(self, text: str) -> Iterator[tuple[int, ...] | list[int]]:
-        """Ids of a whole text, a piece or a stable part of a piece at a time."""
-        known = self.known
-        for m in WHITE.finditer(text):
-            w = m[0]
-            ids = known.get(w)
-            if ids is not None:
-                yield ids
-            elif len(w) <= 64:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[w] = ids = tuple(i for part in self.piece(w) for i in part)
-                yield ids
+    def short_piece(self, w: str) -> bytes:
+        """Packed ids of a piece of at most 64 characters, remembered. What was not used for long is forgotten."""
+        ids = self.older.get(w)
+        if ids is None:
+            if self.plain and w.isascii() and w.isprintable() and not (self.find_added and "<" in w):
+                ids = b"".join(map(self.word, self.plain.findall(w.lower())))
             else:
-                yield from self.piece(w)
+                ids = b"".join(self.piece(w))
+        if len(self.known) >= REMEMBERED:
+            self.known, self.older = {}, self.known
+        self.known[w] = ids
+        return ids
+
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Packed little-endian ids of a whole text, some thousand pieces or a stable part of a long piece at a time."""
+        at = 0
+        while at < len(text):
+            gap = BLANK.search(text, min(at + CHUNK, len(text)))
+            end = gap.start() if gap else len(text)
+            pieces, at, done = WHITE.findall(text, at, end), end, []
+            for w, ids in zip(pieces, map(self.known.get, pieces)):
+                if ids is None:
+                    if len(w) > 64:
+                        yield b"".join(done)
+                        done = []
+                        yield from self.piece(w)
+                        continue
+                    ids = self.short_piece(w)
+                done.append(ids)
+            yield b"".join(done)
 
 
 class Decoder:
@@ -243,14 +290,15 @@ class Decoder:
     """
 
     def __init__(self, tokenizer: Tokenizer, joined: bool | None = None):
-        self.token, self.joined = tokenizer.token, tokenizer.joined if joined is None else joined
+        self.token = tokenizer.tokens
+        self.joined = tokenizer.joined if joined is None else joined
         self.begun = False
         if not self.joined:
             byte = {c: b for b, c in enumerate(byte_letters())}
             suffix = tokenizer.merges.suffix
             self.state = codecs.getincrementaldecoder("utf-8")("replace")
             self.bytes = {}
-            for i, t in self.token.items():
+            for i, t in enumerate(self.token):
                 if i in tokenizer.added.values():
                     self.bytes[i] = t.encode()
                 else:
@@ -262,7 +310,7 @@ class Decoder:
             return ""
         if not self.joined:
             return self.state.decode(b"".join([self.bytes[i] for i in ids]))
-        out = (" " if self.begun else "") + " ".join([self.token[i] for i in ids])
+        out = (" " if self.begun else "") + " ".join(map(self.token.__getitem__, ids))
         self.begun = True
         return out
 
@@ -289,10 +337,10 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "id
             for first, data, bounds in text_blocks(batch.column(text_at)):
                 got, back = [], []
                 for k in range(len(bounds) - 1):
-                    own = [i for part in t.encode(data[bounds[k]:bounds[k + 1]].tobytes().decode()) for i in part]
+                    own = np.frombuffer(b"".join(t.encode(data[bounds[k]:bounds[k + 1]].tobytes().decode())), "<u4")
                     d = Decoder(t)
-                    got.append(np.array(own, np.int32))
-                    back.append(d.push(own) + d.close())
+                    got.append(own.astype(np.int32))
+                    back.append(d.push(own.tolist()) + d.close())
                 out = batch.slice(first, len(got)).select(at)
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array(got, pa.list_(pa.int32())), pa.array(back, pa.string())], names)
 
@@ -311,17 +359,13 @@ def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
             for first, data, bounds in text_blocks(batch.column(1)):
                 n, ids_hex, text_hex = [], [], []
                 for k in range(len(bounds) - 1):
-                    count, of_ids, of_text, d, part = 0, hashlib.sha256(), hashlib.sha256(), Decoder(t), []
-                    for ids in t.encode(data[bounds[k]:bounds[k + 1]].tobytes().decode()):
-                        part.extend(ids)
-                        if len(part) >= 4096:
-                            count += len(part)
-                            of_ids.update(np.array(part, "<u4").tobytes())
-                            of_text.update(d.push(part).encode())
-                            part = []
-                    of_ids.update(np.array(part, "<u4").tobytes())
-                    of_text.update((d.push(part) + d.close()).encode())
-                    n.append(count + len(part))
+                    count, of_ids, of_text, d = 0, hashlib.sha256(), hashlib.sha256(), Decoder(t)
+                    for part in t.encode(data[bounds[k]:bounds[k + 1]].tobytes().decode()):
+                        count += len(part) // 4
+                        of_ids.update(part)
+                        of_text.update(d.push(np.frombuffer(part, "<u4").tolist()).encode())
+                    of_text.update(d.close().encode())
+                    n.append(count)
                     ids_hex.append(of_ids.hexdigest())
                     text_hex.append(of_text.hexdigest())
                 out = batch.column(0).slice(first, len(n))
