@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bitplanes, bpe_stream, bwt_merge, partenum, warc, weak_rules
+from foldwise.llm import bitplanes, bpe_stream, bwt_merge, katz, partenum, warc, weak_rules
 from foldwise.llm.registry import ORACLES, QUERIES, query
 from foldwise.sources.tables import table
 
@@ -102,3 +102,10 @@ def op10_partenum(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_bwt_merge")
 def op2_bwt_merge(spark: SparkSession, sf: str) -> DataFrame:
     return bwt_merge.digests(table(spark, sf, "documents"))
+
+
+# ---- 4: language-model scores -------------------------------------------------------
+
+@query("op4_katz")
+def op4_katz(spark: SparkSession, sf: str) -> DataFrame:
+    return katz.scores(table(spark, sf, "documents"))
