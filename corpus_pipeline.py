@@ -1,21 +1,48 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+    quality          documents that the quality rules together take to be poor go
+    lines            lines of recurring templates go, and documents that have nothing else
+    near_duplicates  one document of each group of similar ones stays
+    decontamination  documents that overlap a benchmark item go
+    tokens           what is left is encoded and decoded again: one row of digests for each document
+
+Documents are told apart by doc_id and text; rows that have both in common are copies of one document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foldwise.llm import weak_rules
+from foldwise.llm import bpe_stream, line_templates, partenum, spaced_seeds, weak_rules
 from foldwise.llm.common import written
+from foldwise.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules together take to be good."""
     return weak_rules.keep_good(docs)
 
 
-STAGES = [("quality", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_templates.without_recurring_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return partenum.one_of_each_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return spaced_seeds.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_stream.digests(docs, vocabulary())
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens)]
 
-#: The stages from line deduplication on are not expressible in SQL; tests hold them against brute force.
+#: Similar groups, aligned overlaps and the tokenizer are not expressible in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,13 +73,22 @@ SPACE, LOWER = is_space(), lower_ascii()
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
-@cache
+_POWERS: list[np.ndarray] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i modulo 2 ** 64 for i < n."""
+    """BASE ** i and BASE ** -i modulo 2 ** 64 for i < n. Only tables for blocks of the usual size are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
     with np.errstate(over="ignore"):
-        up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-        up[:1] = down[:1] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+        made = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            x = np.full(n, base, np.uint64)
+            x[:1] = 1
+            made.append(np.multiply.accumulate(x, out=x))
+    if n <= 1 << 22:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -93,11 +101,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each span, independent of where it stands."""
-    n = 1 << max(16, int(len(data)).bit_length())
-    up, down = powers(n)
+    up, down = powers(len(data) + 1)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
+        total = np.empty(len(data) + 1, np.uint64)
+        total[0], x = 0, total[1:]
+        x[:] = data
+        x += np.uint64(1)
+        x *= up[:-1]
+        np.cumsum(x, out=x)
         return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import SPACE_RE, SPACES, written
+from foldwise.llm.common import SPACE_RE, SPACES, quoted, written
 
 #: Leading tokens that lead to a leaf; documents that make a template recur; tokens from which a line takes part; share of tokens that must be fixed.
 DEPTH, LEAST_DOCS, LEAST_TOKENS, FIXED = 3, 3, 4, 0.6
@@ -80,3 +80,11 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     kept = F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(F.filter(F.split("t", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n"))
     return both.select("row", F.size(F.split("t", "\n")).cast("long").alias("n_lines"),
                        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+
+
+def without_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with their texts less recurring lines; rows that lose all their words go. The columns are those of docs."""
+    d = drop_recurring_lines(docs, key, text, **options)
+    d = d.where((F.col("n_dropped") == 0) | (F.trim("kept", F.lit(SPACES)) != ""))
+    return d.select(*[F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col(f"row.{quoted(c)}")).alias(c) if c == text else F.col(f"row.{quoted(c)}").alias(c)
+                      for c in docs.columns])

@@ -25,10 +25,10 @@ from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import hashed_words, mix, text_blocks, written
+from foldwise.llm.common import SPACES, hashed_words, mix, text_blocks, written
 from foldwise.llm.components import components
 
 WORDS, SIMILAR = 5, Fraction(3, 4)
@@ -184,7 +184,7 @@ def shared_counts(docs: DataFrame, text: str, words: int, n_groups: int) -> Data
     """
     def spread(batches):
         for batch in batches:
-            for _, data, bounds in text_blocks(batch.column(0), 1 << 22):
+            for _, data, bounds in text_blocks(batch.column(0)):
                 s, at = shingle_sets(data, bounds, words)
                 ids, pick = np.unique(class_ids(s, at), return_index=True)
                 pick = pick[np.diff(at)[pick] > 0]
@@ -371,3 +371,18 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     out = rows.where("n > 0").join(named, "class").select("key", "th", "n", "component_id", "class", "root")
     alone = rows.where("n = 0").select("key", "th", "n", F.col("key").alias("component_id"), "class", F.col("class").alias("root"))
     return out.union(alone).toDF("key", "th", "n_shingles", "component_id", "class", "root")
+
+
+def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each group of similar_groups(): that with the least key (null keys last), then the least hash of its text.
+
+    Of rows with the same key and text one stays. Rows without words are in no group and all stay. The columns are those of docs.
+    """
+    groups = similar_groups(docs, key, text, **options).where("root IS NOT NULL")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "th")).alias("f"))
+    first = first.select(F.col("f.key").alias("first_k"), F.col("f.th").alias("first_th"))
+    bare = F.trim(F.coalesce(docs[text], F.lit("")), F.lit(SPACES)) == ""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[key].cast("long").alias("k"), F.xxhash64(docs[text]).alias("th"), bare.alias("bare"))
+    kept = rows.join(first, (F.col("th") == F.col("first_th")) & F.col("k").eqNullSafe(F.col("first_k")), "left").where("bare OR first_th IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("th", "k").orderBy("bare"))
+    return kept.withColumn("place", place).where("bare OR place = 1").select("row.*")

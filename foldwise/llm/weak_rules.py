@@ -52,6 +52,8 @@ RIGHT_GOOD, RIGHT_POOR = 0.995, 0.15
 LEAST_GOOD, LEAST_POOR, MOST = 0.55, 0.02, 0.9995
 #: Documents' worth of prior belief in the starting values, and the first share of good documents.
 PRIOR, GOOD = 10.0, 0.9
+#: The posterior probability of being good from which a document is kept.
+LEAST = 0.5
 
 
 def measured(docs: DataFrame, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
@@ -133,7 +135,7 @@ def fit(patterns: DataFrame, rules: Sequence[Rule] = RULES, rounds: int = ROUNDS
     return now
 
 
-def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, least: float = 0.5,
+def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, least: float = LEAST,
           carry: Sequence[str] | None = None) -> DataFrame:
     """One row per row of docs: struct `row` of its columns (or of `carry`), struct `m` of measures, struct `v` of votes, base_failed, posterior and kept.
 
@@ -146,5 +148,7 @@ def judge(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, le
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that the rules together take to be good, with their own columns."""
-    return judge(docs, text).where("kept").select("row.*")
+    """The rows of docs that judge() keeps, with their own columns. Texts are measured twice, so that they need not be written with their measures."""
+    voted = votes(measured(docs, text))
+    model = fit(written(voted.groupBy("v").agg(F.count("*").alias("n")), "patterns"))
+    return voted.where(~F.col("base_failed") & (model.posterior() >= LEAST)).select("row.*")
