@@ -35,6 +35,10 @@ from foldwise.sources.tables import shared_path
 MAGIC, HEAD, TAIL = b"BPLN", struct.Struct("<4sBBHI"), struct.Struct("<QQQQ4s")
 BLOCK_IDS, FILE_IDS, LEVEL, REMEMBERED = 1 << 16, 1 << 25, 3, 500_000
 WHITE = re.compile("[^ \t\n\x0b\f\r]+")
+#: What Python takes for white space and the library does not.
+SEPARATOR = re.compile("[\x1c-\x1f]")
+#: Punctuation that a run of letters before it cannot join; not the apostrophe.
+ENDING = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 def to_planes(ids: np.ndarray, bits: int) -> list[bytes]:
@@ -148,8 +152,8 @@ class PlaneReader:
 class LibraryEncoder:
     """Texts to packed ids with the tokenizers library.
 
-    White space parts a text into pieces that are encoded alone, plain ones run by run; the ids of short pieces and runs are remembered, and what
-    was not used for long is forgotten. Only for vocabularies whose splitter drops white space.
+    White space parts a text into pieces that are encoded alone, plain ones run by run; ids of pieces and runs are remembered, and what was not
+    used for long is forgotten; long ones are forgotten at once. Only for vocabularies whose splitter drops white space.
     """
 
     def __init__(self, path: str):
@@ -161,38 +165,54 @@ class LibraryEncoder:
         if self.pack(" a b\t\n\x0bab  ") != self.pack("a") + self.pack("b") + self.pack("ab"):
             raise ValueError("this vocabulary keeps white space")
         self.plain = PLAIN if splits_plainly(self.library) else None
+        blanks = [chr(c) for c in range(0x3001) if chr(c).isspace() and not SEPARATOR.match(chr(c))]
+        # Python parts words at more characters; where the library drops them all, it can do the parting, which is faster.
+        self.parts_alike = all(self.pack(f"a{c}b") == self.pack("a") + self.pack("b") for c in blanks)
         self.known, self.older, self.runs = {}, {}, {}
 
     def pack(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, new: set[str]) -> None:
-        """Remember the ids of short pieces."""
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.older = {}, self.known
-            if len(self.runs) > REMEMBERED:
-                self.runs = {}
-        split = {}
+    def split(self, w: str) -> list[str]:
+        """Runs of a piece that the library would encode as they stand alone."""
+        if self.plain and "<" not in w and "'" not in w:
+            if w.isascii():
+                return self.plain.findall(w.lower()) if w.isprintable() else [w]
+            core = w.rstrip(ENDING)
+            if core is not w and core[-1:].isalpha():
+                return [core, w[len(core):]]
+        return [w]
+
+    def learn(self, new: list[str]) -> None:
+        """Remember the ids of pieces."""
+        runs, older, split = self.runs, self.older, {}
         for w in new:
-            if (ids := self.older.get(w)) is not None:
-                self.known[w] = ids
+            ids = older.get(w)
+            if ids is None:
+                split[w] = self.split(w)
             else:
-                split[w] = self.plain.findall(w.lower()) if self.plain and w.isascii() and w.isprintable() and "<" not in w else [w]
-        units = list({u for runs in split.values() for u in runs if u not in self.runs})
+                self.known[w] = ids
+        units = list(set().union(*split.values()).difference(runs))
         for k in range(0, len(units), 10_000):
             for u, e in zip(units[k:k + 10_000], self.library.encode_batch_fast(units[k:k + 10_000], add_special_tokens=False)):
-                self.runs[u] = np.array(e.ids, "<u4").tobytes()
-        for w, runs in split.items():
-            self.known[w] = b"".join([self.runs[u] for u in runs])
+                ids = e.ids
+                runs[u] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, own in split.items():
+            self.known[w] = runs[own[0]] if len(own) == 1 else b"".join([runs[u] for u in own])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        pieces = [WHITE.findall(t) for t in texts]
-        found = {w for p in pieces for w in p if len(w) <= 64}
-        self.learn({w for w in found if w not in self.known})
-        if any(w not in self.known for w in found):  # some were forgotten just now
-            self.learn({w for w in found if w not in self.known})
+        pieces = [t.split() if self.parts_alike and not SEPARATOR.search(t) else WHITE.findall(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        if len(self.runs) > REMEMBERED:
+            self.runs = {}
+        self.learn([w for w in set().union(*pieces) if w not in self.known])
         for p in pieces:
-            yield b"".join([self.known[w] if len(w) <= 64 else self.pack(w) for w in p])
+            yield b"".join(map(self.known.__getitem__, p))
+        for w in [w for w in set().union(*pieces) if len(w) > 64]:
+            del self.known[w]
+            for u in self.split(w):
+                self.runs.pop(u, None)
 
 
 @cache

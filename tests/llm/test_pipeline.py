@@ -50,15 +50,14 @@ def test_stages_take_odd_rows(spark):
     text = " ".join(f"{w}{k % 7}" if k % 11 == 0 else w for k, w in enumerate(docs.where("length(text) > 900").first().text.split()))
     rows = [(1, text, None, None, None), (1, text, "en", "s", 3), (None, text, None, "s", 1), (None, None, None, None, None), (3, "", "en", "s", 0), (4, long, "fr", "s", 1)]
     odd = spark.createDataFrame(rows, docs.schema).selectExpr("*", "1 AS row", "2 AS n_words", "3 AS k", "4 AS class", "5 AS gone", "6 AS th")
-    empty = odd.limit(0)
-    for frame, most in ((odd, 6), (empty, 0)):
+    odd = spark.createDataFrame(odd.collect(), odd.schema).coalesce(1)
+    for frame, most in ((odd, 6), (odd.limit(0), 0)):
         now = frame
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, now, SF)
             assert out.count() <= most, name
             if name != "tokens":
                 assert out.columns == frame.columns, name
-                assert stage(spark, frame, SF).count() <= most
-                now = out
+                now = spark.createDataFrame(out.collect(), out.schema).coalesce(1)
         if most:
             assert [r.doc_id for r in now.select("doc_id").collect()] == [1]
