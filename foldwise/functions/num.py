@@ -69,6 +69,12 @@ def argmax_columns(cols: Sequence[Column]) -> Column:
     return argmax_array(F.array(*cols))
 
 
+def present(v: Column) -> Column:
+    """The value as a double; NaN counts as missing."""
+    d = v.cast("double")
+    return F.when(~F.isnan(d), d)
+
+
 def skew_corrected(g1: Column, n: Column) -> Column:
     """Sample-corrected skewness from the population one; missing below three values."""
     return F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
@@ -126,7 +132,7 @@ def exact_scaled(x: Column, digits: int | Column) -> Column:
         odd = F.pmod(s["q"], F.lit(2.0)) == 1.0
         step = (F.when((over > 0) | ((over == 0) & odd), F.lit(1.0))
                 .when((under < 0) | ((under == 0) & odd), F.lit(-1.0)).otherwise(F.lit(0.0)))
-        return (s["q"] + step).cast("bigint")
+        return (s["q"] + step).try_cast("bigint")
 
     return let(x, lambda v: let(halves(v), settle))
 
@@ -145,7 +151,7 @@ def fixed_text(x: Column, digits: int) -> Column:
 
 def half_up_text(x: Column, digits: int = 2) -> Column:
     """Round the shortest decimal form half-up and keep trailing zeros."""
-    return F.round(x.cast("string").cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.round(x.cast("string").try_cast("decimal(38,18)"), digits).try_cast(f"decimal(38,{digits})").cast("string")
 
 
 def short_text(x: Column) -> Column:

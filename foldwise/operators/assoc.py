@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.functions.num import nln, r6
+from foldwise.functions.num import nln, present, r6
 from foldwise.operators.lookup import attach, keep
 from foldwise.operators.ranks import bucket_of, long_form, quantile_table, value_ranks
 
@@ -95,7 +95,7 @@ def association(joint: DataFrame, yates: bool = False) -> DataFrame:
                                          F.sum(nln(F.col("ny"))).alias("sy"))
     cells = attach(cells, per_y.join(n_all, "feature"), ["feature", "_y"], "inner")
     nx, ny, n, tot = F.col("nx"), F.col("ny"), F.col("n"), F.col("n_all")
-    expected = nx * ny / tot
+    expected = nx.cast("double") * ny / tot
     off = F.abs(n - expected)
     s = cells.groupBy("feature").agg(
         F.max("n_all").cast("double").alias("n"), F.max("k").cast("double").alias("k"), F.max("sy").alias("sy"),
@@ -124,12 +124,12 @@ def effect_band(v: Column) -> Column:
 
 
 def equal_width_bin(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
-    """Right-closed equal-width bins over the observed range, lowest value included."""
-    v = F.col(value).cast("double")
+    """Right-closed equal-width bins over the observed range, lowest value included. NULL and NaN have no bin."""
+    v = present(F.col(value))
     rng = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("r")).scalar()
     width = (rng["hi"] - rng["lo"]) / bins
-    pos = F.coalesce(F.ceil(F.try_divide(v - rng["lo"], width)), F.lit(1))
-    return df.withColumn(out, F.least(F.greatest(pos, F.lit(1)), F.lit(bins)).cast("int") - 1)
+    pos = F.when(v.isNotNull(), F.coalesce(F.ceil(F.try_divide(v - rng["lo"], width)), F.lit(1)))
+    return df.withColumn(out, F.when(pos.isNotNull(), F.least(F.greatest(pos, F.lit(1)), F.lit(bins)).cast("int") - 1))
 
 
 def quantile_bins(df: DataFrame, cols: Sequence[str], bins: int, suffix: str = "__bin") -> DataFrame:
@@ -162,7 +162,7 @@ def leakage_audit(df: DataFrame, target: str, categorical: Sequence[str] = (), n
 
 
 def deterministic_values(df: DataFrame, features: Sequence[str], target: str, floor: float = 0.99,
-                         min_support: int = 20) -> DataFrame:
+                         min_support: int = 1) -> DataFrame:
     """Largest class share per feature value; a value that fixes the class is flagged."""
     j = joint_counts(df, features, target)
     g = j.groupBy("feature", "value").agg(F.sum("n").alias("support"), F.max("n").alias("_m"),

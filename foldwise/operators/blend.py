@@ -34,7 +34,7 @@ def check_weights(weights: Sequence[float], n: int) -> list[float]:
 
 
 def blend_columns(models: Sequence[Sequence[Column]], weights: Sequence[float | Column] | None = None) -> list[Column]:
-    """Weighted mean probability per class, renormalised over the row."""
+    """Weighted mean probability per class, renormalised over the row; missing where a row's probabilities sum to zero."""
     if not models:
         raise ValueError("a blend needs at least one model")
     if len({len(m) for m in models}) != 1:
@@ -46,7 +46,7 @@ def blend_columns(models: Sequence[Sequence[Column]], weights: Sequence[float |
     ws = [w if isinstance(w, Column) else F.lit(float(w)) for w in weights]
     raw = [total([w * m[c] for w, m in zip(ws, models)]) for c in range(len(models[0]))]
     s = total(raw)
-    return [r / s for r in raw]
+    return [F.try_divide(r, s) for r in raw]
 
 
 def soft_blend(df: DataFrame, models: Sequence[str], weights: Sequence[float] | None = None, n_classes: int = 3,

@@ -112,15 +112,20 @@ def violations(df: DataFrame, specs: Sequence[ColumnSpec]) -> DataFrame:
     return out
 
 
-def require(df: DataFrame, specs: Sequence[ColumnSpec], shown: int = 200) -> DataFrame:
-    """Return the frame unchanged, or raise one error that names every kind of violation found."""
+def require(df: DataFrame, specs: Sequence[ColumnSpec]) -> DataFrame:
+    """Return the frame unchanged, or raise one error that names every check that failed and its column.
+
+    Unexpected values of a column are counted, with the first of them; violations() has them all.
+    """
     found = violations(df, specs).persist()
     try:
         n = found.count()
         if n:
-            rows = found.orderBy("check", "column_name", "detail").limit(shown).collect()
+            rows = found.groupBy("check", "column_name").agg(
+                F.count(F.lit(1)).alias("kinds"), F.sum("n_rows").alias("n_rows"), F.min("observed").alias("observed"),
+                F.min("detail").alias("detail")).orderBy("check", "column_name").collect()
             lines = [f"{r['check']} {r['column_name'] or ''} rows={r['n_rows']} observed={r['observed']} {r['detail'] or ''}"
-                     for r in rows]
+                     + (f" and {r['kinds'] - 1} more" if r["kinds"] > 1 else "") for r in rows]
             raise ContractError(f"{n} contract violation(s):\n  " + "\n  ".join(lines))
     finally:
         found.unpersist()

@@ -109,7 +109,7 @@ def percentile_ranks(df: DataFrame, value: str, out: str, fit: DataFrame | None
 def digit_features(df: DataFrame, value: str, decimals: int, n_digits: int, prefix: str) -> DataFrame:
     """Digits of the fixed-decimal rendering, least significant first."""
     units = F.round(F.abs(F.col(value)) * (10 ** decimals)).cast("bigint")
-    return df.withColumns({f"{prefix}_{i}": ((units / F.lit(10 ** i)).cast("bigint") % 10).cast("int") if i else (units % 10).cast("int")
+    return df.withColumns({f"{prefix}_{i}": (F.call_function("div", units, F.lit(10 ** i)) % 10).cast("int") if i else (units % 10).cast("int")
                            for i in range(n_digits)})
 
 

@@ -139,7 +139,7 @@ def ablation(df: DataFrame, key: Sequence[str], label: str, k: int, configs: dic
 
 def mean_importances(spark, kept: dict[int, list[float]], names: Sequence[str], top: int = 30) -> DataFrame:
     """Mean importance over fold models, largest first."""
-    rows = [(f, n, v) for f, vs in kept.items() for n, v in zip(names, vs)]
+    rows = [(f, n, float(v)) for f, vs in kept.items() for n, v in zip(names, vs, strict=True)]
     t = spark.createDataFrame(rows, "fit int, feature string, importance double")
     return t.groupBy("feature").agg(r6(F.avg("importance")).alias("importance")).orderBy(F.col("importance").desc(), "feature").limit(top)
 

@@ -56,10 +56,13 @@ def fold_contract(df: DataFrame, key: Sequence[str], label: str, fold: str = "fo
 
 
 def require_folds(df: DataFrame, key: Sequence[str], label: str, fold: str = "fold", k: int | None = None) -> DataFrame:
-    rows = fold_contract(df, key, label, fold).collect()
-    bad = [r for r in rows if not r["balanced"] or r["unassigned"] or r["repeated_ids"]]
-    if bad or (k is not None and len({r[fold] for r in rows}) != k):
-        raise ValueError(f"fold contract failed: {[r.asDict() for r in bad[:20]]}")
+    wrong = ~F.col("balanced") | (F.col("unassigned") > 0) | (F.col("repeated_ids") > 0)
+    rows = fold_contract(df, key, label, fold).groupBy(fold).agg(
+        F.count_if(wrong).alias("wrong_labels"), F.max(F.abs("delta")).alias("largest_delta"), F.max("unassigned").alias("unassigned"),
+        F.max("repeated_ids").alias("repeated_ids")).orderBy(fold).collect()
+    bad = [r for r in rows if r["wrong_labels"]]
+    if bad or (k is not None and len(rows) != k):
+        raise ValueError(f"fold contract failed, {len(rows)} folds: {[r.asDict() for r in bad]}")
     return df
 
 

@@ -1,6 +1,6 @@
 """Joining a fitted table onto a large one.
 
-The fitted side is broadcast only after its row count has been checked. Beyond
+The fitted side is broadcast only after its bytes have been counted. Beyond
 the limit the join is a shuffle join, where adaptive execution splits skewed
 partitions of the large side.
 """
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 _KEPT: list[DataFrame] = []
@@ -31,15 +31,23 @@ def release() -> None:
         _KEPT.pop().unpersist()
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a fitted table once and mark it for broadcast if it is small."""
+def estimated_bytes(df: DataFrame) -> int:
+    """Rows times the fixed width of their columns, and the bytes of texts and of what else has no fixed width."""
+    loose = [F.length(F.to_json(F.struct(c))) if not t.startswith(("string", "binary")) else F.octet_length(c)
+             for c, t in df.dtypes if t.startswith(("string", "binary", "array", "map", "struct"))]
+    more = sum((F.coalesce(x, F.lit(0)).cast("bigint") for x in loose), F.lit(0).cast("bigint"))
+    n, text = df.agg(F.count(F.lit(1)), F.sum(more)).first()
+    return n * (16 + 16 * len(df.columns)) + (text or 0)
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise a fitted table once and mark it for broadcast if its bytes are few."""
     df = keep(df)
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
 def attach(big: DataFrame, fitted: DataFrame, on: Sequence[str], how: str = "left",
-           limit: int = BROADCAST_ROWS) -> DataFrame:
+           limit: int = BROADCAST_BYTES) -> DataFrame:
     return big.join(sized(fitted, limit), list(on), how)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.functions.num import clip_high, kurt_corrected, missing, r6, skew_corrected, total
+from foldwise.functions.num import clip_high, kurt_corrected, missing, present, r6, skew_corrected, total
 from foldwise.operators.lookup import sized
 from foldwise.operators.ranks import long_form, quantile_cells, quantiles
 
@@ -132,15 +132,16 @@ def univariate_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def normality(df: DataFrame, cols: Sequence[str], min_rows: int = 8) -> DataFrame:
-    """D'Agostino-Pearson omnibus test from moments over all rows; missing below eight values."""
+    """D'Agostino-Pearson omnibus test from moments over all rows; a feature with fewer values keeps its row, with statistics missing."""
     s = long_form(df, cols).groupBy("feature").agg(
         F.count("value").cast("double").alias("n"), F.skewness("value").alias("g1"), (F.kurtosis("value") + 3).alias("b2"))
-    n, g1, b2 = F.col("n"), F.col("g1"), F.col("b2")
+    s = s.withColumn("n_enough", F.when(F.col("n") >= min_rows, F.col("n")))
+    n, g1, b2 = F.col("n_enough"), F.col("g1"), F.col("b2")
     # Skewness transformed to a normal score.
     y = g1 * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
     beta = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
     w2 = F.sqrt(2 * (beta - 1)) - 1
-    s = s.where(n >= min_rows).withColumns({"w2": w2, "y": y})
+    s = s.withColumns({"w2": w2, "y": y})
     a = F.sqrt(2 / (F.col("w2") - 1))
     z1 = F.log(F.col("y") / a + F.sqrt(F.pow(F.col("y") / a, F.lit(2.0)) + 1)) / F.sqrt(0.5 * F.log(F.col("w2")))
     # Kurtosis transformed to a normal score.
@@ -153,12 +154,12 @@ def normality(df: DataFrame, cols: Sequence[str], min_rows: int = 8) -> DataFram
     t = F.signum("d") * F.pow((1 - 2.0 / F.col("A")) / F.abs("d"), F.lit(1.0 / 3.0))
     z2 = (1 - 2.0 / (9.0 * F.col("A")) - t) / F.sqrt(2.0 / (9.0 * F.col("A")))
     s = s.withColumn("k2", F.col("z1") * F.col("z1") + z2 * z2)
-    return s.select("feature", n.cast("bigint").alias("n"), F.round("k2", 4).alias("k2"), r6(F.exp(-F.col("k2") / 2)).alias("p_value"))
+    return s.select("feature", F.col("n").cast("bigint").alias("n"), F.round("k2", 4).alias("k2"), r6(F.exp(-F.col("k2") / 2)).alias("p_value"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 80, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-width bins over the observed range; the maximum belongs to the last bin."""
-    v = F.col(value).cast("double")
+    """Equal-width bins over the observed range; the maximum belongs to the last bin. NULL and NaN are in no bin."""
+    v = present(F.col(value))
     rng = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("r")).scalar()
     w = (rng["hi"] - rng["lo"]) / bins
     b = F.least(F.coalesce(F.floor(F.try_divide(v - rng["lo"], w)), F.lit(0)), F.lit(bins - 1)).cast("int")

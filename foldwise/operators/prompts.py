@@ -71,12 +71,16 @@ def first_number(prompt: Column, pattern: str) -> Column:
 
 
 def rounding_band(pairs: Column, base) -> Column:
-    """(lo, hi, least squares) of the hidden factor for outputs rounded to two decimals; `base` maps a to its multiplier."""
-    lo = F.array_max(F.transform(pairs, lambda p: (p["b"] - HALF_STEP) / base(p["a"])))
-    hi = F.array_min(F.transform(pairs, lambda p: (p["b"] + HALF_STEP) / base(p["a"])))
+    """(lo, hi, least squares) of the hidden factor for outputs rounded to two decimals; `base` maps a to its multiplier.
+
+    Missing where a multiplier is zero: such a pair says nothing about the factor.
+    """
+    lo = F.array_max(F.transform(pairs, lambda p: F.try_divide(p["b"] - HALF_STEP, base(p["a"]))))
+    hi = F.array_min(F.transform(pairs, lambda p: F.try_divide(p["b"] + HALF_STEP, base(p["a"]))))
     num = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + base(p["a"]) * p["b"])
     den = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + base(p["a"]) * base(p["a"]))
-    return F.struct(lo.alias("lo"), hi.alias("hi"), F.try_divide(num, den).alias("fit"))
+    usable = ~F.exists(pairs, lambda p: base(p["a"]) == 0)
+    return F.when(usable, F.struct(lo.alias("lo"), hi.alias("hi"), F.try_divide(num, den).alias("fit")))
 
 
 def band_estimate(band: Column) -> Column:
@@ -114,7 +118,7 @@ def solve_fall(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     out = df.withColumns({"pairs": number_pairs(p, FALL_PAIR), "query": first_number(p, FALL_QUERY)})
     out = out.withColumn("band", F.when(F.size("pairs") > 0, rounding_band(F.col("pairs"), lambda t: t * t)))
     out = out.withColumn("factor", band_estimate(F.col("band")) * 2)
-    return out.withColumn("derived", (exact_scaled(F.lit(0.5) * F.col("factor") * F.col("query") * F.col("query"), 2) / F.lit(100.0)).cast("string"))
+    return out.withColumn("derived", F.regexp_replace(fixed_text(F.lit(0.5) * F.col("factor") * F.col("query") * F.col("query"), 2), "0$", ""))
 
 
 # Sentences of the unit-conversion trace.
@@ -242,7 +246,7 @@ def roman(n: Column) -> Column:
         table = ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten]
         return F.element_at(F.array(*[F.lit(t) for t in table]), (F.floor(n / F.lit(scale)) % 10).cast("int") + 1)
 
-    body = F.concat(F.repeat(F.lit("M"), F.floor(n / F.lit(1000)).cast("int")), digit(100, "C", "D", "M"), digit(10, "X", "L", "C"),
+    body = F.concat(F.repeat(F.lit("M"), F.floor(n / F.lit(1000)).try_cast("int")), digit(100, "C", "D", "M"), digit(10, "X", "L", "C"),
                     digit(1, "I", "V", "X"))
     return F.when(n > 0, body)
 

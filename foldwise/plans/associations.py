@@ -136,7 +136,7 @@ def leakage_audit(spark, sf):
 WITH c AS (SELECT 'l_linestatus' AS feature, l_linestatus AS value, l_returnflag AS y, count(*) AS n FROM lineitem GROUP BY ALL
  UNION ALL SELECT 'l_quantity', CAST(l_quantity AS VARCHAR), l_returnflag, count(*) FROM lineitem GROUP BY ALL)
 SELECT feature, value, CAST(sum(n) AS BIGINT) AS support, first(y ORDER BY n DESC, y) AS top_class, round(max(n) / sum(n), 6) AS max_share,
- max(n) / sum(n) >= 0.99 AND sum(n) >= 20 AS flagged FROM c GROUP BY 1, 2""")
+ max(n) / sum(n) >= 0.99 AND sum(n) >= 1 AS flagged FROM c GROUP BY 1, 2""")
 def deterministic_values(spark, sf):
     return A.deterministic_values(table(spark, sf, "lineitem"), ["l_linestatus", "l_quantity"], "l_returnflag")
 

@@ -69,10 +69,19 @@ SC = (f"{FO}, yl AS (SELECT *, CAST({Y_SQL} AS INTEGER) AS y FROM fo), "
       f"sc AS (SELECT *, {', '.join(_prob_exprs())} FROM yl)")
 
 
+def with_scores(df: DataFrame) -> DataFrame:
+    """Add class index y and three models' class probabilities p<m>_<c> to lineitem rows."""
+    return df.withColumn("y", F.expr(f"CAST({Y_SQL} AS INT)")).selectExpr("*", *_prob_exprs())
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Folded lineitem with class index y and three models' class probabilities p<m>_<c>."""
-    d = folded(spark, sf).withColumn("y", F.expr(f"CAST({Y_SQL} AS INT)"))
-    return d.selectExpr("*", *_prob_exprs())
+    """lineitem with scores, without folds: one scan and no shuffle."""
+    return with_scores(table(spark, sf, "lineitem"))
+
+
+def scored_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Folded lineitem with scores."""
+    return with_scores(folded(spark, sf))
 
 
 def model_columns(m: int) -> list[str]:

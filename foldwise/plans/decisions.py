@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foldwise.functions.num import argmax_columns, r6
 from foldwise.operators import blend as B
 from foldwise.operators import metrics as M
-from foldwise.plans.common import FLAGS, K, LINE_KEY, OQ, OS, PRIORITIES, SC, first_max, model_columns, ordinal, query, scored
+from foldwise.plans.common import FLAGS, K, LINE_KEY, OQ, OS, PRIORITIES, SC, first_max, model_columns, ordinal, query, scored, scored_folds
 from foldwise.plans.quality import fold_scores_sql, model_scores
 from foldwise.sources.tables import table
 
@@ -41,7 +41,7 @@ def soft_blend(spark, sf):
 
 
 def counts(spark, sf):
-    return B.blend_counts(scored(spark, sf).select("fold", "y", *[c for m in MATS for c in m]), MATS, "y")
+    return B.blend_counts(scored_folds(spark, sf).select("fold", "y", *[c for m in MATS for c in m]), MATS, "y")
 
 
 @query("simplex_grid", f"""
@@ -143,7 +143,7 @@ SELECT fold, m0, m1, m2, round(score, 6) AS inner_score, round(held, 6) AS score
   round((m0 - 1) ** 2 + (m1 - 1) ** 2 + (m2 - 1) ** 2, 12), m0, m1, m2) AS rn FROM ng) t WHERE rn = 1""".replace("round(score, 6) AS inner_score", "round(t.score, 6) AS inner_score"))
 def class_multipliers(spark, sf):
     names = ["m0", "m1", "m2"]
-    c = B.multiplier_counts(scored(spark, sf).select("fold", "y", *MATS[0]), MATS[0], "y", MULT)
+    c = B.multiplier_counts(scored_folds(spark, sf).select("fold", "y", *MATS[0]), MATS[0], "y", MULT)
     n = B.nested_selection(c, names, "y", 1.0, K)
     return n.select("fold", *names, r6(F.col("inner_score")).alias("inner_score"), r6(F.col("score")).alias("score"))
 

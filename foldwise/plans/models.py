@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.num import argmax_array, r6
 from foldwise.operators import evaluate as E
-from foldwise.plans.common import LINE_KEY, lines, model_columns, query, scored, sides
+from foldwise.plans.common import LINE_KEY, lines, model_columns, query, scored, scored_folds, sides
 from foldwise.operators.folds import stratified_folds
 from foldwise.sources.tables import table
 
@@ -75,14 +75,14 @@ def feature_pruning(spark, sf):
 def permutation_importance(spark, sf):
     d = frame(spark, sf)
     score = E.logistic(FEATURES, "label", max_iter=5, weight=None)(d.where("fold <> 0"))
-    return E.permutation_importance(d.where("fold = 0").select(*LINE_KEY, "label", *FEATURES), LINE_KEY, "label", score, ["p0_1", "p0_2", "l_tax"])
+    return E.permutation_importance(d.where("fold = 0").select(*LINE_KEY, "label", *FEATURES), LINE_KEY, "label", score, FEATURES)
 
 
 @query("stacking")
 def stacking(spark, sf):
-    d = scored(spark, sf)
+    d = scored_folds(spark, sf)
     lab = F.col("y").cast("double").alias("label")
-    base = {f"m{m}": d.select(*LINE_KEY, "fold", lab, F.array(*model_columns(m)).alias("probability")) for m in range(2)}
+    base = {f"m{m}": d.select(*LINE_KEY, "fold", lab, F.array(*model_columns(m)).alias("probability")) for m in range(3)}
     oof = E.stack(base, LINE_KEY, "label", 3, 5)
     return E.oof_scores(oof, "label").select("fold", r6(F.col("score")).alias("score"), "n")
 

@@ -9,7 +9,8 @@ from foldwise.operators import contracts as C
 from foldwise.operators import metrics as M
 from foldwise.operators import profile as P
 from foldwise.operators.folds import fold_contract
-from foldwise.plans.common import (FLAGS, FO, K, LINE_KEY, LINE_MD5, ON, SC, first_max, folded, model_columns, orders_with_nulls, query, scored)
+from foldwise.plans.common import (FLAGS, FO, K, LINE_KEY, LINE_MD5, ON, SC, first_max, folded, model_columns, orders_with_nulls, query, scored,
+                                   scored_folds)
 from foldwise.sources import files as S
 from foldwise.sources.tables import TABLES, shared_path, table
 
@@ -92,7 +93,7 @@ def fold_scores_sql(pred: str, name: str = "score") -> str:
 
 
 def model_scores(spark, sf, m: int):
-    d = scored(spark, sf).withColumn("yhat", argmax_columns([F.col(c) for c in model_columns(m)]))
+    d = scored_folds(spark, sf).withColumn("yhat", argmax_columns([F.col(c) for c in model_columns(m)]))
     return M.balanced_accuracy(d, "y", "yhat", ["fold"])
 
 
@@ -108,7 +109,7 @@ def run_records(spark, sf):
 
 
 @query("table_fingerprint", """
-SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)), 1, 15)) AS BIGINT)) AS VARCHAR) AS fingerprint
+SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(coalesce(length(CAST(l_orderkey AS VARCHAR)) || ':' || l_orderkey, '-') || coalesce(length(CAST(l_linenumber AS VARCHAR)) || ':' || l_linenumber, '-') || coalesce(length(CAST(l_partkey AS VARCHAR)) || ':' || l_partkey, '-') || coalesce(length(CAST(l_suppkey AS VARCHAR)) || ':' || l_suppkey, '-') || coalesce(length(CAST(l_returnflag AS VARCHAR)) || ':' || l_returnflag, '-') || coalesce(length(CAST(l_linestatus AS VARCHAR)) || ':' || l_linestatus, '-')), 1, 15)) AS BIGINT)) AS VARCHAR) AS fingerprint
 FROM lineitem""")
 def table_fingerprint(spark, sf):
     return S.table_fingerprint(table(spark, sf, "lineitem"), [*LINE_KEY, "l_returnflag", "l_linestatus"])

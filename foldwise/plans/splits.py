@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.num import r6
 from foldwise.operators import folds as H
-from foldwise.plans.common import FO, K, LINE_KEY, SC, folded, model_columns, query, scored
+from foldwise.plans.common import FO, K, LINE_KEY, SC, folded, model_columns, query, scored_folds
 from foldwise.sources.tables import table
 
 KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -88,7 +88,7 @@ UNION ALL SELECT {KEY_SQL}, CASE WHEN p2_0 = greatest(p2_0, p2_1, p2_2) THEN 0 W
  WHERE fold = 0 AND greatest(p2_0, p2_1, p2_2) >= 0.5""")
 def pseudo_label(spark, sf):
     from foldwise.functions.num import argmax_columns
-    d = scored(spark, sf)
+    d = scored_folds(spark, sf)
     cols = [F.col(c) for c in model_columns(2)]
     out = H.pseudo_label(d.where("fold <> 0").select(*LINE_KEY, "y"), d.where("fold = 0"), "y", F.greatest(*cols), argmax_columns(cols), 0.5)
     return out.select(*LINE_KEY, "y", "source", "weight")

@@ -56,12 +56,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def materialise(spark: SparkSession, path: str, build) -> DataFrame:
-    """Read a parquet folder when it is complete, otherwise build and write it first."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """Read a parquet folder when its writer has marked it complete, otherwise build and write it first.
+
+    Only a folder without the mark is written anew; any other trouble with a complete one is the caller's to see.
+    """
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def oof_table(df: DataFrame, key: Sequence[str], probs: Sequence[str], y: str, yhat: str) -> DataFrame:
@@ -97,7 +99,10 @@ def file_fingerprints(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def table_fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Row count and the sum of a 60-bit md5 prefix per row; independent of order and partitioning."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols])), 1, 15), 16, 10)
+    text = [F.col(c).cast("string") for c in cols]
+    # Length and value of each cell, so that neither a missing cell nor a separator in a text can stand for another row.
+    cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]
+    h = F.conv(F.substring(F.md5(F.concat(*cells)), 1, 15), 16, 10)
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h.cast("decimal(20,0)")).cast("decimal(38,0)").cast("string").alias("fingerprint"))
 
 

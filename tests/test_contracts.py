@@ -107,3 +107,24 @@ def test_materialise_builds_once(spark, tmp_path):
 
     assert S.materialise(spark, str(tmp_path / "m"), build).count() == S.materialise(spark, str(tmp_path / "m"), build).count() == 3
     assert calls == [1]
+
+
+def test_materialise_rebuilds_an_unfinished_folder(spark, tmp_path):
+    path = tmp_path / "half"
+    spark.range(10).write.parquet(str(path))
+    (path / "_SUCCESS").unlink()
+    assert S.materialise(spark, str(path), lambda: spark.range(99)).count() == 99
+
+
+def test_fingerprint_tells_where_a_cell_is_missing(spark):
+    one = spark.createDataFrame([("a", None)], "x string, y string")
+    other = spark.createDataFrame([(None, "a")], "x string, y string")
+    assert S.table_fingerprint(one, ["x", "y"]).first() != S.table_fingerprint(other, ["x", "y"]).first()
+
+
+def test_require_names_every_column(spark):
+    cols = [f"c{i}" for i in range(12)]
+    df = spark.createDataFrame([tuple(f"odd{k}" for _ in cols) for k in range(30)], ", ".join(f"{c} string" for c in cols))
+    with pytest.raises(C.ContractError) as e:
+        C.require(df, [C.ColumnSpec(c, "text", allowed=frozenset({"fine"})) for c in cols])
+    assert all(c in str(e.value) for c in cols) and "29 more" in str(e.value)

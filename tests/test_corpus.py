@@ -213,3 +213,21 @@ def test_padding_plan_covers_all_rows(spark):
     df = spark.range(53).withColumn("n", (F.col("id") % 20 + 1).cast("int"))
     rows = T.padding_plan(df, ["id"], "n", 8).collect()
     assert sum(r["n_rows"] for r in rows) == 53 and len(rows) == 7 and all(r["padded_to"] % 8 == 0 and r["padded_to"] >= r["longest"] for r in rows)
+
+
+def test_no_number_kills_the_job(spark):
+    from foldwise.functions.num import half_up_text
+    from foldwise.operators import prompts
+    rows = spark.createDataFrame([(1e30,), (2.5,), (None,)], "x double").select(half_up_text(F.col("x")).alias("t")).collect()
+    assert [r.t for r in rows] == [None, "2.50", None]
+    pairs = spark.createDataFrame([([(0.0, 1.0), (2.0, 4.0)],), ([(2.0, 4.0)],)], "p array<struct<a:double,b:double>>")
+    bands = [r.b for r in pairs.select(prompts.rounding_band(F.col("p"), lambda a: a).alias("b")).collect()]
+    assert bands[0] is None and bands[1].fit == 2.0
+    big = spark.createDataFrame([(9_999_999_999_999,), (14,)], "n long").select(prompts.roman(F.col("n")).alias("r")).collect()
+    assert [r.r for r in big] == [None, "XIV"]
+
+
+def test_rows_of_zeros_blend_to_missing(spark):
+    from foldwise.operators.blend import blend_columns
+    df = spark.createDataFrame([(0.0, 0.0), (1.0, 3.0)], "a double, b double")
+    assert [tuple(r) for r in df.select(*blend_columns([[F.col("a"), F.col("b")]])).collect()] == [(None, None), (0.25, 0.75)]

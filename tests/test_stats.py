@@ -122,8 +122,30 @@ def test_empty_weights_are_empty(spark):
     assert H.class_weights(spark.createDataFrame([], "y string"), "y").count() == 0
 
 
-def test_normality_needs_eight_rows(spark):
-    assert P.normality(spark.createDataFrame([(float(i),) for i in range(7)], "v double"), ["v"]).count() == 0
+def test_normality_keeps_short_features(spark):
+    rows = P.normality(spark.createDataFrame([(float(i), None) for i in range(7)], "v double, w double"), ["v"]).collect()
+    assert [(r.feature, r.n, r.k2, r.p_value) for r in rows] == [("v", 7, None, None)]
+
+
+def test_missing_and_nan_have_no_bin(spark):
+    from foldwise.operators.assoc import equal_width_bin
+    df = spark.createDataFrame([(0.0,), (5.0,), (10.0,), (None,), (float("nan"),)], "v double")
+    assert sorted(r.bin for r in equal_width_bin(df, "v", 2).collect() if r.bin is not None) == [0, 0, 1]
+    h = {r["bin"]: r["n"] for r in P.histogram(df, "v", 2).collect()}
+    assert h == {0: 1, 1: 2}
+
+
+def test_yates_counts_beyond_nine_digits(spark):
+    from foldwise.operators.assoc import association
+    n = 4_000_000_000
+    joint = spark.createDataFrame([("f", str(a), b, n + 5 * (a == b)) for a in (0, 1) for b in (0, 1)], "feature string, value string, _y int, n long")
+    assert association(joint, yates=True).first()["n"] == 4 * n + 10
+
+
+def test_importances_must_match_their_names(spark):
+    from foldwise.operators.evaluate import mean_importances
+    with pytest.raises(ValueError):
+        mean_importances(spark, {0: [0.5, 0.25, 0.25]}, ["a", "b"])
 
 
 def test_keep_first(spark):
