@@ -34,7 +34,8 @@ from foldwise.llm.components import components
 WORDS, SIMILAR = 5, Fraction(3, 4)
 #: Cells of a part, cells that a signature leaves out, parts for each part that is needed, entries in a group of packed hashes.
 CELLS, LEFT_OUT, SLACK, GROUP = 3, 1, Fraction(3, 2), 1 << 20
-SKETCH = 128
+#: Bits of a sketch.
+SKETCH = 2048
 
 
 # ---- sets of a block of texts --------------------------------------------------------
@@ -144,8 +145,8 @@ def signatures(s: np.ndarray, similar: Fraction = SIMILAR) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Elements by range of their hash, at most 255 each. The sum of the differences of two sketches is at most that of the sets."""
-    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
+    """Whether the number of elements is odd, for each range of hashes. Two sketches differ in at most as many bits as the sets have different elements."""
+    return np.packbits(np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1)
 
 
 # ---- steps -------------------------------------------------------------------------------
@@ -249,10 +250,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFr
 
 
 def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, roots: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of classes that share a signature and whose sizes and sketches allow them to be similar.
+    """Pairs (a, b) of classes that share a signature and whose sizes allow them to be similar.
 
     Without roots: of each bucket, the class that shares most with the others, with each of them. With roots (node, root): all pairs of a bucket
-    whose roots differ, but those of the first kind; the members are compared in blocks.
+    whose roots differ and whose sketches too allow it, but those of the first kind; the members are compared in blocks and only what passes is sent.
     """
     def spread(batches):
         for batch in batches:
@@ -263,11 +264,12 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
                 span = range(first, min(first + 1000, len(ids)))
                 sigs = [signatures(values[at[k]:at[k + 1]], similar) for k in span]
                 owner = np.repeat(np.arange(first, first + len(sigs)), [len(x) for x in sigs])
+                drawn = {k: sketch(values[at[k]:at[k + 1]]).tobytes() for k in span} if second else {}
                 rows = []
                 for g, o, h in pack_by_group(owner, np.concatenate([*sigs, np.zeros(0, np.uint64)]), n_groups):
                     who, local = np.unique(o, return_inverse=True)
                     sizes = (at[who + 1] - at[who]).astype(np.int64)
-                    sketches = b"".join(sketch(values[at[k]:at[k + 1]]).tobytes() for k in who)
+                    sketches = b"".join([drawn[k] for k in who]) if second else b""
                     rows.append((g, ids[who].tobytes(), root[who].tobytes(), sizes.tobytes(), sketches, local.astype(np.int32).tobytes(), h.tobytes()))
                 if rows:
                     cols = list(zip(*rows))
@@ -278,13 +280,12 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
     p, q = similar.numerator, similar.denominator
 
     def possible(i, j, sizes, sketches):
-        """Whether sizes and sketches allow i[k] and j[k] to be similar."""
-        ok = np.ones(len(i), bool)
-        for k in range(0, len(i), 20_000):
+        """Whether sizes, and sketches if there are any, allow i[k] and j[k] to be similar."""
+        ok = np.minimum(sizes[i], sizes[j]) * q >= np.maximum(sizes[i], sizes[j]) * p
+        for k in range(0, len(i) if second else 0, 20_000):
             x, y = i[k:k + 20_000], j[k:k + 20_000]
-            small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
-            apart = np.abs(sketches[x].astype(np.int16) - sketches[y]).sum(axis=1, dtype=np.int64)
-            ok[k:k + 20_000] = (small * q >= large * p) & (apart * (q + p) <= (small + large) * (q - p))
+            apart = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1, dtype=np.int64)
+            ok[k:k + 20_000] &= apart * (q + p) <= (sizes[x] + sizes[y]) * (q - p)
         return ok
 
     def meet(table: pa.Table) -> pa.Table:
@@ -294,7 +295,7 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
         ids, first, to = np.unique(np.concatenate(classes), return_index=True, return_inverse=True)
         root = np.unique(np.concatenate([np.frombuffer(x, "V16") for x in get("roots")]), return_inverse=True)[1][first]
         sizes = np.concatenate([np.frombuffer(x, np.int64) for x in get("sizes")])[first]
-        sketches = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, SKETCH) for x in get("sketches")])[first]
+        sketches = np.frombuffer(b"".join(get("sketches")), np.uint64).reshape(-1, SKETCH // 64)[first] if second else None
         owner = to[np.concatenate([np.frombuffer(x, np.int32) + b for x, b in zip(get("owner"), base)]).astype(np.int64)]
         sig = np.concatenate([np.frombuffer(x, np.uint64) for x in get("sig")])
         order = np.lexsort((owner, sig))
@@ -359,7 +360,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     shared = shared_counts(docs, text, words, max(1, total // GROUP))
     wanted = written(classes.join(shared, "class").where(f"{similar.denominator} * shared >= {similar.numerator} * n"), "partenum-wanted")
     sets = written(sets_of(docs, wanted, text, words), "partenum-sets")
-    n_groups = max(1, (sets.agg(F.sum("n")).first()[0] or 0) // GROUP)
+    n_groups = max(1, (sets.agg(F.sum("n")).first()[0] or 0) // (2 * GROUP))
     links = written(verified(candidates(sets, n_groups, similar), sets, similar), "partenum-links")
     more = written(candidates(sets, n_groups, similar, components(links)), "partenum-rest")
     if not more.isEmpty():
