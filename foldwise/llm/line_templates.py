@@ -23,7 +23,11 @@ WILD = "<*>"
 VARIABLE = "[^ \\t\\n\\x0B\\f\\r]*[0-9][^ \\t\\n\\x0B\\f\\r]*"
 
 
-def _tokens(line):
+def _split(line):
+    return F.split(F.trim(line, F.lit(SPACES)), SPACE_RE)
+
+
+def _masked(line):
     return F.split(F.regexp_replace(F.trim(line, F.lit(SPACES)), VARIABLE, WILD), SPACE_RE)
 
 
@@ -34,22 +38,25 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _leaf(tokens, depth: int):
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
+    """The leaf of a line's tokens, masked or not: their number and the leading ones."""
+    return F.xxhash64(F.size(tokens), F.transform(F.slice(tokens, 1, depth), lambda x: F.when(x.rlike("[0-9]"), WILD).otherwise(x)))
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least_docs: int = LEAST_DOCS,
                     least_tokens: int = LEAST_TOKENS, fixed: float = FIXED) -> DataFrame:
     """(k, th, gone): for each document that loses lines, their numbers from 0."""
     rows = _keyed(docs, key, text).select("k", "t", "th")
-    lines = F.transform(F.split("t", "\n"), lambda x, i: F.struct(_tokens(x).alias("tokens"), i.alias("i")))
-    parsed = rows.withColumn("lines", F.filter(lines, lambda x: F.size(x["tokens"]) >= least_tokens))
-    leaves = parsed.select("k", "th", F.explode(F.array_distinct(F.transform("lines", lambda x: _leaf(x["tokens"], depth)))).alias("leaf"))
-    # A leaf with fewer documents than that cannot hold a recurring template. The numbers of its lines go back to the texts, which are shuffled once.
+    # Of each line its leaf, null for lines that take no part; only its number of tokens and the leading ones are needed for that.
+    leaf_of = lambda x: F.when(F.size(_split(x)) >= least_tokens, _leaf(_split(x), depth))
+    leaves = rows.select("k", "th", F.explode(F.array_compact(F.array_distinct(F.transform(F.split("t", "\n"), leaf_of)))).alias("leaf"))
+    leaves = written(leaves, "template-leaves")
+    # A leaf with fewer documents than that cannot hold a recurring template. The other leaves go back to the texts, which are shuffled once.
     busy = leaves.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("leaf")
     wanted = leaves.select("th", "leaf").distinct().join(busy, "leaf").groupBy("th").agg(F.collect_set("leaf").alias("leaves"))
-    found = parsed.join(wanted, "th").select("k", "th", F.explode(F.filter("lines", lambda x: F.array_contains("leaves", _leaf(x["tokens"], depth)))).alias("l"))
-    found = written(found.select("k", "th", F.col("l.i").alias("i"), _leaf(F.col("l.tokens"), depth).alias("leaf"), F.col("l.tokens").alias("tokens"),
-                                 F.md5(F.array_join("l.tokens", " ")).alias("line")), "template-lines")
+    lines = rows.join(wanted, "th").select("k", "th", "leaves", F.posexplode(F.split("t", "\n")).alias("i", "line"))
+    lines = lines.withColumn("leaf", leaf_of(F.col("line"))).where(F.array_contains("leaves", F.col("leaf")))
+    found = lines.select("k", "th", "i", "leaf", _masked(F.col("line")).alias("tokens"))
+    found = written(found.withColumn("line", F.md5(F.array_join("tokens", " "))), "template-lines")
     distinct = found.select("k", "th", "leaf", "line", "tokens").groupBy("leaf", "line").agg(
         F.first("tokens").alias("tokens"), F.count_distinct(F.struct("k", "th")).alias("docs"))
     places = distinct.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token"))
