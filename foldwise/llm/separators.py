@@ -112,4 +112,5 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", block
     """
     folder = remember(shared_path(docs.sparkSession, "tokens"))
     files, order = write_token_files(docs, folder, key, text)
-    return scan_separators(files, block=block).join(order, ["path", "place"]).select(key, "n_tokens")
+    # The order is packed small on disk, so an estimate by its file size would broadcast it.
+    return scan_separators(files, block=block).join(order.hint("merge"), ["path", "place"]).select(key, "n_tokens")
