@@ -32,10 +32,12 @@ LEAST_REVISIT = 1000
 
 
 def train_dictionary(pages: DataFrame, payload: str = "html", sample: int = SAMPLE, size: int = DICTIONARY) -> bytes:
-    """A dictionary from a bounded sample: the records whose payloads' hashes are smallest. Empty if there is too little to learn from."""
+    """A dictionary from a bounded sample: the distinct payloads whose hashes are smallest. Empty if there is too little to learn from."""
     import zstandard
-    rows = (pages.select(F.encode(F.substring(payload, 1, SAMPLE_BYTES), "UTF-8").alias("p"), F.xxhash64(payload).alias("h"))
-            .where("length(p) > 0").orderBy("h", "p").limit(sample).select("p").collect())
+    keyed = pages.select(F.encode(F.substring(payload, 1, SAMPLE_BYTES), "UTF-8").alias("p"), F.xxhash64(payload).alias("h")).where("length(p) > 0")
+    # Hashes first, so that no task sends more than those to the driver.
+    most = keyed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = keyed.where(F.col("h") <= most).groupBy("h").agg(F.first("p").alias("p")).orderBy("h", "p").collect() if most is not None else []
     samples = [bytes(r.p)[:SAMPLE_BYTES] for r in rows]
     if len(samples) < 8:
         return b""
