@@ -6,6 +6,10 @@ that few documents have at its place is a variable field and becomes a wildcard
 too. What is left is the line's template. A template that enough documents share
 is dropped from all of them but the first.
 
+One more rule needs no template: a long line whose masked form two documents
+share. They are among the documents of the line's template, so the document that
+keeps a line is the same by each rule.
+
 Everything is joins and aggregates over (leaf, place, token); no leaf is parsed
 line after line in one task.
 """
@@ -19,6 +23,8 @@ from foldwise.llm.common import SPACE_RE, SPACES, quoted, written
 
 #: Leading tokens that lead to a leaf; documents that make a template recur; tokens from which a line takes part; share of tokens that must be fixed.
 DEPTH, LEAST_DOCS, LEAST_TOKENS, FIXED = 3, 3, 4, 0.6
+#: Tokens from which a masked line recurs in two documents.
+PAIR_TOKENS = 20
 WILD = "<*>"
 VARIABLE = "[^ \\t\\n\\x0B\\f\\r]*[0-9][^ \\t\\n\\x0B\\f\\r]*"
 
@@ -42,9 +48,25 @@ def _leaf(tokens, depth: int):
     return F.xxhash64(F.size(tokens), F.transform(F.slice(tokens, 1, depth), lambda x: F.when(x.rlike("[0-9]"), WILD).otherwise(x)))
 
 
+def _but_first(member: DataFrame, by: str, least) -> DataFrame:
+    """The rows (k, th, i, `by`) of what at least `least` documents share, less those of its first document."""
+    of = member.groupBy(by).agg(F.count_distinct(F.struct("k", "th")).alias("docs"), F.min(F.struct(F.col("k").isNull(), "k", "th")).alias("first"))
+    of = of.where(F.col("docs") >= least)
+    return member.join(of, by).where(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("th") == F.col("first.th"))))
+
+
+def equal_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", pair_tokens: int = PAIR_TOKENS) -> DataFrame:
+    """(k, th, i): lines of at least pair_tokens tokens whose masked form an earlier document has."""
+    pair = F.when(F.size(_split(F.col("line"))) >= pair_tokens, F.struct(F.lit(2).alias("least"), F.md5(F.array_join(_masked(F.col("line")), " ")).alias("id")))
+    same = F.array_compact(F.array(pair))
+    lines = _keyed(docs, key, text).select("k", "th", F.posexplode(F.split("t", "\n")).alias("i", "line"))
+    member = written(lines.select("k", "th", "i", F.explode(same).alias("same")), "template-equal")
+    return _but_first(member, "same", F.col("same.least")).select("k", "th", "i")
+
+
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least_docs: int = LEAST_DOCS,
-                    least_tokens: int = LEAST_TOKENS, fixed: float = FIXED) -> DataFrame:
-    """(k, th, gone): for each document that loses lines, their numbers from 0."""
+                    least_tokens: int = LEAST_TOKENS, fixed: float = FIXED, pair_tokens: int | None = PAIR_TOKENS) -> DataFrame:
+    """(k, th, gone): for each document that loses lines, their numbers from 0. Without pair_tokens, templates alone."""
     rows = _keyed(docs, key, text).select("k", "t", "th")
     # Of each line its leaf, null for lines that take no part; only its number of tokens and the leading ones are needed for that.
     leaf_of = lambda x: F.when(F.size(_split(x)) >= least_tokens, _leaf(_split(x), depth))
@@ -67,9 +89,9 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
                                                F.sum(F.when(token != WILD, 1).otherwise(0)).alias("n_fixed"), F.count("*").alias("n"))
     shape = shape.where(F.col("n_fixed") >= fixed * F.col("n")).select("line", F.md5(F.array_join(F.col("p.token"), " ")).alias("template"))
     member = found.select("k", "th", "i", "line").join(shape, "line")
-    of = member.groupBy("template").agg(F.count_distinct(F.struct("k", "th")).alias("docs"), F.min(F.struct(F.col("k").isNull(), "k", "th")).alias("first"))
-    of = of.where(F.col("docs") >= least_docs)
-    gone = member.join(of, "template").where(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("th") == F.col("first.th"))))
+    gone = _but_first(member, "template", least_docs).select("k", "th", "i")
+    if pair_tokens is not None:
+        gone = gone.union(equal_lines(docs, key, text, pair_tokens))
     return gone.groupBy("k", "th").agg(F.collect_set("i").alias("gone"))
 
 

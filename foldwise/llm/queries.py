@@ -145,5 +145,6 @@ o AS (SELECT raw.k, raw.t, list(raw.line ORDER BY raw.i) FILTER (g.i IS NULL) AS
       FROM raw LEFT JOIN g ON raw.k IS NOT DISTINCT FROM g.k AND raw.t = g.t AND raw.i = g.i GROUP BY raw.k, raw.t)
 SELECT k AS doc_id, n_lines, n_dropped, md5(array_to_string(coalesce(kept, []), chr(10))) AS kept_md5 FROM o""")
 def op8_line_templates(spark: SparkSession, sf: str) -> DataFrame:
-    kept = line_templates.drop_recurring_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    # The SQL has templates alone.
+    kept = line_templates.drop_recurring_lines(table(spark, sf, "documents").select("doc_id", "text"), pair_tokens=None)
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.md5("kept").alias("kept_md5"))

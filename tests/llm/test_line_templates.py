@@ -32,3 +32,11 @@ def test_repeats_inside_a_document_and_ties(spark):
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     assert oracle.compare(QUERIES["op8_line_templates"](spark, sf), oracle.connect(sf), ORACLES["op8_line_templates"]) is None
+
+
+def test_a_long_line_recurs_in_two_documents(spark):
+    passage = " ".join(f"word{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(55))
+    rows = [(1, f"a\n{passage} 17"), (2, f"b\n{passage} 18"), (3, f"c\n{passage[60:]} other"), (4, "d\nsix words that two documents share"), (5, "e\nsix words that two documents share")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert kept(df) == sorted([rows[0] + (0,), (2, "b", 1), *[r + (0,) for r in rows[2:]]], key=str)
+    assert kept(df, pair_tokens=None) == sorted([r + (0,) for r in rows], key=str)
