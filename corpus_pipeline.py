@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_templates.without_recurring_lines(docs, pair_tokens=None)  # the rules of op8_line_templates
+    out = line_templates.without_recurring_lines(docs, pair_tokens=None, exact_docs=None)  # the rules of op8_line_templates
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
 
 

@@ -6,9 +6,10 @@ that few documents have at its place is a variable field and becomes a wildcard
 too. What is left is the line's template. A template that enough documents share
 is dropped from all of them but the first.
 
-One more rule needs no template: a long line whose masked form two documents
-share. They are among the documents of the line's template, so the document that
-keeps a line is the same by each rule.
+Two more rules need no template: a long line whose masked form two documents
+share, and a line of any length or kind that many documents have letter by
+letter. Their documents are among those of the line's template, so the document
+that keeps a line is the same by each rule.
 
 Everything is joins and aggregates over (leaf, place, token); no leaf is parsed
 line after line in one task.
@@ -23,8 +24,8 @@ from foldwise.llm.common import SPACE_RE, SPACES, quoted, written
 
 #: Leading tokens that lead to a leaf; documents that make a template recur; tokens from which a line takes part; share of tokens that must be fixed.
 DEPTH, LEAST_DOCS, LEAST_TOKENS, FIXED = 3, 3, 4, 0.6
-#: Tokens from which a masked line recurs in two documents.
-PAIR_TOKENS = 20
+#: Tokens from which a masked line recurs in two documents; documents in which a line recurs whatever its tokens.
+PAIR_TOKENS, EXACT_DOCS = 20, 10
 WILD = "<*>"
 VARIABLE = "[^ \\t\\n\\x0B\\f\\r]*[0-9][^ \\t\\n\\x0B\\f\\r]*"
 
@@ -55,18 +56,22 @@ def _but_first(member: DataFrame, by: str, least) -> DataFrame:
     return member.join(of, by).where(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("th") == F.col("first.th"))))
 
 
-def equal_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", pair_tokens: int = PAIR_TOKENS) -> DataFrame:
-    """(k, th, i): lines of at least pair_tokens tokens whose masked form an earlier document has."""
+def equal_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", pair_tokens: int | None = PAIR_TOKENS,
+                exact_docs: int | None = EXACT_DOCS) -> DataFrame:
+    """(k, th, i): lines of at least pair_tokens tokens whose masked form an earlier document has, and lines that exact_docs documents have. None is never."""
+    line = F.trim("line", F.lit(SPACES))
     pair = F.when(F.size(_split(F.col("line"))) >= pair_tokens, F.struct(F.lit(2).alias("least"), F.md5(F.array_join(_masked(F.col("line")), " ")).alias("id")))
-    same = F.array_compact(F.array(pair))
+    exact = F.when(line != "", F.struct(F.lit(exact_docs).cast("int").alias("least"), F.md5(line).alias("id")))
+    same = F.array_compact(F.array(*[x for x, on in ((pair, pair_tokens), (exact, exact_docs)) if on is not None]))
     lines = _keyed(docs, key, text).select("k", "th", F.posexplode(F.split("t", "\n")).alias("i", "line"))
     member = written(lines.select("k", "th", "i", F.explode(same).alias("same")), "template-equal")
     return _but_first(member, "same", F.col("same.least")).select("k", "th", "i")
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least_docs: int = LEAST_DOCS,
-                    least_tokens: int = LEAST_TOKENS, fixed: float = FIXED, pair_tokens: int | None = PAIR_TOKENS) -> DataFrame:
-    """(k, th, gone): for each document that loses lines, their numbers from 0. Without pair_tokens, templates alone."""
+                    least_tokens: int = LEAST_TOKENS, fixed: float = FIXED, pair_tokens: int | None = PAIR_TOKENS,
+                    exact_docs: int | None = EXACT_DOCS) -> DataFrame:
+    """(k, th, gone): for each document that loses lines, their numbers from 0. least_tokens and fixed are for templates alone."""
     rows = _keyed(docs, key, text).select("k", "t", "th")
     # Of each line its leaf, null for lines that take no part; only its number of tokens and the leading ones are needed for that.
     leaf_of = lambda x: F.when(F.size(_split(x)) >= least_tokens, _leaf(_split(x), depth))
@@ -90,8 +95,8 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     shape = shape.where(F.col("n_fixed") >= fixed * F.col("n")).select("line", F.md5(F.array_join(F.col("p.token"), " ")).alias("template"))
     member = found.select("k", "th", "i", "line").join(shape, "line")
     gone = _but_first(member, "template", least_docs).select("k", "th", "i")
-    if pair_tokens is not None:
-        gone = gone.union(equal_lines(docs, key, text, pair_tokens))
+    if pair_tokens is not None or exact_docs is not None:
+        gone = gone.union(equal_lines(docs, key, text, pair_tokens, exact_docs))
     return gone.groupBy("k", "th").agg(F.collect_set("i").alias("gone"))
 
 
@@ -99,7 +104,7 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     """docs as struct `row`, with n_lines, n_dropped and `kept`, the text without its recurring lines.
 
     The first document of a template, by key (null keys last) and then by the text's digest, keeps its lines. Rows with one key and text are one
-    document and share its fate. Lines of few tokens and blank ones always stay; a null text counts as empty, with one blank line; an empty table
+    document and share its fate. Blank lines always stay, and lines of few tokens unless exact_docs documents have them; a null text counts as empty, with one blank line; an empty table
     gives an empty table. Columns of docs can have any name.
     """
     gone = recurring_lines(docs, key, text, **options)

@@ -40,3 +40,11 @@ def test_a_long_line_recurs_in_two_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert kept(df) == sorted([rows[0] + (0,), (2, "b", 1), *[r + (0,) for r in rows[2:]]], key=str)
     assert kept(df, pair_tokens=None) == sorted([r + (0,) for r in rows], key=str)
+
+
+def test_exact_repeats_of_any_tokens(spark):
+    rows = [(i, f"own{chr(97 + i)} text\n\nAll rights reserved.\n12 03 2020 10:30 5 comments\n12 03 2020 10:30 {i} views") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(0, rows[0][1], 0), *[(i, f"own{chr(97 + i)} text\n\n12 03 2020 10:30 {i} views", 2) for i in range(1, 12)]]
+    assert kept(df) == sorted(want, key=str)
+    assert kept(df, exact_docs=13) == sorted([(*r, 0) for r in rows], key=str)
