@@ -11,7 +11,8 @@ Three things keep the join linear: equal sets are one class; a class most of
 whose shingles occur in no other class can have no partner and makes no
 signatures; and in a bucket of classes with one signature only the class that
 shares most is compared with the others, until the components that this gives
-leave a bucket with more than one component.
+leave a bucket with more than one component. The last is for grouping alone:
+similar_pairs() compares all members of every bucket and gives all links.
 
 Shingles are compared by 64-bit hashes.
 """
@@ -249,11 +250,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFr
     return picked.select("t").mapInArrow(run, "class binary, n long, s array<bigint>")
 
 
-def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, roots: DataFrame | None = None) -> DataFrame:
+def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, roots: DataFrame | None = None, every: bool = False) -> DataFrame:
     """Pairs (a, b) of classes that share a signature and whose sizes allow them to be similar.
 
     Without roots: of each bucket, the class that shares most with the others, with each of them. With roots (node, root): all pairs of a bucket
     whose roots differ and whose sketches too allow it, but those of the first kind; the members are compared in blocks and only what passes is sent.
+    With every: all pairs of a bucket whose sketches allow it, sent block by block.
     """
     def spread(batches):
         for batch in batches:
@@ -276,7 +278,7 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
                                                      ["g", "classes", "roots", "sizes", "sketches", "owner", "sig"])
 
-    second = roots is not None
+    second = roots is not None or every
     p, q = similar.numerator, similar.denominator
 
     def possible(i, j, sizes, sketches):
@@ -305,6 +307,8 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
         sig, owner = sig[new], owner[new]
         bucket, size = np.unique(sig, return_inverse=True, return_counts=True)[1:]
         sig, owner = bucket[size[bucket] > 1], owner[size[bucket] > 1]
+        if every:
+            return ids, sizes, sketches, sig, owner
         order = np.lexsort((owner, -np.bincount(owner, minlength=len(ids))[owner], sig))
         sig, owner = sig[order], owner[order]
         start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
@@ -333,10 +337,23 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
             i, j = pairs // max(1, len(ids)), pairs % max(1, len(ids))
         return pa.table([binary(ids[i]), binary(ids[j])], ["a", "b"])
 
+    def meet_every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, sketches, sig, owner = meet(pa.Table.from_batches(list(batches)))
+        done = set()
+        for who in np.split(owner, np.flatnonzero(np.diff(sig)) + 1):
+            if (seen := who.tobytes()) in done:
+                continue
+            done.add(seen)
+            for k in range(0, len(who), 256):
+                x, y = (z.ravel() for z in np.meshgrid(who[k:k + 256], who[k:], indexing="ij"))
+                x, y = x[x < y], y[x < y]
+                ok = possible(x, y, sizes, sketches)
+                yield pa.RecordBatch.from_arrays([binary(ids[x[ok]]), binary(ids[y[ok]])], ["a", "b"])
+
     rooted = sets.withColumn("root", F.col("class")) if roots is None else (
         sets.join(roots, sets["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class")))
     packed = rooted.select("class", "s", "root").mapInArrow(spread, "g long, classes binary, roots binary, sizes binary, sketches binary, owner binary, sig binary")
-    return packed.groupBy("g").applyInArrow(meet, "a binary, b binary").distinct()
+    return packed.groupBy("g").applyInArrow(meet_every if every else meet, "a binary, b binary").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: Fraction = SIMILAR) -> DataFrame:
@@ -347,13 +364,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: Fraction = SIMILAR) ->
     return both.where(f"{similar.denominator} * i >= {similar.numerator} * (na + nb - i)").select("a", "b").distinct()
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similar: Fraction = SIMILAR) -> DataFrame:
-    """(key, th, n_shingles, component_id, class, root) for every row of docs.
-
-    component_id is the least key that links lead to, the row's own included; th is xxhash64 of the text. Rows without words or text have no
-    shingles and no links. Null keys are never the least; where a component has no other, component_id is null. Repeated rows are linked with each
-    other. An empty table gives an empty table.
-    """
+def _prepared(docs: DataFrame, key: str, text: str, words: int, similar: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Rows with their class; the classes; the sets of those that can have a partner; groups of signatures."""
     rows = written(classes_of(docs, key, text, words), "partenum-classes")
     classes = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("key", "th"))["th"].alias("th"), F.min("key").alias("least"), F.max("n").alias("n"))
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -361,6 +373,46 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     wanted = written(classes.join(shared, "class").where(f"{similar.denominator} * shared >= {similar.numerator} * n"), "partenum-wanted")
     sets = written(sets_of(docs, wanted, text, words), "partenum-sets")
     n_groups = max(1, (sets.agg(F.sum("n")).first()[0] or 0) // (2 * GROUP))
+    return rows, classes, sets, n_groups
+
+
+def _pairs(sets: DataFrame, n_groups: int, similar: Fraction) -> DataFrame:
+    return written(verified(candidates(sets, n_groups, similar, every=True), sets, similar), "partenum-links")
+
+
+def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similar: Fraction = SIMILAR) -> DataFrame:
+    """(a, b, rows_a, rows_b): every pair a < b of similar classes, with their numbers of rows, so that it stands for rows_a * rows_b links.
+
+    Classes of one row each give one link a pair; the rows of one class are linked with each other and make no pair here. The number of pairs can
+    be the square of a group of near copies.
+    """
+    rows, _, sets, n_groups = _prepared(docs, key, text, words, similar)
+    count = rows.where("n > 0").groupBy("class").agg(F.count("*").alias("rows"))
+    pairs = _pairs(sets, n_groups, similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for c in "ab":
+        pairs = pairs.join(count.select(F.col("class").alias(c), F.col("rows").alias(f"rows_{c}")), c)
+    return pairs.select("a", "b", "rows_a", "rows_b")
+
+
+def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similar: Fraction = SIMILAR) -> DataFrame:
+    """(key, th, n_shingles, class, links) for every row of docs: with how many other rows it is similar. Rows without words have no links."""
+    rows, _, sets, n_groups = _prepared(docs, key, text, words, similar)
+    count = rows.where("n > 0").groupBy("class").agg(F.count("*").alias("rows"))
+    pairs = _pairs(sets, n_groups, similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = pairs.union(pairs.select("b", "a")).toDF("class", "other")
+    of = both.join(count.toDF("other", "more"), "other").groupBy("class").agg(F.sum("more").alias("more"))
+    links = count.join(of, "class", "left").select("class", (F.col("rows") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    return rows.join(links, "class", "left").select("key", "th", F.col("n").alias("n_shingles"), "class", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similar: Fraction = SIMILAR) -> DataFrame:
+    """(key, th, n_shingles, component_id, class, root) for every row of docs.
+
+    component_id is the least key that links lead to, the row's own included; th is xxhash64 of the text. Rows without words or text have no
+    shingles and no links. Null keys are never the least; where a component has no other, component_id is null. Repeated rows are linked with each
+    other. An empty table gives an empty table.
+    """
+    rows, classes, sets, n_groups = _prepared(docs, key, text, words, similar)
     links = written(verified(candidates(sets, n_groups, similar), sets, similar), "partenum-links")
     more = written(candidates(sets, n_groups, similar, components(links)), "partenum-rest")
     if not more.isEmpty():

@@ -114,3 +114,20 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op10_partenum"](spark, sf).collect()), key=str) == brute(rows)
+
+
+def test_pairs_equal_all_pairs(spark):
+    rows = corpus(1, 110)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = [shingles(t) for _, t in rows]
+    near = lambda a, b: bool(a and b) and 4 * len(a & b) >= 3 * len(a | b)
+    want = [sum(near(s, t) for t in sets) - bool(s) for s in sets]
+    got = p.link_counts(df).collect()
+    assert sorted((str(x.key), x.n_shingles, x.links) for x in got) == sorted((str(k), len(s), n) for (k, _), s, n in zip(rows, sets, want))
+    pairs = p.similar_pairs(df).collect()
+    assert all(x.a < x.b for x in pairs) and len({(x.a, x.b) for x in pairs}) == len(pairs)
+    equal = sum(s == t for i, s in enumerate(sets) for t in sets[:i] if s)
+    assert sum(x.rows_a * x.rows_b for x in pairs) + equal == sum(want) // 2
+    classes = {frozenset(s) for s in sets if s}
+    assert len(pairs) == sum(near(a, b) for a in classes for b in classes if a != b) // 2
+    assert p.similar_pairs(df.limit(0)).count() == p.link_counts(df.limit(0)).count() == 0
