@@ -6,6 +6,9 @@ block in one vector comparison. A prefix scan over the blocks' counts and last
 separators then says where the document that a block starts in began, and which
 document of the file it is, so that documents which cross blocks, or span many,
 come out whole.
+
+Tokens are white-space words here and their ids hashes: no vocabulary is used, so
+counts differ from those of the encoders.
 """
 
 from __future__ import annotations
