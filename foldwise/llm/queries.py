@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bitplanes, bpe_stream, bwt_merge, katz, line_templates, partenum, separators, spaced_seeds, warc, weak_rules
+from foldwise.llm import (bitplanes, bpe_stream, bwt_merge, cover_tree, katz, line_templates, partenum, separators, spaced_seeds, warc, weak_rules,
+                          whitening)
 from foldwise.llm.registry import ORACLES, QUERIES, query
 from foldwise.sources.tables import table
 
@@ -148,3 +149,19 @@ def op8_line_templates(spark: SparkSession, sf: str) -> DataFrame:
     # The SQL has templates alone.
     kept = line_templates.drop_recurring_lines(table(spark, sf, "documents").select("doc_id", "text"), pair_tokens=None, exact_docs=None)
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.md5("kept").alias("kept_md5"))
+
+
+# ---- 12: whitening of embeddings ------------------------------------------------------
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings")).drop("deviation_text")
+
+
+# ---- 13: hard negatives -----------------------------------------------------------------
+
+@query("op13_hard_negatives")
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return cover_tree.hard_negatives(rows, F.col("vec_id") % 100 == 0)
