@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import (bitplanes, bpe_stream, bwt_merge, cover_tree, katz, line_templates, partenum, separators, spaced_seeds, warc, weak_rules,
+from foldwise.llm import (bitplanes, block_labeller, bpe_stream, bwt_merge, cover_tree, katz, line_templates, partenum, separators, spaced_seeds, warc, weak_rules,
                           whitening)
 from foldwise.llm.registry import ORACLES, QUERIES, query
 from foldwise.sources.tables import table
@@ -151,6 +151,13 @@ def op8_line_templates(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.md5("kept").alias("kept_md5"))
 
 
+# ---- 11: main text of web pages -------------------------------------------------------
+
+@query("op11_block_labeller")
+def op11_block_labeller(spark: SparkSession, sf: str) -> DataFrame:
+    return block_labeller.article_text(table(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 # ---- 12: whitening of embeddings ------------------------------------------------------
 
 @query("op12_whitening")
