@@ -131,7 +131,7 @@ def op3_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_line_templates", r"""
 WITH d AS (SELECT doc_id AS k, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 raw AS (SELECT k, t, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM d),
-tok AS (SELECT k, t, i, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM raw),
+tok AS (SELECT k, t, i, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM raw),
 l AS (SELECT *, len(w) AS n, w[1:3] AS head FROM tok WHERE len(w) >= 4),
 leaf AS (SELECT n, head FROM (SELECT DISTINCT k, t, n, head FROM l) GROUP BY n, head HAVING count(*) >= 3),
 f AS (SELECT l.* FROM l JOIN leaf USING (n, head)),
@@ -139,15 +139,16 @@ u AS (SELECT n, head, w, count(DISTINCT (k, t)) AS docs FROM f GROUP BY n, head,
 p AS (SELECT *, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM u),
 c AS (SELECT *, CASE WHEN sum(docs) OVER (PARTITION BY n, head, place, token) >= 3 THEN token ELSE '<*>' END AS shown FROM p),
 s AS (SELECT n, head, w, list(shown ORDER BY place) AS template FROM c GROUP BY n, head, w HAVING count(*) FILTER (shown <> '<*>') >= 0.6 * count(*)),
-m AS (SELECT f.k, f.t, f.i, s.template FROM f JOIN s USING (n, head, w)),
-r AS (SELECT template, min((k IS NULL, k, md5(t))) AS first FROM m GROUP BY template HAVING count(DISTINCT (k, t)) >= 3),
-g AS (SELECT DISTINCT m.k, m.t, m.i FROM m JOIN r USING (template) WHERE (m.k IS NULL, m.k, md5(m.t)) <> first),
+same AS (SELECT f.k, f.t, f.i, 3 AS least, array_to_string(s.template, ' ') AS id FROM f JOIN s USING (n, head, w)
+         UNION ALL SELECT k, t, i, 2, array_to_string(w, ' ') FROM tok WHERE len(w) >= 20
+         UNION ALL SELECT k, t, i, 10, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') FROM tok WHERE len(w) > 0),
+r AS (SELECT least, id, min((k IS NULL, k, md5(t))) AS first FROM same GROUP BY least, id HAVING count(DISTINCT (k, t)) >= least),
+g AS (SELECT DISTINCT same.k, same.t, same.i FROM same JOIN r USING (least, id) WHERE (same.k IS NULL, same.k, md5(same.t)) <> first),
 o AS (SELECT raw.k, raw.t, list(raw.line ORDER BY raw.i) FILTER (g.i IS NULL) AS kept, count(g.i) AS n_dropped, count(*) AS n_lines
       FROM raw LEFT JOIN g ON raw.k IS NOT DISTINCT FROM g.k AND raw.t = g.t AND raw.i = g.i GROUP BY raw.k, raw.t)
 SELECT k AS doc_id, n_lines, n_dropped, md5(array_to_string(coalesce(kept, []), chr(10))) AS kept_md5 FROM o""")
 def op8_line_templates(spark: SparkSession, sf: str) -> DataFrame:
-    # The SQL has templates alone.
-    kept = line_templates.drop_recurring_lines(table(spark, sf, "documents").select("doc_id", "text"), pair_tokens=None, exact_docs=None)
+    kept = line_templates.drop_recurring_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.md5("kept").alias("kept_md5"))
 
 

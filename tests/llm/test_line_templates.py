@@ -48,3 +48,18 @@ def test_exact_repeats_of_any_tokens(spark):
     want = [(0, rows[0][1], 0), *[(i, f"own{chr(97 + i)} text\n\n12 03 2020 10:30 {i} views", 2) for i in range(1, 12)]]
     assert kept(df) == sorted(want, key=str)
     assert kept(df, exact_docs=13) == sorted([(*r, 0) for r in rows], key=str)
+
+
+def test_wide_leaves_are_parsed_by_token(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert kept(docs, leaf_lines=2) == kept(docs)
+
+
+def test_long_texts_and_text_keys(spark):
+    same = "one footer of five words"
+    rows = [("b", "word " * 300_000 + "end"), ("a", "\n".join(f"line {chr(97 + k % 26)}{chr(97 + k // 26)} of its own{chr(97 + k % 7)}" for k in range(600)) + f"\n{same}"),
+            ("c", f"{same}\nx"), (None, f"{same}\ny"), ("d", "\n\n"), ("d", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(2)
+    got = {(x.row.doc_id, x.n_lines): (x.n_dropped, x.kept) for x in t.drop_recurring_lines(df).collect()}
+    assert got[("b", 1)] == (0, rows[0][1]) and got[("a", 601)][0] == 0 and got[("c", 2)] == (1, "x") and got[(None, 2)] == (1, "y")
+    assert got[("d", 3)] == (0, "\n\n") and got[("d", 1)] == (0, "")
