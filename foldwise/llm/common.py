@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldwise.sources.tables import shared_path
 
@@ -32,6 +33,38 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unwrite(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate that nothing will read any more."""
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def last_written() -> str:
+    return _WRITTEN[-1]
+
+
+#: Bits of a filter of hashes.
+FILTER_BITS = 1 << 24
+
+
+def hash_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """A filter with a bit for the hashes (long) of a column: FILTER_BITS bits, packed, whatever the number of rows. It lets through all of
+    them, and others the more the fuller it is."""
+    bits = hashes.select(F.expr(f"pmod({column}, {FILTER_BITS}L)").alias("bit"))
+    words = bits.groupBy(F.expr("bit div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for w in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
+        out[w["w"]] = w["bits"]
+    return out
+
+
+def passes(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.view(np.int64) % FILTER_BITS
+    return (packed[at >> 6] >> (at & 63) & 1).astype(bool)
+
+
 def remember(path: str) -> str:
     """Add a folder of files to what forget() deletes."""
     _WRITTEN.append(path)

@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import SPACES, mix, quoted, span_hashes, text_blocks, with_columns, word_spans, written
+from foldwise.llm.common import SPACES, hash_filter, mix, passes, quoted, span_hashes, text_blocks, with_columns, word_spans, written
 from foldwise.operators.lookup import estimated_bytes
 
 #: Leading tokens that lead to a leaf; documents that make a template recur; tokens from which a line takes part; share of tokens that must be fixed.
 DEPTH, LEAST_DOCS, LEAST_TOKENS, FIXED = 3, 3, 4, 0.6
 #: Tokens from which a masked line recurs in two documents; documents in which a line recurs whatever its tokens.
 PAIR_TOKENS, EXACT_DOCS = 20, 10
-#: Bits of the filter that marks busy leaves; different lines from which a leaf is taken apart; bytes up to which the lost lines are sent to all tasks.
-FILTER_BITS, LEAF_LINES, SENT_BYTES = 1 << 24, 200_000, 32 << 20
+#: Different lines from which a leaf is taken apart; bytes up to which the lost lines are sent to all tasks.
+LEAF_LINES, SENT_BYTES = 200_000, 32 << 20
 #: Hash of a wildcard, and odd factors for places.
 WILD, STEP, TURN = np.uint64(0x57494C44), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -98,27 +98,16 @@ def hashed_lines(docs: DataFrame, key: str, text: str, depth: int = DEPTH) -> Da
     return rows.mapInArrow(run, with_columns(rows, ["k", "d"], "i int, n int, leaf long, line long, exact long"))
 
 
-def leaf_filter(busy: DataFrame) -> np.ndarray:
-    """A bit for each hash of a leaf, FILTER_BITS in all whatever the number of leaves."""
-    bits = busy.select(F.expr(f"pmod(leaf, {FILTER_BITS}L)").alias("bit"))
-    words = bits.groupBy(F.expr("bit div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for w in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
-        out[w["w"]] = w["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
-
-
 def busy_lines(docs: DataFrame, key: str, text: str, marked: np.ndarray, depth: int, least_tokens: int) -> DataFrame:
-    """(k, d, i, leaf, line, tokens) of the lines whose leaf's bit is set; a few of other leaves come along and make no template."""
+    """(k, d, i, leaf, line, tokens) of the lines whose leaf passes the filter; a few of other leaves come along and make no template."""
     rows = _keyed(docs, key, text).select("k", "d", "t")
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
+    sent = docs.sparkSession.sparkContext.broadcast(marked)
 
     def run(batches):
-        bits = np.unpackbits(sent.value).view(bool)
         for batch in batches:
             for first, data, bounds in text_blocks(batch.column(2)):
                 x = Lines(data, bounds, depth)
-                which = np.flatnonzero((x.n >= least_tokens) & bits[x.leaf.view(np.int64) % FILTER_BITS])
+                which = np.flatnonzero((x.n >= least_tokens) & passes(sent.value, x.leaf))
                 at = pa.array(x.row[which] + first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(x.i[which], pa.int32()), _signed(x.leaf[which]),
                                                   _signed(x.line[which]), x.packed(which)], ["k", "d", "i", "leaf", "line", "tokens"])
@@ -218,7 +207,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     often = written(often.where(F.col("n") >= F.col("least")).select("kind", "least", "id"), "template-often")
     gone = []
     # Templates: the tokens of lines in busy leaves, each different line once.
-    found = written(busy_lines(docs, key, text, leaf_filter(often.where("kind = 0").select(F.col("id").alias("leaf"))), depth, least_tokens), "template-busy")
+    found = written(busy_lines(docs, key, text, hash_filter(often.where("kind = 0"), "id"), depth, least_tokens), "template-busy")
     distinct = found.groupBy("leaf", "line").agg(F.count_distinct(F.struct("k", "d")).alias("docs"), F.max("tokens").alias("tokens"))
     distinct = written(distinct, "template-distinct")
     wide = written(distinct.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf_lines).select("leaf"), "template-wide")

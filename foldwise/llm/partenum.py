@@ -26,10 +26,11 @@ from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import SPACES, hashed_words, mix, text_blocks, written
+from foldwise.llm.common import SPACES, hash_filter, hashed_words, mix, passes, text_blocks, written
 from foldwise.llm.components import components
 
 WORDS, SIMILAR = 5, Fraction(3, 4)
@@ -185,6 +186,7 @@ def shared_counts(docs: DataFrame, text: str, words: int, n_groups: int) -> Data
     classes of one block is sent once for all of them.
     """
     def spread(batches):
+        part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for _, data, bounds in text_blocks(batch.column(0)):
                 s, at = shingle_sets(data, bounds, words)
@@ -193,9 +195,11 @@ def shared_counts(docs: DataFrame, text: str, words: int, n_groups: int) -> Data
                 ids = class_ids(s, at)[pick]
                 if not len(pick):
                     continue
+                block, number = part << 32 | number, number + 1
                 owner = np.repeat(np.arange(len(pick)), np.diff(at)[pick])
                 own = np.concatenate([s[at[k]:at[k + 1]] for k in pick])
-                rows = []
+                short = ids.view(np.uint64)[::2]
+                rows = [(-1 - block, block, ids.tobytes(), b"", b"", b"", b"", b"")]  # the block's classes, for its answers
                 for g, o, h in pack_by_group(owner, own, n_groups):
                     low = (h // np.uint64(n_groups)).astype(np.uint32)
                     u, inverse, count = np.unique(low, return_inverse=True, return_counts=True)
@@ -203,38 +207,55 @@ def shared_counts(docs: DataFrame, text: str, words: int, n_groups: int) -> Data
                     who, local = np.unique(o, return_inverse=True)
                     done = np.bincount(local[many], minlength=len(who)).astype(np.int32)
                     alone = ~many
-                    rows.append((g, ids[who].tobytes(), done.tobytes(), local[alone].astype(np.int32).tobytes(), low[alone].tobytes(), u[count > 1].tobytes()))
+                    rows.append((g, block, short[who].tobytes(), who.astype(np.int32).tobytes(), done.tobytes(), local[alone].astype(np.int32).tobytes(), low[alone].tobytes(),
+                                 u[count > 1].tobytes()))
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                                                 ["g", "classes", "done", "owner", "low", "many"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])],
+                                                 ["g", "block", "classes", "who", "done", "owner", "low", "many"])
 
     def count(table: pa.Table) -> pa.Table:
-        get = lambda c: [x.as_py() for x in table.column(c)]
-        classes = [np.frombuffer(x, "V16") for x in get("classes")]
+        """For each block that sent something: who of it shares how many."""
+        block = table["block"]
+        get = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(c)]
+        if table["g"][0].as_py() < 0:
+            return pa.table([block, table["classes"], table["who"], table["done"]], ["block", "classes", "who", "total"])
+        classes, who, low = get("classes", np.uint64), get("who", np.int32), get("low", np.uint32)
         base = np.cumsum([0, *map(len, classes)])
-        ids, to = np.unique(np.concatenate(classes), return_inverse=True)
-        done = np.concatenate([np.frombuffer(x, np.int32) for x in get("done")])
-        owner = to[np.concatenate([np.frombuffer(x, np.int32) + b for x, b in zip(get("owner"), base)]).astype(np.int64)]
-        low = np.concatenate([np.frombuffer(x, np.uint32) for x in get("low")])
-        many = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in get("many")]))
-        pair = np.unique(low.astype(np.uint64) << np.uint64(32) | owner.astype(np.uint64))
-        low, owner = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        u, inverse, n = np.unique(low, return_inverse=True, return_counts=True)
-        shared = (n[inverse] > 1) | np.isin(low, many)
-        total = np.bincount(owner[shared], minlength=len(ids)) + np.bincount(to, done, minlength=len(ids)).astype(np.int64)
-        some = total > 0
-        return pa.table([binary(ids[some]), pa.array(total[some], pa.int64())], ["class", "shared"])
-
-    packed = docs.select(text).mapInArrow(spread, "g long, classes binary, done binary, owner binary, low binary, many binary")
-    return packed.groupBy("g").applyInArrow(count, "class binary, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
+        to = np.unique(np.concatenate(classes), return_inverse=True)[1]
+        owner = np.concatenate([x + b for x, b in zip(get("owner", np.int32), base)]).astype(np.int64)
+        low, many = np.concatenate(low), np.unique(np.concatenate(get("many", np.uint32)))
+        pair = np.unique(low.astype(np.uint64) << np.uint64(32) | to[owner].astype(np.uint64))
+        u, n = np.unique((pair >> np.uint64(32)).astype(np.uint32), return_counts=True)
+        shared = (n[np.searchsorted(u, low)] > 1) | np.isin(low, many)
+        total = np.bincount(owner[shared], minlength=base[-1]) + np.concatenate(get("done", np.int32))
+        some = [total[i:j] > 0 for i, j in zip(base, base[1:])]
+        return pa.table([block, pa.array([b""] * len(block), pa.binary()), pa.array([w[x].tobytes() for w, x in zip(who, some)], pa.binary()),
+                         pa.array([total[i:j][x].astype(np.int32).tobytes() for i, j, x in zip(base, base[1:], some)], pa.binary())], ["block", "classes", "who", "total"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        """The classes of one block with what its groups found."""
+        ids = np.frombuffer(b"".join(table["classes"].to_pylist()), "V16")
+        who, total = (np.frombuffer(b"".join(table[c].to_pylist()), np.int32) for c in ("who", "total"))
+        shared = np.bincount(who, total, minlength=len(ids)).astype(np.int64)
+        return pa.table([binary(ids[shared > 0]), pa.array(shared[shared > 0])], ["class", "shared"])
+
+    packed = docs.select(text).mapInArrow(spread, "g long, block long, classes binary, who binary, done binary, owner binary, low binary, many binary")
+    counted = packed.groupBy("g").applyInArrow(count, "block long, classes binary, who binary, total binary")
+    return counted.groupBy("block").applyInArrow(answer, "class binary, shared long").groupBy("class").agg(F.max("shared").alias("shared"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
-    """(class, n, s): the sorted hashes of each wanted class, from the rows with its text hash `th`. A class can come more than once."""
+    """(class, n, s): the sorted hashes of each wanted class, from the rows with its text hash `th`. A class can come more than once.
+
+    Texts are not shuffled: a filter of bounded size lets those of wanted classes through, and what else comes along is left out by class.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(wanted, "th"))
+
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
-            for _, data, bounds in text_blocks(batch.column(0)):
+            batch = batch.filter(pa.array(passes(sent.value, batch.column(0).to_numpy(zero_copy_only=False))))
+            for _, data, bounds in text_blocks(batch.column(1)):
                 s, at = shingle_sets(data, bounds, words)
                 ids = class_ids(s, at)
                 new = []
@@ -246,8 +267,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFr
                     arrays = pa.array([s[at[k]:at[k + 1]].view(np.int64) for k in new], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([binary(ids[new]), pa.array(np.diff(at)[new], pa.int64()), arrays], ["class", "n", "s"])
 
-    picked = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("t")).join(wanted.select("th").distinct(), "th", "left_semi")
-    return picked.select("t").mapInArrow(run, "class binary, n long, s array<bigint>")
+    found = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("t")).mapInArrow(run, "class binary, n long, s array<bigint>")
+    return found.join(wanted.select("class").distinct(), "class", "left_semi")
 
 
 def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, roots: DataFrame | None = None, every: bool = False) -> DataFrame:
@@ -356,12 +377,30 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
     return packed.groupBy("g").applyInArrow(meet_every if every else meet, "a binary, b binary").distinct()
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(class, n, k): the sketch of each set as longs."""
+    def run(batches):
+        for batch in batches:
+            values, at = batch.column(2).values.to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).offsets.to_numpy()
+            drawn = [sketch(values[i:j]).view(np.int64) for i, j in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drawn, pa.list_(pa.int64()))], ["class", "n", "k"])
+
+    return sets.select("class", "n", "s").mapInArrow(run, "class binary, n long, k array<bigint>")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similar: Fraction = SIMILAR) -> DataFrame:
-    """The pairs whose sets are similar. The sets of b are joined first, so that a class paired with very many is sent once for its own side."""
+    """The pairs whose sets are similar. Sketches go first, so that whole sets are sent for likely pairs only; those of b are joined first, so that a class
+    paired with very many is sent once for its own side."""
+    p, q = similar.numerator, similar.denominator
+    drawn = written(sketches(sets), "partenum-sketches")
+    for c in "ba":
+        pairs = pairs.join(drawn.toDF(c, f"n{c}", f"k{c}"), c)
+    apart = F.expr("aggregate(zip_with(ka, kb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    pairs = written(pairs.where(apart * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b").distinct(), "partenum-likely")
     left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
     both = pairs.join(right, "b").join(left, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(f"{similar.denominator} * i >= {similar.numerator} * (na + nb - i)").select("a", "b").distinct()
+    return both.where(f"{q} * i >= {p} * (na + nb - i)").select("a", "b").distinct()
 
 
 def _prepared(docs: DataFrame, key: str, text: str, words: int, similar: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, int]:
