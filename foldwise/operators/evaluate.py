@@ -12,10 +12,8 @@ from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +52,19 @@ def logistic(numeric: Sequence[str], label: str, categorical: Sequence[str] = ()
     return fit
 
 
+def by_source(metadata: dict, importances: Sequence[float], numeric: Sequence[str], categorical: Sequence[str]) -> list[float]:
+    """Importances of the assembled slots summed for the columns they come from, in the order [*numeric, *categorical]."""
+    names = {a["idx"]: a.get("name", "") for group in metadata.get("ml_attr", {}).get("attrs", {}).values() for a in group}
+    total = dict.fromkeys([*numeric, *categorical], 0.0)
+    for i, v in enumerate(importances):
+        slot = names.get(i, "")
+        source = slot if slot in numeric else next((c for c in sorted(categorical, key=len, reverse=True) if slot.startswith(f"{c}__v_")), None)
+        if source is None:
+            raise ValueError(f"slot {i} ({slot!r}) comes from no column")
+        total[source] += float(v)
+    return list(total.values())
+
+
 def forest(numeric: Sequence[str], label: str, categorical: Sequence[str] = (), trees: int = 10, depth: int = 5, seed: int = 42,
            weight: str | None = "weight", keep: dict | None = None) -> Model:
     """Random forest; with `keep` the fitted importances are added under the fit's number."""
@@ -63,7 +74,7 @@ def forest(numeric: Sequence[str], label: str, categorical: Sequence[str] = (),
             rf = rf.setWeightCol(weight)
         m = Pipeline(stages=[*_stages(numeric, categorical), rf]).fit(train)
         if keep is not None:
-            keep[len(keep)] = [float(v) for v in m.stages[-1].featureImportances.toArray()]
+            keep[len(keep)] = by_source(m.transform(train).schema["raw_features"].metadata, m.stages[-1].featureImportances.toArray(), numeric, categorical)
         return lambda d: m.transform(d).withColumn("probability", vector_to_array("probability"))
     return fit
 
@@ -107,18 +118,16 @@ def random_params(space: dict[str, tuple[float, float]], n: int, seed: int = 42)
 
 
 def grid_search(df: DataFrame, numeric: Sequence[str], label: str, fold: str, k: int, draws: Sequence[dict[str, float]],
-                max_iter: int = 5, parallelism: int = 2) -> DataFrame:
-    """Balanced accuracy of each parameter draw on the same frozen folds, best first."""
-    w = with_weights(df, class_weights(df, label), label).persist()
-    lr = LogisticRegression(featuresCol="raw_features", labelCol=label, weightCol="weight", maxIter=max_iter)
-    pipe = Pipeline(stages=[*_stages(numeric, ()), lr])
-    maps = [{getattr(lr, p): v for p, v in d.items()} for d in draws]
-    # Accuracy under balanced weights is balanced accuracy.
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy", weightCol="weight")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=k, foldCol=fold, parallelism=parallelism).fit(w)
-    rows = [(i, float(m), ",".join(f"{p}={v:.6g}" for p, v in sorted(d.items()))) for i, (m, d) in enumerate(zip(cv.avgMetrics, draws))]
-    w.unpersist()
-    return df.sparkSession.createDataFrame(rows, "trial int, score double, params string").orderBy(F.col("score").desc(), "trial")
+                max_iter: int = 5) -> DataFrame:
+    """Mean over folds of the balanced accuracy of each parameter draw, best first. Class weights come from the training folds alone."""
+    df = df.withColumn("_row", F.monotonically_increasing_id())
+    scores = []
+    for i, d in enumerate(draws):
+        model = logistic(numeric, label, max_iter=max_iter, reg=d.get("regParam", 1e-3))
+        oof, _ = out_of_fold(df, ["_row"], label, k, model, fold)
+        scores.append(oof_scores(oof, label, fold).agg(F.avg("score").alias("score")).select(
+            F.lit(i).alias("trial"), "score", F.lit(",".join(f"{p}={v:.6g}" for p, v in sorted(d.items()))).alias("params")))
+    return union_all(scores).orderBy(F.col("score").desc(), "trial")
 
 
 def ablation(df: DataFrame, key: Sequence[str], label: str, k: int, configs: dict[str, Sequence[str]],

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.operators import assoc as A
-from foldwise.operators.evaluate import adversarial_auc
 from foldwise.plans.common import LI, LINE_KEY, SC, lines, query, scored, sides
 from foldwise.plans.profiles import NUM, stacked
 from foldwise.sources.tables import table
@@ -170,9 +169,3 @@ s AS (SELECT count(*) FILTER (pos) AS n_pos, count(*) FILTER (NOT pos) AS n_neg,
 SELECT n_pos, n_neg, round((sr - n_pos::DOUBLE * (n_pos + 1) / 2) / (n_pos::DOUBLE * n_neg), 6) AS auc FROM s""")
 def roc_auc(spark, sf):
     return A.roc_auc(scored(spark, sf), "p0_1", F.col("y") == 1)
-
-
-@query("adversarial_auc")
-def adversarial(spark, sf):
-    tr, te = sides(lines(spark, sf))
-    return adversarial_auc(tr, te, LINE_KEY, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_linestatus"], k=3, max_iter=5)
