@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.num import hash_bucket
 from foldwise.operators.lookup import keep, sized
+from foldwise.operators.select import order_statistics
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -108,7 +109,26 @@ def long_form(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), name
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
               per: str | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group, one column per entry of `probs`."""
+    """Exact quantiles with linear interpolation, one row per group, one column per entry of `probs`.
+
+    Few groups are answered by selection, which shuffles no values; with many groups each is small and its values are ranked.
+    """
+    by = list(by)
+    found = order_statistics(df, value, probs, by)
+    if found is None:
+        return ranked_quantiles(df, value, probs, by, per)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"{quoted(c)} {kinds[c]}" for c in by), "n_values long", *(f"{quoted(p)} double" for p in probs)])
+    return df.sparkSession.createDataFrame([(*g, n, *(cells[p] for p in probs)) for g, (n, cells) in found.items()], schema)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ranked_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
+                     per: str | None = None) -> DataFrame:
+    """The same by ranking every different value of every group."""
     by = list(by)
     ranked = value_ranks(df, value, by, per=per)
     v, before, after = F.col(value), F.col("n_before"), F.col("n_before") + F.col("n")
@@ -127,28 +147,15 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
 def quantile_cells(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
     """Exact quantiles of one column as Python numbers (a handful of values)."""
     names = {f"q{i}": p for i, p in enumerate(probs)}
-    row = quantiles(df, value, names).first()
-    return [row[k] for k in names] if row else []
+    found = order_statistics(df, value, names) or {}
+    return [found[()][1][k] for k in names] if () in found else []
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
-    """Exact quantiles of several columns at many probabilities, in one pass over an unpivoted frame.
-
-    Each distinct value emits only the requested positions that fall on it; the
-    result has columns x probabilities cells.
-    """
-    ranked = value_ranks(long_form(df, cols), "value", ["feature"], per="feature")
-    before, after, last = F.col("n_before"), F.col("n_before") + F.col("n"), F.col("n_total") - 1
-    near = F.filter(F.array(*[F.lit(float(p)) for p in probs]), lambda p: (last * p > before - 1) & (last * p < after))
-    hit = ranked.select("feature", "value", before.alias("b"), after.alias("a"), last.alias("last"), F.explode(near).alias("p"))
-    h = F.col("last") * F.col("p")
-    at = lambda k: F.max(F.when((F.col("b") <= k) & (k < F.col("a")), F.col("value")))
-    cells = hit.groupBy("feature", "p").agg(at(F.floor(h)).alias("lo"), at(F.ceil(h)).alias("hi"), F.max(h - F.floor(h)).alias("w")).select(
-        "feature", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("q"))
-    out: dict[str, dict[float, float]] = {}
-    for r in cells.collect():
-        out.setdefault(r["feature"], {})[r["p"]] = r["q"]
-    return {c: [out[c][float(p)] for p in probs] if c in out else [] for c in cols}
+    """Exact quantiles of several columns at many probabilities: columns x probabilities cells, selected in common rounds."""
+    names = {f"q{i}": float(p) for i, p in enumerate(probs)}
+    found = order_statistics(long_form(df, cols), "value", names, ["feature"]) or {}
+    return {c: [found[(c,)][1][n] for n in names] if (c,) in found else [] for c in cols}
 
 
 def hash_rank(df: DataFrame, md5_col: str, by: Sequence[str] = (), digits: int = 3, out: str = "rank",
