@@ -30,14 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import SPACES, hash_filter, hashed_words, mix, passes, text_blocks, written
+from foldwise.llm.common import FILTER_BITS, SPACES, hash_filter, hashed_words, mix, passes, text_blocks, written
 from foldwise.llm.components import components
+from foldwise.operators.lookup import estimated_bytes
 
 WORDS, SIMILAR = 5, Fraction(3, 4)
 #: Cells of a part, cells that a signature leaves out, parts for each part that is needed, entries in a group of packed hashes.
 CELLS, LEFT_OUT, SLACK, GROUP = 3, 1, Fraction(3, 2), 1 << 20
-#: Bits of a sketch.
-SKETCH = 2048
+#: Bits of a sketch; bytes up to which a table is sent to all tasks.
+SKETCH, SENT_BYTES = 2048, 32 << 20
 
 
 # ---- sets of a block of texts --------------------------------------------------------
@@ -247,7 +248,7 @@ def shared_counts(docs: DataFrame, text: str, words: int, n_groups: int) -> Data
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
     """(class, n, s): the sorted hashes of each wanted class, from the rows with its text hash `th`. A class can come more than once.
 
-    Texts are not shuffled: a filter of bounded size lets those of wanted classes through, and what else comes along is left out by class.
+    Texts are not shuffled: a filter of bounded size lets those of wanted classes through. A few others come along; they cost work and change nothing.
     """
     sent = docs.sparkSession.sparkContext.broadcast(hash_filter(wanted, "th"))
 
@@ -268,7 +269,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFr
                     yield pa.RecordBatch.from_arrays([binary(ids[new]), pa.array(np.diff(at)[new], pa.int64()), arrays], ["class", "n", "s"])
 
     found = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("t")).mapInArrow(run, "class binary, n long, s array<bigint>")
-    return found.join(wanted.select("class").distinct(), "class", "left_semi")
+    full = wanted.count() > FILTER_BITS // 16  # the filter is exact enough until then
+    return found.join(wanted.select("class").distinct(), "class", "left_semi") if full else found
 
 
 def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, roots: DataFrame | None = None, every: bool = False) -> DataFrame:
@@ -372,11 +374,16 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
                 yield pa.RecordBatch.from_arrays([binary(ids[x[ok]]), binary(ids[y[ok]])], ["a", "b"])
 
     rooted = sets.withColumn("root", F.col("class")) if roots is None else (
-        sets.join(roots, sets["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class")))
+        sets.join(sent(roots), sets["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class")))
     packed = rooted.select("class", "s", "root").mapInArrow(spread, "g long, classes binary, roots binary, sizes binary, sketches binary, owner binary, sig binary")
     return packed.groupBy("g").applyInArrow(meet_every if every else meet, "a binary, b binary").distinct()
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """The table, marked to be sent to all tasks if its bytes are few."""
+    return F.broadcast(table) if estimated_bytes(table) <= SENT_BYTES else table
+
+
 def sketches(sets: DataFrame) -> DataFrame:
     """(class, n, k): the sketch of each set as longs."""
     def run(batches):
@@ -397,6 +404,9 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: Fraction = SIMILAR) ->
         pairs = pairs.join(drawn.toDF(c, f"n{c}", f"k{c}"), c)
     apart = F.expr("aggregate(zip_with(ka, kb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     pairs = written(pairs.where(apart * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b").distinct(), "partenum-likely")
+    there = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "partenum-there")
+    if (few := sent(there)) is not there:
+        sets = sets.join(few, "class", "left_semi")
     left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
     both = pairs.join(right, "b").join(left, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
