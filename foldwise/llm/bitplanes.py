@@ -192,7 +192,7 @@ class LibraryEncoder:
                 split[w] = self.split(w)
             else:
                 self.known[w] = ids
-        units = list(set().union(*split.values()).difference(runs))
+        units = list({u for own in split.values() for u in own if u not in runs})
         for k in range(0, len(units), 10_000):
             for u, e in zip(units[k:k + 10_000], self.library.encode_batch_fast(units[k:k + 10_000], add_special_tokens=False)):
                 ids = e.ids
@@ -206,13 +206,16 @@ class LibraryEncoder:
             self.known, self.older = {}, self.known
         if len(self.runs) > REMEMBERED:
             self.runs = {}
-        self.learn([w for w in set().union(*pieces) if w not in self.known])
+        new = [w for w in set().union(*pieces) if w not in self.known]  # long pieces always are
+        self.learn(new)
+        get = self.known.__getitem__
         for p in pieces:
-            yield b"".join(map(self.known.__getitem__, p))
-        for w in [w for w in set().union(*pieces) if len(w) > 64]:
-            del self.known[w]
-            for u in self.split(w):
-                self.runs.pop(u, None)
+            yield b"".join(map(get, p))
+        for w in new:
+            if len(w) > 64:
+                del self.known[w]
+                for u in self.split(w):
+                    self.runs.pop(u, None)
 
 
 @cache
