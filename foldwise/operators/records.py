@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.functions.num import let, word_count
+from foldwise.functions.num import let
 from foldwise.operators import prompts as P
 
 # The answer suffix of every prompt, the closing tag and the answer patterns.
@@ -18,13 +19,6 @@ MESSAGES = "array<struct<role:string,content:string>>"
 BOXED = r"(?s)\\boxed\{(.*?)\}"
 BOXED_OPEN = r"\\boxed\{([^}]*)(?:\}|$)"
 
-SOLVERS = {
-    "numeral": (P.solve_numeral, P.numeral_trace),
-    "unit_conversion": (P.solve_unit, P.unit_trace),
-    "gravity": (P.solve_fall, P.fall_trace),
-}
-
-
 def last_boxed(text: Column, allow_open: bool = False, skip_empty: bool = False) -> Column:
     """Content of the last boxed answer, trimmed; missing without one. An inner brace ends the answer.
 
@@ -86,24 +80,14 @@ def build_records(df: DataFrame, vocab: DataFrame | None = None, key: str = "id"
         # The generator keeps later filters on the status from re-evaluating the whole trace.
         return d.select(key, "category", F.explode(F.array(outcome(trace))).alias("o")).select(key, "category", "o.status", "o.messages")
 
-    parts = []
-    for name, (solve, trace) in SOLVERS.items():
-        s = solve(src.where(F.col("category") == name))
-        ok = F.col("derived").isNotNull() & answers_match(F.col("derived"), answer, F.lit(name))
-        parts.append(close(s, F.when(ok, trace())))
-    mine = src.where(F.col("category") == "cipher")
+    rows = P.solve_rows(src if vocab is None else src.where(F.col("category").isNull() | (F.col("category") != "cipher")))
+    ok = F.col("derived").isNotNull() & answers_match(F.col("derived"), answer, F.col("category"))
+    out = close(rows, F.when(ok, P.trace_rows()))
     if vocab is not None:
-        solved = P.solve_cipher(mine, vocab, key, first_pass=True)
-        j = mine.join(solved, key, "left")
-        parts.append(close(j, F.when(answers_match(F.trim("derived"), answer), P.cipher_trace())))
-    else:
-        parts.append(mine.select(key, "category", F.lit("unsolved").alias("status"), F.lit(None).cast(MESSAGES).alias("messages")))
-    parts.append(src.where(F.col("category").isNull()).select(
-        key, "category", F.lit("unclassified").alias("status"), F.lit(None).cast(MESSAGES).alias("messages")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        mine = src.where(F.col("category") == "cipher")
+        j = mine.join(P.solve_cipher(mine, vocab, key, first_pass=True), key, "left")
+        out = out.unionByName(close(j, F.when(answers_match(F.trim("derived"), answer), P.cipher_trace())))
+    return out.withColumn("status", F.when(F.col("category").isNull(), "unclassified").otherwise(F.col("status")))
 
 
 def written(records: DataFrame) -> DataFrame:
@@ -111,40 +95,88 @@ def written(records: DataFrame) -> DataFrame:
     return records.where("status = 'written'").select(F.col("category").alias("type"), "messages")
 
 
-def funnel(records: DataFrame) -> DataFrame:
-    """Per category and in total: classified, written, coverage and the drops by reason."""
+def funnel(records: DataFrame, categories: Sequence[str] = ()) -> DataFrame:
+    """Per category and in total: classified, written, coverage and the drops by reason. Each of `categories` has a row, of zeros if it has no prompt."""
     n = lambda s: F.count_if(F.col("status") == s)
     g = records.rollup("category").agg(
         F.grouping_id().alias("_g"), F.count_if(F.col("status") != "unclassified").alias("classified"), n("written").alias("written"),
         n("unclassified").alias("unclassified"), n("unsolved").alias("unsolved"), n("bad_assembly").alias("bad_assembly"), n("bad_box").alias("bad_box"))
     name = F.when(F.col("_g") == 1, "TOTAL").otherwise(F.coalesce("category", F.lit("(none)")))
-    return g.select(name.alias("category"), "classified", "written", "unclassified", "unsolved", "bad_assembly", "bad_box",
-                    F.round(F.coalesce(F.try_divide(F.col("written") * 100.0, F.col("classified")), F.lit(0.0)), 2).alias("coverage_pct"))
+    counts = ["classified", "written", "unclassified", "unsolved", "bad_assembly", "bad_box"]
+    g = g.select(name.alias("category"), *counts)
+    if categories:
+        every = records.sparkSession.createDataFrame([(c,) for c in categories], "category string")
+        g = every.join(g, "category", "full").select("category", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts])
+    return g.select("category", *counts, F.round(F.coalesce(F.try_divide(F.col("written") * 100.0, F.col("classified")), F.lit(0.0)), 2).alias("coverage_pct"))
 
 
 # ---- supervision -----------------------------------------------------------------
 
-def supervision_split(df: DataFrame, prompt: str, completion: str, budget: int, count=word_count) -> DataFrame:
-    """Token lengths of the unsupervised prompt and the supervised completion plus one end token, with a drop reason.
+#: Label of a token that is not learnt; id of the token that ends a record.
+IGNORED, END_ID = -100, -1
+TOKENS = "array<struct<id:bigint,start:int,stop:int>>"
+
+
+def space_tokens(texts: Sequence[str]) -> list[list[tuple[int, int, int]]]:
+    """(id, start, stop) of the white-space words of each text, the id being a hash."""
+    import re
+    import zlib
+    word = re.compile(r"[^ \t\n\x0b\f\r]+")
+    return [[(zlib.crc32(m[0].encode()), *m.span()) for m in word.finditer(t)] for t in texts]
+
+
+def with_tokens(df: DataFrame, text: str, out: str = "tokens", tokenize: Callable[[Sequence[str]], list[list[tuple[int, int, int]]]] = space_tokens) -> DataFrame:
+    """Add the tokens of a text with their character offsets. `tokenize` takes a batch of texts, such as the encodings and offsets of a library; a null
+    text has none."""
+    @F.arrow_udf(TOKENS)
+    def run(column: pa.Array) -> pa.Array:
+        rows = tokenize([t or "" for t in column.to_pylist()])
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+        return pa.array([[{"id": i, "start": a, "stop": b} for i, a, b in r] for r in rows], kind)
+
+    return df.withColumn(out, run(F.col(text)))
 
-    `count` maps a text column to a token count column, so a tokenizer can be plugged
-    in as a pandas UDF. A row over the budget loses its end token, so it is dropped,
-    unless the prompt alone fills the budget, which is its own reason.
+
+def supervision_masks(df: DataFrame, prompt: str, completion: str, budget: int, tokenize=space_tokens, end_id: int = END_ID) -> DataFrame:
+    """Add text, split (its characters before the completion), tokens with one end token, labels, prompt_len, completion_len, total_len and drop_reason.
+
+    Prompt and completion are one text, a line break between them, tokenised once. The label of a token that begins in the completion is its id, others are
+    IGNORED; the end token is learnt. A row over the budget loses its end, so it is dropped: as `prompt_fills_budget` where the prompt alone leaves no room for
+    a completion token and the end, else as `truncated`.
     """
-    n_p, n_c = count(F.col(prompt)), count(F.col(completion)) + 1
-    out = df.withColumns({"prompt_len": n_p, "completion_len": n_c, "total_len": n_p + n_c})
-    reason = F.when(F.col("total_len") > budget, "truncated")
-    return out.withColumn("drop_reason", reason)
+    start = F.length(F.coalesce(prompt, F.lit(""))) + 1
+    out = df.withColumn("text", F.concat_ws("\n", F.coalesce(prompt, F.lit("")), F.coalesce(completion, F.lit("")))).withColumn("split", start)
+    out = with_tokens(out, "text", tokenize=tokenize)
+    end = F.struct(F.lit(end_id).cast("bigint").alias("id"), F.length("text").alias("start"), F.length("text").alias("stop"))
+    out = out.withColumn("tokens", F.concat("tokens", F.array(end)))
+    out = out.withColumn("labels", F.transform("tokens", lambda t: F.when(t["start"] >= F.col("split"), t["id"]).otherwise(F.lit(IGNORED).cast("bigint"))))
+    n_p = F.size(F.filter("tokens", lambda t: t["start"] < F.col("split")))
+    out = out.withColumns({"prompt_len": n_p, "completion_len": F.size("tokens") - n_p, "total_len": F.size("tokens")})
+    return out.withColumn("drop_reason", F.when(F.col("prompt_len") + 2 > budget, "prompt_fills_budget").when(F.col("total_len") > budget, "truncated"))
+
 
+def supervision_split(df: DataFrame, prompt: str, completion: str, budget: int, tokenize=space_tokens) -> DataFrame:
+    """Token lengths of the unsupervised prompt and the supervised completion with its end token, and a drop reason."""
+    kept = [*df.columns, "prompt_len", "completion_len", "total_len", "drop_reason"]
+    return supervision_masks(df, prompt, completion, budget, tokenize).select(*kept)
 
-def supervision_invariants(df: DataFrame, prompt: str, completion: str, end_token: str) -> DataFrame:
-    """Violations over the kept rows: empty completions, a missing closing tag or box, an end token before the end."""
-    c, p = F.col(completion), F.col(prompt)
-    return df.where(F.col("drop_reason").isNull()).agg(
+
+def supervision_invariants(masked: DataFrame, end_id: int = END_ID) -> DataFrame:
+    """Kept rows that break a rule, counted in one aggregate from their tokens and labels.
+
+    no_supervision: nothing learnt but the end. prompt_learnt: a prompt token has a label. completion_masked: a completion token has none or another's.
+    no_end, many_ends: end tokens; end_not_last. no_closing_tag, no_box: not inside the supervised characters; tag_in_prompt.
+    """
+    learnt = F.transform(F.arrays_zip("tokens", "labels"), lambda x: F.struct(x["tokens"]["id"].alias("id"), x["labels"].alias("label"), (x["tokens"]["start"] >= F.col("split")).alias("own")))
+    rows = masked.where(F.col("drop_reason").isNull()).withColumn("_t", learnt)
+    ends = F.size(F.filter("_t", lambda x: x["id"] == end_id))
+    answer, asked = F.substring("text", F.col("split") + 1, F.length("text")), F.substring("text", F.lit(1), F.col("split"))
+    count = lambda c, name: F.count_if(c).alias(name)
+    return rows.agg(
         F.count(F.lit(1)).alias("n_kept"),
-        F.count_if(F.col("completion_len") < 2).alias("no_supervision"),
-        F.count_if(F.col("prompt_len") + F.col("completion_len") != F.col("total_len")).alias("split_mismatch"),
-        F.count_if(~c.contains(CLOSING_TAG)).alias("no_closing_tag"),
-        F.count_if(~c.contains(BOX_OPEN)).alias("no_box"),
-        F.count_if(c.contains(end_token)).alias("early_end_token"),
-        F.count_if(p.contains(CLOSING_TAG)).alias("closing_tag_in_prompt"))
+        count(~F.exists("_t", lambda x: x["own"] & (x["id"] != end_id)), "no_supervision"),
+        count(F.exists("_t", lambda x: ~x["own"] & (x["label"] != IGNORED)), "prompt_learnt"),
+        count(F.exists("_t", lambda x: x["own"] & (x["label"] != x["id"])), "completion_masked"),
+        count(ends == 0, "no_end"), count(ends > 1, "many_ends"),
+        count((ends > 0) & (F.coalesce(F.try_element_at("_t", F.lit(-1))["id"] != end_id, F.lit(True))), "end_not_last"),
+        count(~answer.contains(CLOSING_TAG), "no_closing_tag"), count(~answer.contains(BOX_OPEN), "no_box"), count(asked.contains(CLOSING_TAG), "tag_in_prompt"))

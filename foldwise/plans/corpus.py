@@ -10,8 +10,10 @@ from foldwise.operators import records as R
 from foldwise.operators import textstats as T
 from foldwise.operators.folds import stratified_folds
 from foldwise.operators.metrics import answer_correct
+from foldwise.operators.contracts import chat_record_faults
 from foldwise.plans.common import query
-from foldwise.sources.tables import table
+from foldwise.sources.files import read_jsonl, write_jsonl
+from foldwise.sources.tables import shared_path, table
 
 # ---- derived prompts: the same expressions serve Spark (div) and DuckDB (//) -------------
 
@@ -194,7 +196,35 @@ def vocab_candidates(spark, sf):
     return c.select("id", "word", "freq")
 
 
-@query("cipher_solve")
+def _fits(w: str, word: str, cm: str) -> str:
+    """SQL: a vocabulary word agrees with the known letters of w and repeats where w repeats."""
+    return (f"len(list_filter(range(1, length({w}) + 1), lambda i: coalesce({cm}[substr({w}, i, 1)] <> substr({word}, i, 1), FALSE) "
+            f"OR substr({word}, i, 1) <> substr({word}, instr({w}, substr({w}, i, 1)), 1))) = 0")
+
+
+#: The rounds as a recursion over prompts: letter map and resolved words go from round to round as long as a word is locked.
+CIPHER = f"""{PM}, {VOCAB},
+c0 AS (SELECT p_partkey * 10 + 3 AS id, string_split(concat(ckind, ' ', cw1), ' ') AS cw, map_from_entries(list_distinct(list_transform(
+         list_filter(range(1, length(name) + 1), lambda i: substr(name, i, 1) <> ' '), lambda i: {{'key': substr(cname, i, 1), 'value': substr(name, i, 1)}}))) AS cm
+       FROM pb WHERE p_partkey % 9 <> 0),
+st(id, rnd, cm, cw, res) AS (
+  SELECT id, 0, cm, cw, list_transform(cw, lambda w: CAST(NULL AS VARCHAR)) FROM c0
+  UNION ALL
+  SELECT st.id, st.rnd + 1, map_from_entries(list_distinct(list_concat(map_entries(cm), more))), cw, list_transform(range(1, len(cw) + 1), lambda i: coalesce(res[i], got[i]))
+  FROM st JOIN (SELECT id, map_from_entries(list({{'key': pos, 'value': word}})) AS got,
+                       flatten(list(list_transform(range(1, length(w) + 1), lambda i: {{'key': substr(w, i, 1), 'value': substr(word, i, 1)}}))) AS more
+                FROM (SELECT e.id, e.pos, e.w, min(vo.word) AS word
+                      FROM (SELECT id, cm, unnest(cw) AS w, unnest(res) AS r, generate_subscripts(cw, 1) AS pos FROM st) e JOIN vo ON length(vo.word) = length(e.w)
+                      WHERE e.r IS NULL AND {_fits('e.w', 'vo.word', 'e.cm')} GROUP BY e.id, e.pos, e.w HAVING count(*) = 1) GROUP BY id) l ON l.id = st.id),
+ls AS (SELECT id, arg_max(cm, rnd) AS cm, arg_max(cw, rnd) AS cw, arg_max(res, rnd) AS res FROM st GROUP BY id),
+lw AS (SELECT id, cm, unnest(cw) AS w, unnest(res) AS r, generate_subscripts(cw, 1) AS pos FROM ls),
+bw AS (SELECT id, pos, arg_min(vo.word, (-freq, vo.word)) AS best FROM lw JOIN vo ON length(vo.word) = length(w) WHERE r IS NULL AND {_fits('w', 'vo.word', 'cm')} GROUP BY id, pos),
+cs AS (SELECT id, string_agg(coalesce(r, best, array_to_string(list_transform(string_split(w, ''), lambda x: coalesce(cm[x], x)), '')), ' ' ORDER BY pos) AS derived,
+              string_agg(CASE WHEN r IS NOT NULL THEN 'locked' WHEN best IS NOT NULL THEN 'frequency' ELSE 'raw-map' END, ',' ORDER BY pos) AS kinds
+       FROM lw LEFT JOIN bw USING (id, pos) GROUP BY id)"""
+
+
+@query("cipher_solve", f"WITH RECURSIVE {CIPHER} SELECT id, derived, kinds FROM cs")
 def cipher_solve(spark, sf):
     d = prompts(spark, sf).where(P.classify(F.col("prompt")) == "cipher")
     return P.solve_cipher(d, part_vocabulary(spark, sf)).select("id", "derived", F.array_join("kinds", ",").alias("kinds"))
@@ -234,43 +264,39 @@ def one(e: str) -> str:
 f4 = lambda e: f"format('{{:.4f}}', {e})"
 gg = lambda e: f"format('{{:g}}', {e})"
 BOX = lambda e: "concat('\\boxed{', " + e + ", '}')"
+UT, FT, NT = P.TRACES["unit_conversion"], P.TRACES["gravity"], P.TRACES["numeral"]
+each = lambda e: f"[{e} for i in range(1, 4)]"
 UNIT_TRACE = sql_lines(
-    one(quoted(P.UNIT_OPENING)), one("''"), one(quoted(P.UNIT_STEP_1)), f"[concat('  ', {gg('xs[i]')}, ' m -> ', {gg('ys[i]')}) for i in range(1, 4)]", one("''"), one(quoted(P.UNIT_STEP_2)),
-    f"[concat('  ', {gg('ys[i]')}, '/', {gg('xs[i]')}, ' = ', {f4('ys[i] / xs[i]')}, '  ->  band [', {f4('(ys[i] - 0.005::DOUBLE) / xs[i]')}, ', ', {f4('(ys[i] + 0.005::DOUBLE) / xs[i]')}, ']') for i in range(1, 4)]",
-    one("''"), one(f"CASE WHEN lo <= hi THEN {filled(P.UNIT_STEP_3, lo=f4('lo'), hi=f4('hi'), f=f4('f'))} ELSE {filled(P.UNIT_STEP_3_FIT, f=f4('fit'))} END"), one("''"),
-    one(filled(P.UNIT_STEP_4, q=gg("q"), f=f4("f"), v="format('{:.6f}', f * q)")), one(filled(P.UNIT_STEP_5, r="derived")), one("''"), one(BOX("derived")))
+    one(quoted(UT["open"])), each(filled(UT["row"], a=gg("xs[i]"), b=gg("ys[i]"), lo=f4("(ys[i] - 0.005::DOUBLE) / xs[i]"), hi=f4("(ys[i] + 0.005::DOUBLE) / xs[i]"))),
+    one(f"CASE WHEN lo <= hi THEN {filled(UT['common'], lo=f4('lo'), hi=f4('hi'), f=f4('f'))} ELSE {filled(UT['fit'], f=f4('fit'))} END"),
+    one(filled(UT["close"], q=gg("q"), v="format('{:.6f}', f * q)", r="derived")), one(BOX("derived")))
 FALL_TRACE = sql_lines(
-    one(quoted(P.FALL_OPENING)), one("''"), one(quoted(P.FALL_STEP_1)), one("''"), one(quoted(P.FALL_STEP_2)),
-    f"[concat('  - t = ', {gg('xs[i]')}, ' s, d = ', {gg('ys[i]')}, ' m  ->  g = 2*', {gg('ys[i]')}, ' / ', {gg('xs[i]')}, '^2 = ', {f4('2.0::DOUBLE * ys[i] / (xs[i] * xs[i])')}) for i in range(1, 4)]",
-    one("''"), one(quoted(P.FALL_STEP_3)), one(filled(P.FALL_STEP_3_VALUE, g=f4("g"))), one("''"), one(filled(P.FALL_STEP_4, q=gg("q"))),
-    one(filled(P.FALL_STEP_4_VALUE, g=f4("g"), q=gg("q"), q2=f4("q * q"), v=f4("0.5::DOUBLE * g * q * q"))), one("''"), one(filled(P.FALL_STEP_5, r="derived")), one("''"), one(BOX("derived")))
+    one(quoted(FT["open"])), each(filled(FT["row"], t=gg("xs[i]"), d=gg("ys[i]"), c=f4("ys[i] / (xs[i] * xs[i])"))), one(filled(FT["common"], c=f4("g / 2"))),
+    one(filled(FT["close"], q=gg("q"), q2=f4("q * q"), v=f4("0.5::DOUBLE * g * q * q"), r="derived")), one(BOX("derived")))
 
 
 def roman_run(values) -> str:
     left, parts = "num", []
     for v, s in values:
-        parts.append(f"[{{'b': ({left}) - (j - 1) * {v}, 'v': {v}, 's': '{s}', 'a': ({left}) - j * {v}}} for j in range(1, ({left}) // {v} + 1)]")
+        parts.append(f"{{'b': {left}, 't': ({left}) // {v}, 's': '{s}', 'a': ({left}) % {v}}}")
         left = f"({left}) % {v}"
-    return " || ".join(parts)
+    return f"list_filter([{', '.join(parts)}], lambda x: x.t > 0)"
 
 
 NS = f"na AS (SELECT *, {roman_sql('num', '//')} AS derived, {prompt_rows('//')[0][2]} AS answer, {roman_run(P.ROMAN)} AS st FROM pb)"
+text_of = lambda e: f"CAST({e} AS VARCHAR)"
 NUM_TRACE = sql_lines(
-    one(quoted(P.NUMERAL_OPENING)), one(filled(P.NUMERAL_GOAL, n="CAST(num AS VARCHAR)")), one(quoted(P.NUMERAL_METHOD)),
-    "[concat('  ', st[i].b, ' >= ', st[i].v, ' (', st[i].s, '): append ''', st[i].s, ''' -> \"', array_to_string([x.s for x in st[1:i]], ''), '\", remaining = ', st[i].a, '.') for i in range(1, len(st) + 1)]",
-    one(filled(P.NUMERAL_CLOSE, n="CAST(num AS VARCHAR)", r="derived")), one(BOX("derived")))
+    one(filled(NT["open"], n=text_of("num"))), "[" + filled(NT["row"], before=text_of("x.b"), times=text_of("x.t"), symbol="x.s", after=text_of("x.a")) + " for x in st]",
+    one(filled(NT["close"], r="derived")), one(BOX("derived")))
 TR = (f"{PM}, {US}, {FS}, {NS}, tr AS (SELECT p_partkey * 10 AS id, 'numeral' AS category, {NUM_TRACE} AS trace, answer, upper(derived) = upper(answer) AS ok FROM na "
       f"UNION ALL SELECT p_partkey * 10 + 1, 'unit_conversion', {UNIT_TRACE}, answer, derived = answer FROM ud UNION ALL SELECT p_partkey * 10 + 2, 'gravity', {FALL_TRACE}, answer, derived = answer FROM fd)")
 
 
 def traced(spark, sf, render: bool = True):
-    src = prompts(spark, sf).withColumn("category", P.classify(F.col("prompt")))
-    parts = []
-    for name, (solve, trace) in R.SOLVERS.items():
-        s = solve(src.where(F.col("category") == name))
-        text = [trace().alias("trace")] if render else []
-        parts.append(s.select("id", "category", "answer", *text, R.answers_match(F.col("derived"), F.col("answer"), F.lit(name)).alias("ok")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Prompts of the three row-local kinds, solved in one scan."""
+    src = prompts(spark, sf).withColumn("category", P.classify(F.col("prompt"))).where(F.col("category").isin("numeral", "unit_conversion", "gravity"))
+    text = [P.trace_rows().alias("trace")] if render else []
+    return P.solve_rows(src).select("id", "category", "answer", *text, R.answers_match(F.col("derived"), F.col("answer"), F.col("category")).alias("ok"))
 
 
 @query("render_trace", f"WITH {TR} SELECT id, category, trace FROM tr")
@@ -320,6 +346,15 @@ def chat_records(spark, sf):
     return R.written(R.build_records(prompts(spark, sf))).select(F.to_json(F.struct("type", "messages")).alias("record"))
 
 
+@query("corpus_written", f"""
+WITH {RECORD} SELECT category AS type, concat(prompt, {quoted(R.PROMPT_SUFFIX).replace(chr(10), "' || chr(10) || '")}) AS asked, completion AS reply, '' AS faults FROM cb JOIN pm USING (id) WHERE ok""")
+def corpus_written(spark, sf):
+    path = shared_path(spark, "corpus-jsonl")
+    write_jsonl(R.written(R.build_records(prompts(spark, sf))), path)
+    back = read_jsonl(spark, path, f"type string, messages {R.MESSAGES}")
+    return back.select("type", F.col("messages")[0]["content"].alias("asked"), F.col("messages")[1]["content"].alias("reply"), chat_record_faults(F.col("messages")).alias("faults"))
+
+
 @query("corpus_funnel", f"""
 WITH {TR}, a AS (SELECT pm.id, {KIND} AS category, coalesce(ok, false) AS ok FROM pm LEFT JOIN tr ON pm.id = tr.id),
 g AS (SELECT coalesce(category, '(none)') AS category, count(*) FILTER (category IS NOT NULL) AS classified, count(*) FILTER (ok) AS written, count(*) FILTER (category IS NULL) AS unclassified, count(*) FILTER (category IS NOT NULL AND NOT ok) AS unsolved FROM a GROUP BY a.category
@@ -329,7 +364,11 @@ def corpus_funnel(spark, sf):
     return R.funnel(R.build_records(prompts(spark, sf)))
 
 
-@query("corpus_funnel_cipher")
+@query("corpus_funnel_cipher", f"""
+WITH RECURSIVE {CIPHER}, {TR.replace(PM + ",", "", 1)}, a AS (SELECT pm.id, {KIND} AS category, coalesce(ok, derived = pm.answer, false) AS ok FROM pm LEFT JOIN tr ON pm.id = tr.id LEFT JOIN cs ON pm.id = cs.id AND pm.kind = 'cipher'),
+g AS (SELECT coalesce(category, '(none)') AS category, count(*) FILTER (category IS NOT NULL) AS classified, count(*) FILTER (ok) AS written, count(*) FILTER (category IS NULL) AS unclassified, count(*) FILTER (category IS NOT NULL AND NOT ok) AS unsolved FROM a GROUP BY a.category
+ UNION ALL SELECT 'TOTAL', count(*) FILTER (category IS NOT NULL), count(*) FILTER (ok), count(*) FILTER (category IS NULL), count(*) FILTER (category IS NOT NULL AND NOT ok) FROM a)
+SELECT category, classified, written, unclassified, unsolved, 0::BIGINT AS bad_assembly, 0::BIGINT AS bad_box, round(coalesce(written * 100.0::DOUBLE / nullif(classified, 0), 0), 2) AS coverage_pct FROM g""")
 def corpus_funnel_cipher(spark, sf):
     return R.funnel(R.build_records(prompts(spark, sf), part_vocabulary(spark, sf)))
 
@@ -339,7 +378,9 @@ def corpus_funnel_cipher(spark, sf):
 EX = """ex AS (SELECT u.conv_id, u.turn, u.text AS prompt, concat(a.text, chr(10), CASE WHEN u.turn % 6 <> 4 THEN '</think>' ELSE '' END, chr(10), '\\boxed{', u.turn, '}', CASE WHEN u.turn % 8 = 6 THEN ' <end>' ELSE '' END) AS completion
  FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
 WC = lambda c: f"CAST(len(list_filter(regexp_split_to_array({c}, '{SPACE}'), lambda x: x <> '')) AS INTEGER)"
-SS = f"{EX}, sl AS (SELECT *, {WC('prompt')} AS prompt_len, {WC('completion')} + 1 AS completion_len FROM ex), sp AS (SELECT *, prompt_len + completion_len AS total_len, CASE WHEN prompt_len + completion_len > 120 THEN 'truncated' END AS drop_reason FROM sl)"
+BUDGET = 120
+SS = (f"{EX}, sl AS (SELECT *, {WC('prompt')} AS prompt_len, {WC('completion')} + 1 AS completion_len FROM ex), sp AS (SELECT *, prompt_len + completion_len AS total_len, "
+      f"CASE WHEN prompt_len + 2 > {BUDGET} THEN 'prompt_fills_budget' WHEN prompt_len + completion_len > {BUDGET} THEN 'truncated' END AS drop_reason FROM sl)")
 
 
 def exchanges(spark, sf):
@@ -354,14 +395,24 @@ def exchanges(spark, sf):
 
 @query("supervision_split", f"WITH {SS} SELECT conv_id, turn, prompt_len, completion_len, total_len, drop_reason FROM sp")
 def supervision_split(spark, sf):
-    return R.supervision_split(exchanges(spark, sf), "prompt", "completion", 120).drop("prompt", "completion")
+    return R.supervision_split(exchanges(spark, sf), "prompt", "completion", BUDGET).drop("prompt", "completion")
 
 
 @query("supervision_invariants", f"""
-WITH {SS} SELECT count(*) AS n_kept, count(*) FILTER (completion_len < 2) AS no_supervision, 0::BIGINT AS split_mismatch, count(*) FILTER (NOT contains(completion, '</think>')) AS no_closing_tag,
- count(*) FILTER (NOT contains(completion, '\\boxed{{')) AS no_box, count(*) FILTER (contains(completion, '<end>')) AS early_end_token, count(*) FILTER (contains(prompt, '</think>')) AS closing_tag_in_prompt FROM sp WHERE drop_reason IS NULL""")
+WITH {SS}, k AS (SELECT *, conv_id % 5 = 0 AND prompt_len > 0 AS leaked, conv_id % 7 = 0 AS hidden, conv_id % 11 = 0 AS cut, conv_id % 13 = 0 AND conv_id % 11 <> 0 AS twice FROM sp WHERE drop_reason IS NULL)
+SELECT count(*) AS n_kept, count(*) FILTER (completion_len < 2) AS no_supervision, count(*) FILTER (leaked) AS prompt_learnt, count(*) FILTER (hidden) AS completion_masked,
+ count(*) FILTER (cut) AS no_end, count(*) FILTER (twice) AS many_ends, 0::BIGINT AS end_not_last, count(*) FILTER (NOT contains(completion, '</think>')) AS no_closing_tag,
+ count(*) FILTER (NOT contains(completion, '\\boxed{{')) AS no_box, count(*) FILTER (contains(prompt, '</think>')) AS tag_in_prompt FROM k""")
 def supervision_invariants(spark, sf):
-    return R.supervision_invariants(R.supervision_split(exchanges(spark, sf), "prompt", "completion", 120), "prompt", "completion", "<end>")
+    """Masks with faults planted by conversation: a learnt prompt token, a masked completion token, a missing or repeated end."""
+    m = R.supervision_masks(exchanges(spark, sf), "prompt", "completion", BUDGET)
+    c, own = F.col("conv_id"), F.col("prompt_len")
+    leaked, hidden = (c % 5 == 0), (c % 7 == 0)
+    m = m.withColumn("labels", F.transform("labels", lambda y, i: F.when(leaked & (own > 0) & (i == 0), 1).when(hidden & (i == own), R.IGNORED).otherwise(y)))
+    few, more = F.size("tokens") - 1, F.try_element_at("tokens", F.lit(-1))
+    m = m.withColumns({"tokens": F.when(c % 11 == 0, F.slice("tokens", 1, few)).when(c % 13 == 0, F.concat("tokens", F.array(more))).otherwise(F.col("tokens")),
+                       "labels": F.when(c % 11 == 0, F.slice("labels", 1, few)).when(c % 13 == 0, F.concat("labels", F.array(F.try_element_at("labels", F.lit(-1))))).otherwise(F.col("labels"))})
+    return R.supervision_invariants(m)
 
 
 @query("length_stats", f"""
