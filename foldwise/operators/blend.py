@@ -158,60 +158,75 @@ def ordinal_decode(p: Sequence[Column], thresholds: Sequence[float]) -> Column:
     return digitise(expected_value(p), thresholds) if len(thresholds) else argmax_columns(p)
 
 
-def ordinal_thresholds(df: DataFrame, expected: Column, argmax: Column, y: Column, n_classes: int, step: float = 0.1,
-                       reach: int = 4) -> DataFrame:
-    """Decision thresholds on the expected value that maximise quadratic weighted kappa.
-
-    The rows are reduced once to counts of (bin, class). Each threshold m has
-    2 * reach + 1 positions around m + 0.5. With sorted thresholds both the cost and
-    the chance-cost of kappa are sums of one term per threshold, so those terms come
-    from prefix sums and every combination is scored on a single small row. The
-    argmax is kept when nothing beats it.
+def ordered_optimum(cells: dict[tuple[int, int], float], n_classes: int, scale: int) -> tuple[list[int], float]:
+    """Ordered positions p_0 <= p_1 <= ... over the whole observed range that maximise kappa, and that kappa; a row of bin b is above p if b >= p.
+
+    With ordered thresholds the cost and the chance cost of kappa are both constants plus one term for each threshold. For a fixed ratio of the two the best
+    positions come from prefix minima, one pass over the bins for each threshold; the ratio they have is taken next, until it stands. Ties go to the
+    positions nearest to the midpoints between classes, then to the smallest.
+    """
+    lo, hi = min(b for b, _ in cells), max(b for b, _ in cells) + 1
+    size, top = hi - lo + 1, n_classes - 1
+    n, sy, sy2 = sum(cells.values()), sum(c * y for (_, y), c in cells.items()), sum(c * y * y for (_, y), c in cells.items())
+    cost, chance = [[0.0] * size for _ in range(top)], [[0.0] * size for _ in range(top)]
+    below = [[0.0] * n_classes for _ in range(size)]
+    for (b, y), c in cells.items():
+        below[b - lo + 1][y] += c
+    for i in range(1, size):
+        for y in range(n_classes):
+            below[i][y] += below[i - 1][y]
+    for m in range(top):
+        for i in range(size):
+            moved = sum(below[i])
+            cost[m][i] = sum(c * ((y - m) ** 2 - (y - m - 1) ** 2) for y, c in enumerate(below[i]))
+            chance[m][i] = moved * (m * m - (m + 1) ** 2) + 2.0 * sy * moved / n
+    whole_cost = sum(c * (y - top) ** 2 for (_, y), c in cells.items())
+    whole_chance = sy2 + n * top * top - 2.0 * sy * top
+    middle = [round((m + 0.5) * scale) - lo for m in range(top)]
+    ratio, chosen = 1.0, None
+    for _ in range(100):
+        best: list[tuple] = [(0.0, 0, ())] * size
+        for m in range(top):
+            least, row = None, []
+            for i in range(size):
+                least = best[i] if least is None else min(least, best[i])
+                value = least[0] + cost[m][i] - ratio * chance[m][i]
+                row.append((round(value, 6), least[1] + (i - middle[m]) ** 2, (*least[2], i)))
+            best = row
+        found = min(best)[2]
+        above = whole_cost + sum(cost[m][i] for m, i in enumerate(found))
+        under = whole_chance + sum(chance[m][i] for m, i in enumerate(found))
+        now = above / under if under else 0.0
+        if found == chosen or now >= ratio and chosen is not None:
+            break
+        chosen, ratio = found, now
+    return [i + lo for i in chosen], 1.0 - ratio
+
+
+def ordinal_thresholds(df: DataFrame, expected: Column, argmax: Column, y: Column, n_classes: int, step: float = 0.1) -> DataFrame:
+    """Decision thresholds on the expected value that maximise quadratic weighted kappa, one row; none for an empty table.
+
+    The rows are reduced once to counts of (bin, class), which are as many as classes times bins of the expected value's range. Every threshold can lie
+    anywhere in the observed range. The argmax is kept when nothing beats it. Rows without an expected value or a class are left out.
     """
     scale = round(1 / step)
     # Floor in units of the step; the small shift keeps a value that sits on a grid point in its own bin.
     b = F.floor(expected * scale + 1e-9).cast("int")
-    base = df.select(b.alias("b"), y.cast("int").alias("y"), argmax.cast("int").alias("a"))
-    cells = base.groupBy("b", "y").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("a") - F.col("y")) * (F.col("a") - F.col("y"))).cast("double").alias("da"),
-        F.sum("a").cast("double").alias("sa"), F.sum(F.col("a") * F.col("a")).cast("double").alias("sa2"))
-    n, yy = F.col("n").cast("double"), F.col("y").cast("double")
-    # Terms relative to predicting the top class everywhere: moving rows below threshold m from class m+1 to m.
-    terms = []
-    for m in range(n_classes - 1):
-        for j in range(-reach, reach + 1):
-            pos = round((m + 0.5) * scale) + j
-            below = F.col("b") < pos
-            gain = (yy - m) * (yy - m) - (yy - (m + 1)) * (yy - (m + 1))
-            terms.append((m, j, F.sum(F.when(below, n * gain).otherwise(0.0)), F.sum(F.when(below, n).otherwise(0.0))))
-    top = float(n_classes - 1)
-    one = cells.agg(
-        F.sum(n).alias("n"), F.sum(n * yy).alias("sy"), F.sum(n * yy * yy).alias("sy2"),
-        F.sum(n * (yy - top) * (yy - top)).alias("d_top"), F.sum("da").alias("da"), F.sum("sa").alias("sa"), F.sum("sa2").alias("sa2"),
-        *[c.alias(f"g_{m}_{j + reach}") for m, j, c, _ in terms], *[c.alias(f"c_{m}_{j + reach}") for m, j, _, c in terms])
-    width = 2 * reach + 1
-    arr = lambda p, m: F.array(*[F.col(f"{p}_{m}_{i}") for i in range(width)])
-    one = one.select("n", "sy", "sy2", "d_top", "da", "sa", "sa2",
-                     *[arr("g", m).alias(f"g{m}") for m in range(n_classes - 1)], *[arr("c", m).alias(f"c{m}") for m in range(n_classes - 1)])
-    for m in range(n_classes - 1):
-        one = one.withColumn(f"i{m}", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    at = lambda p, m: F.element_at(F.col(f"{p}{m}"), F.col(f"i{m}") + 1)
-    num = F.col("d_top") + total([at("g", m) for m in range(n_classes - 1)])
-    # Sums over predictions: start from the top class, each row below threshold m steps down from m+1 to m.
-    sp = F.col("n") * top - total([at("c", m) for m in range(n_classes - 1)])
-    sp2 = F.col("n") * top * top + total([at("c", m) * float(m * m - (m + 1) * (m + 1)) for m in range(n_classes - 1)])
-    den = F.col("sy2") + sp2 - 2.0 * F.col("sy") * sp / F.col("n")
-    base_q = 1.0 - F.try_divide(F.col("da"), F.col("sy2") + F.col("sa2") - 2.0 * F.col("sy") * F.col("sa") / F.col("n"))
-    t = [((m + 0.5) + (F.col(f"i{m}") - reach) * step) for m in range(n_classes - 1)]
+    base = df.select(b.alias("b"), y.cast("int").alias("y"), argmax.cast("int").alias("a")).dropna(subset=["b", "y"])
+    a, c = F.col("a"), F.col("y")
+    cells = base.groupBy("b", "y").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum((a - c) * (a - c)).cast("double").alias("da"), F.sum("a").cast("double").alias("sa"),
+                                       F.sum(a * a).cast("double").alias("sa2")).collect()
     names = [f"t{m + 1}" for m in range(n_classes - 1)]
-    scored = one.select(*[F.round(c, 6).alias(x) for c, x in zip(t, names)], (1.0 - F.try_divide(num, den)).alias("q"), base_q.alias("argmax_q"),
-                        total([(F.col(f"i{m}") - reach) * (F.col(f"i{m}") - reach) for m in range(n_classes - 1)]).alias("dist"))
-    ordered = scored
-    for a, c in zip(names, names[1:]):
-        ordered = ordered.where(F.col(a) <= F.col(c))
-    best = ordered.agg(F.max_by(F.struct(*names, "q", "argmax_q"),
-                                F.struct(F.round("q", 10), -F.col("dist"), *[-F.col(x) for x in names])).alias("b")).select("b.*")
-    return best.select(*names, r6(F.col("q")).alias("qwk"), r6(F.col("argmax_q")).alias("argmax_qwk"), (F.col("q") > F.col("argmax_q")).alias("use_thresholds"))
+    schema = ", ".join([*(f"{n} double" for n in names), "qwk double, argmax_qwk double, use_thresholds boolean"])
+    if not cells:
+        return df.sparkSession.createDataFrame([], schema)
+    at, q = ordered_optimum({(r["b"], r["y"]): r["n"] for r in cells}, n_classes, scale)
+    n, sy, sy2 = sum(r["n"] for r in cells), sum(r["n"] * r["y"] for r in cells), sum(r["n"] * r["y"] ** 2 for r in cells)
+    da, sa, sa2 = (sum(r[k] or 0.0 for r in cells) for k in ("da", "sa", "sa2"))
+    under = sy2 + sa2 - 2.0 * sy * sa / n
+    base_q = 1.0 - da / under if under else None
+    row = (*(round(p * step, 6) for p in at), q, base_q, base_q is None or q > base_q)
+    return df.sparkSession.createDataFrame([row], schema).withColumns({k: r6(F.col(k)) for k in ("qwk", "argmax_qwk")})
 
 
 def multiplier_grid(n_classes: int, values: Sequence[float]) -> list[tuple[float, ...]]:

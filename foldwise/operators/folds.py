@@ -17,7 +17,7 @@ from foldwise.operators.ranks import hash_rank
 
 
 def stratified_folds(df: DataFrame, key: Sequence[str | Column], label: str, k: int = 5, seed: int = 42,
-                     out: str = "fold", digits: int = 3) -> DataFrame:
+                     out: str = "fold", digits: int | None = None) -> DataFrame:
     """Add a fold column; sizes differ by at most one per class."""
     t = hash_rank(df.withColumn("_h", order_key(key, seed)), "_h", [label], digits, "_r")
     return t.withColumn(out, (F.col("_r") % k).cast("int")).drop("_h", "_r", "_r_total")

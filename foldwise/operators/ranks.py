@@ -158,21 +158,36 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -
     return {c: [found[(c,)][1][n] for n in names] if (c,) in found else [] for c in cols}
 
 
-def hash_rank(df: DataFrame, md5_col: str, by: Sequence[str] = (), digits: int = 3, out: str = "rank",
+#: Rows that a bucket of md5 order holds, about; digits at least, so that small tables are spread too, and at most.
+BUCKET_ROWS, LEAST_DIGITS, MOST_DIGITS = 50_000, 2, 12
+
+
+def radix_digits(df: DataFrame, by: Sequence[str] = ()) -> int:
+    """Hex digits that cut the largest group into buckets of about BUCKET_ROWS rows. The counts are one small aggregate."""
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    digits = LEAST_DIGITS
+    while digits < MOST_DIGITS and n > BUCKET_ROWS << 4 * digits:
+        digits += 1
+    return digits
+
+
+def hash_rank(df: DataFrame, md5_col: str, by: Sequence[str] = (), digits: int | None = None, out: str = "rank",
               limit: Column | None = None) -> DataFrame:
     """Zero-based position of each row in md5 order inside its group.
 
     An md5 is uniform, so its leading digits cut even one huge group into equal
-    buckets; the window runs inside a bucket and bucket counts give the offsets.
+    buckets, as many digits as the largest group needs; the window runs inside a bucket and bucket counts give the offsets.
+    Rows with one md5, those of one key, share a bucket whatever the digits.
     Adds `<out>` and `<out>_total`. With `limit`, an expression over `<out>_total`,
     only positions below it are returned, and buckets that start beyond it are
     dropped before any row is shuffled.
     """
     by = list(by)
+    digits = radix_digits(df, by) if digits is None else digits
     t = df.withColumn("_b", hash_bucket(F.col(md5_col), digits))
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     counts = t.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    # At most groups x 16^digits rows.
+    # About rows / BUCKET_ROWS, or 16^LEAST_DIGITS for each group.
     off = counts.select(
         *[F.col(c).alias(f"_k_{c}") for c in by], F.col("_b").alias("_k_b"),
         F.coalesce(F.sum("_n").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),

@@ -116,14 +116,15 @@ GB = ", ".join(f"t{m}(j{m})" for m in range(4))
 WITH {OS}, e AS (SELECT y, CAST(floor({EV} * 10 + 1e-9) AS INTEGER) AS b, {first_max(OQ)} AS a FROM os), c AS (SELECT b, y, count(*)::DOUBLE AS n FROM e GROUP BY ALL),
 tot AS (SELECT sum(n) AS n, sum(n * y) AS sy, sum(n * y * y) AS sy2, sum(n * (y - 4) * (y - 4)) AS dtop FROM c),
 am AS (SELECT {qwk_sql('y', 'a', 'e')} AS q FROM e),
-th AS (SELECT m, j, coalesce(sum(n * ((y - m) * (y - m) - (y - m - 1) * (y - m - 1))) FILTER (b < CAST(round((m + 0.5) * 10) AS INTEGER) + j), 0) AS g,
-  coalesce(sum(n) FILTER (b < CAST(round((m + 0.5) * 10) AS INTEGER) + j), 0) AS cn FROM c, range(4) t(m), range(-4, 5) u(j) GROUP BY ALL),
-f AS (SELECT a.j AS ja, b.j AS jb, cc.j AS jc, d.j AS jd, a.g + b.g + cc.g + d.g AS g, a.cn + b.cn + cc.cn + d.cn AS cs, -1 * a.cn - 3 * b.cn - 5 * cc.cn - 7 * d.cn AS c2
-  FROM (SELECT * FROM th WHERE m = 0) a, (SELECT * FROM th WHERE m = 1) b, (SELECT * FROM th WHERE m = 2) cc, (SELECT * FROM th WHERE m = 3) d),
-s AS (SELECT round(0.5 + ja * 0.1, 6) AS t1, round(1.5 + jb * 0.1, 6) AS t2, round(2.5 + jc * 0.1, 6) AS t3, round(3.5 + jd * 0.1, 6) AS t4,
-  1 - (dtop + g) / (sy2 + 16 * n + c2 - 2 * sy * (4 * n - cs) / n) AS q, ja * ja + jb * jb + jc * jc + jd * jd AS dist FROM f, tot)
-SELECT t1::DOUBLE AS t1, t2::DOUBLE AS t2, t3::DOUBLE AS t3, t4::DOUBLE AS t4, round(s.q, 6) AS qwk, round(am.q, 6) AS argmax_qwk, s.q > am.q AS use_thresholds FROM s, am WHERE t1 <= t2 AND t2 <= t3 AND t3 <= t4
-ORDER BY round(s.q, 10) DESC, dist, t1, t2, t3, t4 LIMIT 1""")
+po AS (SELECT unnest(range((SELECT min(b) FROM c), (SELECT max(b) + 2 FROM c))) AS p),
+th AS MATERIALIZED (SELECT m, p, coalesce(sum(n * ((y - m) * (y - m) - (y - m - 1) * (y - m - 1))) FILTER (b < p), 0) AS g, coalesce(sum(n) FILTER (b < p), 0) AS cn,
+  p - CAST(round((m + 0.5) * 10) AS INTEGER) AS j FROM c, range(4) t(m), po GROUP BY ALL),
+f AS (SELECT a.p AS pa, b.p AS pb, cc.p AS pc, d.p AS pd, a.g + b.g + cc.g + d.g AS g, a.cn + b.cn + cc.cn + d.cn AS cs, -1 * a.cn - 3 * b.cn - 5 * cc.cn - 7 * d.cn AS c2,
+    a.j * a.j + b.j * b.j + cc.j * cc.j + d.j * d.j AS dist
+  FROM th a JOIN th b ON b.p >= a.p JOIN th cc ON cc.p >= b.p JOIN th d ON d.p >= cc.p WHERE a.m = 0 AND b.m = 1 AND cc.m = 2 AND d.m = 3),
+s AS (SELECT pa, pb, pc, pd, 1 - (dtop + g) / (sy2 + 16 * n + c2 - 2 * sy * (4 * n - cs) / n) AS q, dist FROM f, tot)
+SELECT round(pa * 0.1::DOUBLE, 6) AS t1, round(pb * 0.1::DOUBLE, 6) AS t2, round(pc * 0.1::DOUBLE, 6) AS t3, round(pd * 0.1::DOUBLE, 6) AS t4, round(s.q, 6) AS qwk,
+  round(am.q, 6) AS argmax_qwk, s.q > am.q AS use_thresholds FROM s, am ORDER BY round(s.q, 10) DESC, dist, pa, pb, pc, pd LIMIT 1""")
 def ordinal_thresholds(spark, sf):
     q = [F.col(c) for c in OQ]
     return B.ordinal_thresholds(ordinal(spark, sf), B.expected_value(q), argmax_columns(q), F.col("y"), 5)

@@ -161,3 +161,50 @@ def test_ablation_needs_a_baseline(spark):
 def test_search_draws_stay_in_range():
     draws = E.random_params({"regParam": (1e-4, 1e-1), "elasticNetParam": (0.1, 1.0)}, 64)
     assert len(draws) == 64 and all(1e-4 <= d["regParam"] <= 1e-1 and 0.1 <= d["elasticNetParam"] <= 1.0 for d in draws)
+
+
+def kappa(y, p):
+    y, p = np.array(y, float), np.array(p, float)
+    under = (y * y).sum() + (p * p).sum() - 2 * y.sum() * p.sum() / len(y)
+    return 1 - ((y - p) ** 2).sum() / under if under else 0.0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_thresholds_equal_full_enumeration(seed):
+    from itertools import combinations_with_replacement
+    r = np.random.default_rng(seed)
+    y = r.integers(0, 5, 60)
+    b = np.clip(np.round(y * r.choice([3, 6, 10]) + r.normal(0, 6, 60) + r.choice([0, 25])), -5, 60).astype(int)
+    cells = {}
+    for x, c in zip(b.tolist(), y.tolist()):
+        cells[x, c] = cells.get((x, c), 0.0) + 1.0
+    at, q = B.ordered_optimum(cells, 5, 10)
+    grid = sorted({*np.unique(b).tolist(), int(b.max()) + 1, int(b.min())})  # positions between bins change nothing
+    best = max(kappa(y, sum((b >= t).astype(int) for t in ts)) for ts in combinations_with_replacement(grid, 4))
+    assert at == sorted(at) and q == pytest.approx(best, abs=1e-9) == kappa(y, sum((b >= t).astype(int) for t in at))
+
+
+def test_twenty_classes_and_one_bin():
+    r = np.random.default_rng(1)
+    y = r.integers(0, 20, 4000)
+    b = np.round(y * 10 + r.normal(0, 8, 4000) + 40).astype(int)  # far from the midpoints
+    cells = {}
+    for x, c in zip(b.tolist(), y.tolist()):
+        cells[x, c] = cells.get((x, c), 0.0) + 1.0
+    at, q = B.ordered_optimum(cells, 20, 10)
+    assert q > 0.98 and at == sorted(at) and all(abs(t - (m * 10 + 45)) <= 6 for m, t in enumerate(at))
+    one, _ = B.ordered_optimum({(7, 2): 5.0}, 3, 10)  # one bin of one class: kappa is not defined
+    assert one == sorted(one) and set(one) <= {7, 8}
+
+
+def test_rank_buckets_follow_the_counts(spark, monkeypatch):
+    from foldwise.operators import ranks as R
+    df = spark.range(3000).selectExpr("id", "if(id < 2500, 'big', concat('g', id % 7)) AS g", "md5(cast(id AS string)) AS h")
+    want = {r.id: (r.rank, r.rank_total) for r in R.hash_rank(df, "h", ["g"]).collect()}
+    monkeypatch.setattr(R, "BUCKET_ROWS", 3)
+    assert R.radix_digits(df, ["g"]) == 3 and R.radix_digits(df.where("g <> 'big'"), ["g"]) == 2
+    assert R.radix_digits(df.limit(0)) == 2
+    assert {r.id: (r.rank, r.rank_total) for r in R.hash_rank(df, "h", ["g"]).collect()} == want
+    monkeypatch.setattr(R, "BUCKET_ROWS", 0)
+    monkeypatch.setattr(R, "MOST_DIGITS", 9)
+    assert {r.id: (r.rank, r.rank_total) for r in R.hash_rank(df, "h", ["g"]).collect()} == want
