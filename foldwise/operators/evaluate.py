@@ -75,7 +75,9 @@ def forest(numeric: Sequence[str], label: str, categorical: Sequence[str] = (),
         m = Pipeline(stages=[*_stages(numeric, categorical), rf]).fit(train)
         if keep is not None:
             keep[len(keep)] = by_source(m.transform(train).schema["raw_features"].metadata, m.stages[-1].featureImportances.toArray(), numeric, categorical)
-        return lambda d: m.transform(d).withColumn("probability", vector_to_array("probability"))
+        score = lambda d: m.transform(d).withColumn("probability", vector_to_array("probability"))
+        score.forest = m.stages[-1]
+        return score
     return fit
 
 

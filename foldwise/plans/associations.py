@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.operators import assoc as A
+from foldwise.operators import neighbours as N
 from foldwise.plans.common import LI, LINE_KEY, SC, lines, query, scored, sides
 from foldwise.plans.profiles import NUM, stacked
 from foldwise.sources.tables import table
@@ -169,3 +170,28 @@ s AS (SELECT count(*) FILTER (pos) AS n_pos, count(*) FILTER (NOT pos) AS n_neg,
 SELECT n_pos, n_neg, round((sr - n_pos::DOUBLE * (n_pos + 1) / 2) / (n_pos::DOUBLE * n_neg), 6) AS auc FROM s""")
 def roc_auc(spark, sf):
     return A.roc_auc(scored(spark, sf), "p0_1", F.col("y") == 1)
+
+
+# ---- nearest neighbours --------------------------------------------------------------------
+
+def psi(n: str) -> str:
+    y = f"({n}::DOUBLE + 6)"
+    return (f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} * {y}) + 1 / (120 * {y} * {y} * {y} * {y}) - 1 / (252 * {y} * {y} * {y} * {y} * {y} * {y}) - ("
+            + " + ".join(f"1 / ({n}::DOUBLE + {j})" for j in range(6)) + "))")
+
+
+NEAR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("neighbour_mi", f"""
+WITH l AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, l_returnflag AS y, {c}::DOUBLE AS v FROM lineitem" for c in NEAR)}),
+c AS (SELECT feature, y, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY feature, y) AS nc FROM l GROUP BY feature, y, v),
+w AS (SELECT *, list({{'v': v, 'n': n}}) OVER (PARTITION BY feature, y ORDER BY v ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near, least(3, nc - 1) AS k FROM c WHERE nc > 1),
+d AS (SELECT feature, y, v, n, nc, k, list_sort(flatten(list_transform(near, lambda x: list_transform(range(0, least(4, CASE WHEN x.v = w.v THEN x.n - 1 ELSE x.n END)), lambda i: abs(x.v - w.v)))))[CAST(k AS BIGINT)] AS d FROM w),
+a AS (SELECT feature, v, sum(n) AS n FROM (SELECT feature, v, n FROM c WHERE nc > 1 UNION ALL SELECT feature, v - d, 0 FROM d UNION ALL SELECT feature, v + d, 0 FROM d) GROUP BY feature, v),
+t AS (SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY v) - n AS before FROM a),
+m AS (SELECT d.*, CASE WHEN d.d = 0 THEN lo.n ELSE hi.before - (lo.before + lo.n) END AS m FROM d JOIN t lo ON lo.feature = d.feature AND lo.v = d.v - d.d JOIN t hi ON hi.feature = d.feature AND hi.v = d.v + d.d),
+e AS (SELECT feature, sum(n) AS total, sum(n * {psi('k')}) AS pk, sum(n * {psi('nc')}) AS pc, sum(n * {psi('greatest(m, 1)')}) AS pm FROM m GROUP BY feature)
+SELECT feature, total::BIGINT AS n, round(greatest({psi('total')} + (pk - pc - pm) / total, 0.0), 6) AS mi FROM e""")
+def neighbour_mi(spark, sf):
+    return N.neighbour_mi(table(spark, sf, "lineitem"), NEAR, "l_returnflag")

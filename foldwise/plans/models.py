@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.functions.num import argmax_array, r6
+from foldwise.operators import contributions as C
 from foldwise.operators import evaluate as E
 from foldwise.operators import sufficient as S
 from foldwise.operators.assoc import roc_auc
@@ -353,3 +354,17 @@ SELECT *, {DECISION} FROM (WITH {LI}, rows_ AS (SELECT * REPLACE (CASE WHEN spli
 def shift_decision(spark, sf):
     tr, te = sides(lines(spark, sf))
     return _shifted(tr, te.withColumn("l_quantity", F.col("l_quantity") * 1.5), SHIFTED, 2)
+
+
+# ---- contributions of a fitted forest: the fit has no SQL --------------------------------
+
+@query("forest_contributions")
+def forest_contributions(spark, sf):
+    """Ranking of the columns by class, and how far base and contributions are from the probabilities in the worst row."""
+    d = frame(spark, sf)
+    score = E.forest(FEATURES, "label", ["l_linestatus"], trees=5, depth=4, weight=None)(d)
+    names = [*FEATURES, "l_linestatus"]
+    c = C.forest_contributions(score(d), score.forest, names)
+    gap = c.agg(F.max(F.array_max(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.abs(
+        F.get("base", k) + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + F.get(x, k)) - F.get("probability", k))))).alias("gap")).scalar()
+    return C.contribution_ranking(c, names, 3).withColumn("worst_gap", r6(gap))
