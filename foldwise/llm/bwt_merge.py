@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from foldwise.llm.partenum import binary, pack_by_group
 
 LENGTH, ANCHOR, ROUNDS = 200, 64, 5
 #: Window starts handled at once; bits of a position; bytes of a shard; anchors and string bytes in a group.
-SEGMENT, BITS, SHARD, ANCHORS, BYTES = 1 << 20, 22, 1 << 20, 1 << 20, 1 << 23
+SEGMENT, BITS, SHARD, ANCHORS, BYTES = 1 << 20, 22, 1 << 20, 1 << 20, 6 << 20
 
 
 # ---- strings of a block of texts -------------------------------------------------------
@@ -83,6 +84,14 @@ def stable_order(names: np.ndarray) -> np.ndarray:
     return order
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each different value comes first, number of each value), in order of appearance."""
+    to, kinds = pd.factorize(values)
+    first = np.empty(len(kinds), np.int64)
+    first[to[::-1]] = np.arange(len(values) - 1, -1, -1)
+    return first, to
+
+
 class Strings:
     """Strings end to end, each with one position more than bytes for its end."""
 
@@ -99,25 +108,29 @@ class Strings:
         self.names = self._names(flat, n)
 
     def _names(self, flat: np.ndarray, n: int) -> np.ndarray:
-        """A number for each block of `step` bytes, equal for equal blocks; -1 where a string has less left."""
+        """A number for each block of `step` bytes, equal for equal blocks; -1 where a string has less left, and for blocks found once, which nothing shares."""
         names = np.full(n, -1, np.int64)
         whole = np.flatnonzero(self.left >= self.step)
         if not len(whole):
             return names
-        u, first, to = np.unique(span_hashes(flat[:n], whole, whole + self.step), return_index=True, return_inverse=True)
+        first, to = numbered(span_hashes(flat[:n], whole, whole + self.step))
         words = np.lib.stride_tricks.sliding_window_view(flat, 8)
         for k in (*range(0, self.step - 7, 8), max(0, self.step - 8)) if self.step >= 8 else range(self.step):
             own = words[whole + k] if self.step >= 8 else flat[whole + k]
             own = np.ascontiguousarray(own).view(np.uint64).ravel() if self.step >= 8 else own
             if (own != own[first[to]]).any():
                 raise ArithmeticError("two blocks have one hash")
-        names[whole] = to
+        often = np.bincount(to) > 1
+        names[whole] = np.where(often, np.cumsum(often) - 1, -1)[to]
         return names
 
     def refine(self, order: np.ndarray) -> np.ndarray:
-        """From an order by h symbols to one by h + 1: the suffixes that start a symbol earlier, dealt out by that symbol, behind those without one."""
+        """From an order by h symbols to one by h + 1: the suffixes that start a symbol earlier, dealt out by that symbol, behind those without a shared one."""
         before = order[self.offset[order] >= self.step] - self.step
-        return np.concatenate([order[self.left[order] < self.step], before[stable_order(self.names[before])]])
+        name = self.names[before]
+        shared = name >= 0
+        before, name = before[shared], name[shared]
+        return np.concatenate([order[self.names[order] < 0], before[stable_order(name)]])
 
     def shard(self, first: int, last: int) -> np.ndarray:
         """Positions first <= p < last of whole strings in suffix order, to `rounds` symbols. The names before them are the shard's transform."""
@@ -265,11 +278,10 @@ def repeated_spans(packed: DataFrame, length: int) -> DataFrame:
         data, flat = np.concatenate(get("data", np.uint8)), np.concatenate(sizes)
         begin = np.cumsum(np.r_[0, flat])[:-1]
         # Equal strings of different blocks become one; equality is by a 64-bit hash and the size, then by the bytes.
-        _, one, to = np.unique(np.stack([np.concatenate(same), flat.astype(np.uint64)]), axis=1, return_index=True, return_inverse=True)
-        to = to.ravel()
+        one, to = numbered(np.concatenate(same) + flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for k in np.flatnonzero(one[to] != np.arange(len(to))):
             a, b, n = begin[k], begin[one[to[k]]], flat[k]
-            if not np.array_equal(data[a:a + n], data[b:b + n]):
+            if n != flat[one[to[k]]] or not np.array_equal(data[a:a + n], data[b:b + n]):
                 raise ArithmeticError("two strings have one hash")
         many = np.bincount(to, np.concatenate(get("many", np.int8)).astype(np.int64)).astype(np.int64)
         own = flat[one]
