@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldwise.functions.num import r6
+from foldwise.operators import bundle as U
 from foldwise.operators import encode as D
 from foldwise.operators import features as X
 from foldwise.operators.lookup import left_chain
 from foldwise.plans.common import FO, K, LI, LINE_KEY, ON, folded, lines, orders_with_nulls, query, sides
-from foldwise.sources.tables import table
+from foldwise.sources.tables import shared_path, table
 
 KEY_SQL = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 PAIRS = {"qty_line": ("l_quantity", "l_linenumber"), "disc_tax": ("l_discount", "l_tax"), "price_qty": ("l_extendedprice", "l_quantity")}
@@ -298,3 +299,29 @@ def topk_per_group(spark, sf):
 @query("topk", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
 def topk(spark, sf):
     return table(spark, sf, "part").select("p_partkey", "p_retailprice").orderBy(F.col("p_retailprice").desc(), "p_partkey").limit(25)
+
+
+# ---- everything fitted as one artefact ---------------------------------------------------
+
+BUNDLE = U.Plan(missing={"price_missing": "o_totalprice", "status_missing": "o_orderstatus"}, medians={"o_totalprice": ["o_orderstatus", "o_orderpriority"]},
+                codes=["o_orderpriority"], shares=["o_orderstatus", "o_orderpriority"], ordinals={"o_orderstatus": {"F": 0, "P": 1, "O": 2}})
+
+
+@query("feature_bundle", f"""
+WITH {ON}, f AS (SELECT *, o_totalprice::DOUBLE AS x FROM onull WHERE o_orderkey % 5 <> 0), a AS (SELECT *, o_totalprice::DOUBLE AS x FROM onull WHERE o_orderkey % 5 = 0),
+m AS (SELECT o_orderstatus AS s, o_orderpriority AS p, quantile_cont(x, 0.5) AS med FROM f WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL AND x IS NOT NULL GROUP BY ALL),
+r AS (SELECT quantile_cont(coalesce(x, med), 0.5) AS rest FROM f LEFT JOIN m ON s = o_orderstatus AND p = o_orderpriority),
+c AS (SELECT o_orderpriority AS p, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code FROM (SELECT DISTINCT o_orderpriority FROM f WHERE o_orderpriority IS NOT NULL)),
+hs AS (SELECT o_orderstatus AS s, count(*) / (SELECT count(o_orderstatus) FROM f)::DOUBLE AS share FROM f WHERE o_orderstatus IS NOT NULL GROUP BY 1),
+hp AS (SELECT o_orderpriority AS p, count(*) / (SELECT count(o_orderpriority) FROM f)::DOUBLE AS share FROM f WHERE o_orderpriority IS NOT NULL GROUP BY 1)
+SELECT o_orderkey, CAST(x IS NULL AS INTEGER) AS price_missing, CAST(o_orderstatus IS NULL AS INTEGER) AS status_missing, round(coalesce(x, med, rest), 6) AS o_totalprice,
+  CAST(coalesce(code, -1) AS INTEGER) AS o_orderpriority_code, round(coalesce(hs.share, 0), 6) AS o_orderstatus_share, round(coalesce(hp.share, 0), 6) AS o_orderpriority_share,
+  CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE -1 END AS o_orderstatus_ord
+FROM a CROSS JOIN r LEFT JOIN m ON m.s = o_orderstatus AND m.p = o_orderpriority LEFT JOIN c ON c.p = o_orderpriority LEFT JOIN hs ON hs.s = o_orderstatus LEFT JOIN hp ON hp.p = o_orderpriority""")
+def feature_bundle(spark, sf):
+    d = orders_with_nulls(spark, sf)
+    path = shared_path(spark, "feature-bundle")
+    U.fit(d.where("o_orderkey % 5 <> 0"), BUNDLE).save(path)
+    out = U.load(spark, path).apply(d.where("o_orderkey % 5 = 0"))
+    return out.select("o_orderkey", "price_missing", "status_missing", r6(F.col("o_totalprice")).alias("o_totalprice"), "o_orderpriority_code",
+                      r6(F.col("o_orderstatus_share")).alias("o_orderstatus_share"), r6(F.col("o_orderpriority_share")).alias("o_orderpriority_share"), "o_orderstatus_ord")

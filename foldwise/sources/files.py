@@ -80,20 +80,62 @@ def append_run_records(df: DataFrame, path: str) -> None:
     df.select(*[f.split()[0] for f in RUN_SCHEMA.split(", ")]).write.mode("append").parquet(path)
 
 
-def file_fingerprints(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """SHA-256 of each file's bytes, or a missing marker. Files are hashed on the executors."""
-    parts = []
+#: Bytes of one read, and the schemes that tasks can read as streams.
+READ, STREAMED = 1 << 23, {"file", "hdfs", "s3", "s3a", "gs"}
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(URI, length) of the files that a path or pattern names, directly or as a folder's content."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for s in fs.globStatus(at) or []:
+        found += [f for f in fs.listStatus(s.getPath()) if f.isFile()] if s.isDirectory() else [s]
+    return [(f.getPath().toUri().toString(), f.getLen()) for f in found]
+
+
+def _streamed(uri: str) -> str:
+    scheme, _, rest = uri.partition(":")
+    return f"{'s3' if scheme == 's3a' else scheme}://{rest.removeprefix('//')}"
+
+
+def file_fingerprints(spark: SparkSession, paths: Sequence[str], read: int = READ) -> DataFrame:
+    """SHA-256 of each file's bytes, or a missing marker. Files of any size are read as streams by the executors, one file a task and `read` bytes at once.
+
+    Paths of other schemes than those in STREAMED are read whole.
+    """
+    import hashlib
+
+    found, missing = [], []
     for p in paths:
-        try:
-            f = spark.read.format("binaryFile").load(p)
-            parts.append(f.select(F.col("path"), F.sha2("content", 256).alias("sha256"), F.col("length")))
-        except AnalysisException as e:
-            if not _missing_path(e):
-                raise
-            parts.append(spark.createDataFrame([(p, "missing", None)], "path string, sha256 string, length bigint"))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+        own = _listed(spark, p)
+        found += own
+        missing += [] if own else [(p, "missing", None)]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        for batch in batches:
+            out = []
+            for uri in batch.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(_streamed(uri))
+                digest, n = hashlib.sha256(), 0
+                with system.open_input_stream(at, compression=None) as f:
+                    while block := f.read(read):
+                        digest.update(block)
+                        n += len(block)
+                out.append((uri, digest.hexdigest(), n))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), pa.array([r[1] for r in out]), pa.array([r[2] for r in out], pa.int64())], ["path", "sha256", "length"])
+
+    schema = "path string, sha256 string, length bigint"
+    streams = [(u,) for u, _ in found if u.partition(":")[0] in STREAMED]
+    whole = [u for u, _ in found if u.partition(":")[0] not in STREAMED]
+    out = spark.createDataFrame(missing, schema)
+    if streams:
+        out = out.union(spark.createDataFrame(streams, "path string").repartition(len(streams)).mapInArrow(run, schema))
+    if whole:
+        f = spark.read.format("binaryFile").load(whole)
+        out = out.union(f.select("path", F.sha2("content", 256).alias("sha256"), "length"))
     return out
 
 
