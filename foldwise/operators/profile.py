@@ -29,12 +29,20 @@ def missing_rate_by(df: DataFrame, label: str, conds: dict[str, Column]) -> Data
             .select(label, "n_rows", "column_name", r6(F.col("_r")).alias("rate")))
 
 
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """Rows that occur more than once, with `count`. Hashes are counted first, and only rows whose hash repeats are shuffled whole."""
+    h = F.xxhash64(*df.columns)
+    often = df.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
+    suspects = df.withColumn("_h", h).join(sized(often), "_h", "left_semi").drop("_h")
+    return suspects.groupBy(*df.columns).count().where("count > 1")
+
+
 def quality_report(df: DataFrame, label: str) -> DataFrame:
     """Tidy (metric, label, value) rows: size, nulls, duplicate rows, class counts and shares, imbalance."""
     types = dict(df.dtypes)
     base = df.agg(F.count(F.lit(1)).cast("double").alias("rows"), F.lit(float(len(df.columns))).alias("columns"),
                   F.sum(total([missing(F.col(c), types[c]).cast("int") for c in df.columns])).cast("double").alias("nulls"))
-    dup = df.groupBy(*df.columns).count().agg(F.sum(F.col("count") - 1).cast("double").alias("duplicate_rows"))
+    dup = repeated_rows(df).agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("double").alias("duplicate_rows"))
     classes = class_distribution(df, label)
     imb = classes.agg(F.round(F.max("n") / F.min("n"), 4).alias("imbalance"))
     none = F.lit(None).cast("string").alias("label")

@@ -62,10 +62,11 @@ def fit_tfidf(fit: DataFrame, key: str, text: str, max_features: int = 200, min_
     A document is one row, so its distinct terms are found in place and only
     per-term sums are shuffled.
     """
-    g = fit.select(grams(F.col(text)).alias("g"))
-    each = g.select(F.explode("g").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-    docs = g.select(F.explode(F.array_distinct("g")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    top = each.join(docs.where(F.col("df") >= min_df), "term").orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
+    g = F.array_sort(grams(F.col(text)))
+    # In a sorted row each term's first place counts the document, every place an occurrence.
+    marked = fit.select(g.alias("g")).select(F.explode(F.transform("g", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get("g", i - 1))).alias("new")))).alias("t"))
+    each = marked.groupBy("t.term").agg(F.count(F.lit(1)).alias("tf"), F.count_if(F.col("t.new")).alias("df"))
+    top = each.where(F.col("df") >= min_df).orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
     n = fit.agg(F.count(F.lit(1))).scalar()
     return top.select("term", "tf", "df", (F.ln((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
 
