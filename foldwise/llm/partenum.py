@@ -395,24 +395,57 @@ def sketches(sets: DataFrame) -> DataFrame:
     return sets.select("class", "n", "s").mapInArrow(run, "class binary, n long, k array<bigint>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: Fraction = SIMILAR) -> DataFrame:
-    """The pairs whose sets are similar. Sketches go first, so that whole sets are sent for likely pairs only; those of b are joined first, so that a class
-    paired with very many is sent once for its own side."""
+def likely_pairs(pairs: DataFrame, sets: DataFrame, similar: Fraction = SIMILAR) -> DataFrame:
+    """(a, b, apart), written: the pairs whose sketches allow them to be similar, and in how many bits those differ."""
     p, q = similar.numerator, similar.denominator
     drawn = written(sketches(sets), "partenum-sketches")
+    drawn = sent(drawn.dropDuplicates(["class"]))
     for c in "ba":
         pairs = pairs.join(drawn.toDF(c, f"n{c}", f"k{c}"), c)
-    apart = F.expr("aggregate(zip_with(ka, kb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    pairs = written(pairs.where(apart * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b").distinct(), "partenum-likely")
-    there = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "partenum-there")
-    if (few := sent(there)) is not there:
-        sets = sets.join(few, "class", "left_semi")
+    pairs = pairs.withColumn("apart", F.expr("aggregate(zip_with(ka, kb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"))
+    return written(pairs.where(F.col("apart") * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b", "apart").distinct(), "partenum-likely")
+
+
+def exact(pairs: DataFrame, sets: DataFrame, similar: Fraction = SIMILAR) -> DataFrame:
+    """The pairs whose sets are similar. Where the pairs are few they go to the sets, and the set of b alone is sent to that of a."""
+    p, q = similar.numerator, similar.denominator
+    pairs = pairs.select("a", "b")
     left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    if estimated_bytes(pairs) <= SENT_BYTES:
+        right = right.join(F.broadcast(pairs), "b")
+        left = left.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi")
+        both = right.join(left, "a")
+    else:
+        both = pairs.join(right, "b").join(left, "a")
+    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.where(f"{q} * i >= {p} * (na + nb - i)").select("a", "b").distinct()
 
 
+def verified(pairs: DataFrame, sets: DataFrame, similar: Fraction = SIMILAR) -> DataFrame:
+    """The pairs whose sets are similar: sketches go first, whole sets are sent for likely pairs only."""
+    return exact(likely_pairs(pairs, sets, similar), sets, similar)
+
+
+def spanning_links(pairs: DataFrame, sets: DataFrame, similar: Fraction = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(links, their components): of the pairs, enough similar ones for the components of all.
+
+    Each b is first compared with the likeliest a alone; then the likely pairs are that still join two components.
+    """
+    likely = likely_pairs(pairs, sets, similar)
+    best = written(likely.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select("m.a", "b"), "partenum-best")
+    links = written(exact(best, sets, similar), "partenum-links")
+    roots = components(links)
+    rest = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for c in "ab":
+        rest = rest.join(sent(roots).toDF(c, f"r{c}"), c, "left")
+    rest = written(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "partenum-open")
+    if rest.isEmpty():
+        return links, roots
+    links = written(links.union(exact(rest, sets, similar)), "partenum-links")
+    return links, components(links)
+
+
 def _prepared(docs: DataFrame, key: str, text: str, words: int, similar: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Rows with their class; the classes; the sets of those that can have a partner; groups of signatures."""
     rows = written(classes_of(docs, key, text, words), "partenum-classes")
@@ -462,11 +495,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     other. An empty table gives an empty table.
     """
     rows, classes, sets, n_groups = _prepared(docs, key, text, words, similar)
-    links = written(verified(candidates(sets, n_groups, similar), sets, similar), "partenum-links")
-    more = written(candidates(sets, n_groups, similar, components(links)), "partenum-rest")
+    links, roots = spanning_links(candidates(sets, n_groups, similar), sets, similar)
+    more = written(candidates(sets, n_groups, similar, roots), "partenum-rest")
     if not more.isEmpty():
-        links = links.union(verified(more, sets, similar))
-    roots = components(links)
+        roots = components(links.union(spanning_links(more, sets, similar)[0]))
     least = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
     named = least.join(of_root, "root").select("class", "root", "component_id")
