@@ -17,10 +17,13 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +160,8 @@ class LibraryEncoder:
     """
 
     def __init__(self, path: str):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise NotImplementedError("packed ids are little-endian 32-bit numbers of this machine")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
@@ -192,11 +197,10 @@ class LibraryEncoder:
                 split[w] = self.split(w)
             else:
                 self.known[w] = ids
-        units = list({u for own in split.values() for u in own if u not in runs})
+        units = list(set(chain.from_iterable(split.values())).difference(runs))
         for k in range(0, len(units), 10_000):
             for u, e in zip(units[k:k + 10_000], self.library.encode_batch_fast(units[k:k + 10_000], add_special_tokens=False)):
-                ids = e.ids
-                runs[u] = struct.pack(f"<{len(ids)}I", *ids)
+                runs[u] = array("I", e.ids).tobytes()
         for w, own in split.items():
             self.known[w] = runs[own[0]] if len(own) == 1 else b"".join([runs[u] for u in own])
 
