@@ -297,3 +297,14 @@ def test_a_library_tokenizer_can_be_plugged_in(spark):
 
     m = R.supervision_masks(spark.createDataFrame([("ab", "c d")], "p string, c string"), "p", "c", 100, tokenize=letters).first()
     assert m.labels == [R.IGNORED, R.IGNORED, ord("c"), ord("d"), R.END_ID] and m.prompt_len == 2
+
+
+def test_prompts_are_dealt_out_and_maps_computed_once(spark):
+    """A small one-file table is no single task, and neither the filter nor the size repeats the letter map."""
+    from foldwise.plans import corpus as C
+    assert C.prompts(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() >= 8
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(C.bijection_check(spark, "/root/testdata/sf0.001")).count("map_from_") == 1
+    ex, _ = P.cipher_parts(F.col("prompt"))
+    d = C.prompts(spark, "/root/testdata/sf0.001").select("id", P.known_map(ex).alias("cmap")).where("cmap IS NOT NULL")
+    assert plan(d).count("map_from_") == 1
