@@ -308,3 +308,16 @@ def test_prompts_are_dealt_out_and_maps_computed_once(spark):
     ex, _ = P.cipher_parts(F.col("prompt"))
     d = C.prompts(spark, "/root/testdata/sf0.001").select("id", P.known_map(ex).alias("cmap")).where("cmap IS NOT NULL")
     assert plan(d).count("map_from_") == 1
+
+
+def test_worked_traces_hold_every_step(spark):
+    """Each subtraction, each row as read and each rough value have a line; chat records are made from these."""
+    n = P.solve_numeral(spark.createDataFrame([(NUMERAL.format(n=3008),)], "prompt string")).select(P.numeral_trace(P.WORKED["numeral"]).alias("t")).first()["t"]
+    assert n.split("\n")[1:5] == ["3008 holds 1000: M is added, so far M, rest 2008", "2008 holds 1000: M is added, so far MM, rest 1008",
+                                  "1008 holds 1000: M is added, so far MMM, rest 8", "8 holds 5: V is added, so far MMMV, rest 3"]
+    u = P.solve_unit(spark.createDataFrame([(UNIT.format(pairs="2.00 m becomes 3.00\n4.00 m becomes 6.00", q="12.50"),)], "prompt string"))
+    t = u.select(P.unit_trace(P.WORKED["unit_conversion"]).alias("t")).first()["t"]
+    assert "read: in 4, out 6" in t and "about 1.5000 as it stands, k from 1.4975 to 1.5025" in t and "1.5000 times 12.5 makes 18.75" in t
+    from foldwise.plans import corpus as C
+    records = C.chat_records(spark, "/root/testdata/sf0.001")
+    assert records.where(F.col("record").contains('"numeral"') & ~F.col("record").contains("so far")).count() == 0
