@@ -67,8 +67,8 @@ def simplex(n_models: int, steps: int = GRID_STEPS) -> list[tuple[int, ...]]:
 
 
 def candidate_counts(df: DataFrame, candidates: Sequence[tuple], names: Sequence[str], class_scores, y: str,
-                     fold: str = "fold") -> DataFrame:
-    """hits and n per (candidate, fold, class).
+                     fold: str = "fold", weight: Column | None = None) -> DataFrame:
+    """hits and n per (candidate, fold, class). `weight` is how many rows a row stands for, one by default.
 
     `class_scores` maps the candidate's columns to one score column per class; the
     first maximum is the prediction. The grid is a literal array exploded in the
@@ -77,17 +77,19 @@ def candidate_counts(df: DataFrame, candidates: Sequence[tuple], names: Sequence
     grid = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, cand)]) for cand in candidates])
     rows = df.withColumn("_g", F.explode(grid))
     scores = class_scores([F.col("_g")[n] for n in names])
+    weight = F.lit(1) if weight is None else weight
     pre = rows.select(*[F.col("_g")[n].alias(n) for n in names], fold, y,
-                      (argmax_columns(scores) == F.col(y)).cast("int").alias("_hit"))
-    return pre.groupBy(*names, fold, y).agg(F.sum("_hit").alias("hits"), F.count(F.lit(1)).alias("n"))
+                      (argmax_columns(scores) == F.col(y)).cast("bigint").alias("_hit"), weight.cast("bigint").alias("_n"))
+    return pre.groupBy(*names, fold, y).agg(F.sum(F.col("_hit") * F.col("_n")).alias("hits"), F.sum("_n").alias("n"))
 
 
 def blend_counts(df: DataFrame, models: Sequence[Sequence[str]], y: str, fold: str = "fold", steps: int = GRID_STEPS) -> DataFrame:
-    """Counts for every blend weight on the simplex; columns w0, w1, ... hold the weights."""
+    """Counts for every blend weight on the simplex; columns w0, w1, ... hold the weights. Rows with the same probabilities are blended once."""
     names = [f"w{i}" for i in range(len(models))]
     cands = [tuple(v / steps for v in c) for c in simplex(len(models), steps)]
     mats = [[F.col(c) for c in m] for m in models]
-    return candidate_counts(df, cands, names, lambda w: blend_columns(mats, w), y, fold)
+    same = df.groupBy(fold, y, *dict.fromkeys(c for m in models for c in m)).agg(F.count(F.lit(1)).alias("_rows"))
+    return candidate_counts(same, cands, names, lambda w: blend_columns(mats, w), y, fold, F.col("_rows"))
 
 
 def _distance(names: Sequence[str], centre: float) -> Column:

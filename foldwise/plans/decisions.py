@@ -48,7 +48,9 @@ def counts(spark, sf):
 WITH {BC}, s AS (SELECT w0, w1, w2, y, sum(hits) / sum(n) AS r FROM bc GROUP BY ALL)
 SELECT round(w0, 6) AS w0, round(w1, 6) AS w1, round(w2, 6) AS w2, round(avg(r), 6) AS score FROM s GROUP BY s.w0, s.w1, s.w2""")
 def simplex_grid(spark, sf):
-    s = B.surface(counts(spark, sf), NAMES, "y")
+    # The surface is over all folds, so rows are not dealt into any.
+    whole = scored(spark, sf).select(F.lit(0).alias("fold"), "y", *[c for m in MATS for c in m])
+    s = B.surface(B.blend_counts(whole, MATS, "y"), NAMES, "y")
     return s.select(*[r6(F.col(c)).alias(c) for c in [*NAMES, "score"]])
 
 

@@ -208,3 +208,12 @@ def test_rank_buckets_follow_the_counts(spark, monkeypatch):
     monkeypatch.setattr(R, "BUCKET_ROWS", 0)
     monkeypatch.setattr(R, "MOST_DIGITS", 9)
     assert {r.id: (r.rank, r.rank_total) for r in R.hash_rank(df, "h", ["g"]).collect()} == want
+
+
+def test_equal_rows_are_blended_once(spark):
+    df = spark.createDataFrame([(0, 1, 0.2, 0.8, 0.6, 0.4)] * 50 + [(1, 0, 0.7, 0.3, 0.1, 0.9)] * 30, "fold int, y int, a0 double, a1 double, b0 double, b1 double")
+    c = B.blend_counts(df, [["a0", "a1"], ["b0", "b1"]], "y")
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("Aggregate")
+    got = {(r["w0"], r["fold"]): (r["hits"], r["n"]) for r in c.collect()}
+    assert got[(1.0, 0)] == (50, 50) and got[(0.0, 0)] == (0, 50) and got[(1.0, 1)] == (30, 30) and got[(0.0, 1)] == (0, 30) and len(got) == 26
