@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.functions.num import argmax_array, order_key, r6
+from foldwise.functions.num import argmax_array, let, order_key, r6
 from foldwise.operators.metrics import balanced_accuracy, paired_delta
 from foldwise.operators.ranks import hash_rank
 
@@ -313,9 +313,10 @@ def bayes_out_of_fold(df: DataFrame, specs: Sequence, label: str, n_classes: int
 
 
 def softmax(logs: Column) -> Column:
-    """Probabilities from an array of log scores."""
-    e = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(e, lambda x: F.round(x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b), DIGITS))
+    """Probabilities from an array of log scores, which are computed once a row."""
+    exps = lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+    shares = lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda n: F.transform(e, lambda x: F.round(x / n, DIGITS)))
+    return let(let(logs, exps), shares)
 
 
 def split_gains(counts: dict, specs: Sequence, n_classes: int, folds: Sequence[int]) -> list[tuple[int, str, float]]:

@@ -150,3 +150,10 @@ def test_logistic_out_of_fold_equals_separate_fits(df):
     assert all(np.allclose(own[k], parts[0][k], atol=1e-6) for k in own)
     trials = E.grid_search(train, ["a", "b"], "y", "fold", 4, [{"regParam": 1e-3}, {"regParam": 50.0}], max_iter=10).collect()
     assert trials[0].trial == 0 and trials[0].score >= trials[1].score
+
+
+def test_log_scores_stand_once_in_a_softmax(spark):
+    d = spark.createDataFrame([([0.0, 1.0, 2.0],)], "s array<double>")
+    out = d.select(S.softmax(F.transform("s", lambda x: F.hypot(x, F.lit(0.0)))).alias("p"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("hypot") == 1
+    assert [round(x, 4) for x in out.first()["p"]] == [0.09, 0.2447, 0.6652]
