@@ -321,3 +321,13 @@ def test_worked_traces_hold_every_step(spark):
     from foldwise.plans import corpus as C
     records = C.chat_records(spark, "/root/testdata/sf0.001")
     assert records.where(F.col("record").contains('"numeral"') & ~F.col("record").contains("so far")).count() == 0
+
+
+def test_tokens_are_objects_for_few_texts_at_a_time(spark):
+    def counted(texts):
+        assert len(texts) <= R.TEXTS
+        return R.space_tokens(texts)
+
+    df = spark.range(1000, numPartitions=1).selectExpr("id", "repeat('a b ', cast(id % 5 as int)) AS t")
+    got = R.with_tokens(df, "t", tokenize=counted).selectExpr("count_if(size(tokens) = 2 * (id % 5)) AS n").first()["n"]
+    assert got == 1000
