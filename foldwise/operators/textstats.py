@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.num import let, order_key, r6, words
-from foldwise.operators.lookup import attach
+from foldwise.operators.lookup import attach, keep
 from foldwise.operators.ranks import hash_rank, value_ranks
 
 
@@ -39,9 +39,11 @@ def padding_plan(df: DataFrame, key: Sequence[str], length: str, batch: int, mul
                     (padded * F.col("n_rows") - F.col("tokens")).cast("bigint").alias("padding"))
 
 
-def grams(text: Column, low: int = 1, high: int = 2) -> Column:
-    """Lower-case word tokens of two or more characters, and their n-grams."""
+def grams(text: Column, low: int = 1, high: int = 2, only: Sequence[str] | None = None) -> Column:
+    """Lower-case word tokens of two or more characters, and their n-grams. With `only`, those made of these words alone."""
     toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit("unknown"))), F.lit(TOKEN), F.lit(0))
+    if only is not None:
+        toks = F.transform(toks, lambda x: F.when(x.isin(list(only)), x))
 
     def upto(t):
         parts, run = [t] if low == 1 else [], t
@@ -53,19 +55,39 @@ def grams(text: Column, low: int = 1, high: int = 2) -> Column:
                 parts.append(run)
         return F.concat(*parts)
 
-    return let(toks, upto)
+    return let(toks, upto) if only is None else F.array_compact(let(toks, upto))
+
+
+#: Frequent words that are sent to all tasks, at most.
+MOST_WORDS = 2_000
+
+
+def term_counts(fit: DataFrame, terms: Column) -> DataFrame:
+    """(term, tf, df) from an array of terms for each document."""
+    # In a sorted row each term's first place counts the document, every place an occurrence.
+    marked = fit.select(F.array_sort(terms).alias("g")).select(
+        F.explode(F.transform("g", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get("g", i - 1))).alias("new")))).alias("t"))
+    return marked.groupBy("t.term").agg(F.count(F.lit(1)).alias("tf"), F.count_if(F.col("t.new")).alias("df"))
 
 
 def fit_tfidf(fit: DataFrame, key: str, text: str, max_features: int = 200, min_df: int = 5) -> DataFrame:
     """Vocabulary of the most frequent terms with enough documents, with smoothed idf.
 
     A document is one row, so its distinct terms are found in place and only
-    per-term sums are shuffled.
+    per-term sums are shuffled. Words are counted first. Where as many as are wanted
+    occur `least` times, no rarer term can be in the vocabulary, and a pair occurs no
+    more often than its words: pairs of rarer words are not counted, so that no task
+    holds all different pairs.
     """
-    g = F.array_sort(grams(F.col(text)))
-    # In a sorted row each term's first place counts the document, every place an occurrence.
-    marked = fit.select(g.alias("g")).select(F.explode(F.transform("g", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get("g", i - 1))).alias("new")))).alias("t"))
-    each = marked.groupBy("t.term").agg(F.count(F.lit(1)).alias("tf"), F.count_if(F.col("t.new")).alias("df"))
+    single = keep(term_counts(fit, grams(F.col(text), 1, 1)))
+    bar = single.where(F.col("df") >= min_df).orderBy(F.col("tf").desc()).limit(max_features).agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("least")).first()
+    often = []
+    if bar["n"] == max_features:
+        often = [r["term"] for r in single.where(F.col("tf") >= bar["least"]).select("term").limit(MOST_WORDS + 1).collect()]
+    if often and len(often) <= MOST_WORDS:
+        each = single.where(F.col("tf") >= bar["least"]).unionByName(term_counts(fit, grams(F.col(text), 2, 2, often)))
+    else:
+        each = single.unionByName(term_counts(fit, grams(F.col(text), 2, 2)))
     top = each.where(F.col("df") >= min_df).orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
     n = fit.agg(F.count(F.lit(1))).scalar()
     return top.select("term", "tf", "df", (F.ln((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))

@@ -323,6 +323,25 @@ def test_worked_traces_hold_every_step(spark):
     assert records.where(F.col("record").contains('"numeral"') & ~F.col("record").contains("so far")).count() == 0
 
 
+def test_pairs_of_rare_words_are_not_counted(spark):
+    """The pruned vocabulary is that of all terms, ties included."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{min(int(rng.expovariate(0.2)), 60)}" for _ in range(rng.randint(0, 30)))) for i in range(300)]
+    df = spark.createDataFrame(docs, "id int, t string")
+    counts = {}
+    for _, t in docs:
+        w = t.split() if t else []
+        for g in w + [f"{a} {b}" for a, b in zip(w, w[1:])]:
+            counts.setdefault(g, [0, set()])
+            counts[g][0] += 1
+            counts[g][1].add(_)
+    want = sorted(((-n, g) for g, (n, d) in counts.items() if len(d) >= 5))[:30]
+    got = T.fit_tfidf(df, "id", "t", 30, 5)
+    assert sorted((-r["tf"], r["term"]) for r in got.collect()) == want
+    only = {r["x"] for r in df.select(F.explode(T.grams(F.col("t"), 2, 2, ["w0", "w1"])).alias("x")).collect()}
+    assert only == {g for g in counts if set(g.split()) <= {"w0", "w1"} and " " in g}
+
+
 def test_tokens_are_objects_for_few_texts_at_a_time(spark):
     def counted(texts):
         assert len(texts) <= R.TEXTS
