@@ -1,30 +1,37 @@
-"""Katz backoff language model: discounted bigram counts over discounted unigram counts, for scoring whole texts.
+"""Katz backoff language model of any order, kept in tables: discounted n-gram counts and backoff weights, for scoring whole texts.
 
 The classes are the training words, one end token, and one class for all unknown
-words. A seen bigram has its Good-Turing discounted relative frequency; after a
-known word, an unseen one has what that leaves, shared out by unigram probability
-among exactly the classes not seen there, so every distribution sums to one. Where
-all counts are too large to be discounted, one more count is set aside instead.
+words. A seen n-gram has its Good-Turing discounted relative frequency; after a
+known context, an unseen one has what that leaves, shared out by the probability of
+the next lower order among exactly the classes not seen there, so every distribution
+sums to one. Where all counts are too large to be discounted, one more count is set
+aside instead. The recursion ends with the discounted counts of single words.
+
+A fitted Model is a few numbers and tables in parts by hash: the words with their
+counts, and for each order from 2 the n-grams (context, word, count) by the hash of the
+context, and the contexts (context, backoff weight). Texts other than those it
+was made from are scored by the same joins, `score_with`.
 
 Tokens are kept in blocks of texts (a written table) as numbers in the block's
-own dictionary and never leave it. Words are 64-bit hashes; they are counted where
-their hash sends them, and each block gets its counts back. A block sends each of
-its distinct bigrams once, to where the hash of the first word sends them; a first
-word with many occurrences is dealt out by the second word too, and what its parts
-know of the backoff is added up in a table of such words. Each block gets the
-counts of its bigrams and the backoff of its contexts back and scores its texts.
+own dictionary and never leave it. Words are 64-bit hashes; a block asks for its words
+where their hash sends them. For each order a block asks once for each of its distinct
+n-grams, where the hash of the context sends them; a context with many occurrences
+is dealt out by the next word too. While a model is made, its n-grams are
+counted from what the blocks ask, which carries training counts, so the n-grams of a block move once.
+The context sums, added up over all parts, give the weights, for which blocks ask last.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm.bitplanes import from_planes, to_planes
@@ -117,7 +124,8 @@ def held_out(key: int | None, folds: int = 10) -> bool:
 
 # ---- blocks ---------------------------------------------------------------------------------
 
-BLOCK_SCHEMA = "block long, keys binary, empty binary, held binary, sizes binary, words binary, tokens binary"
+BLOCK_SCHEMA = "block long, keys binary, empty binary, held binary, sizes binary, words binary, tokens binary, n_train long"
+HEAD = ["keys", "empty", "held", "sizes", "words", "tokens"]
 
 
 def blocks_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -129,7 +137,7 @@ def blocks_of(docs: DataFrame, key: str, text: str) -> DataFrame:
         def row():
             u, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
             return {"block": part << 32 | seq, "keys": np.array([k or 0 for k in keys], np.int64).tobytes(), "empty": bytes(k is None for k in keys),
-                    "held": bytes(map(held_out, keys)), "sizes": pack(np.concatenate(sizes)), "words": u.tobytes(), "tokens": pack(inverse)}
+                    "held": bytes(map(held_out, keys)), "sizes": pack(np.concatenate(sizes)), "words": u.tobytes(), "tokens": pack(inverse), "n_train": len(keys) - sum(map(held_out, keys))}
 
         for batch in batches:
             own = batch.column(0).to_pylist()
@@ -149,17 +157,85 @@ def blocks_of(docs: DataFrame, key: str, text: str) -> DataFrame:
         if keys:
             yield pa.RecordBatch.from_pylist([row()], arrow)
 
-    arrow = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "empty", "held", "sizes", "words", "tokens"))])
+    arrow = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in HEAD), ("n_train", pa.int64())])
     return written(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, BLOCK_SCHEMA), "katz-blocks")
 
 
+# ---- the model and its tables ----------------------------------------------------------------
+
+@dataclass
+class Model:
+    """Numbers, and tables with one packed row for each group: `words` (g, words, count), `grams[order]` (g, contexts, runs, numbers, counts: the words
+    after each context) and `weights[order]` (g, contexts, bare, weight: log10 of the backoff weight)."""
+    order: int
+    uni: Unigrams
+    begins: int
+    n_words: int
+    n_groups: int
+    part: int
+    words: DataFrame
+    discounts: dict[int, Discount] = field(default_factory=dict)
+    grams: dict[int, DataFrame] = field(default_factory=dict)
+    weights: dict[int, DataFrame] = field(default_factory=dict)
+
+    def numbers(self, below: int) -> Numbers:
+        """With the discounts of the orders below one."""
+        return Numbers(self.uni, self.begins, self.n_words, self.n_groups, self.part, {o: d for o, d in self.discounts.items() if o < below})
+
+    def save(self, path: str) -> None:
+        """Write the tables and the numbers under `path`."""
+        spark = self.words.sparkSession
+        self.words.write.parquet(f"{path}/words")
+        for o in range(2, self.order + 1):
+            self.grams[o].write.parquet(f"{path}/grams-{o}")
+            self.weights[o].write.parquet(f"{path}/weights-{o}")
+        plain = {"order": self.order, "uni": asdict(self.uni), "begins": self.begins, "n_words": self.n_words, "n_groups": self.n_groups, "part": self.part,
+                 "discounts": {o: d.factor for o, d in self.discounts.items()}}
+        spark.createDataFrame([(json.dumps(plain),)], "numbers string").coalesce(1).write.parquet(f"{path}/numbers")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Model:
+        x = json.loads(spark.read.parquet(f"{path}/numbers").first()[0])
+        u = x["uni"] | {"discount": Discount(tuple(x["uni"]["discount"]["factor"]))}
+        orders = range(2, x["order"] + 1)
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return Model(x["order"], Unigrams(**u), x["begins"], x["n_words"], x["n_groups"], x["part"], read("words"), {int(o): Discount(tuple(f)) for o, f in x["discounts"].items()},
+                     {o: read(f"grams-{o}") for o in orders}, {o: read(f"weights-{o}") for o in orders})
+
+
+@dataclass
+class Numbers:
+    """What tasks need to know of a model beside its tables."""
+    uni: Unigrams
+    begins: int
+    n_words: int
+    n_groups: int
+    part: int
+    discounts: dict[int, Discount]
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     for k in range(batch.num_rows):
         yield {n: c[k].as_py() for n, c in zip(batch.schema.names, batch.columns)}
 
 
 STATS = ["n", "tokens", *(f"r{r}" for r in range(1, MOST + 2))]
-STATS_SCHEMA = ", ".join(f"{c} long" for c in STATS)
+#: Packed rows of any step: whose, from or for which group, of which kind, up to seven columns, and statistics in the rows of tables.
+CELLS = list("abcdefk")
+ROW_NAMES = ["block", "g", "kind", *CELLS, *STATS]
+ROW_KINDS = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * len(CELLS), *[pa.int64()] * len(STATS)]
+ROW_SCHEMA = ", ".join(["block long, g long, kind int", *(f"{c} binary" for c in CELLS), *(f"{c} long" for c in STATS)])
+#: Kinds of rows that are regrouped: those of a table, those of a block that asks, and the head of a block.
+TABLE, ASKED, WHOLE = -1, -2, 0
+
+
+def _row(block: int | None, g: int | None, kind: int, *cells: bytes, stats: list[int] | None = None) -> tuple:
+    return (block, g, kind, *cells, *[None] * (len(CELLS) - len(cells)), *(stats or [None] * len(STATS)))
+
+
+def _packed(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows)) or [()] * len(ROW_NAMES)
+    return pa.table([pa.array(c, t) for c, t in zip(cols, ROW_KINDS)], ROW_NAMES)
 
 
 def _stats(c: np.ndarray) -> list[int]:
@@ -167,243 +243,366 @@ def _stats(c: np.ndarray) -> list[int]:
     return [int((c > 0).sum()), int(c.sum()), *np.bincount(np.minimum(c, MOST + 2), minlength=MOST + 3)[1:MOST + 2].tolist()]
 
 
-def _table(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
-    cols = list(zip(*rows)) or [()] * len(names)
-    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+def _totals(df: DataFrame) -> list[int]:
+    return [x or 0 for x in df.where("n IS NOT NULL").agg(*[F.sum(c).alias(c) for c in STATS]).first()]
 
 
-def count_words(blocks: DataFrame, n_groups: int) -> DataFrame:
-    """Rows (g, block, count, number, parts) that answer each block's words of a group in their order, and one row of statistics for each group.
+def _answered(asks: DataFrame, held: DataFrame | None, answer: Callable, label: str) -> DataFrame:
+    """Rows that ask (kind ASKED) meet the table row of their group, if there is one already; `answer` gives the answers, and the table row if it makes it."""
+    both = asks if held is None else asks.union(held)
 
-    parts is into how many the bigrams that begin with the word are dealt, by its occurrences in all texts.
-    """
-    part = max(1, GROUP // 8)
+    def meet(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        own = next((r for r in rows if r["kind"] == TABLE), None)
+        rows = [r for r in rows if r["kind"] == ASKED]
+        return _packed(answer(rows[0]["g"], rows, own) if rows else [])
+
+    out = written(both.groupBy("g").applyInArrow(meet, ROW_SCHEMA).withColumnRenamed("a", "counts"), label)
+    return out.withColumnRenamed("counts", "a")
 
+
+# ---- words: the lowest order -----------------------------------------------------------------
+
+def ask_words(blocks: DataFrame, n_groups: int) -> DataFrame:
+    """Each block's words by group, with their training counts in the block."""
     def spread(batches):
         for batch in batches:
             for b in _rows(batch):
                 words, tokens = np.frombuffer(b["words"], np.uint64), unpack(b["tokens"])
-                train = np.repeat(np.frombuffer(b["held"], np.uint8) == 0, unpack(b["sizes"]))
-                count = np.bincount(tokens[train], minlength=len(words))
-                rest = np.bincount(tokens, minlength=len(words)) - count
-                rows = [(g, b["block"], h.tobytes(), pack(count[o]), pack(rest[o])) for g, o, h in pack_by_group(np.arange(len(words)), words, n_groups)]
-                yield from _table(rows, ["g", "block", "words", "count", "rest"], [pa.int64(), pa.int64(), *[pa.binary()] * 3]).to_batches()
+                count = np.bincount(tokens[np.repeat(np.frombuffer(b["held"], np.uint8) == 0, unpack(b["sizes"]))], minlength=len(words))
+                yield from _packed([_row(b["block"], g, ASKED, h.tobytes(), pack(count[o])) for g, o, h in pack_by_group(np.arange(len(words)), words, n_groups)]).to_batches()
 
-    def meet(table: pa.Table) -> pa.Table:
-        words = [np.frombuffer(x.as_py(), np.uint64) for x in table["words"]]
-        u, to = np.unique(np.concatenate(words), return_inverse=True)
-        c = np.bincount(to, np.concatenate([unpack(x.as_py()) for x in table["count"]]), minlength=len(u)).astype(np.int64)
-        parts = (c + np.bincount(to, np.concatenate([unpack(x.as_py()) for x in table["rest"]]), minlength=len(u)).astype(np.int64)) // part + 1
-        g, rows = table["g"][0].as_py(), []
-        for block, own in zip(table["block"].to_pylist(), np.split(to, np.cumsum([len(w) for w in words])[:-1])):
-            rows.append((g, block, pack_large(c[own]), pack(own), pack(parts[own]), *[None] * len(STATS)))
-        rows.append((g, *[None] * 4, *_stats(c)))
-        return _table(rows, ["g", "block", "count", "number", "parts", *STATS], [pa.int64(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * len(STATS)])
+    return blocks.select("block", "held", "sizes", "words", "tokens").mapInArrow(spread, ROW_SCHEMA)
 
-    packed = blocks.select("block", "held", "sizes", "words", "tokens").mapInArrow(spread, "g long, block long, words binary, count binary, rest binary")
-    return written(packed.groupBy("g").applyInArrow(meet, f"g long, block long, count binary, number binary, parts binary, {STATS_SCHEMA}"), "katz-words")
 
+def word_answers(blocks: DataFrame, n_groups: int, held: DataFrame | None) -> DataFrame:
+    """For each block and group (kind 1) the counts and numbers of its words, in their order; number 0 is an unknown word. Without the table `held` it is
+    made of the training counts (kind TABLE)."""
+    def answer(g, rows, own):
+        words = [np.frombuffer(r["a"], np.uint64) for r in rows]
+        if own:
+            known, c = np.frombuffer(own["a"], np.uint64), unpack_large(own["b"])
+        else:
+            known, to = np.unique(np.concatenate(words), return_inverse=True)
+            c = np.bincount(to, np.concatenate([unpack(r["b"]) for r in rows]), minlength=len(known)).astype(np.int64)
+            known, c = known[c > 0], c[c > 0]
+        out = [] if own else [_row(None, g, TABLE, known.tobytes(), pack_large(c), stats=_stats(c))]
+        for r, w in zip(rows, words):
+            at, there = _places(known, w)
+            out.append(_row(r["block"], g, 1, pack_large(np.where(there, c[at], 0) if len(c) else np.zeros(len(w), np.int64)), pack(np.where(there, at + 1, 0))))
+        return out
 
-def _totals(df: DataFrame) -> list[int]:
-    return [x or 0 for x in df.where("n IS NOT NULL").agg(*[F.sum(c).alias(c) for c in STATS]).first()]
+    return _answered(ask_words(blocks, n_groups), held, answer, "katz-words")
+
+
+def _places(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each x stands in a sorted table, and whether it does."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
 
 
+# ---- a block and its n-grams -----------------------------------------------------------------
+
 class Block:
-    """A block's words with their answers, and its distinct bigrams as context (the number of words for the begin of a text), word and, of each token, which."""
+    """A block's distinct n-grams of one order after the other, from words up.
+
+    Of the order reached: `pair` (of each token, which n-gram ends there), `context` (which n-gram of the order before, or the number of those for the begin
+    of a text), `word`, `lower` (the n-gram without its first word), `hashes` and `total` of the contexts, and log10 probabilities once answered.
+    """
 
-    def __init__(self, words: bytes, tokens: bytes, sizes: bytes, held: bytes, answers: dict[int, dict], n_words: int, begin_parts: int):
-        self.own, self.tokens, self.sizes = np.frombuffer(words, np.uint64), unpack(tokens).astype(np.int32), unpack(sizes)
-        self.held = np.frombuffer(held, np.uint8)
+    def __init__(self, cells: dict, answers: list[dict], x: Numbers):
+        self.x, self.order = x, 1
+        self.own, self.tokens, self.sizes = np.frombuffer(cells["e"], np.uint64), unpack(cells["f"]).astype(np.int32), unpack(cells["d"])
+        self.held = np.frombuffer(cells["c"], np.uint8)
         n = len(self.own)
-        self.count, self.number, parts = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for g, o, _ in pack_by_group(np.arange(n), self.own, n_words):
-            self.count[o] = unpack_large(answers[g]["count"])
-            self.number[o] = unpack(answers[g]["number"]) * n_words + g
-            parts[o] = unpack(answers[g]["parts"])
-        self.parts, self.hashes = np.append(parts, begin_parts), np.append(self.own, BEGIN)
+        self.known, self.number = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        given = {a["g"]: a for a in answers}
+        for g, o, _ in pack_by_group(np.arange(n), self.own, x.n_words):
+            self.known[o] = unpack_large(given[g]["a"])
+            number = unpack(given[g]["b"])
+            self.number[o] = np.where(number > 0, (number - 1) * x.n_words + g + 1, 0)
         self.first = np.cumsum(np.r_[0, self.sizes])[:-1]
+        self.pair, self.count, self.begin, self.of_pair = self.tokens, self.known, BEGIN, self.own
+        self.log10 = np.log10(x.uni.probability(self.known))
+
+    def next(self) -> None:
+        """Go one order up: the n-grams of this order become contexts."""
+        n, m = len(self.own), len(self.count)
         both = np.empty(len(self.tokens), np.int64)
-        both[1:] = self.tokens[:-1]
-        both[self.first] = n
+        both[1:] = self.pair[:-1]
+        both[self.first] = m
         both *= n
         both += self.tokens
         order = np.argsort(both)
         both = both[order]
         new = np.r_[True, both[1:] != both[:-1]]
         both = both[new]
+        self.lower = self.pair[order[new]]
         self.pair = np.empty(len(order), np.int32)
         self.pair[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         self.context, self.word = (both // n).astype(np.int32), (both % n).astype(np.int32)
-
-    def dealt(self, n_groups: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(group, bigrams, starts of contexts among them) in one order whenever it is asked for."""
-        to = (self.hashes % np.uint64(n_groups)).astype(np.int32)[self.context]
-        many = np.flatnonzero((self.parts > 1)[self.context])
+        self.hashes, self.total = np.append(self.of_pair, self.begin), np.append(self.count, self.x.begins)
+        self.parts = self.total // self.x.part + 1
+        self.order += 1
+
+    def trained(self) -> np.ndarray:
+        """How often each n-gram occurs in the training texts of the block."""
+        return np.bincount(self.pair[np.repeat(self.held == 0, self.sizes)], minlength=len(self.word))
+
+    def dealt(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(group, n-grams, starts of contexts among them) in one order whenever it is asked for; n-grams after a context without training are left out."""
+        n_groups = self.x.n_groups
+        some = np.flatnonzero((self.total > 0)[self.context])
+        to = (self.hashes % np.uint64(n_groups)).astype(np.int32)[self.context[some]]
+        many = np.flatnonzero((self.parts > 1)[self.context[some]])
         with np.errstate(over="ignore"):
-            place = mix(self.own[self.word[many]]) % self.parts[self.context[many]].astype(np.uint64) + np.uint64(1)
-            to[many] = mix(self.hashes[self.context[many]] + place * np.uint64(0x9FB21C651E98DF25)) % np.uint64(n_groups)
+            of = some[many]
+            place = mix(self.own[self.word[of]]) % self.parts[self.context[of]].astype(np.uint64) + np.uint64(1)
+            to[many] = mix(self.hashes[self.context[of]] + place * np.uint64(0x9FB21C651E98DF25)) % np.uint64(n_groups)
         end = np.cumsum(np.bincount(to, minlength=n_groups))
-        order = np.argsort(to, kind="stable").astype(np.int32)
-        del to, many, place
+        order = some[np.argsort(to, kind="stable")].astype(np.int32)
+        del to, many, place, some, of
         for g in np.flatnonzero(np.diff(end, prepend=0)).tolist():
             o = order[end[g - 1] if g else 0:end[g]]
             o = o[np.lexsort((self.number[self.word[o]], self.hashes[self.context[o]]))]
             yield g, o, np.flatnonzero(np.r_[True, np.diff(self.context[o]) != 0])
 
+    def answered(self, answers: list[dict], weights: list[dict]) -> None:
+        """Take counts and weights: a seen n-gram has its discounted share, another one the weight of its context times what the order below gives."""
+        c, given = np.zeros(len(self.word), np.int64), {a["g"]: a for a in answers}
+        for g, o, _ in self.dealt():
+            c[o] = unpack_large(given[g]["a"])
+        bare, weight = np.zeros(len(self.total), bool), np.zeros(len(self.total))
+        by_hash = np.argsort(self.hashes)
+        for w in weights:
+            at = by_hash[np.searchsorted(self.hashes, np.frombuffer(w["a"], np.uint64), sorter=by_hash)]
+            bare[at], weight[at] = np.frombuffer(w["b"], bool), np.frombuffer(w["c"])
+        f = self.x.discounts[self.order].table()
+        with np.errstate(divide="ignore"):
+            seen = np.log10(f[np.minimum(c, MOST + 1)] * c / np.maximum(1, self.total + bare)[self.context])
+        self.log10 = np.where(c > 0, seen, weight[self.context] + self.log10[self.lower])
+        with np.errstate(over="ignore"):
+            self.of_pair = mix(self.hashes[self.context] * np.uint64(0xD6E8FEB86659FD93) + self.own[self.word])
+            self.begin = mix(np.array([self.begin]) + BEGIN)[0]
+        self.count = c
+
+
+def _gathered(blocks: DataFrame, known: list[DataFrame], columns: list[str], x: Numbers, use: Callable, schema: str) -> DataFrame:
+    """`use` of (cells of the block's head, Block of the highest order that is answered), block by block. Answers of an order o have kind 2 o - 1, weights 2 o."""
+    cells = [(F.col(c) if c in columns else F.lit(None).cast("binary")).alias(n) for c, n in zip(HEAD, CELLS)]
+    none = [F.lit(None).cast("binary").alias(n) for n in CELLS[len(HEAD):]] + [F.lit(None).cast("long").alias(n) for n in STATS]
+    parts = blocks.select("block", F.lit(None).cast("long").alias("g"), F.lit(WHOLE).alias("kind"), *cells, *none)
+    for k in known:
+        parts = parts.union(k.where("block IS NOT NULL"))
+
+    def run(table: pa.Table) -> pa.Table:
+        by: dict[int, list[dict]] = {}
+        for r in table.to_pylist():
+            by.setdefault(r["kind"], []).append(r)
+        head = by[WHOLE][0]
+        b = Block(head, by.get(1, []), x)
+        for o in sorted(x.discounts):
+            b.next()
+            b.answered(by.get(2 * o - 1, []), by.get(2 * o, []))
+        return use(head, b)
+
+    return parts.groupBy("block").applyInArrow(run, schema)
+
+
+# ---- n-grams of an order above 1 -------------------------------------------------------------
+
+def ask_grams(blocks: DataFrame, known: list[DataFrame], x: Numbers) -> DataFrame:
+    """Each block's distinct n-grams of the next order by group: contexts, number of words after each, the different words (high and low part of their
+    numbers), which of them, training counts in the block, and of the different words the counts (order 2), or of each n-gram the probability one order below."""
+    def spread(head, b):
+        b.next()
+        count, rows, lower = b.trained(), [], None if b.order == 2 else 10 ** b.log10[b.lower]
+        for g, o, start in b.dealt():
+            w, to = np.unique(b.word[o], return_inverse=True)
+            order = np.argsort(b.number[w], kind="stable")
+            rank = np.empty(len(w), np.int64)
+            rank[order] = np.arange(len(w))
+            number, context = b.number[w][order], b.hashes[b.context[o][start]]
+            below = pack_large(b.known[w][order]) if lower is None else lower[o].tobytes()
+            rows.append(_row(head["block"], g, ASKED, context.tobytes(), pack(np.diff(np.r_[start, len(o)])), pack(number >> 32),
+                             pack(np.diff(number & 0xFFFFFFFF, prepend=0) % (1 << 32)), pack(rank[to]), pack(count[o]), below))
+        return _packed(rows)
+
+    return _gathered(blocks, known, ["held", "sizes", "words", "tokens"], x, spread, ROW_SCHEMA)
+
+
+def gram_answers(asks: DataFrame, order: int, uni: Unigrams, held: DataFrame | None, label: str) -> DataFrame:
+    """For each block and group (kind 2 order - 1) the counts of its n-grams, in the order of Block.dealt, and the contexts whose weight it needs.
+
+    Without the table `held` it is made of the training counts (kind TABLE): the n-grams, and of each context, or of its part here, the counts of
+    counts and the probability that the order below gives to the words seen after it.
+    """
+    def answer(g, rows, own):
+        runs = [unpack(r["b"]) for r in rows]
+        contexts, run = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows]), return_inverse=True)
+        context = np.repeat(run, np.concatenate(runs))
+        w, below = [], []
+        for r in rows:
+            to = unpack(r["e"])
+            w.append((unpack(r["c"]) << 32 | np.cumsum(unpack(r["d"])) % (1 << 32))[to])
+            if not own:
+                below.append(uni.probability(unpack_large(r["k"]))[to] if order == 2 else np.frombuffer(r["k"]))
+        w = np.concatenate(w)
+        if own:
+            c, bare = _looked_up(own, contexts, context, w)
+            out = []
+        else:
+            below = np.concatenate(below)
+            at = np.lexsort((w, context))
+            new = np.r_[True, (context[at][1:] != context[at][:-1]) | (w[at][1:] != w[at][:-1])]
+            pair = np.empty(len(w), np.int64)
+            pair[at] = np.cumsum(new) - 1
+            pair_context, pair_below, pair_w = context[at][new], below[at][new], w[at][new]
+            del at, below
+            total = np.bincount(pair, np.concatenate([unpack(r["f"]) for r in rows]), minlength=int(new.sum())).astype(np.int64)
+            seen = np.bincount(pair_context, np.where(total > 0, pair_below, 0.0), minlength=len(contexts))
+            of = np.stack([np.bincount(pair_context[total == r], minlength=len(contexts)) for r in range(1, MOST + 1)], axis=1)
+            n = np.bincount(pair_context, total, minlength=len(contexts)).astype(np.int64)
+            bare, c, use = of.sum(axis=1) == 0, total[pair], total > 0
+            there = np.bincount(pair_context[use], minlength=len(contexts))
+            some = there > 0
+            out = [_row(None, g, TABLE, contexts[some].tobytes(), pack(there[some]), pack_large(pair_w[use]), pack_large(total[use]),
+                        of[some].astype(np.int64).tobytes(), seen[some].tobytes(), n[some].tobytes(), stats=_stats(total))]
+        size, n_runs = [int(x.sum()) for x in runs], [len(x) for x in runs]
+        for r, n, mine, p in zip(rows, runs, np.split(run, np.cumsum(n_runs)[:-1]), np.split(c, np.cumsum(size)[:-1])):
+            need = (np.minimum.reduceat(p, np.cumsum(np.r_[0, n])[:-1]) == 0) | bare[mine]
+            out.append(_row(r["block"], g, 2 * order - 1, pack_large(p), contexts[mine[need]].tobytes()))
+        return out
+
+    return _answered(asks, held, answer, label)
 
-PARTS = "g long, block long, counts binary, bare binary, open binary, of binary, seen binary, hot binary"
 
+def _looked_up(table: dict, contexts: np.ndarray, context: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of n-grams, and whether a context has none that is discounted here, from a table's row."""
+    held, runs, numbers, counts = np.frombuffer(table["a"], np.uint64), unpack(table["b"]), unpack_large(table["c"]), unpack_large(table["d"])
+    at, there = _places(held, contexts)
+    if not len(held):
+        return np.zeros(len(w), np.int64), np.ones(len(contexts), bool)
+    most = int(max(numbers.max(initial=0), w.max(initial=0))) + 1
+    low = np.bincount(np.repeat(np.arange(len(held)), runs), counts <= MOST, minlength=len(held)) > 0
+    i, found = _places(np.repeat(np.arange(len(held)), runs) * most + numbers, at[context] * most + w)
+    return np.where(found & there[context], counts[i], 0), ~(there & low[at])
 
-def count_pairs(blocks: DataFrame, words: DataFrame, n_words: int, n_groups: int, begin_parts: int, uni: Unigrams) -> DataFrame:
-    """Count bigrams by the group of their first word, or of its part.
 
-    For each block and group, in the order of Block.dealt: the bigrams' counts; whether a context has no count that is discounted; which contexts
-    have unseen bigrams there, with their counts of counts and what unigrams give to the words seen after them. Of contexts in several parts these
-    are sums over the parts: `hot` names them, and one row for each group has its share of them, beside the statistics.
-    """
-    def spread(batches):
-        for batch in batches:
-            for b in _rows(batch):
-                x = Block(b["words"], b["tokens"], b["sizes"], b["held"], {a["g"]: a for a in b["answers"]}, n_words, begin_parts)
-                count = np.bincount(x.pair[np.repeat(x.held == 0, x.sizes)], minlength=len(x.word))
-                rows = []
-                for g, o, start in x.dealt(n_groups):
-                    w, to = np.unique(x.word[o], return_inverse=True)
-                    order = np.argsort(x.number[w])
-                    rank = np.empty(len(w), np.int64)
-                    rank[order] = np.arange(len(w))
-                    number, at, c = x.number[w][order], x.count[w][order], x.context[o][start]
-                    rows.append((g, b["block"], x.hashes[c].tobytes(), (x.parts[c] > 1).tobytes(), pack(np.diff(np.r_[start, len(o)])), pack(number >> 32),
-                                 pack(np.diff(number & 0xFFFFFFFF, prepend=0) % (1 << 32)), pack_large(at), pack(rank[to]), pack(count[o])))
-                yield from _table(rows, names, kinds).to_batches()
-
-    names = ["g", "block", "context", "split", "runs", "w_high", "w_low", "c", "w", "count"]
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 8]
+def context_weights(grams: DataFrame, discount: Discount, n_groups: int, label: str) -> DataFrame:
+    """The table of backoff weights: what the discounts of all parts of a context leave, over what the order below gives to the words not seen after it."""
+    names = [f"s{r}" for r in range(1, MOST + 1)]
 
-    def meet(table: pa.Table) -> pa.Table:
-        get = lambda n: [x.as_py() for x in table[n]]
-        runs = [unpack(x) for x in get("runs")]
-        contexts, at, run = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in get("context")]), return_index=True, return_inverse=True)
-        split = np.concatenate([np.frombuffer(x, bool) for x in get("split")])[at]
-        context = np.repeat(run, np.concatenate(runs))
-        w, p1 = [], []
-        for high, low, c, to in zip(get("w_high"), get("w_low"), get("c"), get("w")):
-            to = unpack(to)
-            w.append((unpack(high) << 32 | np.cumsum(unpack(low)) % (1 << 32))[to])
-            p1.append(uni.probability(unpack_large(c))[to])
-        w, p1 = np.concatenate(w), np.concatenate(p1)
-        order = np.lexsort((w, context))
-        new = np.r_[True, (context[order][1:] != context[order][:-1]) | (w[order][1:] != w[order][:-1])]
-        pair = np.empty(len(w), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        pair_context, pair_p1 = context[order][new], p1[order][new]
-        c = np.bincount(pair, np.concatenate([unpack(x) for x in get("count")]), minlength=int(new.sum())).astype(np.int64)
-        seen = np.bincount(pair_context, np.where(c > 0, pair_p1, 0.0), minlength=len(contexts))
-        of = np.stack([np.bincount(pair_context[c == r], minlength=len(contexts)) for r in range(1, MOST + 1)], axis=1)
-        bare = of.sum(axis=1) == 0
-        size, n_runs = [int(x.sum()) for x in runs], [len(x) for x in runs]
-        g, rows = table["g"][0].as_py(), []
-        for block, n, own, p in zip(get("block"), runs, np.split(run, np.cumsum(n_runs)[:-1]), np.split(c[pair], np.cumsum(size)[:-1])):
-            some = (np.minimum.reduceat(p, np.cumsum(np.r_[0, n])[:-1]) == 0) & ~split[own]
-            used = own[some]
-            rows.append((g, block, pack_large(p), bare[own].tobytes(), some.tobytes(), pack(of[used].ravel()), seen[used].tobytes(), contexts[own[split[own]]].tobytes(),
-                         *[None] * len(STATS)))
-        rows.append((g, *[None] * 4, of[split].tobytes(), seen[split].tobytes(), contexts[split].tobytes(), *_stats(c)))
-        return _table(rows, ["g", "block", "counts", "bare", "open", "of", "seen", "hot", *STATS],
-                      [pa.int64(), pa.int64(), *[pa.binary()] * 6, *[pa.int64()] * len(STATS)])
-
-    answers = words.where("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("g", "count", "number", "parts")).alias("answers"))
-    joined = blocks.select("block", "held", "sizes", "words", "tokens").join(answers, "block")
-    packed = joined.mapInArrow(spread, ", ".join(["g long, block long", *(f"{n} binary" for n in names[2:])]))
-    return written(packed.groupBy("g").applyInArrow(meet, f"{PARTS}, {STATS_SCHEMA}"), "katz-pairs")
-
-
-def _hot(pairs: DataFrame) -> DataFrame:
-    """(block, context, sums): of the contexts in several parts, for each block that has them, the counts of counts and the unigrams' share over all parts."""
-    def shares(batches):
+    def parts(batches):
         for batch in batches:
-            for x in _rows(batch):
-                h = np.frombuffer(x["hot"], np.int64)
-                values = np.column_stack([np.frombuffer(x["of"], np.int64).reshape(-1, MOST), np.frombuffer(x["seen"])])
-                yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(np.ascontiguousarray(v)) for v in values.T)], ["context", *names])
+            for t in _rows(batch):
+                h = np.frombuffer(t["a"], np.uint64)
+                cols = [h.view(np.int64), (h % np.uint64(n_groups)).astype(np.int64), *np.ascontiguousarray(np.frombuffer(t["e"], np.int64).reshape(-1, MOST).T),
+                        np.frombuffer(t["k"], np.int64), np.frombuffer(t["f"])]
+                for k in range(0, len(h), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k:k + 50_000]) for c in cols], ["context", "g", *names, "n", "seen"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        h = table["context"].to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        h = h[order]
+        get = lambda c: table[c].to_numpy()[order]
+        of, n = np.stack([get(c) for c in names], axis=1), get("n")
+        left = of @ ((1 - np.array(discount.factor)) * np.arange(1, MOST + 1))
+        weight = np.log10(np.where(left > 0, left / n, 1 / (n + 1))) - np.log10(np.maximum(1e-300, 1 - get("seen")))
+        return _packed([_row(None, table["g"][0].as_py(), TABLE, h.tobytes(), (of.sum(axis=1) == 0).tobytes(), weight.tobytes())])
+
+    sums = grams.select("a", "e", "f", "k").mapInArrow(parts, ", ".join(["context long, g long", *(f"{n} long" for n in names), "n long, seen double"]))
+    sums = sums.groupBy("context", "g").agg(*[F.sum(c).alias(c) for c in (*names, "n", "seen")])
+    return written(sums.groupBy("g").applyInArrow(packed, ROW_SCHEMA), label)
+
 
-    def needs(batches):
+def weight_answers(counted: DataFrame, order: int, weights: DataFrame, n_groups: int, label: str) -> DataFrame:
+    """For each block and group (kind 2 order) the contexts asked for in `counted`, whether they are bare, and their weights."""
+    def spread(batches):
         for batch in batches:
-            for x in _rows(batch):
-                h = np.frombuffer(x["hot"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x["block"])), pa.array(h)], ["block", "context"])
+            for r in _rows(batch):
+                h = np.frombuffer(r["b"], np.uint64)
+                yield from _packed([_row(r["block"], g, ASKED, own.tobytes()) for g, _, own in pack_by_group(np.arange(len(h)), h, n_groups)]).to_batches()
+
+    def answer(g, rows, own):
+        out = []
+        for r in rows:
+            h = np.frombuffer(r["a"], np.uint64)
+            at, there = _places(np.frombuffer(own["a"], np.uint64), h) if own else (np.zeros(len(h), np.int64), np.zeros(len(h), bool))
+            at = at[there]
+            if len(at):
+                out.append(_row(r["block"], g, 2 * order, h[there].tobytes(), np.frombuffer(own["b"], bool)[at].tobytes(), np.frombuffer(own["c"])[at].tobytes()))
+        return out
+
+    asks = counted.where(f"kind = {2 * order - 1} AND length(b) > 0").select("block", "b").mapInArrow(spread, ROW_SCHEMA)
+    return _answered(asks, weights, answer, label)
+
+
+# ---- fitting and scoring -----------------------------------------------------------------------
+
+def _walk(blocks: DataFrame, order: int, model: Model | None = None) -> tuple[Model, list[DataFrame]]:
+    """The answers for all blocks, order by order: from the tables of a model or, without one, from those that are made of the blocks' training texts."""
+    learn = model is None
+    if learn:
+        size = blocks.agg(F.sum(F.length("words") / 8), F.count("*"), F.sum("n_train")).first()
+        n_words = max(1, int((size[0] or 0) // GROUP))
+        known = [word_answers(blocks, n_words, None)]
+        table = known[0].where(f"kind = {TABLE}")
+        v, n, *of = _totals(table)
+        model = Model(order, Unigrams.fitted(v, n, of), size[2] or 0, n_words, max(1, max((size[1] or 0) * BLOCK, n) // GROUP), max(1, GROUP // 8), table)
+    else:
+        known = [word_answers(blocks, model.n_words, model.words)]
+    for o in range(2, order + 1):
+        asks, label = ask_grams(blocks, known, model.numbers(o)), "katz-pairs" if o == 2 else f"katz-{o}-grams"
+        counted = gram_answers(asks, o, model.uni, None if learn else model.grams[o], label)
+        if learn:
+            model.grams[o] = counted.where(f"kind = {TABLE}")
+            model.discounts[o] = Discount.fitted(_totals(model.grams[o])[2:])
+            model.weights[o] = context_weights(model.grams[o], model.discounts[o], model.n_groups, f"katz-weights-{o}")
+        known += [counted, weight_answers(counted, o, model.weights[o], model.n_groups, f"katz-backoff-{o}")]
+    return model, known
+
+
+def _finished(blocks: DataFrame, known: list[DataFrame], model: Model, key: str) -> DataFrame:
+    def finish(head, b):
+        uni, keys, empty = b.x.uni, np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.uint8)
+        base = np.log10((b.known + 0.1) / (uni.tokens + 0.1 * (uni.words + 1)))
+        ids = pa.compute.if_else(pa.array(empty == 0), pa.array(keys), pa.scalar(None, pa.int64()))
+        return pa.table([ids, pa.array(b.held == 1), pa.array(b.sizes), pa.array(np.add.reduceat((b.known > 0)[b.tokens], b.first, dtype=np.int64)),
+                         pa.array(np.full(len(keys), uni.tokens)), pa.array(np.add.reduceat(base[b.tokens], b.first)), pa.array(np.add.reduceat(b.log10[b.pair], b.first))],
+                        ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    names = [f"s{i}" for i in range(MOST + 1)]
-    some = pairs.where("length(hot) > 0")
-    sums = some.where("block IS NULL").select("of", "seen", "hot").mapInArrow(shares, ", ".join(["context long", *(f"{n} double" for n in names)]))
-    sums = sums.groupBy("context").agg(F.array(*[F.sum(n) for n in names]).alias("sums"))
-    return some.where("block IS NOT NULL").select("block", "hot").mapInArrow(needs, "block long, context long").distinct().join(sums, "context").select("block", "context", "sums")
+    out = _gathered(blocks, known, HEAD, model.numbers(model.order + 1), finish,
+                    "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.withColumnRenamed("key", key)
 
 
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2) -> Model:
+    """A model of the texts that are not held out."""
+    return _walk(blocks_of(docs, key, text), _checked(order))[0]
+
+
+def score_with(model: Model, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `scores` for any texts, by a model that was fitted before; held_out goes by their own keys."""
+    blocks = blocks_of(docs, key, text)
+    return _finished(blocks, _walk(blocks, model.order, model)[1], model, key)
+
+
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; score is the model's log10 probability of the text.
 
     A null text counts as empty and has its end token alone. Repeated rows are counted and scored as often as they occur. With nothing to learn
     from, the unknown class has all probability. An empty table gives an empty table.
     """
     blocks = blocks_of(docs, key, text)
-    size = blocks.agg(F.sum(F.length("words") / 8), F.sum(F.length("keys") / 8), F.count("*")).first()
-    n_words = max(1, int((size[0] or 0) // GROUP))
-    words = count_words(blocks, n_words)
-    v, n, *of = _totals(words)
-    uni = Unigrams.fitted(v, n, of)
-    n_groups, begin_parts = max(1, max((size[2] or 0) * BLOCK, n) // GROUP), int(size[1] or 0) // max(1, GROUP // 8) + 1
-    pairs = count_pairs(blocks, words, n_words, n_groups, begin_parts, uni)
-    discount = Discount.fitted(_totals(pairs)[2:])
-
-    def finish(table: pa.Table) -> pa.Table:
-        head, answers, counted, hot = None, {}, {}, []
-        for x in table.to_pylist():
-            if x["kind"] == 0:
-                head = x
-            elif x["kind"] == 1:
-                answers[x["g"]] = {"count": x["a"], "number": x["b"], "parts": x["c"]}
-            elif x["kind"] == 2:
-                counted[x["g"]] = x
-            else:
-                hot.append(x)
-        keys, empty = np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.uint8)
-        b = Block(head["e"], head["f"], head["d"], head["c"], answers, n_words, begin_parts)
-        n = len(b.own)
-        c, bare, of, seen = np.zeros(len(b.word), np.int64), np.zeros(n + 1, bool), np.zeros((n + 1, MOST)), np.zeros(n + 1)
-        for g, o, start in b.dealt(n_groups):
-            x, context = counted[g], b.context[o][start]
-            c[o], bare[context] = unpack_large(x["a"]), np.frombuffer(x["b"], bool)
-            context = context[np.frombuffer(x["c"], bool)]
-            of[context], seen[context] = unpack(x["d"]).reshape(-1, MOST), np.frombuffer(x["e"])
-        for x in hot:
-            h = np.array(x["g"], np.int64).view(np.uint64)
-            at = n if h == BEGIN else int(np.searchsorted(b.own, h))
-            of[at], seen[at] = x["sums"][:MOST], x["sums"][MOST]
-            bare[at] = not of[at].any()
-        # After each training occurrence of a word but the end stands a token, and a text begins for each end.
-        total = np.append(b.count, b.count[np.searchsorted(b.own, END)])
-        left = of @ ((1 - np.array(discount.factor)) * np.arange(1, MOST + 1))
-        p1 = np.log10(uni.probability(b.count))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.where(total > 0, np.log10(np.where(left > 0, left / total, 1 / (total + 1))) - np.log10(np.maximum(1e-300, 1 - seen)), 0.0)
-            known = np.log10(discount.table()[np.minimum(c, MOST + 1)] * c / np.maximum(1, total + bare)[b.context])
-        known = np.where(c > 0, known, p1[b.word] + share[b.context])
-        score = np.add.reduceat(known[b.pair], b.first)
-        base = np.add.reduceat(np.log10((b.count + 0.1) / (uni.tokens + 0.1 * (uni.words + 1)))[b.tokens], b.first)
-        ids = pa.compute.if_else(pa.array(empty == 0), pa.array(keys), pa.scalar(None, pa.int64()))
-        return pa.table([ids, pa.array(b.held == 1), pa.array(b.sizes), pa.array(np.add.reduceat((b.count > 0)[b.tokens], b.first, dtype=np.int64)),
-                         pa.array(np.full(len(keys), uni.tokens)), pa.array(base), pa.array(score)],
-                        ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    model, known = _walk(blocks, _checked(order))
+    return _finished(blocks, known, model, key)
 
-    def rows(df: DataFrame, kind: int, g, columns: list[str], sums=F.lit(None)) -> DataFrame:
-        named = [F.col(c).alias(n) for c, n in zip(columns, "abcdef")] + [F.lit(None).cast("binary").alias(n) for n in "abcdef"[len(columns):]]
-        return df.select("block", F.lit(kind).alias("kind"), g.cast("long").alias("g"), *named, sums.cast("array<double>").alias("sums"))
 
-    parts = rows(blocks, 0, F.lit(None), ["keys", "empty", "held", "sizes", "words", "tokens"])
-    parts = parts.union(rows(words.where("block IS NOT NULL"), 1, F.col("g"), ["count", "number", "parts"]))
-    parts = parts.union(rows(pairs.where("block IS NOT NULL"), 2, F.col("g"), ["counts", "bare", "open", "of", "seen"]))
-    parts = parts.union(rows(_hot(pairs), 3, F.col("context"), [], F.col("sums")))
-    out = parts.groupBy("block").applyInArrow(
-        finish, "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out.withColumnRenamed("key", key)
+def _checked(order: int) -> int:
+    if order < 1:
+        raise ValueError("the order is 1 or more")
+    return order

@@ -123,3 +123,59 @@ def test_occurrences_stay_in_their_block(spark, monkeypatch):
     same([tuple(x) for x in k.scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()], [plain.row(*x) for x in rows])
     sent = [len(k.unpack_large(x.counts)) for x in tables["katz-pairs"].where("block IS NOT NULL").collect()]
     assert sum(sent) == 4  # begin a, a b, b a, b end
+
+
+def recursive(rows, order):
+    """log10 probability of a text by plain recursion over the orders; counts of (context, word) by context length."""
+    plain = Plain(rows)
+    after = {o: defaultdict(Counter) for o in range(2, order + 1)}
+    for key, text in rows:
+        if zlib.crc32(b"" if key is None else str(key).encode()) % 10:
+            w = ["<begin>"] * (order - 1) + words(text)
+            for o in after:
+                for i in range(order - 1, len(w)):
+                    after[o][tuple(w[i - o + 1:i])][w[i]] += 1
+    counts = {o: [c for x in after[o].values() for c in x.values()] for o in after}
+    factor = {o: [0, *k.Discount.fitted([sum(c == r for c in counts[o]) for r in range(1, k.MOST + 2)]).factor, 1] for o in after}
+
+    def p(o, context, w):
+        if o == 1:
+            return plain.p1(w)
+        seen = after[o].get(context)
+        if not seen:
+            return p(o - 1, context[1:], w)
+        total = sum(seen.values()) + all(c > k.MOST for c in seen.values())
+        if seen[w]:
+            return factor[o][min(seen[w], k.MOST + 1)] * seen[w] / total
+        left = 1 - sum(factor[o][min(c, k.MOST + 1)] * c / total for c in seen.values())
+        return left / (1 - sum(p(o - 1, context[1:], v) for v in seen if seen[v])) * p(o - 1, context[1:], w)
+
+    def score(text):
+        w = ["<begin>"] * (order - 1) + words(text)
+        return sum(math.log10(p(order, tuple(w[i - order + 1:i]), w[i])) for i in range(order - 1, len(w)))
+
+    return plain, p, score
+
+
+@pytest.mark.parametrize("group", [300, 3 << 20])
+def test_recursion_over_orders_and_a_stored_model(spark, monkeypatch, tmp_path, group):
+    monkeypatch.setattr(k, "GROUP", group)
+    monkeypatch.setattr(k, "BLOCK", 400)
+    r = random.Random(8)
+    text = lambda: " ".join(f"W{int(r.paretovariate(0.9)) % 40}" for _ in range(r.randint(0, 40)))
+    rows = [(i, text()) for i in range(150)] + [(None, None), (151, "w1 w1 never")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    others = [(i, text() + " unheard of w2 w1") for i in range(1000, 1040)]
+    more = spark.createDataFrame(others, "doc_id long, text string")
+    for order in (1, 2, 3):
+        _, p, score = recursive(rows, order)
+        got = {(x.doc_id, x.n_tokens): x.score for x in k.scores(df, order=order).collect()}
+        assert got == pytest.approx({(key, len(words(t))): score(t) for key, t in rows}, rel=1e-9)
+        if order > 1:
+            assert sum(p(order, ("<begin>", "w1")[3 - order:], w) for w in [*Plain(rows).uni, "unknown word"]) == pytest.approx(1)
+        k.fit(df, order=order).save(str(tmp_path / str(order)))
+        model = k.Model.load(spark, str(tmp_path / str(order)))
+        assert {x.doc_id: x.score for x in k.score_with(model, more).collect()} == pytest.approx({key: score(t) for key, t in others}, rel=1e-9)
+    assert k.score_with(model, more.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        k.scores(df, order=0)
