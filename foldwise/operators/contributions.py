@@ -73,32 +73,44 @@ def _compiled(tree: dict[int, Node], x: Column, of: Sequence[int], n_columns: in
     return leaf, np.array(leaves)
 
 
+def forest_leaves(scored: DataFrame, forest, columns: Sequence[str], features: str = "raw_features") -> tuple[DataFrame, list[np.ndarray], np.ndarray]:
+    """(scored with the number of the leaf of each tree as `_t<tree>`, for each tree what its leaves contribute, class shares before any split).
+
+    `scored` holds the assembled vector that the forest reads. Rows that end in the same leaves have the same contributions, so they can be counted first.
+    """
+    trees = node_table(scored.sparkSession, forest)
+    of = slots_to_columns(scored.schema[features].metadata, columns)
+    compiled = [_compiled(tree, F.col("_x"), of, len(columns)) for tree in trees]
+    out = scored.withColumn("_x", vector_to_array(features)).withColumns({f"_t{t}": leaf for t, (leaf, _) in enumerate(compiled)}).drop("_x")
+    return out, [table for _, table in compiled], np.mean([tree[0].shares for tree in trees], axis=0)
+
+
+def leaf_contributions(leaves: DataFrame, tables: Sequence[np.ndarray], shares: np.ndarray) -> DataFrame:
+    """leaves (columns `_t<tree>`) with `base` and `contributions`, an array of one array of class changes for each column."""
+    n, k = tables[0].shape[1:]
+    names = [f"_t{t}" for t in range(len(tables))]
+    cells = [F.array(*[F.array(*[F.lit(float(v)) for v in row.ravel() / len(tables)]) for row in table]) for table in tables]
+    flat = F.transform(F.sequence(F.lit(0), F.lit(n * k - 1)), lambda i: sum((F.get(f"_c{t}", i) for t in range(len(tables))), F.lit(0.0)))
+    out = leaves.withColumns({f"_c{t}": F.get(c, F.col(name)) for t, (c, name) in enumerate(zip(cells, names))}).withColumn("_flat", flat)
+    base = F.array(*[F.lit(float(v)) for v in shares])
+    return out.withColumns({"base": base, "contributions": F.array(*[F.slice("_flat", i * k + 1, k) for i in range(n)])}).drop("_flat", *[f"_c{t}" for t in range(len(tables))])
+
+
 def forest_contributions(scored: DataFrame, forest, columns: Sequence[str], features: str = "raw_features") -> DataFrame:
     """scored with `base` (class shares before any split) and `contributions`, an array of one array of class changes for each column.
 
     base plus the contributions of all columns is the forest's probability, class by class. `scored` holds the assembled vector that the forest reads.
     """
-    trees = node_table(scored.sparkSession, forest)
-    of = slots_to_columns(scored.schema[features].metadata, columns)
-    x, n, k = F.col("_x"), len(columns), len(trees[0][0].shares)
-    out = scored.withColumn("_x", vector_to_array(features))
-    names = []
-    for t, tree in enumerate(trees):
-        leaf, table = _compiled(tree, x, of, n)
-        cells = F.array(*[F.array(*[F.lit(float(v)) for v in row.ravel() / len(trees)]) for row in table])
-        out = out.withColumn(f"_t{t}", F.get(cells, leaf))
-        names.append(f"_t{t}")
-    flat = F.transform(F.sequence(F.lit(0), F.lit(n * k - 1)), lambda i: sum((F.get(F.col(c), i) for c in names), F.lit(0.0)))
-    base = F.array(*[F.lit(float(v)) for v in np.mean([tree[0].shares for tree in trees], axis=0)])
-    out = out.withColumn("_flat", flat)
-    return out.withColumns({"base": base, "contributions": F.array(*[F.slice("_flat", i * k + 1, k) for i in range(n)])}).drop("_x", "_flat", *names)
-
-
-def contribution_ranking(contributed: DataFrame, columns: Sequence[str], n_classes: int) -> DataFrame:
-    """(class, feature, mean_abs, mean_signed, rank): how much each column moves each class over all rows, in one aggregate."""
+    leaves, tables, shares = forest_leaves(scored, forest, columns, features)
+    return leaf_contributions(leaves, tables, shares).drop(*[f"_t{t}" for t in range(len(tables))])
+
+
+def contribution_ranking(contributed: DataFrame, columns: Sequence[str], n_classes: int, n: str | None = None) -> DataFrame:
+    """(class, feature, mean_abs, mean_signed, rank): how much each column moves each class over all rows, in one aggregate; with `n` each row stands for that many."""
+    mean = F.avg if n is None else lambda x: F.sum(x * F.col(n)) / F.sum(n)
     at = [(i, c) for i in range(len(columns)) for c in range(n_classes)]
     cell = lambda i, c: F.get(F.get("contributions", F.lit(i)), F.lit(c))
-    one = contributed.agg(*[F.avg(F.abs(cell(i, c))).alias(f"a{i}_{c}") for i, c in at], *[F.avg(cell(i, c)).alias(f"s{i}_{c}") for i, c in at])
+    one = contributed.agg(*[mean(F.abs(cell(i, c))).alias(f"a{i}_{c}") for i, c in at], *[mean(cell(i, c)).alias(f"s{i}_{c}") for i, c in at])
     rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.lit(columns[i]).alias("feature"), r6(F.col(f"a{i}_{c}")).alias("mean_abs"),
                                                    r6(F.col(f"s{i}_{c}")).alias("mean_signed")) for i, c in at])).alias("r")).select("r.*")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("mean_abs"), "feature")))

@@ -72,3 +72,15 @@ def test_contributions_sum_to_the_prediction(spark):
         assert np.allclose(total, x.probability, atol=1e-9) and abs(sum(x.base) - 1) < 1e-9
     ranks = {(x["class"], x["feature"]): x["rank"] for x in C.contribution_ranking(out, names, 3).collect()}
     assert len(ranks) == 9 and ranks[2, "a"] == 1 and all(ranks[c, "b"] == 3 for c in (0, 1, 2)) and ranks[1, "c"] == 1
+
+
+def test_rows_of_the_same_leaves_are_counted(spark):
+    import numpy as np
+    from foldwise.operators import contributions as C
+    tables, shares = [np.array([[[0.2, -0.2]], [[-0.1, 0.1]]]), np.array([[[0.4, -0.4]], [[0.0, 0.0]]])], np.array([0.5, 0.5])
+    leaves = spark.createDataFrame([(0, 0)] * 3 + [(1, 1)] * 2 + [(0, 1)], "_t0 int, _t1 int")
+    each = C.contribution_ranking(C.leaf_contributions(leaves, tables, shares), ["a"], 2)
+    counted = leaves.groupBy("_t0", "_t1").count()
+    got = C.contribution_ranking(C.leaf_contributions(counted, tables, shares), ["a"], 2, "count")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, each.collect()))
+    assert each.where("class = 0").first().mean_abs == 0.183333
