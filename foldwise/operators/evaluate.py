@@ -101,9 +101,9 @@ def average_probabilities(parts: Sequence[DataFrame], key: Sequence[str], n_clas
     return both.groupBy(*key).agg(F.array(*[F.sum(f"_p{c}") / n for c in range(n_classes)]).alias("probability"))
 
 
-def oof_scores(oof: DataFrame, label: str, fold: str = "fold") -> DataFrame:
+def oof_scores(oof: DataFrame, label: str, fold: str = "fold", n: str | None = None) -> DataFrame:
     scored = oof.withColumn("pred", argmax_array(F.col("probability")))
-    return balanced_accuracy(scored.withColumn("_y", F.col(label).cast("int")), "_y", "pred", [fold])
+    return balanced_accuracy(scored.withColumn("_y", F.col(label).cast("int")), "_y", "pred", [fold], n)
 
 
 def refit_and_score(train: DataFrame, test: DataFrame, key: Sequence[str], label: str, model: Model) -> DataFrame:

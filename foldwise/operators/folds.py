@@ -17,9 +17,12 @@ from foldwise.operators.ranks import hash_rank
 
 
 def stratified_folds(df: DataFrame, key: Sequence[str | Column], label: str, k: int = 5, seed: int = 42,
-                     out: str = "fold", digits: int | None = None) -> DataFrame:
-    """Add a fold column; sizes differ by at most one per class."""
-    t = hash_rank(df.withColumn("_h", order_key(key, seed)), "_h", [label], digits, "_r")
+                     out: str = "fold", digits: int | None = None, carry: Sequence[str] | None = None) -> DataFrame:
+    """Add a fold column; sizes differ by at most one per class. With `carry` only these columns and the label stay, and the rows are kept, for jobs that read them
+    several times."""
+    t = df.withColumn("_h", order_key(key, seed))
+    t = t if carry is None else t.select("_h", label, *[c for c in dict.fromkeys(carry) if c != label])
+    t = hash_rank(t, "_h", [label], digits, "_r", once=carry is not None)
     return t.withColumn(out, (F.col("_r") % k).cast("int")).drop("_h", "_r", "_r_total")
 
 

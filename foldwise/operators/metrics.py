@@ -36,10 +36,11 @@ def class_recall(df: DataFrame, y: str, yhat: str, labels: Sequence, by: Sequenc
         r6(F.coalesce(F.try_divide(F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))) * 1.0, F.sum("n")), F.lit(0.0))).alias("recall"))
 
 
-def balanced_accuracy(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean recall over the classes that occur, per group."""
+def balanced_accuracy(df: DataFrame, y: str, yhat: str, by: Sequence[str] = (), n: str | None = None) -> DataFrame:
+    """Mean recall over the classes that occur, per group; with `n` each row stands for that many."""
     hit = (F.col(y) == F.col(yhat)).cast("double")
-    per = df.groupBy(*by, y).agg(F.avg(hit).alias("recall"), F.count(F.lit(1)).alias("n"))
+    per = df.groupBy(*by, y).agg(F.avg(hit).alias("recall"), F.count(F.lit(1)).alias("n")) if n is None else (
+        df.groupBy(*by, y).agg((F.sum(hit * F.col(n)) / F.sum(F.when(hit.isNotNull(), F.col(n)))).alias("recall"), F.sum(n).alias("n")))
     return per.groupBy(*by).agg(F.avg("recall").alias("score"), F.sum("n").alias("n"))
 
 

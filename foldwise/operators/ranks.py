@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.functions.num import hash_bucket
 from foldwise.operators.lookup import keep, sized
 from foldwise.operators.select import order_statistics
 
@@ -172,7 +171,7 @@ def radix_digits(df: DataFrame, by: Sequence[str] = ()) -> int:
 
 
 def hash_rank(df: DataFrame, md5_col: str, by: Sequence[str] = (), digits: int | None = None, out: str = "rank",
-              limit: Column | None = None) -> DataFrame:
+              limit: Column | None = None, once: bool = False) -> DataFrame:
     """Zero-based position of each row in md5 order inside its group.
 
     An md5 is uniform, so its leading digits cut even one huge group into equal
@@ -180,11 +179,15 @@ def hash_rank(df: DataFrame, md5_col: str, by: Sequence[str] = (), digits: int |
     Rows with one md5, those of one key, share a bucket whatever the digits.
     Adds `<out>` and `<out>_total`. With `limit`, an expression over `<out>_total`,
     only positions below it are returned, and buckets that start beyond it are
-    dropped before any row is shuffled.
+    dropped before any row is shuffled. With `once` the rows, without the md5, are kept as soon as they are placed in their buckets, so that the md5s, the
+    shuffle and the sort are not repeated for the counts or by any later reader; give it no more columns than are read.
     """
     by = list(by)
     digits = radix_digits(df, by) if digits is None else digits
-    t = df.withColumn("_b", hash_bucket(F.col(md5_col), digits))
+    t = df.withColumn("_b", F.substring(md5_col, 1, digits))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(md5_col)) - 1
+    if once:
+        t = keep(t.withColumn("_in", inside).drop(md5_col))
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     counts = t.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     # About rows / BUCKET_ROWS, or 16^LEAST_DIGITS for each group.
@@ -195,7 +198,8 @@ def hash_rank(df: DataFrame, md5_col: str, by: Sequence[str] = (), digits: int |
     cond = F.col("_b") == F.col("_k_b")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(md5_col)) - 1
+    if once:
+        return t.join(sized(off), cond).select(*[c for c in df.columns if c != md5_col], (F.col("_in") + F.col("_off")).alias(out), f"{out}_total")
     if limit is None:
         # The window has already placed the rows by group and bucket, so the join moves only the counts.
         j = t.withColumn("_in", inside).join(off, cond)

@@ -86,6 +86,32 @@ class Values:
         return "CASE " + " ".join(f"WHEN {self.name} = '{v}' THEN {i}" for i, v in enumerate(self.values)) + f" ELSE {len(self.values)} END"
 
 
+@dataclass(frozen=True)
+class Coded:
+    """The place that a column has in a code made by `code_sql`."""
+    name: str
+    size: int
+    step: int
+
+    def sql(self) -> str:
+        return f"CAST(({self.name} DIV {self.step}) % {self.size} AS INT)"
+
+
+def code_sql(specs: Sequence) -> str:
+    """The places of all columns as one number. There are no more codes than the product of the columns' sizes."""
+    out, step = [], 1
+    for s in specs:
+        out.append(f"CAST({s.sql()} AS BIGINT) * {step}L")
+        step *= s.size
+    return " + ".join(out)
+
+
+def coded(specs: Sequence, name: str) -> list[Coded]:
+    """The columns, read from their code."""
+    steps = [math.prod(s.size for s in specs[:i]) for i in range(len(specs))]
+    return [Coded(name, s.size, step) for s, step in zip(specs, steps)]
+
+
 # ---- least squares ------------------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -255,8 +281,8 @@ def permutation_drops(valid: DataFrame, key: Sequence[str], label: str, columns:
     makes the array of class scores from columns.
     """
     names = list(dict.fromkeys(c.name for c in columns))
-    a = hash_rank(valid.withColumn("_h", order_key(key, seed)).select("_h", F.col(label).cast("int").alias("_y"), *names), "_h", [], out="_p").drop("_h", "_p_total")
-    b = hash_rank(valid.withColumn("_h", order_key(key, seed + 1)).select("_h", F.struct(*names).alias("_d")), "_h", [], out="_p").select("_p", "_d")
+    a = hash_rank(valid.withColumn("_h", order_key(key, seed)).select("_h", F.col(label).cast("int").alias("_y"), *names), "_h", [], out="_p", once=True).drop("_p_total")
+    b = hash_rank(valid.withColumn("_h", order_key(key, seed + 1)).select("_h", F.struct(*names).alias("_d")), "_h", [], out="_p", once=True).select("_p", "_d")
     both = a.join(b, "_p")
     swapped = [F.struct(F.lit("(none)").alias("feature"), *[F.col(n).alias(n) for n in names])]
     swapped += [F.struct(F.lit(n).alias("feature"), *[(F.col(f"_d.{m}") if m == n else F.col(m)).alias(m) for m in names]) for n in names]
@@ -269,11 +295,12 @@ def permutation_drops(valid: DataFrame, key: Sequence[str], label: str, columns:
 
 # ---- counts: naive Bayes and importances ---------------------------------------------------------
 
-def bin_counts(df: DataFrame, specs: Sequence, label: str, fold: str = "fold") -> dict[tuple[int, int, int, int], int]:
-    """{(fold, class, column, bin): rows} in one aggregate."""
+def bin_counts(df: DataFrame, specs: Sequence, label: str, fold: str = "fold", n: str | None = None) -> dict[tuple[int, int, int, int], int]:
+    """{(fold, class, column, bin): rows} in one aggregate; with `n` each row stands for that many."""
     each = F.array(*[F.struct(F.lit(i).alias("c"), F.expr(s.sql()).cast("int").alias("b")) for i, s in enumerate(specs)])
-    x = df.where(F.col(label).isNotNull()).select(F.coalesce(F.col(fold), F.lit(-2)).alias("_f"), F.col(label).cast("int").alias("_y"), F.explode(each).alias("e"))
-    return {(r["_f"], r["_y"], r["c"], r["b"]): r["n"] for r in x.groupBy("_f", "_y", "e.c", "e.b").agg(F.count(F.lit(1)).alias("n")).collect()}  # folds * classes * bins
+    x = df.where(F.col(label).isNotNull()).select(F.coalesce(F.col(fold), F.lit(-2)).alias("_f"), F.col(label).cast("int").alias("_y"),
+                                              (F.col(n) if n else F.lit(1)).alias("_n"), F.explode(each).alias("e"))
+    return {(r["_f"], r["_y"], r["c"], r["b"]): r["n"] for r in x.groupBy("_f", "_y", "e.c", "e.b").agg(F.sum("_n").alias("n")).collect()}  # folds * classes * bins
 
 
 def _of_side(counts: dict, specs: Sequence, n_classes: int, own: int) -> list[np.ndarray]:

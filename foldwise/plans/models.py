@@ -28,12 +28,19 @@ def with_cents(df):
 
 def frame(spark, sf):
     """Folded rows with a numeric label; kept because every fold reads it."""
-    return keep(folded_rows(spark, sf).withColumn("label", F.col("y").cast("double")).drop("y"))
+    return keep(folded_rows(spark, sf, [*LINE_KEY, "l_linestatus", *FEATURES]).withColumn("label", F.col("y").cast("double")).drop("y"))
 
 
-def folded_rows(spark, sf, seed: int = 3):
-    d = with_cents(scored(spark, sf)).select(*KEY, "l_linestatus", "y", *FEATURES[:4], *[c for m in range(3) for c in model_columns(m)])
-    return stratified_folds(d, KEY, "y", FOLDS, seed=seed)
+def folded_rows(spark, sf, columns, seed: int = 3):
+    """Class y, these columns and the fold of every row; placed once, whoever reads them."""
+    return stratified_folds(with_cents(scored(spark, sf)), KEY, "y", FOLDS, seed=seed, carry=columns)
+
+
+def folded_cells(spark, sf, seed: int = 3):
+    """(fold, y, code, n): the rows counted by what naive Bayes sees of them, so at most folds x classes x codes rows, and the columns to read the code with."""
+    d = with_cents(scored(spark, sf)).withColumn("code", F.expr(S.code_sql(BINNED)))
+    d = stratified_folds(d, KEY, "y", FOLDS, seed=seed, carry=["code"])
+    return keep(d.groupBy("fold", "y", "code").agg(F.count(F.lit(1)).alias("n"))), S.coded(BINNED, "code")
 
 
 @query("oof_logreg")
@@ -125,7 +132,7 @@ p AS (SELECT fold, y, {linear_score_sql(COLUMNS, 3)} AS s FROM f JOIN wt ON own
 q AS (SELECT fold, y, {FIRST_BEST} AS pred FROM p)
 SELECT fold, round(score, 6) AS score, n FROM ({fold_score_sql('q')})""")
 def oof_least_squares(spark, sf):
-    d = S.linear_out_of_fold(folded_rows(spark, sf), COLUMNS, "y", 3, FOLDS)
+    d = S.linear_out_of_fold(folded_rows(spark, sf, FEATURES), COLUMNS, "y", 3, FOLDS)
     return E.oof_scores(d, "y").select("fold", r6(F.col("score")).alias("score"), "n")
 
 
@@ -135,9 +142,9 @@ p AS ({bayes_score_sql('f', BINNED, 'fold', 'fold, y')}),
 q AS (SELECT fold, y, {FIRST_BEST} AS pred FROM p)
 SELECT fold, round(score, 6) AS score, n FROM ({fold_score_sql('q')})""")
 def oof_bayes(spark, sf):
-    rows = folded_rows(spark, sf)
-    models = S.bayes(S.bin_counts(rows, BINNED, "y"), BINNED, 3, range(FOLDS))
-    return E.oof_scores(rows.withColumn("probability", S.bayes_scores(BINNED, models)), "y").select("fold", r6(F.col("score")).alias("score"), "n")
+    cells, specs = folded_cells(spark, sf)
+    models = S.bayes(S.bin_counts(cells, specs, "y", n="n"), specs, 3, range(FOLDS))
+    return E.oof_scores(cells.withColumn("probability", S.bayes_scores(specs, models)), "y", n="n").select("fold", r6(F.col("score")).alias("score"), "n")
 
 
 TEST_SIDE = f"substr(md5({LINE}), 1, 1) < '4'"
@@ -149,7 +156,7 @@ p AS (SELECT {', '.join(KEY)}, {linear_score_sql(COLUMNS, 3)} AS s FROM h, wt WH
 mean AS (SELECT {', '.join(KEY)}, [round(avg(s[1]), 8), round(avg(s[2]), 8), round(avg(s[3]), 8)] AS s FROM p GROUP BY {', '.join(KEY)})
 SELECT pred, count(*) AS n FROM (SELECT {FIRST_BEST} AS pred FROM mean) GROUP BY pred""")
 def fold_average_test(spark, sf):
-    d = folded_rows(spark, sf)
+    d = folded_rows(spark, sf, [*LINE_KEY, *FEATURES])
     test = F.expr(TEST_SIDE)
     models = S.least_squares(S.cross_products(d.where(~test), COLUMNS, "y"), ALL_COLUMNS, 3, range(FOLDS))["all"]
     each = [S.linear_scores(COLUMNS, {S.ALL: models[f]}, None) for f in range(FOLDS)]
@@ -162,10 +169,10 @@ WITH {folded_sql('h')}, f AS (SELECT * FROM h WHERE fold <> 0), {bayes_sql('f',
 p AS ({bayes_score_sql('h', BINNED, '-1', 'fold')})
 SELECT pred, count(*) AS n FROM (SELECT {FIRST_BEST} AS pred FROM p WHERE fold = 0) GROUP BY pred""")
 def refit_score(spark, sf):
-    d = folded_rows(spark, sf)
-    models = S.bayes(S.bin_counts(d.where("fold <> 0"), BINNED, "y"), BINNED, 3, [])
-    scores = S.bayes_scores(BINNED, models, None)
-    return d.where("fold = 0").groupBy(argmax_array(scores).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    d, specs = folded_cells(spark, sf)
+    models = S.bayes(S.bin_counts(d.where("fold <> 0"), specs, "y", n="n"), specs, 3, [])
+    scores = S.bayes_scores(specs, models, None)
+    return d.where("fold = 0").groupBy(argmax_array(scores).alias("pred")).agg(F.sum("n").alias("n"))
 
 
 DRAWS = S.random_settings(COLUMNS, 8, 1e-4, 10.0)
@@ -187,7 +194,7 @@ WITH {TRIALS_SQL}
 SELECT trial, ridge, n_columns, folds, CASE WHEN folds = {FOLDS} THEN 'completed' ELSE 'pruned' END AS reason, round(mean, 6) AS score, trial = (SELECT trial FROM best) AS best
 FROM tr JOIN (VALUES {DRAWN}) d(trial, ridge, n_columns) USING (trial)""")
 def grid_search(spark, sf):
-    return S.trial_table(spark, S.pruned_search(keep(folded_rows(spark, sf)), COLUMNS, "y", 3, FOLDS, DRAWS))
+    return S.trial_table(spark, S.pruned_search(folded_rows(spark, sf, FEATURES), COLUMNS, "y", 3, FOLDS, DRAWS))
 
 
 @query("search_reevaluation", f"""
@@ -198,7 +205,7 @@ j AS (SELECT sc.score AS b, ds.score AS d FROM sc JOIN ds USING (fold) WHERE CAS
 k AS (SELECT count(*) AS n_folds, avg(b) AS bm, avg(d) AS dm, avg(b - d) AS m, stddev_samp(b - d) / sqrt(count(*)) AS se FROM j)
 SELECT round(bm, 6) AS best_mean, round(dm, 6) AS default_mean, n_folds, round(m, 6) + 0.0::DOUBLE AS diff_mean, round(se, 6) AS diff_sem, m > 2 * se AS defensible FROM k""")
 def search_reevaluation(spark, sf):
-    d = keep(folded_rows(spark, sf))
+    d = folded_rows(spark, sf, FEATURES)
     best = S.best_trial(S.pruned_search(d, COLUMNS, "y", 3, FOLDS, DRAWS))
     return S.re_evaluated(d, COLUMNS, "y", 3, FOLDS, DRAWS[best], ALL_COLUMNS[0])
 
@@ -215,7 +222,7 @@ j AS (SELECT a.config, avg(a.score - b.score) AS m, stddev_samp(a.score - b.scor
 SELECT config, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(any_value(m), 6) + 0.0::DOUBLE AS diff_mean, round(any_value(se), 6) AS diff_sem,
        any_value(m) > 2 * any_value(se) AS defensible FROM sc LEFT JOIN j USING (config) GROUP BY config""")
 def ablation(spark, sf):
-    return S.linear_ablation(folded_rows(spark, sf), COLUMNS, "y", 3, FOLDS, CONFIGS)
+    return S.linear_ablation(folded_rows(spark, sf, FEATURES), COLUMNS, "y", 3, FOLDS, CONFIGS)
 
 
 GAINS_SQL = f"""gc AS (SELECT own, c, b, y, n FROM bt),
@@ -231,7 +238,8 @@ NAMED = "CASE c " + " ".join(f"WHEN {i} THEN '{s.name}'" for i, s in enumerate(B
 WITH {folded_sql()}, {bayes_sql('f', BINNED, 3, range(FOLDS))}, {GAINS_SQL}
 SELECT {NAMED} AS feature, round(avg(gain), 6) AS importance FROM gg WHERE own >= 0 GROUP BY c""")
 def fold_importance(spark, sf):
-    return S.mean_gains(spark, S.split_gains(S.bin_counts(folded_rows(spark, sf), BINNED, "y"), BINNED, 3, range(FOLDS)))
+    cells, specs = folded_cells(spark, sf)
+    return S.mean_gains(spark, S.split_gains(S.bin_counts(cells, specs, "y", n="n"), BINNED, 3, range(FOLDS)))
 
 
 KEPT = 3
@@ -246,7 +254,7 @@ left_ AS (SELECT fold, y, {', '.join(f"CASE WHEN '{c.name}' IN (SELECT feature F
 p AS (SELECT fold, y, {linear_score_sql(PRUNED, 3)} AS s FROM left_ JOIN wt ON own = fold), q AS (SELECT fold, y, {FIRST_BEST} AS pred FROM p)
 SELECT fold, round(score, 6) AS score, (SELECT string_agg(feature, ',' ORDER BY feature) FROM top) AS features FROM ({fold_score_sql('q')})""")
 def feature_pruning(spark, sf):
-    d = folded_rows(spark, sf)
+    d = folded_rows(spark, sf, [*FEATURES, "l_linestatus"])
     gains = S.mean_gains(spark, S.split_gains(S.bin_counts(d, BINNED, "y"), BINNED, 3, [S.ALL]))
     top = E.pruned_features(gains.where(F.col("feature") != "l_linestatus"), KEPT)
     oof = S.linear_out_of_fold(d, [c for c in COLUMNS if c.name in top], "y", 3, FOLDS)
@@ -275,7 +283,7 @@ p AS (SELECT feature, y, {linear_score_sql([_Swapped(c) for c in COLUMNS], 3)} A
 q AS (SELECT feature, y, {FIRST_BEST} AS pred FROM p), sc AS MATERIALIZED ({fold_score_sql('q', 'feature')})
 SELECT o.feature, round(n.score, 6) AS base, round(n.score - o.score, 6) + 0.0::DOUBLE AS drop FROM sc o, sc n WHERE n.feature = '(none)' AND o.feature <> '(none)'""")
 def permutation_importance(spark, sf):
-    d = folded_rows(spark, sf)
+    d = folded_rows(spark, sf, [*KEY, *FEATURES])
     models = S.least_squares(S.cross_products(d.where("fold <> 0"), COLUMNS, "y"), ALL_COLUMNS, 3, [])["all"]
     return S.permutation_drops(d.where("fold = 0"), KEY, "y", COLUMNS, lambda columns: S.linear_scores(columns, models, None))
 
@@ -288,7 +296,7 @@ WITH {folded_sql()}, {linear_sql('f', BASE, [S.setting('all', BASE)], 3, range(F
 p AS (SELECT fold, y, {linear_score_sql(BASE, 3)} AS s FROM f JOIN wt ON own = fold), q AS (SELECT fold, y, {FIRST_BEST} AS pred FROM p)
 SELECT fold, round(score, 6) AS score, n FROM ({fold_score_sql('q')})""")
 def stacking(spark, sf):
-    return E.oof_scores(S.linear_out_of_fold(folded_rows(spark, sf), BASE, "y", 3, FOLDS), "y").select("fold", r6(F.col("score")).alias("score"), "n")
+    return E.oof_scores(S.linear_out_of_fold(folded_rows(spark, sf, [c.name for c in BASE]), BASE, "y", 3, FOLDS), "y").select("fold", r6(F.col("score")).alias("score"), "n")
 
 
 SEEDS = (3, 4)
@@ -307,7 +315,7 @@ a AS (SELECT y, [round((a.s[1] + b.s[1]) / 2, 8), round((a.s[2] + b.s[2]) / 2, 8
 q AS (SELECT 0 AS one, y, {FIRST_BEST} AS pred FROM a)
 SELECT round(score, 6) AS score, n FROM ({fold_score_sql('q', 'one')})""")
 def seed_average(spark, sf):
-    parts = [S.bayes_out_of_fold(folded_rows(spark, sf, seed), BINNED, "y", 3, FOLDS).select(*KEY, "y", F.col("probability").alias(f"_p{seed}")) for seed in SEEDS]
+    parts = [S.bayes_out_of_fold(folded_rows(spark, sf, [*KEY, *FEATURES, "l_linestatus"], seed), BINNED, "y", 3, FOLDS).select(*KEY, "y", F.col("probability").alias(f"_p{seed}")) for seed in SEEDS]
     both = parts[0].join(parts[1], [*KEY, "y"])
     mean = F.array(*[F.round((F.get(f"_p{SEEDS[0]}", F.lit(c)) + F.get(f"_p{SEEDS[1]}", F.lit(c))) / 2, 8) for c in range(3)])
     return E.oof_scores(both.select("y", F.lit(0).alias("fold"), mean.alias("probability")), "y").select(r6(F.col("score")).alias("score"), "n")
@@ -330,7 +338,7 @@ def _shifted(train, test, columns, k):
     names = list(dict.fromkeys(c.name for c in columns))
     train, test = with_cents(train), with_cents(test)
     both = train.select(*KEY, *names, F.lit(0).alias("y")).unionByName(test.select(*KEY, *names, F.lit(1).alias("y")))
-    d = S.linear_out_of_fold(stratified_folds(both, KEY, "y", k), columns, "y", 2, k)
+    d = S.linear_out_of_fold(stratified_folds(both, KEY, "y", k, carry=names), columns, "y", 2, k)
     return E.shift_decision(roc_auc(d.withColumn("p", F.get("probability", F.lit(1))), "p", F.col("y") == 1))
 
 
@@ -364,7 +372,10 @@ def forest_contributions(spark, sf):
     d = frame(spark, sf)
     score = E.forest(FEATURES, "label", ["l_linestatus"], trees=5, depth=4, weight=None)(d)
     names = [*FEATURES, "l_linestatus"]
-    c = C.forest_contributions(score(d), score.forest, names)
+    leaves, tables, shares = C.forest_leaves(score(d), score.forest, names)
+    # What a row has depends on its leaves alone: at most as many rows as the trees have combinations of leaves.
+    cells = leaves.groupBy(*[f"_t{t}" for t in range(len(tables))], "probability").agg(F.count(F.lit(1)).alias("n"))
+    c = keep(C.leaf_contributions(cells, tables, shares))
     gap = c.agg(F.max(F.array_max(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.abs(
         F.get("base", k) + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + F.get(x, k)) - F.get("probability", k))))).alias("gap")).scalar()
-    return C.contribution_ranking(c, names, 3).withColumn("worst_gap", r6(gap))
+    return C.contribution_ranking(c, names, 3, "n").withColumn("worst_gap", r6(gap))

@@ -157,3 +157,20 @@ def test_log_scores_stand_once_in_a_softmax(spark):
     out = d.select(S.softmax(F.transform("s", lambda x: F.hypot(x, F.lit(0.0)))).alias("p"))
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("hypot") == 1
     assert [round(x, 4) for x in out.first()["p"]] == [0.09, 0.2447, 0.6652]
+
+
+def test_rows_are_placed_once_and_counted_by_code(spark, monkeypatch):
+    from foldwise.operators import folds
+    from foldwise.plans import models
+    made = []
+    monkeypatch.setattr(folds, "order_key", lambda key, seed, f=folds.order_key: made.append(seed) or f(key, seed))
+    df = spark.range(500).selectExpr("id", "id % 3 AS y", "id * 2 AS v", "'x' AS wide")
+    plain = {(x.v, x.fold) for x in folds.stratified_folds(df, ["id"], "y", 3).collect()}
+    narrow = folds.stratified_folds(df, ["id"], "y", 3, carry=["v"])
+    assert narrow.columns == ["y", "v", "fold"] and {(x.v, x.fold) for x in narrow.collect()} == plain
+    assert "InMemoryTableScan" in narrow._jdf.queryExecution().executedPlan().toString() and len(made) == 2
+    sf = "/root/testdata/sf0.001"
+    cells, specs = models.folded_cells(spark, sf)
+    rows = models.folded_rows(spark, sf, [*models.FEATURES, "l_linestatus"])
+    assert models.S.bin_counts(cells, specs, "y", n="n") == models.S.bin_counts(rows, models.BINNED, "y")
+    assert cells.agg({"n": "sum"}).first()[0] == rows.count()
