@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import FILTER_BITS, SPACES, hash_filter, hashed_words, mix, passes, text_blocks, written
+from foldwise.llm.common import FILTER_BITS, SPACES, hash_filter, hashed_words, mix, passes, small_batches, text_blocks, written
 from foldwise.llm.components import components
 from foldwise.operators.lookup import estimated_bytes
 
@@ -67,9 +67,11 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int = WORDS) -> tu
             for j in range(words - 1):
                 extra[size > j] += h[first[size > j] + j] * mult[j]
             extra = mix(extra)
-            s, at = np.concatenate([s, extra]), np.concatenate([at, short])
-    order = np.lexsort((s, at))
-    s, at = s[order], at[order]
+            to = np.searchsorted(at, short)
+            s, at = np.insert(s, to, extra), np.insert(at, to, short)
+    cut = np.flatnonzero(at[1:] != at[:-1]) + 1
+    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(s)]):
+        s[i:j].sort()
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (at[1:] != at[:-1])
     s, at = s[new], at[new]
@@ -152,6 +154,21 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1)
 
 
+def wide_sketch(s: np.ndarray) -> np.ndarray:
+    """The same over SKETCH bits or more, a power of two from four times the elements, as longs. Equal places of its parts of SKETCH bits, or of any
+    larger width, add up to a sketch of that width."""
+    width = max(SKETCH, 1 << max(0, 4 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def bits_apart(a: str, b: str) -> str:
+    """SQL: in how many bits two wide sketches differ, the wider one folded."""
+    fold = "transform(slice({x}, 1, size({y})), (v, i) -> aggregate(sequence(i, size({x}) - 1, size({y})), 0L, (s, j) -> s ^ get({x}, j)))"
+    narrow = lambda x, y: f"if(size({x}) > size({y}), {fold.format(x=x, y=y)}, {x})"
+    return f"aggregate(zip_with({narrow(a, b)}, {narrow(b, a)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+
+
 # ---- steps -------------------------------------------------------------------------------
 
 def classes_of(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -180,11 +197,21 @@ def pack_by_group(owner: np.ndarray, hashes: np.ndarray, n_groups: int) -> Itera
         yield int(g), o, h
 
 
-def shared_counts(docs: DataFrame, text: str, words: int, n_groups: int) -> DataFrame:
-    """(class, shared): how many of a class's shingles occur in other classes too, or a little more.
+def steps(who: np.ndarray) -> bytes:
+    """Increasing numbers as their steps, in one byte each if all fit."""
+    d = np.diff(who, prepend=0)
+    return d.astype(np.uint8 if not len(d) or d.max() < 256 else np.uint32).tobytes()
 
-    A shingle is 32 bits beside its group, so it may rarely be taken for another one; that only keeps a class that could go. A shingle in many
-    classes of one block is sent once for all of them.
+
+def from_steps(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint32), dtype=np.int64)
+
+
+def sent_shingles(docs: DataFrame, text: str, words: int, n_groups: int) -> DataFrame:
+    """(g, block, classes, who, low, tag, many): the shingles of each block of texts by group, and under -1 - block its classes.
+
+    A shingle is 32 bits beside its group, 32 bits that tell its class from others with the same shingle, and a step to its class in the block:
+    about nine bytes, however many groups there are. A shingle in many classes of one block is sent once for all of them.
     """
     def spread(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -192,65 +219,83 @@ def shared_counts(docs: DataFrame, text: str, words: int, n_groups: int) -> Data
             for _, data, bounds in text_blocks(batch.column(0)):
                 s, at = shingle_sets(data, bounds, words)
                 ids, pick = np.unique(class_ids(s, at), return_index=True)
-                pick = pick[np.diff(at)[pick] > 0]
-                ids = class_ids(s, at)[pick]
+                some = np.diff(at)[pick] > 0
+                ids, pick = ids[some], pick[some]
                 if not len(pick):
                     continue
                 block, number = part << 32 | number, number + 1
                 owner = np.repeat(np.arange(len(pick)), np.diff(at)[pick])
                 own = np.concatenate([s[at[k]:at[k + 1]] for k in pick])
-                short = ids.view(np.uint64)[::2]
-                rows = [(-1 - block, block, ids.tobytes(), b"", b"", b"", b"", b"")]  # the block's classes, for its answers
-                for g, o, h in pack_by_group(owner, own, n_groups):
+                order = np.argsort(own)
+                equal = own[order[1:]] == own[order[:-1]]
+                many = np.zeros(len(own), bool)
+                many[order[1:][equal]] = many[order[:-1][equal]] = True
+                done = np.bincount(owner[many], minlength=len(ids)).astype(np.int32)
+                rows = [(-1 - block, block, ids.tobytes(), done.tobytes(), b"", b"", b"")]  # the block's classes, for its answers
+                more = {g: (h // np.uint64(n_groups)).astype(np.uint32) for g, _, h in pack_by_group(np.zeros(many.sum(), np.int8), own[many], n_groups)}
+                with np.errstate(over="ignore"):
+                    tag = mix(ids.view(np.uint64)[::2][owner] + own * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+                alone = np.flatnonzero(~many)
+                for g, o, h in pack_by_group(alone, own[alone], n_groups):
                     low = (h // np.uint64(n_groups)).astype(np.uint32)
-                    u, inverse, count = np.unique(low, return_inverse=True, return_counts=True)
-                    many = count[inverse] > 1
-                    who, local = np.unique(o, return_inverse=True)
-                    done = np.bincount(local[many], minlength=len(who)).astype(np.int32)
-                    alone = ~many
-                    rows.append((g, block, short[who].tobytes(), who.astype(np.int32).tobytes(), done.tobytes(), local[alone].astype(np.int32).tobytes(), low[alone].tobytes(),
-                                 u[count > 1].tobytes()))
+                    rows.append((g, block, b"", steps(owner[o]), low.tobytes(), tag[o].astype(np.uint32).tobytes(), np.unique(more.pop(g, low[:0])).tobytes()))
+                rows += [(g, block, b"", b"", b"", b"", np.unique(low).tobytes()) for g, low in more.items()]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])],
-                                                 ["g", "block", "classes", "who", "done", "owner", "low", "many"])
+                                                 ["g", "block", "classes", "who", "low", "tag", "many"])
+
+    return docs.select(text).mapInArrow(spread, "g long, block long, classes binary, who binary, low binary, tag binary, many binary")
 
+
+def shared_counts(docs: DataFrame, text: str, words: int, n_groups: int) -> DataFrame:
+    """(class, shared): how many of a class's shingles occur in other classes too, or a little more.
+
+    A shingle may rarely be taken for another one; that only keeps a class that could go. Two classes may rarely look alike in one shingle, so
+    that it is missed; each count is therefore one more.
+    """
     def count(table: pa.Table) -> pa.Table:
-        """For each block that sent something: who of it shares how many."""
+        """For each block that sent something: its classes, once for each shingle that another class has."""
         block = table["block"]
-        get = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(c)]
         if table["g"][0].as_py() < 0:
-            return pa.table([block, table["classes"], table["who"], table["done"]], ["block", "classes", "who", "total"])
-        classes, who, low = get("classes", np.uint64), get("who", np.int32), get("low", np.uint32)
-        base = np.cumsum([0, *map(len, classes)])
-        to = np.unique(np.concatenate(classes), return_inverse=True)[1]
-        owner = np.concatenate([x + b for x, b in zip(get("owner", np.int32), base)]).astype(np.int64)
-        low, many = np.concatenate(low), np.unique(np.concatenate(get("many", np.uint32)))
-        pair = np.unique(low.astype(np.uint64) << np.uint64(32) | to[owner].astype(np.uint64))
-        u, n = np.unique((pair >> np.uint64(32)).astype(np.uint32), return_counts=True)
-        shared = (n[np.searchsorted(u, low)] > 1) | np.isin(low, many)
-        total = np.bincount(owner[shared], minlength=base[-1]) + np.concatenate(get("done", np.int32))
-        some = [total[i:j] > 0 for i, j in zip(base, base[1:])]
-        return pa.table([block, pa.array([b""] * len(block), pa.binary()), pa.array([w[x].tobytes() for w, x in zip(who, some)], pa.binary()),
-                         pa.array([total[i:j][x].astype(np.int32).tobytes() for i, j, x in zip(base, base[1:], some)], pa.binary())], ["block", "classes", "who", "total"])
+            return pa.table([block, table["classes"], table["who"]], ["block", "classes", "who"])
+        get = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(c)]
+        low = get("low", np.uint32)
+        base = np.cumsum([0, *map(len, low)])
+        high = np.concatenate([*low, *get("many", np.uint32)]).astype(np.uint64) << np.uint64(32)
+        both = np.concatenate([high[:base[-1]] | np.concatenate(get("tag", np.uint32)), high[base[-1]:], high[base[-1]:] | np.uint64(0xFFFFFFFF)])
+        order = np.argsort(both)
+        both = both[order]
+        start = np.flatnonzero(np.r_[True, both[1:] >> np.uint64(32) != both[:-1] >> np.uint64(32)])
+        end = np.r_[start[1:], len(both)]
+        shared = np.empty(len(both), bool)
+        shared[order] = np.repeat(both[start] != both[end - 1], end - start)
+        found = []
+        for x, i, j in zip(table["who"], base, base[1:]):
+            who = from_steps(x.as_py(), j - i)[shared[i:j]]
+            found.append(len(who).to_bytes(8, "little") + steps(who))
+        return pa.table([block, pa.array([b""] * len(block), pa.binary()), pa.array(found, pa.binary())], ["block", "classes", "who"])
 
     def answer(table: pa.Table) -> pa.Table:
         """The classes of one block with what its groups found."""
-        ids = np.frombuffer(b"".join(table["classes"].to_pylist()), "V16")
-        who, total = (np.frombuffer(b"".join(table[c].to_pylist()), np.int32) for c in ("who", "total"))
-        shared = np.bincount(who, total, minlength=len(ids)).astype(np.int64)
-        return pa.table([binary(ids[shared > 0]), pa.array(shared[shared > 0])], ["class", "shared"])
-
-    packed = docs.select(text).mapInArrow(spread, "g long, block long, classes binary, who binary, done binary, owner binary, low binary, many binary")
-    counted = packed.groupBy("g").applyInArrow(count, "block long, classes binary, who binary, total binary")
+        ids, shared = np.zeros(0, "V16"), 0
+        for classes, who in zip(table["classes"].to_pylist(), table["who"].to_pylist()):
+            if classes:
+                ids, shared = np.frombuffer(classes, "V16"), shared + np.frombuffer(who, np.int32).astype(np.int64)
+        for classes, who in zip(table["classes"].to_pylist(), table["who"].to_pylist()):
+            if not classes:
+                shared = shared + np.bincount(from_steps(who[8:], int.from_bytes(who[:8], "little")), minlength=len(ids))
+        return pa.table([binary(ids[shared > 0]), pa.array(shared[shared > 0] + 1)], ["class", "shared"])
+
+    counted = sent_shingles(docs, text, words, n_groups).groupBy("g").applyInArrow(count, "block long, classes binary, who binary")
     return counted.groupBy("block").applyInArrow(answer, "class binary, shared long").groupBy("class").agg(F.max("shared").alias("shared"))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
-    """(class, n, s): the sorted hashes of each wanted class, from the rows with its text hash `th`. A class can come more than once.
+def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(class, n, s): the sorted hashes of each wanted class, from the row with its key and text hash (`row`, a hash of both). A class can come more than once.
 
     Texts are not shuffled: a filter of bounded size lets those of wanted classes through. A few others come along; they cost work and change nothing.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(wanted, "th"))
+    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(wanted, "row"))
 
     def run(batches):
         seen: set[bytes] = set()
@@ -268,22 +313,22 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFr
                     arrays = pa.array([s[at[k]:at[k + 1]].view(np.int64) for k in new], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([binary(ids[new]), pa.array(np.diff(at)[new], pa.int64()), arrays], ["class", "n", "s"])
 
-    found = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("t")).mapInArrow(run, "class binary, n long, s array<bigint>")
+    found = docs.select(F.xxhash64(F.col(key).cast("long"), F.xxhash64(text)).alias("row"), F.col(text).alias("t")).mapInArrow(run, "class binary, n long, s array<bigint>")
     full = wanted.count() > FILTER_BITS // 16  # the filter is exact enough until then
     return found.join(wanted.select("class").distinct(), "class", "left_semi") if full else found
 
 
 def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, roots: DataFrame | None = None, every: bool = False) -> DataFrame:
-    """Pairs (a, b) of classes that share a signature and whose sizes allow them to be similar.
+    """Pairs (a, b) of classes that share a signature, and `fits`: whether their sizes allow them to be similar.
 
     Without roots: of each bucket, the class that shares most with the others, with each of them. With roots (node, root): all pairs of a bucket
-    whose roots differ and whose sketches too allow it, but those of the first kind; the members are compared in blocks and only what passes is sent.
+    of these nodes whose roots differ and whose sizes and sketches allow it; the members are compared in blocks and only what passes is sent.
     With every: all pairs of a bucket whose sketches allow it, sent block by block.
     """
     def spread(batches):
         for batch in batches:
             ids = np.array([np.frombuffer(x.as_py(), "V16")[0] for x in batch.column(0)], "V16")
-            root = np.array([np.frombuffer(x.as_py(), "V16")[0] for x in batch.column(2)], "V16")
+            root = np.array([np.frombuffer(x.as_py(), "V16")[0] for x in batch.column(2)], "V16") if by_root else None
             values, at = batch.column(1).values.to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).offsets.to_numpy()
             for first in range(0, len(ids), 1000):
                 span = range(first, min(first + 1000, len(ids)))
@@ -293,15 +338,16 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
                 rows = []
                 for g, o, h in pack_by_group(owner, np.concatenate([*sigs, np.zeros(0, np.uint64)]), n_groups):
                     who, local = np.unique(o, return_inverse=True)
-                    sizes = (at[who + 1] - at[who]).astype(np.int64)
+                    sizes = (at[who + 1] - at[who]).astype(np.int32)
                     sketches = b"".join([drawn[k] for k in who]) if second else b""
-                    rows.append((g, ids[who].tobytes(), root[who].tobytes(), sizes.tobytes(), sketches, local.astype(np.int32).tobytes(), h.tobytes()))
+                    rows.append((g, ids[who].tobytes(), b"" if root is None else root[who].tobytes(), sizes.tobytes(), sketches, local.astype(np.int32).tobytes(), h.tobytes()))
                 if rows:
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
                                                      ["g", "classes", "roots", "sizes", "sketches", "owner", "sig"])
 
-    second = roots is not None or every
+    by_root = roots is not None
+    second = by_root or every
     p, q = similar.numerator, similar.denominator
 
     def possible(i, j, sizes, sketches):
@@ -318,8 +364,7 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
         classes = [np.frombuffer(x, "V16") for x in get("classes")]
         base = np.cumsum([0, *map(len, classes)])
         ids, first, to = np.unique(np.concatenate(classes), return_index=True, return_inverse=True)
-        root = np.unique(np.concatenate([np.frombuffer(x, "V16") for x in get("roots")]), return_inverse=True)[1][first]
-        sizes = np.concatenate([np.frombuffer(x, np.int64) for x in get("sizes")])[first]
+        sizes = np.concatenate([np.frombuffer(x, np.int32) for x in get("sizes")])[first].astype(np.int64)
         sketches = np.frombuffer(b"".join(get("sketches")), np.uint64).reshape(-1, SKETCH // 64)[first] if second else None
         owner = to[np.concatenate([np.frombuffer(x, np.int32) + b for x, b in zip(get("owner"), base)]).astype(np.int64)]
         sig = np.concatenate([np.frombuffer(x, np.uint64) for x in get("sig")])
@@ -340,13 +385,13 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
             i, j = np.repeat(owner[start], end - start), owner
             pairs = np.unique((i * len(ids) + j)[i != j])
             i, j = pairs // max(1, len(ids)), pairs % max(1, len(ids))
-            ok = possible(i, j, sizes, sketches)
-            i, j = i[ok], j[ok]
+            fits = possible(i, j, sizes, sketches)
         else:
+            root = np.unique(np.concatenate([np.frombuffer(x, "V16") for x in get("roots")]), return_inverse=True)[1][first]
             mixed = np.flatnonzero(np.minimum.reduceat(root[owner], start) != np.maximum.reduceat(root[owner], start)) if len(start) else []
             done, found = set(), set()
             for b in mixed:
-                who = owner[start[b] + 1:end[b]]
+                who = owner[start[b]:end[b]]
                 if (seen := who.tobytes()) in done:
                     continue
                 done.add(seen)
@@ -358,7 +403,8 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
                     found.update(np.unique(np.minimum(x, y)[ok] * len(ids) + np.maximum(x, y)[ok]).tolist())
             pairs = np.array(sorted(found), np.int64)
             i, j = pairs // max(1, len(ids)), pairs % max(1, len(ids))
-        return pa.table([binary(ids[i]), binary(ids[j])], ["a", "b"])
+            fits = np.ones(len(i), bool)
+        return pa.table([binary(ids[i]), binary(ids[j]), pa.array(fits)], ["a", "b", "fits"])
 
     def meet_every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, sketches, sig, owner = meet(pa.Table.from_batches(list(batches)))
@@ -371,12 +417,11 @@ def candidates(sets: DataFrame, n_groups: int, similar: Fraction = SIMILAR, root
                 x, y = (z.ravel() for z in np.meshgrid(who[k:k + 256], who[k:], indexing="ij"))
                 x, y = x[x < y], y[x < y]
                 ok = possible(x, y, sizes, sketches)
-                yield pa.RecordBatch.from_arrays([binary(ids[x[ok]]), binary(ids[y[ok]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([binary(ids[x[ok]]), binary(ids[y[ok]]), pa.array(ok[ok])], ["a", "b", "fits"])
 
-    rooted = sets.withColumn("root", F.col("class")) if roots is None else (
-        sets.join(sent(roots), sets["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class")))
-    packed = rooted.select("class", "s", "root").mapInArrow(spread, "g long, classes binary, roots binary, sizes binary, sketches binary, owner binary, sig binary")
-    return packed.groupBy("g").applyInArrow(meet_every if every else meet, "a binary, b binary").distinct()
+    rooted = sets.select("class", "s") if not by_root else sets.join(sent(roots), sets["class"] == roots["node"]).select("class", "s", "root")
+    packed = rooted.mapInArrow(spread, "g long, classes binary, roots binary, sizes binary, sketches binary, owner binary, sig binary")
+    return packed.groupBy("g").applyInArrow(meet_every if every else meet, "a binary, b binary, fits boolean").distinct()
 
 
 def sent(table: DataFrame) -> DataFrame:
@@ -385,11 +430,11 @@ def sent(table: DataFrame) -> DataFrame:
 
 
 def sketches(sets: DataFrame) -> DataFrame:
-    """(class, n, k): the sketch of each set as longs."""
+    """(class, n, k): the wide sketch of each set."""
     def run(batches):
         for batch in batches:
             values, at = batch.column(2).values.to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).offsets.to_numpy()
-            drawn = [sketch(values[i:j]).view(np.int64) for i, j in zip(at, at[1:])]
+            drawn = [wide_sketch(values[i:j]) for i, j in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drawn, pa.list_(pa.int64()))], ["class", "n", "k"])
 
     return sets.select("class", "n", "s").mapInArrow(run, "class binary, n long, k array<bigint>")
@@ -402,7 +447,7 @@ def likely_pairs(pairs: DataFrame, sets: DataFrame, similar: Fraction = SIMILAR)
     drawn = sent(drawn.dropDuplicates(["class"]))
     for c in "ba":
         pairs = pairs.join(drawn.toDF(c, f"n{c}", f"k{c}"), c)
-    pairs = pairs.withColumn("apart", F.expr("aggregate(zip_with(ka, kb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"))
+    pairs = pairs.withColumn("apart", F.expr(bits_apart("ka", "kb")))
     return written(pairs.where(F.col("apart") * (q + p) <= (F.col("na") + F.col("nb")) * (q - p)).select("a", "b", "apart").distinct(), "partenum-likely")
 
 
@@ -446,20 +491,31 @@ def spanning_links(pairs: DataFrame, sets: DataFrame, similar: Fraction = SIMILA
     return links, components(links)
 
 
+def open_classes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the classes that may share a bucket with one of another component. `pairs` has, for each bucket, all pairs of one of its classes, a."""
+    for c in "ab":
+        pairs = pairs.join(sent(roots).toDF(c, f"r{c}"), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    pairs = written(pairs.select("a", "b", "ra", "rb"), "partenum-rooted")
+    apart = pairs.where("ra <> rb").select("a").distinct()
+    of = pairs.join(sent(apart), "a", "left_semi")
+    return of.select(F.col("a").alias("node"), F.col("ra").alias("root")).union(of.select("b", "rb")).distinct()
+
+
 def _prepared(docs: DataFrame, key: str, text: str, words: int, similar: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Rows with their class; the classes; the sets of those that can have a partner; groups of signatures."""
     rows = written(classes_of(docs, key, text, words), "partenum-classes")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("key", "th"))["th"].alias("th"), F.min("key").alias("least"), F.max("n").alias("n"))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min(F.struct("key", "th")).alias("m"), F.min("key").alias("least"), F.max("n").alias("n"))
+    classes = classes.select("class", F.xxhash64("m.key", "m.th").alias("row"), "least", "n")
     total = rows.agg(F.sum("n")).first()[0] or 0
     shared = shared_counts(docs, text, words, max(1, total // GROUP))
     wanted = written(classes.join(shared, "class").where(f"{similar.denominator} * shared >= {similar.numerator} * n"), "partenum-wanted")
-    sets = written(sets_of(docs, wanted, text, words), "partenum-sets")
+    sets = written(sets_of(docs, wanted, key, text, words), "partenum-sets")
     n_groups = max(1, (sets.agg(F.sum("n")).first()[0] or 0) // (2 * GROUP))
     return rows, classes, sets, n_groups
 
 
 def _pairs(sets: DataFrame, n_groups: int, similar: Fraction) -> DataFrame:
-    return written(verified(candidates(sets, n_groups, similar, every=True), sets, similar), "partenum-links")
+    return written(verified(candidates(sets, n_groups, similar, every=True).select("a", "b"), sets, similar), "partenum-links")
 
 
 def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similar: Fraction = SIMILAR) -> DataFrame:
@@ -494,11 +550,17 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     shingles and no links. Null keys are never the least; where a component has no other, component_id is null. Repeated rows are linked with each
     other. An empty table gives an empty table.
     """
-    rows, classes, sets, n_groups = _prepared(docs, key, text, words, similar)
-    links, roots = spanning_links(candidates(sets, n_groups, similar), sets, similar)
-    more = written(candidates(sets, n_groups, similar, roots), "partenum-rest")
-    if not more.isEmpty():
-        roots = components(links.union(spanning_links(more, sets, similar)[0]))
+    with small_batches(docs.sparkSession):
+        rows, classes, sets, n_groups = _prepared(docs, key, text, words, similar)
+        pairs = written(candidates(sets, n_groups, similar), "partenum-pairs")
+        links, roots = spanning_links(pairs.where("fits"), sets, similar)
+        left = written(open_classes(pairs, roots), "partenum-left")
+        if not left.isEmpty():
+            n_groups = max(1, (sets.join(sent(left), sets["class"] == left["node"]).agg(F.sum("n")).first()[0] or 0) // (2 * GROUP))
+            more = candidates(sets, n_groups, similar, left).select("a", "b")
+            more = written(more.join(pairs.select("a", "b").union(pairs.select("b", "a")), ["a", "b"], "left_anti"), "partenum-rest")
+            if not more.isEmpty():
+                roots = components(links.union(spanning_links(more, sets, similar)[0]))
     least = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
     named = least.join(of_root, "root").select("class", "root", "component_id")

@@ -5,7 +5,9 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from foldwise.llm import partenum as p
 from foldwise.llm.queries import QUERIES
@@ -131,3 +133,45 @@ def test_pairs_equal_all_pairs(spark):
     classes = {frozenset(s) for s in sets if s}
     assert len(pairs) == sum(near(a, b) for a in classes for b in classes if a != b) // 2
     assert p.similar_pairs(df.limit(0)).count() == p.link_counts(df.limit(0)).count() == 0
+
+
+def test_sent_bytes_do_not_grow_with_groups(spark):
+    """Shingles of a class go to ever more groups in larger tables; what is sent for one must not."""
+    rows = [(i, " ".join(f"w{i * 7919 + j}" for j in range(400))) for i in range(200)]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:20])] + [(2000 + i, t + " more") for i, (_, t) in enumerate(rows[:30])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    size = F.expr("octet_length(who) + octet_length(low) + octet_length(tag) + octet_length(many)")
+    sent = {g: p.sent_shingles(df, "text", 5, g).where("g >= 0").agg(F.sum(size)).first()[0] for g in (2, 2000)}
+    assert sent[2000] <= 1.2 * sent[2]
+    for g in sent:
+        shared = [r["shared"] for r in p.shared_counts(df, "text", 5, g).collect()]
+        assert sum(n >= 397 for n in shared) == 60 and sum(n < 397 for n in shared) < 10
+
+
+def test_steps_are_read_back():
+    for who in ([], [0], [5, 5, 9], [0, 300, 300, 70_000]):
+        raw = p.steps(np.array(who, np.int64))
+        assert p.from_steps(raw, len(who)).tolist() == who
+
+
+@pytest.mark.parametrize("n", [3, 600, 5000])
+def test_wide_sketches_bound_differences(spark, n):
+    r = np.random.default_rng(n)
+    a = r.integers(0, 2 ** 63, n).astype(np.uint64)
+    cases = [np.concatenate([a[gone:], r.integers(0, 2 ** 63, more).astype(np.uint64)]) for gone, more in ((0, 0), (1, 0), (n // 4, n // 3), (n // 2, n // 2), (0, n))]
+    rows = [(len(np.setxor1d(a, b)), p.wide_sketch(a).tolist(), p.wide_sketch(b).tolist()) for b in cases]
+    got = spark.createDataFrame(rows, "d int, ka array<bigint>, kb array<bigint>").selectExpr("d", f"{p.bits_apart('ka', 'kb')} AS apart", f"{p.bits_apart('kb', 'ka')} AS back").collect()
+    assert all(x.apart <= x.d and x.apart == x.back and (x.d - x.apart) % 2 == 0 for x in got)
+    assert n < 5000 or got[3].apart > 2 * n * 0.25  # the sketch of fixed width let these through
+
+
+def test_batches_are_small(spark):
+    """Memory of an executor: both the JVM and the Python worker hold a batch of texts."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+    most = lambda: spark.range(0, 30_000, 1, 1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with p.small_batches(spark):
+        assert most() <= 2000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before and most() == int(before)
