@@ -37,6 +37,8 @@ from foldwise.operators.lookup import estimated_bytes
 WORDS, SIMILAR = 5, Fraction(3, 4)
 #: Cells of a part, cells that a signature leaves out, parts for each part that is needed, entries in a group of packed hashes.
 CELLS, LEFT_OUT, SLACK, GROUP = 3, 1, Fraction(3, 2), 1 << 20
+#: Bytes of texts that are hashed at once; a Python worker holds many times that.
+BLOCK_BYTES = 1 << 20
 #: Bits of a sketch; bytes up to which a table is sent to all tasks.
 SKETCH, SENT_BYTES = 2048, 32 << 20
 
@@ -175,7 +177,7 @@ def classes_of(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """key, th (hash of the text), n_shingles and the set's class of every row; rows without words have no class."""
     def run(batches):
         for batch in batches:
-            for first, data, bounds in text_blocks(batch.column(2)):
+            for first, data, bounds in text_blocks(batch.column(2), BLOCK_BYTES):
                 s, at = shingle_sets(data, bounds, words)
                 n = np.diff(at)
                 ids = binary(class_ids(s, at))
@@ -216,7 +218,7 @@ def sent_shingles(docs: DataFrame, text: str, words: int, n_groups: int) -> Data
     def spread(batches):
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for _, data, bounds in text_blocks(batch.column(0)):
+            for _, data, bounds in text_blocks(batch.column(0), BLOCK_BYTES):
                 s, at = shingle_sets(data, bounds, words)
                 ids, pick = np.unique(class_ids(s, at), return_index=True)
                 some = np.diff(at)[pick] > 0
@@ -301,7 +303,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int)
         seen: set[bytes] = set()
         for batch in batches:
             batch = batch.filter(pa.array(passes(sent.value, batch.column(0).to_numpy(zero_copy_only=False))))
-            for _, data, bounds in text_blocks(batch.column(1)):
+            for _, data, bounds in text_blocks(batch.column(1), BLOCK_BYTES):
                 s, at = shingle_sets(data, bounds, words)
                 ids = class_ids(s, at)
                 new = []
