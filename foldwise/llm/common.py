@@ -90,7 +90,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
 
 # ---- texts of an Arrow batch as one run of bytes ----------------------------------
 
-def text_blocks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+#: Bytes of texts that are worked on at once; a Python worker holds many times that.
+BLOCK_BYTES = 1 << 19
+
+
+def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row bounds) of consecutive rows with about `most` bytes at once; a longer text is a block of its own. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

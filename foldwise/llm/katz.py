@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm.bitplanes import from_planes, to_planes
-from foldwise.llm.common import hashed_words, mix, text_blocks, written
+from foldwise.llm.common import hashed_words, mix, small_batches, text_blocks, written
 from foldwise.llm.partenum import pack_by_group
 
 #: Counts up to MOST are discounted. Tokens of a block, and dictionary words or tokens that meet in one group. A context has one part for each eighth of a group.
 MOST, BLOCK, GROUP = 5, 1 << 21, 5 << 19
+#: N-grams of a block whose probabilities are worked out at once.
+PART = 1 << 17
 END, BEGIN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995)
 
 
@@ -62,14 +64,14 @@ def unpack_large(raw: bytes) -> np.ndarray:
     return unpack(raw[4:4 + n]) | unpack(raw[4 + n:]) << 32
 
 
-def unpack(raw: bytes) -> np.ndarray:
+def unpack(raw: bytes, kind: type = np.int64) -> np.ndarray:
     import zstandard
     n, *sizes = np.frombuffer(raw, "<u4", 5).tolist()
     z, at, planes = zstandard.ZstdDecompressor(), 20, []
     for s in sizes:
         planes.append(z.decompress(raw[at:at + s]))
         at += s
-    return from_planes(planes, n, 8).astype(np.int64)
+    return from_planes(planes, n, 8).astype(kind)
 
 
 @dataclass(frozen=True)
@@ -132,10 +134,12 @@ def blocks_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Texts as blocks of about BLOCK tokens. Each text ends with the end token."""
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        keys, sizes, tokens, held = [], [], [], 0
+        keys, sizes, words, tokens, held = [], [], [], [], 0
 
         def row():
-            u, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
+            u, to = np.unique(np.concatenate(words), return_inverse=True)
+            to = np.split(to.astype(np.int32), np.cumsum([len(w) for w in words])[:-1])
+            inverse = np.concatenate([own[t] for own, t in zip(to, tokens)])
             return {"block": part << 32 | seq, "keys": np.array([k or 0 for k in keys], np.int64).tobytes(), "empty": bytes(k is None for k in keys),
                     "held": bytes(map(held_out, keys)), "sizes": pack(np.concatenate(sizes)), "words": u.tobytes(), "tokens": pack(inverse), "n_train": len(keys) - sum(map(held_out, keys))}
 
@@ -147,18 +151,22 @@ def blocks_of(docs: DataFrame, key: str, text: str) -> DataFrame:
                 size = np.bincount(at, minlength=n)[:n] + 1
                 t = np.full(len(h) + n, END, np.uint64)
                 t[np.arange(len(h)) + at] = h
+                # All tokens are held as numbers in the dictionary of these texts, not as hashes.
+                u, t = np.unique(t, return_inverse=True)
                 keys += own[first:first + n]
                 sizes.append(size)
-                tokens.append(t)
+                words.append(u)
+                tokens.append(t.astype(np.int32))
                 held += len(t)
                 if held >= BLOCK:
                     yield pa.RecordBatch.from_pylist([row()], arrow)
-                    keys, sizes, tokens, held, seq = [], [], [], 0, seq + 1
+                    keys, sizes, words, tokens, held, seq = [], [], [], [], 0, seq + 1
         if keys:
             yield pa.RecordBatch.from_pylist([row()], arrow)
 
     arrow = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in HEAD), ("n_train", pa.int64())])
-    return written(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, BLOCK_SCHEMA), "katz-blocks")
+    with small_batches(docs.sparkSession):
+        return written(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(run, BLOCK_SCHEMA), "katz-blocks")
 
 
 # ---- the model and its tables ----------------------------------------------------------------
@@ -314,7 +322,7 @@ class Block:
 
     def __init__(self, cells: dict, answers: list[dict], x: Numbers):
         self.x, self.order = x, 1
-        self.own, self.tokens, self.sizes = np.frombuffer(cells["e"], np.uint64), unpack(cells["f"]).astype(np.int32), unpack(cells["d"])
+        self.own, self.tokens, self.sizes = np.frombuffer(cells["e"], np.uint64), unpack(cells["f"], np.int32), unpack(cells["d"])
         self.held = np.frombuffer(cells["c"], np.uint8)
         n = len(self.own)
         self.known, self.number = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -329,13 +337,17 @@ class Block:
 
     def next(self) -> None:
         """Go one order up: the n-grams of this order become contexts."""
+        if self.order > 1:
+            with np.errstate(over="ignore"):
+                self.of_pair = mix(self.hashes[self.context] * np.uint64(0xD6E8FEB86659FD93) + self.own[self.word])
+                self.begin = mix(np.array([self.begin]) + BEGIN)[0]
         n, m = len(self.own), len(self.count)
         both = np.empty(len(self.tokens), np.int64)
         both[1:] = self.pair[:-1]
         both[self.first] = m
         both *= n
         both += self.tokens
-        order = np.argsort(both)
+        order = np.argsort(both).astype(np.int32)
         both = both[order]
         new = np.r_[True, both[1:] != both[:-1]]
         both = both[new]
@@ -379,13 +391,14 @@ class Block:
         for w in weights:
             at = by_hash[np.searchsorted(self.hashes, np.frombuffer(w["a"], np.uint64), sorter=by_hash)]
             bare[at], weight[at] = np.frombuffer(w["b"], bool), np.frombuffer(w["c"])
-        f = self.x.discounts[self.order].table()
-        with np.errstate(divide="ignore"):
-            seen = np.log10(f[np.minimum(c, MOST + 1)] * c / np.maximum(1, self.total + bare)[self.context])
-        self.log10 = np.where(c > 0, seen, weight[self.context] + self.log10[self.lower])
-        with np.errstate(over="ignore"):
-            self.of_pair = mix(self.hashes[self.context] * np.uint64(0xD6E8FEB86659FD93) + self.own[self.word])
-            self.begin = mix(np.array([self.begin]) + BEGIN)[0]
+        f, out_of, below = self.x.discounts[self.order].table(), np.maximum(1, self.total + bare), self.log10
+        self.log10 = np.empty(len(c))
+        for k in range(0, len(c), PART):
+            some = slice(k, k + PART)
+            of, own = self.context[some], c[some]
+            with np.errstate(divide="ignore"):
+                seen = np.log10(f[np.minimum(own, MOST + 1)] * own / out_of[of])
+            self.log10[some] = np.where(own > 0, seen, weight[of] + below[self.lower[some]])
         self.count = c
 
 
@@ -456,11 +469,12 @@ def gram_answers(asks: DataFrame, order: int, uni: Unigrams, held: DataFrame | N
         else:
             below = np.concatenate(below)
             at = np.lexsort((w, context))
-            new = np.r_[True, (context[at][1:] != context[at][:-1]) | (w[at][1:] != w[at][:-1])]
-            pair = np.empty(len(w), np.int64)
-            pair[at] = np.cumsum(new) - 1
-            pair_context, pair_below, pair_w = context[at][new], below[at][new], w[at][new]
-            del at, below
+            context, w = context[at], w[at]
+            new = np.r_[True, (context[1:] != context[:-1]) | (w[1:] != w[:-1])]
+            pair = np.empty(len(w), np.int32)
+            pair[at] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+            pair_context, pair_below, pair_w = context[new], below[at[new]], w[new]
+            del at, below, context, w
             total = np.bincount(pair, np.concatenate([unpack(r["f"]) for r in rows]), minlength=int(new.sum())).astype(np.int64)
             seen = np.bincount(pair_context, np.where(total > 0, pair_below, 0.0), minlength=len(contexts))
             of = np.stack([np.bincount(pair_context[total == r], minlength=len(contexts)) for r in range(1, MOST + 1)], axis=1)

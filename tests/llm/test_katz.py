@@ -179,3 +179,24 @@ def test_recursion_over_orders_and_a_stored_model(spark, monkeypatch, tmp_path,
     assert k.score_with(model, more.limit(0)).count() == 0
     with pytest.raises(ValueError):
         k.scores(df, order=0)
+
+
+def test_blocks_are_made_in_little_memory(spark, monkeypatch):
+    """A worker holds numbers of four bytes for the tokens of a block, not their hashes several times over."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    docs, caught = spark.createDataFrame([(1, "a")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: caught.append((f, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
+    monkeypatch.setattr(k, "written", lambda df, label: df)
+    monkeypatch.setattr(k, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    k.blocks_of(docs, "doc_id", "text")
+    [(run, rows)] = caught
+    text = " ".join(f"w{i * i % 9973}" for i in range(1000))
+    batches = [pa.RecordBatch.from_pydict({"k": list(range(i, i + 300)), "t": [text] * 300}) for i in range(0, 2400, 300)]
+    tracemalloc.start()
+    n = sum(b.num_rows for b in run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 2 and peak < 75e6 and rows <= 2000, peak
