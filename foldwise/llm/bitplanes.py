@@ -37,11 +37,15 @@ from foldwise.sources.tables import shared_path
 
 MAGIC, HEAD, TAIL = b"BPLN", struct.Struct("<4sBBHI"), struct.Struct("<QQQQ4s")
 BLOCK_IDS, FILE_IDS, LEVEL, REMEMBERED = 1 << 16, 1 << 25, 3, 500_000
+#: Bytes of texts whose new pieces are encoded together.
+ENCODED = 1 << 21
 WHITE = re.compile("[^ \t\n\x0b\f\r]+")
 #: What Python takes for white space and the library does not.
 SEPARATOR = re.compile("[\x1c-\x1f]")
 #: Punctuation that a run of letters before it cannot join; not the apostrophe.
 ENDING = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: Runs that are one word each between blanks, as most runs of letters are too (all have a word at least), and how many are encoded as one text.
+ONE_WORD, JOINED = re.compile(r"[a-z]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+"), 200
 
 
 def to_planes(ids: np.ndarray, bits: int) -> list[bytes]:
@@ -156,7 +160,8 @@ class LibraryEncoder:
     """Texts to packed ids with the tokenizers library.
 
     White space parts a text into pieces that are encoded alone, plain ones run by run; ids of pieces and runs are remembered, and what was not
-    used for long is forgotten; long ones are forgotten at once. Only for vocabularies whose splitter drops white space.
+    used for long is forgotten; long ones are forgotten at once. Only for vocabularies whose splitter drops white space. New plain runs are joined by
+    blanks, and their ids are cut where tokens that end a word stand, if the vocabulary marks these.
     """
 
     def __init__(self, path: str):
@@ -173,11 +178,41 @@ class LibraryEncoder:
         blanks = [chr(c) for c in range(0x3001) if chr(c).isspace() and not SEPARATOR.match(chr(c))]
         # Python parts words at more characters; where the library drops them all, it can do the parting, which is faster.
         self.parts_alike = all(self.pack(f"a{c}b") == self.pack("a") + self.pack("b") for c in blanks)
+        self.ends = self.word_ends() if self.plain else None
         self.known, self.older, self.runs = {}, {}, {}
 
     def pack(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word_ends(self) -> np.ndarray | None:
+        """Which ids end a word; None if the vocabulary does not say, or has an added token that might show up in joined runs."""
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        if not suffix or not all("<" in t.content for t in self.library.get_added_tokens_decoder().values()):
+            return None
+        ids = self.library.get_vocab(with_added_tokens=False)
+        ends = np.zeros(max(self.library.get_vocab(with_added_tokens=True).values()) + 1, bool)
+        ends[[i for t, i in ids.items() if t.endswith(suffix)]] = True
+        return ends
+
+    def encode_runs(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Packed ids of runs, each as it is encoded alone."""
+        joined, alone = [], []
+        for u in units:
+            (joined if self.ends is not None and (u.isalpha() or ONE_WORD.fullmatch(u)) else alone).append(u)
+        parts = [joined[k:k + JOINED] for k in range(0, len(joined), JOINED)]
+        for k in range(0, len(parts), 50):
+            for part, e in zip(parts[k:k + 50], self.library.encode_batch_fast([" ".join(x) for x in parts[k:k + 50]], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                at = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+                if len(at) != len(part) + 1 or at[-1] != 4 * len(ids):  # a run has several words
+                    alone = alone + part
+                    continue
+                ids = ids.tobytes()
+                yield from zip(part, [ids[i:j] for i, j in zip(at, at[1:])])
+        for k in range(0, len(alone), 10_000):
+            for u, e in zip(alone[k:k + 10_000], self.library.encode_batch_fast(alone[k:k + 10_000], add_special_tokens=False)):
+                yield u, array("I", e.ids).tobytes()
+
     def split(self, w: str) -> list[str]:
         """Runs of a piece that the library would encode as they stand alone."""
         if self.plain and "<" not in w and "'" not in w:
@@ -198,9 +233,7 @@ class LibraryEncoder:
             else:
                 self.known[w] = ids
         units = list(set(chain.from_iterable(split.values())).difference(runs))
-        for k in range(0, len(units), 10_000):
-            for u, e in zip(units[k:k + 10_000], self.library.encode_batch_fast(units[k:k + 10_000], add_special_tokens=False)):
-                runs[u] = array("I", e.ids).tobytes()
+        runs.update(self.encode_runs(units))
         for w, own in split.items():
             self.known[w] = runs[own[0]] if len(own) == 1 else b"".join([runs[u] for u in own])
 
@@ -251,7 +284,7 @@ def write_planes(docs: DataFrame, vocabulary: str, end_id: int, folder: str, bit
             out = None
 
         for batch in batches:
-            for first, data, bounds in text_blocks(batch.column(1)):
+            for first, data, bounds in text_blocks(batch.column(1), ENCODED):
                 texts = [data[bounds[k]:bounds[k + 1]].tobytes().decode() for k in range(len(bounds) - 1)]
                 for doc, ids in zip(batch.column(0).slice(first, len(texts)).to_pylist(), encode(texts)):
                     if out is None:

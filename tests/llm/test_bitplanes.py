@@ -66,3 +66,29 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     assert sorted(map(tuple, QUERIES["op5_bit_planes"](spark, sf).collect())) == expected(map(tuple, rows))
+
+
+def test_new_runs_are_joined_and_keep_their_ids():
+    class Counted:
+        def __init__(self, library):
+            self.library, self.texts = library, 0
+
+        def __getattr__(self, name):
+            return getattr(self.library, name)
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+    odd = ["İstanbul", "ß", "ﬁn", "한글", "가", "ªº", "ʰ", "ΑΣ", "don't", "'s", "a<b", "<|endoftext|>", "x́y", "é", "１２", "½", "a1b", "UPPER", "ab\x1ccd", "日本", "中a", "́z", "l'ami", "à,b"]
+    plain = [f"{a}{c}{d}" for a in "abcdefgh" for c in "xyzuv" for d in "qwertyuiopasdfghjklm"] + list("0123456789") + ["!!", "--", "&&("]
+    e = b.LibraryEncoder(vocabulary())
+    want = {w: e.pack(w) for w in odd + plain}
+    e.library = Counted(e.library)
+    e.learn(plain)
+    assert e.library.texts <= len(plain) / 50
+    e.learn(odd)
+    assert {w: e.known[w] for w in want} == want
+    again = b.LibraryEncoder(vocabulary())
+    again.learn(plain[:300] + odd)
+    assert all(again.known[w] == want[w] for w in plain[:300] + odd)
