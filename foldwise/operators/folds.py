@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.num import order_key, r6
-from foldwise.operators.lookup import attach
-from foldwise.operators.ranks import hash_rank
+from foldwise.operators.lookup import attach, keep, sized
+from foldwise.operators.ranks import hash_rank, radix_digits
 
 
 def stratified_folds(df: DataFrame, key: Sequence[str | Column], label: str, k: int = 5, seed: int = 42,
@@ -26,6 +26,45 @@ def stratified_folds(df: DataFrame, key: Sequence[str | Column], label: str, k:
     return t.withColumn(out, (F.col("_r") % k).cast("int")).drop("_h", "_r", "_r_total")
 
 
+def seeded_folds(df: DataFrame, key: Sequence[str | Column], label: str, k: int, seeds: Sequence[int], carry: Sequence[str], twin: str, width: int) -> DataFrame:
+    """(label, carry, fold_<seed> for each seed, twin): the folds of `stratified_folds` for several seeds side by side, without a join of the rows by key.
+
+    Bucket totals of all seeds are counted in one pass over the source. The rows then go from the order of one seed to that of the next, with the first `width`
+    bytes of each md5 still needed, and none of them are kept. `twin` is the last of these for rows of a class that share them for any seed, else missing.
+    """
+    hashes = [f"_h{i}" for i in range(len(seeds))]
+    digits = radix_digits(df, [label])
+    t = df.select(label, *carry, F.lit(False).alias("_same"), *[order_key(key, s).alias(h) for h, s in zip(hashes, seeds)])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.substring(h, 1, digits).alias("b")) for i, h in enumerate(hashes)]))
+    counts = t.select(label, each.alias("e")).groupBy(F.col(label).alias("_k"), F.col("e.s").alias("_s"), F.col("e.b").alias("_k_b")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_k", "_s").orderBy("_k_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = keep(counts.select("_k", "_s", "_k_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))  # one row a bucket
+    t = t.withColumns({h: F.substring(F.unhex(h), 1, width) for h in hashes})
+    for i, (h, s) in enumerate(zip(hashes, seeds)):
+        t = t.withColumn("_b", F.substring(F.lower(F.hex(h)), 1, digits))
+        order = Window.partitionBy(label, "_b").orderBy(h)
+        next_to = lambda other: F.coalesce(other.over(order) == F.col(h), F.lit(False))
+        t = t.withColumns({"_in": F.row_number().over(order) - 1, "_same": F.col("_same") | next_to(F.lag(h)) | next_to(F.lead(h))})
+        t = t.withColumn(twin, F.when(F.col("_same"), F.col(h)))
+        off = sized(offsets.where(F.col("_s") == i).drop("_s"))
+        t = t.join(off, F.col(label).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_k_b")))
+        t = t.withColumn(f"fold_{s}", ((F.col("_in") + F.col("_off")) % k).cast("int")).drop(h, "_b", "_in", "_k", "_k_b", "_off", *([twin] if h != hashes[-1] else []))
+    return t.drop("_same")
+
+
+def seed_counts(df: DataFrame, key: Sequence[str | Column], label: str, k: int, seeds: Sequence[int], by: Sequence[str], twin: str = "twin") -> DataFrame:
+    """(label, by, fold_<seed> for each seed, twin, n): rows counted by what is read of them; `twin` tells the rows of a class that share their key.
+
+    Eight bytes of an md5 order the rows unless two of them have the same, by chance or as they share a key; then all are taken, so the folds are exact.
+    """
+    for width in (8, 16):
+        t = seeded_folds(df, key, label, k, seeds, by, twin, width)
+        cells = keep(t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("n")))
+        if width == 16 or cells.where(F.col(twin).isNotNull()).isEmpty():
+            return cells
+        cells.unpersist()
+
+
 def train_side(df: DataFrame, k: int, fold: str = "fold") -> DataFrame:
     return df.where(F.col(fold) != k)
 

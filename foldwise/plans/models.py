@@ -9,7 +9,7 @@ from foldwise.operators import contributions as C
 from foldwise.operators import evaluate as E
 from foldwise.operators import sufficient as S
 from foldwise.operators.assoc import roc_auc
-from foldwise.operators.folds import stratified_folds
+from foldwise.operators.folds import seed_counts, stratified_folds
 from foldwise.operators.lookup import keep
 from foldwise.plans.common import LI, LINE_KEY, Y_SQL, _prob_exprs, lines, model_columns, query, scored, sides
 
@@ -315,10 +315,33 @@ a AS (SELECT y, [round((a.s[1] + b.s[1]) / 2, 8), round((a.s[2] + b.s[2]) / 2, 8
 q AS (SELECT 0 AS one, y, {FIRST_BEST} AS pred FROM a)
 SELECT round(score, 6) AS score, n FROM ({fold_score_sql('q', 'one')})""")
 def seed_average(spark, sf):
-    parts = [S.bayes_out_of_fold(folded_rows(spark, sf, [*KEY, *FEATURES, "l_linestatus"], seed), BINNED, "y", 3, FOLDS).select(*KEY, "y", F.col("probability").alias(f"_p{seed}")) for seed in SEEDS]
-    both = parts[0].join(parts[1], [*KEY, "y"])
-    mean = F.array(*[F.round((F.get(f"_p{SEEDS[0]}", F.lit(c)) + F.get(f"_p{SEEDS[1]}", F.lit(c))) / 2, 8) for c in range(3)])
-    return E.oof_scores(both.select("y", F.lit(0).alias("fold"), mean.alias("probability")), "y").select(r6(F.col("score")).alias("score"), "n")
+    cells, names = seed_cells(spark, sf), [f"fold_{seed}" for seed in SEEDS]
+    pairs = key_pairs(cells, names)
+    for i, f in enumerate(names):
+        models = S.bayes(S.bin_counts(cells, S.coded(BINNED, "code"), "y", f, "n"), BINNED, 3, range(FOLDS))
+        pairs = pairs.withColumn(f"_p{i}", S.softmax(S.bayes_scores(S.coded(BINNED, f"code_{i}"), models, f)))
+    mean = F.array(*[F.round((F.get("_p0", F.lit(c)) + F.get("_p1", F.lit(c))) / 2, 8) for c in range(3)])
+    return E.oof_scores(pairs.select("y", F.lit(0).alias("fold"), mean.alias("probability"), "n"), "y", n="n").select(r6(F.col("score")).alias("score"), "n")
+
+
+def seed_cells(spark, sf):
+    """(y, code, whole, twin, fold_<seed>, n): the rows counted by what the models of all seeds see of them. `whole` rows have no part of their key missing."""
+    whole = F.lit(True)
+    for c in KEY:
+        whole = whole & F.col(c).isNotNull()
+    d = with_cents(scored(spark, sf)).withColumns({"code": F.expr(S.code_sql(BINNED)), "whole": whole})
+    return seed_counts(d, KEY, "y", FOLDS, SEEDS, ["code", "whole"])
+
+
+def key_pairs(cells, names):
+    """The join of the rows with themselves by key and class, counted: (y, code_0, code_1, folds, n). A row alone in its key meets itself, rows that share
+    one meet each other, and those without a whole key meet none."""
+    whole = cells.where("whole")
+    alone = whole.where("twin IS NULL").select("y", F.col("code").alias("code_0"), F.col("code").alias("code_1"), *names, "n")
+    shared = whole.where("twin IS NOT NULL")
+    left, right = (shared.groupBy("y", "twin", F.col("code").alias(f"code_{i}"), f).agg(F.sum("n").alias(f"n_{i}")) for i, f in enumerate(names))
+    met = left.join(right, ["y", "twin"]).select("y", "code_0", "code_1", *names, (F.col("n_0") * F.col("n_1")).alias("n"))
+    return alone.unionByName(met)
 
 
 # ---- telling train from test ------------------------------------------------------------

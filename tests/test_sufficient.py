@@ -174,3 +174,45 @@ def test_rows_are_placed_once_and_counted_by_code(spark, monkeypatch):
     rows = models.folded_rows(spark, sf, [*models.FEATURES, "l_linestatus"])
     assert models.S.bin_counts(cells, specs, "y", n="n") == models.S.bin_counts(rows, models.BINNED, "y")
     assert cells.agg({"n": "sum"}).first()[0] == rows.count()
+
+
+# ---- folds of several seeds side by side ---------------------------------------------------
+
+def lineitem(spark, path, times):
+    """A table folder with the lines of sf0.001 repeated under other order keys."""
+    copies = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    copies.withColumn("l_orderkey", F.col("l_orderkey") + F.col("_i") * 1_000_000).drop("_i").coalesce(2).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_seed_average_keeps_counts_and_no_rows(spark, tmp_path):
+    from foldwise.operators import lookup
+    path = lineitem(spark, tmp_path, 30)
+    lookup.release()
+    got = load()[0]["seed_average"](spark, path).first()
+    n = spark.read.parquet(f"{path}/lineitem.parquet").count()
+    assert got.n == n and sum(d.count() for d in lookup._KEPT) < n / 2
+
+
+def test_seed_average_pairs_rows_that_share_a_key(spark, tmp_path):
+    import duckdb
+    duckdb.execute(f"""COPY (SELECT * REPLACE (CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE l_linenumber END AS l_linenumber,
+      CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE l_extendedprice END AS l_extendedprice)
+      FROM '{SF}/lineitem.parquet', range(3) r(i) WHERE i = 0 OR l_orderkey % 5 = 0) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)""")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    queries, sql = load()
+    assert oracle.compare(queries["seed_average"](spark, str(tmp_path)), con, sql["seed_average"]) is None
+
+
+def test_seed_counts_have_the_folds_of_each_seed(spark):
+    from foldwise.operators.folds import seed_counts, stratified_folds
+    d = spark.range(3000).select("id", (F.col("id") % 5 == 0).cast("int").alias("y"))
+    alone = seed_counts(d, ["id"], "y", 4, (3, 4, 9), ["id"])
+    assert alone.where("twin IS NOT NULL").count() == 0
+    for s in (3, 4, 9):
+        want = {(r.id, r.fold) for r in stratified_folds(d, ["id"], "y", 4, seed=s).collect()}
+        assert {(r.id, r[f"fold_{s}"]) for r in alone.collect()} == want
+    twice = seed_counts(d.unionAll(d.where("id < 10")), ["id"], "y", 4, (3, 4), ["id"]).collect()
+    assert {r.id for r in twice if r.twin is not None} == set(range(10)) and len({bytes(r.twin) for r in twice if r.twin is not None}) == 10
+    assert sum(r.n for r in twice) == 3010 and {len(r.twin) for r in twice if r.twin is not None} == {16}
