@@ -350,3 +350,46 @@ def test_tokens_are_objects_for_few_texts_at_a_time(spark):
     df = spark.range(1000, numPartitions=1).selectExpr("id", "repeat('a b ', cast(id % 5 as int)) AS t")
     got = R.with_tokens(df, "t", tokenize=counted).selectExpr("count_if(size(tokens) = 2 * (id % 5)) AS n").first()["n"]
     assert got == 1000
+
+
+# ---- traces and gate over every prompt -----------------------------------------------------
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def few_parts(tmp_path):
+    """Parts with ciphers of every kind of line: only one word fits, one is left after others, several fit; and parts without a name or type."""
+    import duckdb
+    import oracle
+    types = ["cat", "bat", "bat cabin", "cabin", "top", "pot", "pot oops", "red", None]
+    rows = ", ".join(f"({i}, {['NULL', quoted('Red den')][i % 17 > 0]}, {quoted(types[i % len(types)])})" for i in range(40))
+    duckdb.execute(f"COPY (SELECT * FROM (VALUES {rows}) v(p_partkey, p_name, p_type)) TO '{tmp_path}/narrow.parquet' (FORMAT parquet)")
+    duckdb.execute(f"COPY (SELECT p_partkey::BIGINT AS p_partkey, p_name, p_type FROM '{tmp_path}/narrow.parquet') TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    return str(tmp_path), con, oracle.compare
+
+
+def quoted(text):
+    return "NULL" if text is None else f"'{text}'"
+
+
+def test_render_trace_has_every_prompt(spark):
+    from foldwise.plans import load
+    queries, sql = load()
+    got = queries["render_trace"](spark, SF).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count("trace").alias("t"), F.count_if(F.col("trace").startswith(
+        P.TRACES["cipher"]["open"][:20]) & F.col("trace").endswith("}")).alias("c")).collect()
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    plain = n - spark.read.parquet(f"{SF}/part.parquet").where("p_partkey % 9 = 0").count()
+    assert {r.category: (r.n, r.t, r.c) for r in got} == {
+        "numeral": (n, n, 0), "unit_conversion": (n, n, 0), "gravity": (n, n, 0), "cipher": (n, plain, plain), None: (2 * n, 0, 0)}
+
+
+def test_render_trace_of_ciphers_equals_sql(spark, few_parts):
+    from foldwise.plans import load
+    path, con, compare = few_parts
+    queries, sql = load()
+    assert compare(queries["render_trace"](spark, path), con, sql["render_trace"]) is None
+    text = "\n".join(r[0] for r in con.execute(f"SELECT trace FROM ({sql['render_trace']}) WHERE category = 'cipher' AND trace IS NOT NULL").fetchall())
+    assert "no other word fits" in text and "all that is left of" in text and "the most frequent of" in text
