@@ -393,3 +393,16 @@ def test_render_trace_of_ciphers_equals_sql(spark, few_parts):
     assert compare(queries["render_trace"](spark, path), con, sql["render_trace"]) is None
     text = "\n".join(r[0] for r in con.execute(f"SELECT trace FROM ({sql['render_trace']}) WHERE category = 'cipher' AND trace IS NOT NULL").fetchall())
     assert "no other word fits" in text and "all that is left of" in text and "the most frequent of" in text
+
+
+def test_verification_gate_has_every_prompt(spark, few_parts):
+    from foldwise.plans import load
+    path, con, compare = few_parts
+    queries, sql = load()
+    d = queries["verification_gate"](spark, path)
+    assert compare(d, con, sql["verification_gate"]) is None
+    got = {(r.category, r.drop_reason): r.n for r in d.groupBy("category", "drop_reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+    named = [i for i in range(40) if i % 17 and i % 9 != 8]
+    assert sum(n for (c, _), n in got.items() if c == "cipher") == len(named) and got["cipher", "unsolved"] == sum(i % 9 == 0 for i in named)
+    assert got["cipher", "answer_mismatch"] > 0 and got["cipher", None] > 0 and got[None, "unclassified"] == 80 + 40 - len(named)
+    assert sum(got.values()) == 240
